@@ -56,3 +56,50 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rig
     salt = F.pmod(F.xxhash64(*[left[c] for c in left.columns if c not in on]), F.lit(salts)).cast("int")
     dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(dealt, [*on, "_salt"], how).drop("_salt")
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """Join ``left`` to ``right``, which has a row for each key with the ``count`` of left rows that hold it.
+
+    Keys with over a ``parts``-th of the ``total`` left rows are at most ``parts`` many, so they are
+    broadcast; no key of the rest is large enough to weigh down a task of the shuffle join.
+    """
+    least = max(2, total // parts)
+    heavy = right.where(F.col(count) > least).drop(count).withColumn("_heavy", F.lit(True))
+    light = right.where(F.col(count) <= least).drop(count)
+    marked = left.join(F.broadcast(heavy), on, "left")
+    own = [c for c in right.columns if c not in on and c != count]
+    return marked.where("_heavy").drop("_heavy").unionByName(marked.where("_heavy is null").drop("_heavy", *own).join(light, on, how))
+
+
+def connected(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label): the smallest node of the component of every node of the edges (u, v).
+
+    Each round maps every node to its smallest neighbour and contracts the edges by that map;
+    all tables stay distributed, and hubs are joined by broadcasting the few that are large.
+    """
+    spark = edges.sparkSession
+    edges = staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-e")
+    maps = []
+    while n := edges.count():
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to"), F.count("*").alias("n")), f"{name}-m")
+        maps.append(step.select("u", "to"))
+        left = join_counted(edges, step, ["u"], "n", n).select(F.col("to").alias("a"), F.col("v").alias("u"))
+        pairs = join_counted(left, step, ["u"], "n", n).select(F.col("a"), F.col("to").alias("b")).where("a <> b")
+        edges = staged(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-e")
+    if not maps:
+        return spark.createDataFrame([], "node long, label long")
+    labels = maps[0].select(F.col("u").alias("node"), F.col("to").alias("label"))
+    for step in maps[1:]:
+        labels = staged(labels, f"{name}-l")
+        held = labels.groupBy(F.col("label").alias("u")).agg(F.count("*").alias("n"))
+        step = staged(step.join(held, "u", "inner"), f"{name}-s")
+        moved = join_counted(labels.withColumn("u", F.col("label")), step, ["u"], "n", labels.count(), "left")
+        labels = moved.select("node", F.coalesce("to", "label").alias("label"))
+    return labels
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows: very long texts must not pile up in one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
