@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramlm import score_documents
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    scored = score_documents(table(spark, sf_dir, "documents"), learn=~held_out, order=3).withColumnRenamed("_id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "model_order")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -23,6 +31,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -44,5 +58,5 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op10_source_mix": op10_source_mix}
+QUERIES = {"op1_ngram_score": op1_ngram_score, "op3_line_dedup": op3_line_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_source_mix": op10_source_mix}
 SQL = {"op3_line_dedup": OP3_SQL}
