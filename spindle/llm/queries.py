@@ -16,6 +16,13 @@ def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "model_order")
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    out = perspectives(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "perspective", "part", "sub", "n_turns", "n_masked", "mask", F.size("spans").cast("long").alias("n_spans"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -31,6 +38,46 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source as host) and web pages (markup, address). A page's doc_id is -1 - page_id."""
+    from .langid import fit_text_model, identify, identify_documents, page_evidence
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_text_model(docs)
+    found = identify_documents(docs, model)
+    pages = page_evidence(table(spark, sf_dir, "pages")).withColumn("doc_id", -1 - F.col("page_id"))
+    pages = identify(pages, model, declared_col="declared", suffix_col="suffix", host_col="host", domain_col="domain")
+    kept = ["doc_id", "host", "language", "posterior", "text_language", "declared", "accepted"]
+    return found.select(*kept, F.lit("document").alias("kind")).unionAll(pages.select(*kept, F.lit("page").alias("kind")))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenstore import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "at", F.length("word").cast("long").alias("n_chars"), F.sha2("word", 256).alias("word_sha256"), "score")
+
+
+def op7_vp_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), queries=F.pmod(F.col("vec_id"), F.lit(100)) == 0, k=10, factor=1.0)
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -58,5 +105,37 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_ngram_score": op1_ngram_score, "op3_line_dedup": op3_line_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_source_mix": op10_source_mix}
-SQL = {"op3_line_dedup": OP3_SQL}
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
+         replace(replace(coalesce(text, ''), '<|', '\<|'), '|>', '\|>') AS t
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, who AS perspective FROM turns WHERE who <> 'system'),
+seen AS (
+  SELECT p.conv_id, p.perspective, t.turn, t.who, t.t,
+         CASE WHEN t.who = 'system' THEN '<|system|> ' WHEN t.who = p.perspective THEN '<|assistant|> '
+              ELSE '<|user|> ' || t.who || ': ' END || t.t || '<|end|>' AS line,
+         CASE WHEN t.who = p.perspective THEN 1 ELSE 0 END AS mine,
+         CAST(floor(coalesce(t.turn, -1) / 256.0) AS BIGINT) AS part
+  FROM people p JOIN turns t ON p.conv_id = t.conv_id)
+SELECT conv_id, perspective, part, CAST(0 AS INTEGER) AS sub, CAST(count(*) AS BIGINT) AS n_turns,
+       CAST(sum(mine) AS BIGINT) AS n_masked,
+       string_agg(CAST(mine AS VARCHAR), '' ORDER BY turn, who, t) AS mask,
+       CAST(sum(mine) AS BIGINT) AS n_spans,
+       sha256(string_agg(line, chr(10) ORDER BY turn, who, t)) AS rendered_sha256
+FROM seen GROUP BY conv_id, perspective, part
+"""
+
+QUERIES = {
+    "op1_ngram_score": op1_ngram_score,
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_token_store": op5_token_store,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_vp_neighbours": op7_vp_neighbours,
+    "op8_latent_decontamination": op8_latent_decontamination,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_source_mix": op10_source_mix,
+}
+SQL = {"op2_chat_perspectives": OP2_SQL, "op3_line_dedup": OP3_SQL}
