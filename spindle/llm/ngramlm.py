@@ -1,12 +1,14 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
 The n-grams of the training texts, by order, are dealt by hash over shards.  A shard keeps its
-n-grams in a trie: each level holds the words of its nodes, the pointers to their children and,
-at the last level, probabilities.  Pointers and words are monotone sequences in Elias-Fano
-form (a level's words become monotone by adding, for each context, where the previous context's
-range ended); probabilities are codes of a table of quantised smoothed probabilities.  A level
-is looked up by searching the successor of a context-relative word in that context's range.
-Levels lie in one file that is mapped into memory while it is queried.
+n-grams in a trie of two levels: contexts (all words but the last, as fingerprints of 20 bits)
+with pointers to their ranges of last words (fingerprints of 28 bits), and a 16-bit code of a
+quantised smoothed probability for each last word.  All sequences are monotone and in
+Elias-Fano form: a word is stored relative to its context, plus where the previous context's
+range ended.  An n-gram is looked up by finding its context, then the successor of the
+context-relative word in that context's range.  A shard's trie is one file, mapped into memory
+while it is queried.  Shards are of bounded size, so the share of false hits is too (about one
+in 10**8, one in 2000 in the most frequent contexts); words themselves are 64-bit hashes.
 
 No node ever needs the whole model: texts are grouped into blocks of bounded size, each block
 asks every shard once for its distinct n-grams (which also carry the block's training counts,
@@ -15,8 +17,9 @@ so one shuffle both builds and queries the model), and gets back a code for each
 The model interpolates orders; with c the training count, v the context without its first word:
     P1(w) = (c(w) + 1) / (N + V + 1)
     Pk(w | ctx) = (c(ctx w) + m * P(k-1)(w | v)) / (c(ctx) + m),  m = floor_k + slope_k * c(ctx)
-so every order sums to one over the V known words and one unknown word.  N, V and the order-1
-counts are exact; higher counts are exact to 2**14 and quantised in steps of 0.08 % above.
+so every order sums to one over the V known words and one unknown word.  A code stands for the
+joint share c / (N + V + 1); N, V and the counts of order 1 are exact, higher counts are exact
+to 2**14 and quantised in steps of 0.08 % above.
 
 Defined cases: a null or empty text is its end alone; a null id is scored, belongs to neither
 part (held_out null) and isn't learned from; repeated rows are learned from and scored each;
@@ -60,45 +63,30 @@ def table_of_counts() -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence of whole numbers: low bits packed, high bits in unary."""
+    """A monotone sequence of whole numbers: whole bytes of low bits, high bits in unary."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        high = np.zeros((top >> bits) + n + 1, np.uint8)
-        high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        place = np.arange(bits, dtype=np.uint64)
-        low = [np.packbits(((values[i : i + 65536, None] >> place) & np.uint64(1)).astype(np.uint8).ravel()) for i in range(0, n if bits else 0, 65536)]
-        return cls(n, bits, np.concatenate([np.zeros(0, np.uint8), *low]), np.packbits(high))
-
-    def _low(self, first: int, n: int) -> np.ndarray:
-        if not self.low_bits or not n:
-            return np.zeros(n, np.uint64)
-        a, b = first * self.low_bits, (first + n) * self.low_bits
-        bits = np.unpackbits(np.asarray(self.low[a >> 3 : (b + 7) >> 3]))[a & 7 :][: b - a].reshape(n, self.low_bits)
-        out = np.zeros(n, np.uint64)
-        for i in range(self.low_bits):
-            out |= bits[:, i].astype(np.uint64) << np.uint64(i)
-        return out
+        wide = -(-max(0, (top // max(n, 1)).bit_length() - 1) // 8)
+        part = (values >> np.uint64(8 * wide)) if wide < 8 else np.zeros(n, np.uint64)
+        high = np.zeros((int(part[-1]) if n else 0) + n + 1, np.uint8)
+        high[part.astype(np.int64) + np.arange(n)] = 1
+        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :wide]
+        return cls(n, wide, np.ascontiguousarray(low).ravel(), np.packbits(high))
 
     def decode(self) -> np.ndarray:
         """All values in order."""
         at = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        for i in range(0, self.n, 1 << 16):
-            k = min(1 << 16, self.n - i)
-            out[i : i + k] |= self._low(i, k)
-        return out
-
-    def get(self, i: int) -> int:
-        at = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[i]
-        return (int(at - i) << self.low_bits) | int(self._low(i, 1)[0])
+        out = np.zeros((self.n, 8), np.uint8)
+        out[:, : self.low_bytes] = np.asarray(self.low).reshape(self.n, self.low_bytes)
+        low = out.view("<u8").ravel()
+        return low if self.low_bytes == 8 else low | ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(8 * self.low_bytes))
 
     @property
     def n_bytes(self) -> int:
@@ -106,184 +94,132 @@ class EliasFano:
 
 
 class Trie:
-    """n-grams of one order (columns of word numbers, sorted, distinct) with a 16-bit code each."""
+    """Contexts, their pointers and context-relative words, and a 16-bit code for each word."""
 
-    def __init__(self, levels: list[tuple[EliasFano, EliasFano | None]], codes: np.ndarray, n_words: int):
-        self.levels, self.codes, self.n_words = levels, codes, n_words
-        self._decoded: dict[int, tuple] = {}
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, words_: EliasFano, codes: np.ndarray):
+        self.parts, self.codes = (contexts, pointers, words_), codes
 
     @classmethod
-    def build(cls, grams: np.ndarray, codes: np.ndarray, n_words: int) -> Trie:
-        order, n = grams.shape
-        levels = []
-        fresh = np.zeros(n, bool)
-        parents = np.zeros(n, np.int64)
-        n_parents = 1
-        for k in range(order):
-            new = fresh.copy()
-            if n:
-                new[0] = True
-                new[1:] |= grams[k, 1:] != grams[k, :-1]
-            at = np.flatnonzero(new)
-            node = np.cumsum(new) - 1
-            owner, word = parents[at], grams[k, at].astype(np.uint64)
-            pointers = np.searchsorted(owner, np.arange(n_parents + 1))
-            # Context-relative words become monotone: each range starts where the last one ended.
-            has = pointers[1:] > pointers[:-1]
-            ends = np.zeros(n_parents, np.uint64)
-            ends[has] = word[pointers[1:][has] - 1] + np.uint64(1)
-            base = np.r_[np.uint64(0), np.cumsum(ends)[:-1]] if n_parents else np.zeros(0, np.uint64)
-            levels.append((EliasFano.of(word + base[owner]), EliasFano.of(pointers)))
-            fresh, parents, n_parents = new, node, len(at)
-        return cls(levels, codes.astype("<u2"), n_words)
+    def build(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
+        """From n-grams sorted by (context, word), distinct."""
+        at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+        pointers = np.r_[at, len(context)]
+        ends = np.zeros(len(at), np.uint64)
+        if len(at) > 1:
+            ends = word[pointers[1:] - 1] + np.uint64(1)
+        base = np.r_[np.uint64(0), np.cumsum(ends)[:-1]].astype(np.uint64) if len(at) else ends
+        return cls(EliasFano.of(context[at]), EliasFano.of(pointers), EliasFano.of(word + np.repeat(base, np.diff(pointers))), codes.astype("<u2"))
 
     # One file: a header, then every array behind the other.
     def save(self, path: str) -> None:
-        arrays = [a for words_, pointers in self.levels for ef in (words_, pointers) for a in (ef.low, ef.high)]
-        head = [len(self.levels), self.n_words, len(self.codes)]
-        head += [x for words_, pointers in self.levels for ef in (words_, pointers) for x in (ef.n, ef.low_bits, len(ef.low), len(ef.high))]
+        head = [len(self.codes), *(x for p in self.parts for x in (p.n, p.low_bytes, len(p.low), len(p.high)))]
         with open(path, "wb") as f:
             f.write(np.array(head, "<i8").tobytes())
-            self.codes.tofile(f)
-            for a in arrays:
+            for a in (self.codes, *(x for p in self.parts for x in (p.low, p.high))):
                 a.tofile(f)
 
     @classmethod
     def open(cls, path: str) -> Trie:
         data = np.memmap(path, np.uint8, "r")
-        order, n_words, n = (int(x) for x in data[:24].view("<i8"))
-        head = data[24 : 24 + order * 64].view("<i8").tolist()
-        at = 24 + order * 64
-        codes = data[at : at + 2 * n].view("<u2")
-        at += 2 * n
-        made = []
-        for i in range(0, len(head), 4):
-            size, bits, low, high = head[i : i + 4]
-            made.append(EliasFano(size, bits, data[at : at + low], data[at + low : at + low + high]))
+        n, *head = data[: 13 * 8].view("<i8").tolist()
+        at = 13 * 8 + 2 * n
+        parts = []
+        for i in range(0, 12, 4):
+            size, wide, low, high = head[i : i + 4]
+            parts.append(EliasFano(size, wide, data[at : at + low], data[at + low : at + low + high]))
             at += low + high
-        return cls(list(zip(made[::2], made[1::2])), codes, n_words)
-
-    def _level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if k not in self._decoded:
-            words_, pointers = self.levels[k]
-            w, p = words_.decode(), pointers.decode().astype(np.int64)
-            base = np.zeros(max(len(p) - 1, 0), np.uint64)
-            if len(w) and len(base):
-                base = np.where(p[:-1] > 0, w[np.maximum(p[:-1] - 1, 0)] + np.uint64(1), np.uint64(0))
-            self._decoded = {k: (w, p, base)}  # one level at a time
-        return self._decoded[k]
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
+        return cls(*parts, data[13 * 8 : 13 * 8 + 2 * n].view("<u2"))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of n-grams; 0 for those that the trie lacks."""
-        order, n = grams.shape
-        node = np.zeros(n, np.int64)
-        for k in range(order):
-            w, p, base = self._level(k)
-            live = node >= 0
-            ctx = node[live]
-            if not len(w) or not len(ctx):
-                return np.zeros(n, np.uint16)
-            target = base[ctx] + grams[k, live].astype(np.uint64)
-            at = np.maximum(np.searchsorted(w, target), p[ctx])
-            ok = at < p[ctx + 1]
-            ok &= w[np.minimum(at, len(w) - 1)] == target
-            node[live] = np.where(ok, at, -1)
-        out = np.zeros(n, np.uint16)
-        out[node >= 0] = self.codes[node[node >= 0]]
-        return out
+        known, pointers, words_ = self.parts
+        if not known.n:
+            return np.zeros(len(word), np.uint16)
+        c, p, w = known.decode(), pointers.decode().astype(np.int64), words_.decode()
+        node = np.minimum(np.searchsorted(c, context), len(c) - 1)
+        first, last = p[node], p[node + 1]
+        # A range's words start where the last range ended.
+        target = np.where(first > 0, w[np.maximum(first, 1) - 1] + np.uint64(1), np.uint64(0)) + word
+        at = np.searchsorted(w, target)
+        ok = (c[node] == context) & (at >= first) & (at < last)
+        at = np.minimum(at, len(w) - 1)
+        ok &= w[at] == target
+        return np.where(ok, self.codes[at], 0).astype(np.uint16)
 
     @property
     def n_bytes(self) -> int:
-        return self.codes.nbytes + sum(a.n_bytes + b.n_bytes for a, b in self.levels)
+        return self.codes.nbytes + sum(p.n_bytes for p in self.parts)
 
 
 # ---------------------------------------------------------------- blocks
 
-
-def packed(columns: np.ndarray, v: int) -> np.ndarray:
-    key = columns[0].astype(np.int64)
-    for c in columns[1:]:
-        key = key * v + c
-    return key
-
-
-def unpacked(key: np.ndarray, order: int, v: int) -> np.ndarray:
-    out = []
-    for _ in range(order - 1):
-        key, last = np.divmod(key, v)
-        out.append(last)
-    return np.vstack([x[None] for x in [*out, key][::-1]])
+CONTEXT_BITS, WORD_BITS = 20, 28
 
 
 class Block:
-    """The texts of a block as numbers. Words are numbered by hash, so row order doesn't matter."""
+    """The texts of a block as word hashes. n-grams are numbered by hash, so row order doesn't matter."""
 
     def __init__(self, texts: list[bytes | None], learn: list[bool]):
         seen = Vocabulary()
         bos, end = seen[BOS], seen[END]
-        parts, sizes = [], []
+        parts = []
         for text in texts:
             w = words(text)
-            ids = np.empty(len(w) + 3, np.int64)
+            ids = np.empty(len(w) + 3, np.int32)
             ids[:2], ids[-1] = bos, end
-            ids[2:-1] = np.fromiter(map(seen.__getitem__, w), np.int64, len(w))
+            ids[2:-1] = np.fromiter(map(seen.__getitem__, w), np.int32, len(w))
             parts.append(ids)
-            sizes.append(len(w) + 1)
-        h = seen.hashes()
-        order = np.argsort(h, kind="stable")
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
-        self.hashes = h[order]
-        seq = rank[np.concatenate(parts)] if parts else np.zeros(0, np.int64)
-        self.sizes = np.array(sizes, np.int64)
+        self.sizes = np.array([len(p) - 2 for p in parts], np.int64)
         starts = np.cumsum(self.sizes + 2) - self.sizes - 2
-        first = np.zeros(len(seq), bool)
+        self.hashes = seen.hashes()
+        self.seq = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        first = np.zeros(len(self.seq), bool)
         if len(starts):
             first[starts] = first[starts + 1] = True
         self.at = np.flatnonzero(~first)
-        self.seq = seq
         self.learn = np.repeat(np.array(learn, bool), self.sizes)
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Columns of the distinct n-grams in order, and for each token the number of its n-gram."""
-        v = len(self.hashes)
-        columns = [self.seq[self.at - i] for i in range(order - 1, -1, -1)]
-        key = columns[0]
-        if v**order < 1 << 62:
-            for c in columns[1:]:
-                key = key * v + c
-            u, inverse = np.unique(key, return_inverse=True)
-            return unpacked(u, order, v), inverse
-        for c in columns[1:]:  # too many words to pack into one number: the prefixes are numbered first
-            key = np.unique(key, return_inverse=True)[1] * v + c
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        return np.vstack([c[first][None] for c in columns]), inverse
-
-    def shards(self, columns: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(columns.shape[1], np.uint64)
-        for i, c in enumerate(columns):
-            h = mix(h + self.hashes[c], i)
-        return ((h >> np.uint64(24)) % np.uint64(n)).astype(np.int32)
+    def grams(self, order: int, shards: int):
+        """(key, shard, inverse): the distinct n-grams by shard and key, and for each token the number of its own."""
+        word = self.hashes[self.seq[self.at]]
+        if order == 1:
+            key, shard_of = word, mix(word, 1)
+        else:
+            context = np.full(len(word), np.uint64(order))
+            for i in range(order - 1, 0, -1):
+                context = mix(context + self.hashes[self.seq[self.at - i]], i)
+            key = ((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (mix(word, 2) >> np.uint64(64 - WORD_BITS))
+            shard_of = mix(context + word, 2)
+        shard = (shard_of >> np.uint64(20)) % np.uint64(shards)
+        if order == 1 or shards >= 1 << (64 - CONTEXT_BITS - WORD_BITS):  # shard and key don't fit into one number
+            _, first, inverse = np.unique(key if order == 1 else mix(context + word, 1), return_index=True, return_inverse=True)
+            key, shard = key[first], shard[first].astype(np.int64)
+            by = np.lexsort((key, shard))
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            return key[by], shard[by], place[inverse]
+        u, inverse = np.unique((shard << np.uint64(CONTEXT_BITS + WORD_BITS)) | key, return_inverse=True)
+        return u & np.uint64((1 << (CONTEXT_BITS + WORD_BITS)) - 1), (u >> np.uint64(CONTEXT_BITS + WORD_BITS)).astype(np.int64), inverse
+
+
+def planes(sorted_keys: np.ndarray) -> np.ndarray:
+    """Gaps of sorted keys, byte by byte: the high bytes of gaps are nearly all 0."""
+    gaps = np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _requests(block: int, held: Block, orders, shards: dict[int, int]):
-    v = len(held.hashes)
-    local = np.zeros(v, np.int64)
     for order in orders:
-        columns, inverse = held.grams(order)
-        counts = np.bincount(inverse[held.learn], minlength=columns.shape[1])
-        shard = held.shards(columns, shards[order])
-        by = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[by], np.arange(shards[order] + 1))
-        for s in range(shards[order]):
-            take = by[cut[s] : cut[s + 1]]
-            if len(take):
-                part = columns[:, take]
-                mark = np.zeros(v, bool)
-                mark[part.ravel()] = True
-                used = np.flatnonzero(mark)
-                local[used] = np.arange(len(used))
-                yield order, s, block, pack(held.hashes[used], narrow(counts[take]), *[narrow(local[c]) for c in part])
+        key, shard, inverse = held.grams(order, shards[order])
+        counts = np.bincount(inverse[held.learn], minlength=len(key))
+        cut = np.searchsorted(shard, np.arange(shards[order] + 1))
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a:
+                yield order, s, block, pack(planes(key[a:b]), narrow(counts[a:b]))
 
 
 _REQUEST = pa.schema([("order", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
@@ -308,40 +244,33 @@ def _ask(orders, shards):
     return run
 
 
-def _shard_grams(table: pa.Table):
-    """The shard's words, the distinct n-grams of all blocks with their summed counts, and each block's own n-grams."""
-    asked = [(b, unpack(x)) for b, x in zip(table.column("block").to_pylist(), table.column("blob").to_pylist())]
-    known = np.unique(np.concatenate([a[0] for _, a in asked]))
-    own, keys, counts = [], [], []
-    for block, (dictionary, count, *columns) in asked:
-        number = np.searchsorted(known, dictionary)
-        own.append((block, np.vstack([number[c.astype(np.int64)][None] for c in columns])))
-    return known, own, [a[1] for _, a in asked]
+def _asked(table: pa.Table):
+    """(blocks, sizes, keys, counts) of all requests to a shard."""
+    got = [unpack(x) for x in table.column("blob").to_pylist()]
+    keys = [from_planes(g[0]) for g in got]
+    return table.column("block").to_pylist(), [len(k) for k in keys], np.concatenate(keys), np.concatenate([g[1].astype(np.int64) for g in got])
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Build the shard's trie from the counts of all blocks and answer each block from it."""
     order, shard = table.column("order")[0].as_py(), table.column("shard")[0].as_py()
-    known, own, counts = _shard_grams(table)
-    v = len(known)
-    if v ** order > 1 << 62:
-        raise ValueError("a shard holds too many words; raise the number of shards")
-    asked = np.hstack([c for _, c in own])
-    keys, learned = packed(asked, v), np.concatenate([c.astype(np.int64) for c in counts])
-    distinct, inverse = np.unique(keys[learned > 0], return_inverse=True)
+    blocks, sizes, keys, counts = _asked(table)
+    distinct, inverse = np.unique(keys[counts > 0], return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, inverse, learned[learned > 0])
+    np.add.at(total, inverse, counts[counts > 0])
+    low = np.uint64((1 << WORD_BITS) - 1)
+    split = (lambda k: (np.zeros(len(k), np.uint64), k)) if order == 1 else (lambda k: (k >> np.uint64(WORD_BITS), k & low))
     fd, path = tempfile.mkstemp(suffix=".trie")
     os.close(fd)
     try:
-        Trie.build(unpacked(distinct, order, v), quantise(total), v).save(path)
-        codes = Trie.open(path).find(asked)
+        Trie.build(*split(distinct), quantise(total)).save(path)
+        codes = Trie.open(path).find(*split(keys))
     finally:
         os.unlink(path)
     if order == 1 and len(distinct):  # exact: the counts come along
         codes = total[np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)] * (codes > 0)
-    cut = np.cumsum([0, *(c.shape[1] for _, c in own)])
-    return _rows((order, shard, block, pack(narrow(codes[a:b]))) for (block, _), a, b in zip(own, cut, cut[1:]))
+    cut = np.cumsum([0, *sizes])
+    return _rows((order, shard, block, pack(narrow(codes[a:b]))) for block, a, b in zip(blocks, cut, cut[1:]))
 
 
 def _count_words(shards: int, chunk: int):
@@ -361,9 +290,8 @@ def _count_words(shards: int, chunk: int):
 
 
 def _tally(table: pa.Table) -> pa.Table:
-    known, own, counts = _shard_grams(table)
-    total = sum(int(c.astype(np.int64).sum()) for c in counts)
-    return pa.table({"n": pa.array([total], pa.int64()), "v": pa.array([len(known)], pa.int64())})
+    _, _, keys, counts = _asked(table)
+    return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(np.unique(keys))], pa.int64())})
 
 
 SCORES = "_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, model_order int"
@@ -380,12 +308,8 @@ def _score(order: int, shards: dict[int, int], n: int, v: int, n_docs: int, floo
         counts_of = table_of_counts()
         p = context = None
         for k in range(1, order + 1):
-            columns, inverse = held.grams(k)
-            shard = held.shards(columns, shards[k])
-            by = np.argsort(shard, kind="stable")
-            got = np.concatenate([answers[k, s] for s in np.unique(shard)]).astype(np.int64)
-            codes = np.empty(columns.shape[1], np.int64)
-            codes[by] = got
+            key, shard, inverse = held.grams(k, shards[k])
+            codes = np.concatenate([answers[k, s] for s in np.unique(shard)]).astype(np.int64) if len(key) else np.zeros(0, np.int64)
             c = (codes if k == 1 else counts_of[codes])[inverse].astype(np.float64)
             if k == 1:
                 known, count = c > 0, c
