@@ -1,4 +1,8 @@
 """Queries by name, with the SQL that expresses them."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import graph_queries
+
+QUERIES: dict = dict(graph_queries.QUERIES)
+SQL: dict[str, str] = dict(graph_queries.SQL)
