@@ -205,10 +205,10 @@ def two_partitions(spark, d):
 
 @query("compare_partitions", """WITH c AS (SELECT p_size AS a, p_brand AS b, count(*) AS n FROM part GROUP BY 1, 2),
 ra AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM c),
-s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS both, (SELECT sum(n * (n - 1) / 2) FROM ra) AS pa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS pb,
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS pc, (SELECT sum(n * (n - 1) / 2) FROM ra) AS pa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS pb,
   (SELECT sum(c.n / t * ln(c.n * t / (ra.n * rb.n))) FROM c JOIN ra USING (a) JOIN rb USING (b), t) AS mi,
   (SELECT -sum(n / t * ln(n / t)) FROM ra, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM rb, t) AS hb, (SELECT t * (t - 1) / 2 FROM t) AS all_pairs)
-SELECT round((both - pa * pb / all_pairs) / ((pa + pb) / 2 - pa * pb / all_pairs), 9) AS adjusted_rand, round(mi / ((ha + hb) / 2), 9) AS normalised_mi FROM s""")
+SELECT round((pc - pa * pb / all_pairs) / ((pa + pb) / 2 - pa * pb / all_pairs), 9) AS adjusted_rand, round(mi / ((ha + hb) / 2), 9) AS normalised_mi FROM s""")
 def compare_partitions(spark, d):
     out = ms.compare_partitions(*two_partitions(spark, d))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])

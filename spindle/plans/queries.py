@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, patch_queries
 
-QUERIES: dict = dict(graph_queries.QUERIES)
-SQL: dict[str, str] = dict(graph_queries.SQL)
+MODULES = (graph_queries, patch_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
