@@ -96,10 +96,17 @@ def overlap_reached(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     return int((a[at] == b).sum()) >= need
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray) -> list[int]:
     """512 bits, each the parity of the shingles that fall on it: sets differ in at least as many shingles as bits."""
     bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_link(n, m, a, b, num: int, den: int):
+    """The same test on columns: lengths and parities of two sets."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x.cast("int"))
+    need = F.ceil((n + m) * num / (num + den))
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & (differ <= n + m - 2 * need)
 
 
 def _texts(column: pa.Array) -> list[bytes | None]:
@@ -132,7 +139,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     return np.concatenate([np.minimum(got.get(i, np.zeros(width, np.int64)), (1 << 31) - 1).astype(np.int32) for i in range(SLICES)])
 
 
-SETS = "_id long, n long, f1 long, f2 long, mins array<long>, lists array<long>, signature binary"
+SETS = "_id long, n long, f1 long, f2 long, mins array<long>, lists array<long>, signature array<long>"
 
 
 def _set_rows(counts, k: int, num: int, den: int):
@@ -144,7 +151,7 @@ def _set_rows(counts, k: int, num: int, den: int):
                 w = words(text)
                 cols["_id"].append(doc)
                 if not w:
-                    for c, v in (("n", 0), ("f1", 0), ("f2", 0), ("mins", []), ("lists", []), ("signature", b"")):
+                    for c, v in (("n", 0), ("f1", 0), ("f2", 0), ("mins", []), ("lists", []), ("signature", [])):
                         cols[c].append(v)
                     continue
                 seen = Vocabulary()
@@ -165,7 +172,7 @@ def _set_rows(counts, k: int, num: int, den: int):
                 order = np.lexsort((s, bound))[:take]
                 cols["lists"].append(s[order].view(np.int64).tolist())
                 cols["signature"].append(parity(s))
-            yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("mins", pa.list_(pa.int64())), ("lists", pa.list_(pa.int64())), ("signature", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("mins", pa.list_(pa.int64())), ("lists", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))]))
 
     return run
 
@@ -204,7 +211,7 @@ def _met(num: int, den: int):
             head = table.slice(0, n)
             k = key[:, :n]
             ids, sizes, label = (head.column(c).to_numpy() for c in ("rep", "n", "label"))
-            sig = np.frombuffer(b"".join(head.column("signature").to_pylist()), np.uint64).reshape(n, SIGNATURE // 64)
+            sig = head.column("signature").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, SIGNATURE // 64)
             out_u, out_v = [], []
             start = np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0)])
             group = np.zeros(n, np.int64)
@@ -288,9 +295,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = base.where("_id is not null")
     n_reps = reps.count()
     # First comparisons: with the smallest set of each min-hash.
-    keyed = reps.select("rep", F.posexplode("mins").alias("at", "key"))
-    leaders = keyed.groupBy("at", "key").agg(F.min("rep").alias("u"), F.count("*").alias("c")).where("c > 1")
-    first = join_counted(keyed, leaders, ["at", "key"], "c", KEYS * n_reps).where("u <> rep").select("u", F.col("rep").alias("v")).distinct()
+    keyed = reps.select("rep", "n", "signature", F.posexplode("mins").alias("at", "key"))
+    leaders = keyed.groupBy("at", "key").agg(F.min(F.struct("rep", "n", "signature")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    first = join_counted(keyed, leaders, ["at", "key"], "c", KEYS * n_reps).where(F.col("lead.rep") != F.col("rep"))
+    first = first.where(may_link(F.col("n"), F.col("lead.n"), F.col("signature"), F.col("lead.signature"), num, den))
+    first = first.select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct()
     early = staged(_verified(first, texts, "jaccard-first", k, num, den), "jaccard-early")
     labels = connected(early, "jaccard-a")
     joined = staged(
@@ -320,3 +329,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = found.select("_id", "n", "component_id", "n_copies")
     alone = sets.where("n = 0 or _id is null").select("_id", "n", F.col("_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_copies")
+
+
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each group of linked ones: that of the smallest id.
+
+    Documents without words or id link with nothing and stay; of repeated rows one stays.
+    """
+    found = jaccard_components(docs, id_col, text_col, k, num, den)
+    gone = staged(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "near-copies")
+    if gone.count() <= 1_000_000:  # 8 MB of ids
+        gone = F.broadcast(gone)
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1")
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    again = F.broadcast(repeated.select(id_col)) if repeated.count() <= 1_000_000 else repeated.select(id_col)
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
