@@ -14,20 +14,24 @@ from ..session import written
 
 
 def component_labels(graph: Graph) -> DataFrame:
-    """(id, label): the smallest id of each node's weak component. Every node takes part with its own id."""
-    both = graph.edges.select("src", "dst").unionAll(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    edges = written(both, "cc-edges")
-    labels = written(graph.ids.withColumn("label", F.col("id")), "cc-labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("down"))
-        # A label points to a node whose own label may be smaller still.
-        jump = step.select(F.col("id").alias("down"), F.col("down").alias("next"))
-        new = written(step.join(jump, "down", "left").select("id", F.col("label").alias("old"), F.coalesce("next", "down").alias("label")), "cc-labels")
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
+    """(id, label): the smallest id of each node's weak component.
+
+    Every node goes to the smallest of itself and its neighbours, and the edges are contracted by
+    that map, until none is left; each round at least halves the nodes that have edges.
+    """
+    e = graph.edges.where("src <> dst")
+    edges = written(e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "cc-edges")
+    maps = []
+    while edges.limit(1).count():
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "cc-map")
+        maps.append(step)
+        pairs = edges.join(step.withColumnRenamed("to", "a"), "u").join(step.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
+        edges = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges")
+    labels = graph.ids.withColumn("label", F.col("id"))
+    for step in maps:
+        labels = labels.join(step.withColumnRenamed("u", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return written(labels, "cc-labels")
 
 
 def components(graph: Graph) -> DataFrame:
