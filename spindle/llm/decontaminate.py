@@ -88,13 +88,24 @@ class Units:
         own = np.bincount(self.at, weights=idf[self.term] ** 2, minlength=self.n)
         return own + (self.sizes - hits) * other**2
 
-    def times(self, matrix: np.ndarray) -> np.ndarray:
-        """Sums of the matrix's rows over each unit's hits."""
-        out = np.zeros((self.n, matrix.shape[1]), np.float32)
-        if len(self.at):
-            start = np.flatnonzero(np.r_[True, self.at[1:] != self.at[:-1]])
-            out[self.at[start]] = np.add.reduceat(matrix[self.term], start, axis=0)
-        return out
+    def lengths(self, idf: np.ndarray) -> np.ndarray:
+        """Lengths of the units' TF-IDF rows over the kept terms."""
+        top = len(idf)
+        pair, n = np.unique(self.at * top + self.term, return_counts=True)
+        return np.sqrt(np.bincount(pair // top, weights=(n * idf[pair % top]) ** 2, minlength=self.n))
+
+    def times_for(self, matrix: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each unit, sums of the matrix's rows over the hits of the needed units); row 0 is for all others."""
+        units = np.flatnonzero(needed)
+        place = np.zeros(self.n, np.int64)
+        place[units] = np.arange(1, len(units) + 1)
+        out = np.zeros((len(units) + 1, matrix.shape[1]), np.float32)
+        hit = np.flatnonzero(needed[self.at])
+        if len(hit):
+            at = self.at[hit]
+            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            out[place[at[start]]] = np.add.reduceat(matrix[self.term[hit]], start, axis=0)
+        return place, out
 
 
 def _batches(batches):
@@ -140,23 +151,48 @@ def _frequencies(held, unit: int):
     return run
 
 
+def _merged(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, inverse = np.unique(np.concatenate(key), return_inverse=True)
+    return u, np.bincount(inverse, weights=np.concatenate(value), minlength=len(u))
+
+
 def _gram(held, unit: int):
+    """A'(A W) of a partition. A's rows have few terms, so A'A is gathered as sparse pairs of terms that meet in a unit, and W comes last."""
+
     def run(batches):
         h = held.value
         terms, idf, keep, w = h["terms"], h["idf"], h["keep"], h["omega"]
-        g = np.zeros((len(terms), w.shape[1]), np.float32)
-        weighted = (w * idf[:, None]).astype(np.float32)
+        m = len(terms)
+        keys, values, waiting = [], [], 0
         for _, texts in _batches(batches):
             u = Units(texts, terms, unit)
             hits = np.bincount(u.at, minlength=u.n)
             u.kept(keep)
-            norm = np.maximum(u.norms(idf, h["other"], hits), 1e-9)
-            y = u.times(weighted) / norm[:, None].astype(np.float32)
-            by = np.argsort(u.term, kind="stable")
-            term = u.term[by]
-            if len(term):
-                start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-                g[term[start]] += np.add.reduceat(y[u.at[by]], start, axis=0) * idf[term[start], None].astype(np.float32)
+            scale = 1 / np.maximum(u.norms(idf, h["other"], hits), 1e-9)
+            for d in range(unit):
+                n = len(u.at) - d
+                same = np.flatnonzero(u.at[:n] == u.at[d:]) if n > 0 else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                a, b = u.term[same], u.term[same + d]
+                # Half of the symmetric matrix; the diagonal counts half here and twice in the end.
+                keys.append(a * m + b)
+                values.append(idf[a] * idf[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
+                waiting += len(same)
+            if waiting > 4_000_000:
+                k, v = _merged(keys, values)
+                keys, values, waiting = [k], [v], 0
+        g = np.zeros((m, w.shape[1]), np.float32)
+        if keys:
+            k, v = _merged(keys, values)
+            row, col = k // m, k % m
+            w32 = w.astype(np.float32)
+            for first in range(0, m, 1024):
+                a, b = np.searchsorted(row, [first, first + 1024])
+                block = np.zeros((min(1024, m - first), m), np.float32)
+                block[row[a:b] - first, col[a:b]] = v[a:b]
+                g[first : first + len(block)] += block @ w32
+                g += block.T @ w32[first : first + len(block)]
         yield from _sum_rows(g)
 
     return run
@@ -191,17 +227,24 @@ def _search(held, unit: int, cosine: float, lcs: float, least_words: int):
             hits = np.bincount(u.at, minlength=u.n)
             u.kept(h["keep"])
             norm = u.norms(idf, h["other"], hits)
-            score = u.times(weighted)
             first = np.r_[True, u.doc[1:] != u.doc[:-1]] if u.n else np.zeros(0, bool)
             start_of = np.maximum.accumulate(np.where(first, np.arange(u.n), 0)) if u.n else np.zeros(0, np.int64)
             joined = np.r_[u.doc[1:] == u.doc[:-1], False] if u.n else np.zeros(0, bool)
             nxt = np.minimum(np.arange(u.n) + 1, max(u.n - 1, 0))
-            both = score + score[nxt] * joined[:, None]
-            length = np.sqrt(norm + norm[nxt] * joined)
-            both /= np.maximum(length, 1e-9)[:, None].astype(np.float32)
+            length = np.maximum(np.sqrt(norm + norm[nxt] * joined), 1e-9)
+            # A passage's cosine is at most its own terms' share of its length: most can't reach the limit.
+            own = u.lengths(idf)
+            able = np.flatnonzero(own + own[nxt] * joined >= cosine * length * (1 - 1e-6))
+            needed = np.zeros(u.n, bool)
+            needed[able] = True
+            needed[nxt[able]] |= joined[able]
+            place, score = u.times_for(weighted, needed)
+            both = score[place[able]] + score[place[nxt[able]]] * joined[able, None]
+            both /= length[able, None].astype(np.float32)
             found: dict[tuple[int, int], tuple] = {}
-            at, item = np.nonzero(both >= cosine)
-            for a, i in zip(at.tolist(), item.tolist()):
+            row, item = np.nonzero(both >= cosine)
+            for r, i in zip(row.tolist(), item.tolist()):
+                a = int(able[r])
                 doc = int(u.doc[a])
                 if (doc, i) in found:
                     continue
@@ -215,7 +258,7 @@ def _search(held, unit: int, cosine: float, lcs: float, least_words: int):
                     seen = set(near)
                     right = sum(x in seen for x in answer) / max(len(answer), 1)
                     if right >= 0.5 or not answer:
-                        found[doc, i] = (item_id, word, float(both[a, i]), share, right)
+                        found[doc, i] = (item_id, word, float(both[r, i]), share, right)
             if found:
                 ids = part.column("_id").to_pylist()
                 rows = [(ids[doc], *found[doc, i]) for doc, i in sorted(found)]
