@@ -8,6 +8,8 @@ key, the first id's place and the number of ids.  A lookup is two hashes and one
 whatever the size; a key that isn't in the shard fails the fingerprint (but for 2**-64).
 
 Shards hold about ``shard_bytes`` of text each, so that both writing and reading are bounded.
+A shard also lists its keys in order, for readers that want all of its documents; such readers
+look each key up like any other, where the shard lies, without a shuffle.
 
 Defined cases: a null or empty text has the end id only; a null id comes first; rows with the
 same id are told apart by their place among them (the key is the pair of id and place), in the
@@ -18,7 +20,6 @@ are encoded as the tokenizer does by default.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, partitions_for, shared_dir
 from .textkernel import mix
 
-SHARD = "shard int, piece int, first_id long, last_id long, n_docs long, n_ids long, ids binary, seeds binary, slots binary"
-_SHARD = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("seeds", pa.binary()), ("slots", pa.binary())])
+SHARD = "shard int, piece int, first_id long, last_id long, n_docs long, n_ids long, ids binary, seeds binary, slots binary, keys binary"
+_SHARD = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("seeds", pa.binary()), ("slots", pa.binary()), ("keys", pa.binary())])
 SLOT = np.dtype([("print", "<u8"), ("start", "<u8"), ("n", "<u4")])
 PER_BUCKET = 4
 NULL_ID = -(1 << 63)
@@ -97,56 +98,96 @@ class Encoder:
 
     The tokenizer lower-cases and parts at white space, so A-Z are lowered and the text is cut at
     ASCII white space first; a comma or full stop that ends a piece after a letter is a piece of
-    its own for the tokenizer too.  Texts that might hold strings of special tokens go to the
-    tokenizer whole.
+    its own for the tokenizer too.  Pieces of letters only are encoded many at a time, and parted
+    where a token ends a word; if that doesn't come out even, one by one.  Texts that might hold
+    strings of special tokens go to the tokenizer whole.
     """
 
-    ENDS = re.compile(rb"(?<=[a-z])([,.])(?=\s|\Z)")
-
-    def __init__(self, path: str, end_id: int, keep: int = 800_000):
+    def __init__(self, path: str, end_id: int, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._begin()
 
     def _begin(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.at, self.n, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+        self.ids, self.at, self.n, self.used = np.zeros(1 << 20, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+
+    def _store(self, pieces: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Pieces with their ids, one behind the other."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(pieces) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.known.update(zip(pieces, range(self.n, self.n + len(pieces))))
+        self.at[self.n + 1 : self.n + len(pieces) + 1] = self.used + np.cumsum(sizes)
+        self.n += len(pieces)
+        self.used += len(flat)
+
+    def _encode_each(self, pieces: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        self._store(pieces, np.array([i for ids in got for i in ids], np.int64), np.array([len(ids) for ids in got], np.int64))
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for i in range(0, len(pieces), 8192):
-            part = pieces[i : i + 8192]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                ids = e.ids
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-                if self.n + 2 > len(self.at):
-                    self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.known[piece] = self.n
-                self.n += 1
-                self.at[self.n] = self.used
+        letters, rest = [], []
+        for p in pieces:
+            (letters if p.decode().isalpha() else rest).append(p)
+        for i in range(0, len(rest), 8192):
+            self._encode_each(rest[i : i + 8192])
+        for i in range(0, len(letters), 8192):
+            part = letters[i : i + 8192]
+            lines = [part[j : j + 128] for j in range(0, len(part), 128)]
+            got = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+            for line, e in zip(lines, got):
+                ids = np.array(e.ids, np.int64)
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) == len(line) and cut[-1] == len(ids):
+                    self._store(line, ids, np.diff(cut, prepend=0))
+                else:
+                    self._encode_each(line)
+
+    def _pieces(self, text: bytes) -> list[bytes]:
+        return text.lower().split()
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if self.n > self.keep:
             self._begin()
-        cut = [None if t and b"<|" in t else self.ENDS.sub(rb" \1", t.lower()).split() if t else [] for t in texts]
-        self._learn(list({w: None for p in cut if p for w in p if w not in self.known}))
+        cut = [None if t and b"<|" in t else self._pieces(t) if t else [] for t in texts]
+        fresh = {w: None for p in cut if p for w in p if w not in self.known}
+        stems, marked = {}, []
+        for w in fresh:
+            if w[-1:] in (b",", b".") and b"a" <= w[-2:-1] <= b"z":
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    stems[w[:-1]] = None
+            else:
+                stems[w] = None
+        for mark in (b",", b"."):
+            if mark not in self.known:
+                stems[mark] = None
+        self._learn(list(stems))
+        if marked:  # a word and its mark: both are known now
+            stem = np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked))
+            mark = np.fromiter((self.known[w[-1:]] for w in marked), np.int64, len(marked))
+            flat, sizes = self._gathered(np.stack([stem, mark], 1).ravel())
+            self._store(marked, flat, sizes.reshape(-1, 2).sum(axis=1))
         out = []
         for text, p in zip(texts, cut):
             if p is None:
                 ids = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.end_id], np.uint32)
             else:
-                w = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
-                start, size = self.at[w], self.at[w + 1] - self.at[w]
-                total = int(size.sum())
-                ids = np.empty(total + 1, np.uint32)
-                ids[:-1] = self.ids[np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)]
-                ids[-1] = self.end_id
+                ids = np.append(self._gathered(np.fromiter(map(self.known.__getitem__, p), np.int64, len(p)))[0].astype(np.uint32), np.uint32(self.end_id))
             out.append(ids)
         return out
 
+    def _gathered(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, size = self.at[pieces], self.at[pieces + 1] - self.at[pieces]
+        return self.ids[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)], size
+
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -174,7 +215,7 @@ def _write(path: str, end_id: int, piece_bytes: int):
             table["print"][slots], table["start"][slots], table["n"][slots] = mix(keys, 1), np.cumsum(n) - n, n
             blob = np.concatenate([r[2] for r in rows]).astype("<u4").tobytes()
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "piece": piece, "first_id": int(keys_id[0]), "last_id": int(keys_id[-1]), "n_docs": len(rows), "n_ids": int(n.sum()), "ids": blob, "seeds": seeds.tobytes(), "slots": table.tobytes()}],
+                [{"shard": shard, "piece": piece, "first_id": int(keys_id[0]), "last_id": int(keys_id[-1]), "n_docs": len(rows), "n_ids": int(n.sum()), "ids": blob, "seeds": seeds.tobytes(), "slots": table.tobytes(), "keys": np.array([r[:2] for r in rows], "<i8").tobytes()}],
                 schema=_SHARD,
             )
 
@@ -198,7 +239,7 @@ def _write(path: str, end_id: int, piece_bytes: int):
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 24 << 20) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 12 << 20) -> None:
     """Encode ``docs`` and write the store at ``path``. ``tokenizer`` is a file of the tokenizers library."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -214,6 +255,35 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path)
 
 
+def _read_all(before: dict):
+    """Every document of the shards, looked up by its key."""
+    schema = pa.schema([("_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in ("shard", "piece", "ids", "seeds", "slots", "keys")}
+                keys = np.frombuffer(row["keys"].as_py(), "<i8").reshape(-1, 2)
+                slots = np.frombuffer(row["slots"].as_py(), SLOT)
+                at = lookup(key_of(keys[:, 0], keys[:, 1]), np.frombuffer(row["seeds"].as_py(), "<u4"), slots)
+                if (at < 0).any():
+                    raise ValueError("a key of the shard is missing in its index")
+                start, n = slots["start"][at].astype(np.int64), slots["n"][at].astype(np.int64)
+                raw = memoryview(row["ids"].as_buffer())
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(start.tolist(), n.tolist())]
+                columns = [keys[:, 0], keys[:, 1].astype(np.int32), start + before[row["shard"].as_py(), row["piece"].as_py()], n, np.array(crc, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return run
+
+
+def _ends(store: DataFrame) -> list[tuple]:
+    """(shard, piece, first id, last id, ids before) in order; 40 bytes for each ``shard_bytes`` of text come to the driver."""
+    ends = sorted((r.shard, r.piece, r.first_id, r.last_id, r.n_ids) for r in store.select("shard", "piece", "first_id", "last_id", "n_ids").collect())
+    before = np.cumsum([0, *(e[4] for e in ends)]).tolist()
+    return [(*e[:4], b) for e, b in zip(ends, before)]
+
+
 def _route(first: np.ndarray, last: np.ndarray):
     """Keys to the pieces whose range of ids holds them (more than one only where an id runs over a border)."""
 
@@ -253,11 +323,11 @@ def _lookup_rows(with_ids: bool, place: dict, before: np.ndarray):
 def fetch(store: DataFrame, keys: DataFrame, with_ids: bool = False, id_col: str = "doc_id") -> DataFrame:
     """(id, nth, start, n_tokens, ids_crc32[, ids]) of ``keys`` (ids, with ``nth`` for repeated ids) found through the index.
 
-    Only the border ids and sizes of the pieces come to the driver: 40 bytes for each ``shard_bytes`` of text.
+    Keys are sent to the shards that may hold them.
     """
-    ends = sorted((r.shard, r.piece, r.first_id, r.last_id, r.n_ids) for r in store.select("shard", "piece", "first_id", "last_id", "n_ids").collect())
+    ends = _ends(store)
     first, last = np.array([e[2] for e in ends], np.int64), np.array([e[3] for e in ends], np.int64)
-    before = np.cumsum([0, *(e[4] for e in ends)])
+    before = np.array([e[4] for e in ends], np.int64)
     place = {(e[0], e[1]): i for i, e in enumerate(ends)}
     spark = store.sparkSession
     nth = F.col("nth").cast("int") if "nth" in keys.columns else F.lit(0)
@@ -270,11 +340,10 @@ def fetch(store: DataFrame, keys: DataFrame, with_ids: bool = False, id_col: str
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **options) -> DataFrame:
-    """Write ``docs``, then fetch every document by its key: (id, start, n_tokens, ids_crc32), ``start`` over the whole store."""
+    """Write ``docs``, then read every document by its key: (id, start, n_tokens, ids_crc32), ``start`` over the whole store."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "token-store")
     write_store(docs, path, tokenizer, end_id, id_col, text_col, **options)
-    counts = docs.groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.count("*").alias("c"))
-    keys = counts.select(id_col, F.explode(F.sequence(F.lit(0), (F.col("c") - 1).cast("int"))).alias("nth"))
-    found = fetch(read_store(spark, path), keys, id_col=id_col)
+    store = read_store(spark, path)
+    found = store.mapInArrow(_read_all({(e[0], e[1]): e[4] for e in _ends(store)}), "_id long, nth int, start long, n_tokens long, ids_crc32 long")
     return found.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "start", "n_tokens", "ids_crc32")

@@ -203,11 +203,11 @@ def test_mix_comes_near_with_many_documents(spark):
     assert all(abs(r.taken - r.target) <= 45 for r in got)
 
 
-def test_token_store_round_trip(docs, rows, none, spark):
+def test_token_store_round_trip(docs, rows, none, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from spindle.llm.tokenstore import round_trip
+    from spindle.llm.tokenstore import fetch, read_store, round_trip
 
     path = public_tokenizers.path("word_bpe_49k.json")
     special = [(200, "It's we've Ångström İ̇ end. <|EndOfText|> <|endoftext|>x ... don't,.  nbsp 12,000.5 \U0001f600."), (201, "a.b,c. 'S. re.,"), (None, "no id")]
@@ -219,8 +219,14 @@ def test_token_store_round_trip(docs, rows, none, spark):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = sorted(map(tuple, round_trip(table, path, shard_bytes=3000).collect()), key=lambda r: r[1])
+    at = str(tmp_path / "store")
+    got = sorted(map(tuple, round_trip(table, path, shard_bytes=3000, path=at).collect()), key=lambda r: r[1])
     assert got == want
+    keys = spark.createDataFrame([(5, 0), (99, 1), (99, 7), (None, 0), (200, 0), (-3, 0)], "doc_id long, nth int")
+    found = {(r["_id"], r.nth): (r.start, r.n_tokens, r.ids_crc32) for r in fetch(read_store(spark, at), keys, with_ids=True).collect()}
+    nulls = (-(1 << 63), 0)
+    assert set(found) == {(5, 0), (99, 1), (200, 0), nulls}
+    assert found[5, 0] == next(w[1:] for w in want if w[0] == 5) and found[nulls] == want[0][1:]
     assert round_trip(none, path).count() == 0
 
 
