@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .textkernel import pack, unpack
+from .textkernel import narrow, pack, unpack
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DOCS = 250
@@ -88,10 +88,12 @@ class Units:
         own = np.bincount(self.at, weights=idf[self.term] ** 2, minlength=self.n)
         return own + (self.sizes - hits) * other**2
 
-    def lengths(self, idf: np.ndarray) -> np.ndarray:
-        """Lengths of the units' TF-IDF rows over the kept terms."""
+    def passage_lengths(self, idf: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """Lengths of the TF-IDF rows, over the kept terms, of each unit together with the next one of its text."""
         top = len(idf)
-        pair, n = np.unique(self.at * top + self.term, return_counts=True)
+        second = self.at > 0
+        second[second] = joined[self.at[second] - 1]
+        pair, n = np.unique(np.r_[self.at * top + self.term, (self.at[second] - 1) * top + self.term[second]], return_counts=True)
         return np.sqrt(np.bincount(pair // top, weights=(n * idf[pair % top]) ** 2, minlength=self.n))
 
     def times_for(self, matrix: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,11 @@ class Units:
         if len(hit):
             at = self.at[hit]
             start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            out[place[at[start]]] = np.add.reduceat(matrix[self.term[hit]], start, axis=0)
+            size, term = np.diff(start, append=len(at)), self.term[hit]
+            for d in range(int(size.max())):  # the d-th hit of every unit
+                more = size > d
+                start, size = start[more], size[more]
+                out[place[at[start]]] += matrix[term[start + d]]
         return place, out
 
 
@@ -129,9 +135,12 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "blob": pa.array([pack(total)], pa.binary())}, schema=_SUM)
 
 
-def _summed(rows: DataFrame, f, width: int) -> np.ndarray:
-    """The sum over all partitions of a matrix whose size the benchmark slice bounds."""
-    parts = rows.mapInArrow(f, "slice int, blob binary").groupBy("slice").applyInArrow(_add, "slice int, blob binary").collect()
+def _summed(rows: DataFrame, f, width: int, then=None) -> np.ndarray:
+    """The sum over all partitions of a matrix whose size the benchmark slice bounds; ``then`` makes it from partial sums."""
+    parts = rows.mapInArrow(f, "slice int, blob binary")
+    if then:
+        parts = parts.groupBy("slice").applyInArrow(then, "slice int, blob binary")
+    parts = parts.groupBy("slice").applyInArrow(_add, "slice int, blob binary").collect()
     got = [unpack(bytes(r["blob"]))[0] for r in sorted(parts, key=lambda r: r["slice"])]
     return np.concatenate(got).reshape(-1, width) if got else np.zeros((0, width))
 
@@ -157,11 +166,11 @@ def _merged(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _gram(held, unit: int):
-    """A'(A W) of a partition. A's rows have few terms, so A'A is gathered as sparse pairs of terms that meet in a unit, and W comes last."""
+    """Half of A'A of a partition, as sparse pairs of terms that meet in a unit: A's rows have few terms, so W can come last."""
 
     def run(batches):
         h = held.value
-        terms, idf, keep, w = h["terms"], h["idf"], h["keep"], h["omega"]
+        terms, idf, keep = h["terms"], h["idf"], h["keep"]
         m = len(terms)
         keys, values, waiting = [], [], 0
         for _, texts in _batches(batches):
@@ -182,18 +191,36 @@ def _gram(held, unit: int):
             if waiting > 4_000_000:
                 k, v = _merged(keys, values)
                 keys, values, waiting = [k], [v], 0
-        g = np.zeros((m, w.shape[1]), np.float32)
         if keys:
             k, v = _merged(keys, values)
-            row, col = k // m, k % m
-            w32 = w.astype(np.float32)
-            for first in range(0, m, 1024):
-                a, b = np.searchsorted(row, [first, first + 1024])
-                block = np.zeros((min(1024, m - first), m), np.float32)
-                block[row[a:b] - first, col[a:b]] = v[a:b]
-                g[first : first + len(block)] += block @ w32
-                g += block.T @ w32[first : first + len(block)]
-        yield from _sum_rows(g)
+            edges = np.linspace(0, m, SLICES + 1).astype(np.int64) * m
+            cut = np.searchsorted(k, edges)
+            blobs = [pack(narrow(np.diff(k[a:b], prepend=e)), v[a:b].astype(np.float32)) for a, b, e in zip(cut, cut[1:], edges)]
+            yield pa.RecordBatch.from_pydict({"slice": list(range(SLICES)), "blob": blobs}, schema=_SUM)
+
+    return run
+
+
+def _times_omega(held):
+    """A slice of rows of A'A, summed over the partitions, times W; both halves of the symmetric matrix."""
+
+    def run(table: pa.Table) -> pa.Table:
+        w = held.value["omega"].astype(np.float32)
+        m = len(w)
+        edges = np.linspace(0, m, SLICES + 1).astype(np.int64)
+        s = table.column("slice")[0].as_py()
+        got = [unpack(b.as_py()) for b in table.column("blob")]
+        k, v = _merged([np.cumsum(g[0].astype(np.int64)) + edges[s] * m for g in got], [g[1] for g in got])
+        row, col = k // m, k % m
+        g = np.zeros((m, w.shape[1]), np.float32)
+        for first in range(edges[s], edges[s + 1], 1024):
+            last = min(first + 1024, edges[s + 1])
+            a, b = np.searchsorted(row, [first, last])
+            block = np.zeros((last - first, m), np.float32)
+            block[row[a:b] - first, col[a:b]] = v[a:b]
+            g[first:last] += block @ w
+            g += block.T @ w[first:last]
+        return pa.Table.from_batches(list(_sum_rows(g)))
 
     return run
 
@@ -233,8 +260,7 @@ def _search(held, unit: int, cosine: float, lcs: float, least_words: int):
             nxt = np.minimum(np.arange(u.n) + 1, max(u.n - 1, 0))
             length = np.maximum(np.sqrt(norm + norm[nxt] * joined), 1e-9)
             # A passage's cosine is at most its own terms' share of its length: most can't reach the limit.
-            own = u.lengths(idf)
-            able = np.flatnonzero(own + own[nxt] * joined >= cosine * length * (1 - 1e-6))
+            able = np.flatnonzero(u.passage_lengths(idf, joined) >= cosine * length * (1 - 1e-6))
             needed = np.zeros(u.n, bool)
             needed[able] = True
             needed[nxt[able]] |= joined[able]
@@ -328,7 +354,7 @@ def _slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, rank, s
     omega = np.random.default_rng(seed).standard_normal((len(terms), width))
     other = float(idf[keep].mean()) if keep.any() else 1.0
     fixed = {"terms": terms, "idf": idf, "keep": keep, "other": other}
-    g = _summed(rows, _gram(share(fixed | {"omega": omega}), unit), width)
+    g = _summed(rows, _gram(share(fixed), unit), width, then=_times_omega(share({"omega": omega})))
     if not len(g):
         g = np.zeros((len(terms), width))
     weight = max(1.0, float(np.abs(np.diagonal(omega.T @ g)).max() / max(len(terms), 1)))
