@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,10 @@ class Encoder:
         if self.n > self.keep:
             self._begin()
         cut = [None if t and b"<|" in t else self._pieces(t) if t else [] for t in texts]
-        fresh = {w: None for p in cut if p for w in p if w not in self.known}
+        told = [w for p in cut if p for w in p]
+        number = np.fromiter(map(self.known.get, told, repeat(-1)), np.int64, len(told))
+        missing = np.flatnonzero(number < 0)
+        fresh = dict.fromkeys(told[i] for i in missing.tolist())
         stems, marked = {}, []
         for w in fresh:
             if w[-1:] in (b",", b".") and b"a" <= w[-2:-1] <= b"z":
@@ -175,13 +179,19 @@ class Encoder:
             mark = np.fromiter((self.known[w[-1:]] for w in marked), np.int64, len(marked))
             flat, sizes = self._gathered(np.stack([stem, mark], 1).ravel())
             self._store(marked, flat, sizes.reshape(-1, 2).sum(axis=1))
-        out = []
+        number[missing] = [self.known[told[i]] for i in missing.tolist()]
+        ids, sizes = self._gathered(number)
+        edge = np.r_[0, np.cumsum(sizes)]
+        out, at = [], 0
         for text, p in zip(texts, cut):
             if p is None:
-                ids = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.end_id], np.uint32)
+                whole = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
             else:
-                ids = np.append(self._gathered(np.fromiter(map(self.known.__getitem__, p), np.int64, len(p)))[0].astype(np.uint32), np.uint32(self.end_id))
-            out.append(ids)
+                whole = ids[edge[at] : edge[at + len(p)]]
+                at += len(p)
+            one = np.empty(len(whole) + 1, np.uint32)
+            one[:-1], one[-1] = whole, self.end_id
+            out.append(one)
         return out
 
     def _gathered(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
