@@ -3,8 +3,9 @@
 A source's target says how many of its words the mix takes.  Each document first gets the
 whole copies that are certain, then a source's fractional rest is drawn as an order sample:
 documents are ranked by their random odds u/(1-u) divided by their inclusion odds p/(1-p),
-and the ranking's head is taken.  The head is cut where its words come nearest to the words
-that the source still lacks, so the sample's size in words is fixed.
+and the ranking's head is taken, as long as its words don't exceed the words that the source
+still lacks.  So that the sample's size in words is fixed, one more document closes the gap: of
+those left over, the one whose size comes nearest to it, if that is nearer than none.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last;
 repeated rows are drawn as so many documents; ties in rank go to the smaller id, then the
@@ -119,9 +120,21 @@ def pareto_mix(
     inside = F.col("_rank").isNotNull() & (F.col("_bin") == F.col("_cut"))
     edge = rows.where(inside)
     head = F.sum("size").over(Window.partitionBy("_key", "_bin").orderBy("_rank", "_id", "size", "_text").rowsBetween(Window.unboundedPreceding, -1))
-    edge = edge.withColumn("_pick", F.col("_before") + F.coalesce(head, F.lit(0)) + F.col("size") / 2 <= F.col("_rest"))
+    edge = edge.withColumn("_pick", F.col("_before") + F.coalesce(head, F.lit(0)) + F.col("size") <= F.col("_rest"))
     rest = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("_pick", F.coalesce(F.col("_rank").isNotNull() & (F.col("_bin") < F.col("_cut")), F.lit(False)))
-    chosen = edge.unionByName(rest).withColumn("copies", F.col("_whole") + F.col("_pick").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    chosen = staged(edge.unionByName(rest), "mix-chosen")
+    # The closing document: sizes are compared by source, so each task passes on one row for each source.
+    gaps = chosen.where(F.col("_rank").isNotNull()).groupBy("_key").agg(F.first("_rest").alias("_rest"), F.sum(F.when(F.col("_pick"), F.col("size")).otherwise(0)).alias("_got"))
+    gaps = gaps.select("_key", (F.col("_rest") - F.col("_got")).alias("_gap"))
+    left = join_checked(chosen.where(F.col("_rank").isNotNull() & ~F.col("_pick")), gaps, ["_key"], "inner", n_sources)
+    miss = F.abs(F.col("_gap") - F.col("size"))
+    closing = left.where(miss < F.col("_gap")).groupBy("_key").agg(F.min(F.struct(miss.alias("miss"), "_rank", "_id", "_text")).alias("_close")).select("_key", F.struct("_close._rank", "_close._id", "_close._text").alias("_close"))
+    chosen = join_checked(chosen, closing, ["_key"], "left", n_sources)
+    closes = ~F.col("_pick") & F.coalesce(F.struct("_rank", "_id", "_text") == F.col("_close"), F.lit(False))
+    # Of rows that repeat wholly only one may close.
+    first = F.row_number().over(Window.partitionBy("_key", "_id", "_text").orderBy("_rank")) == 1
+    once = chosen.where(closes).withColumn("_one", first).withColumn("_pick", F.col("_one")).drop("_one")
+    chosen = once.unionByName(chosen.where(~closes)).withColumn("copies", F.col("_whole") + F.col("_pick").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return chosen.select("_id", "_text", *made)
 
 
