@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, staged
 
-#: A word is a candidate if it holds a run of 12 such characters with a digit, or assigns to a telling name.
-CANDIDATE = r"(?=.*[0-9])[A-Za-z0-9+/_.@:-]{12}|(?i:passw|pwd|secret|token|api_?key)\S*[=:]\S{4}"
+#: A word is a candidate if it holds a digit and a run of 12 such characters, or assigns to a telling name.
+RUN = r"[A-Za-z0-9+/_.@:-]{12}"
+NAMED = r"(?i)(?:passw|pwd|secret|token|api_?key)[^\s=:]*[=:]\S{4}"
 #: Fixed words that announce a secret.
 TELLING = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api.?key|access.?key|credential|bearer|auth)"
 HARMLESS = r"(?i)(commit|sha|hash|digest|checksum|uuid|guid|version|phone|call|mail|card|example|sample|placeholder|id)"
@@ -127,14 +128,20 @@ def train(labelled: DataFrame, dictionary: DataFrame, trees: int = 24, depth: in
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, maxMemoryInMB=64).fit(assembled)
 
 
+def is_candidate(word: Column) -> Column:
+    """Each pattern takes time in proportion to the word; words may be of any length."""
+    return (word.rlike("[0-9]") & word.rlike(RUN)) | word.rlike(NAMED)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, at, word, before2, before, after, path): ``at`` is the word's number in the text."""
-    words = docs.where(F.col(text_col).rlike(CANDIDATE)).select(
+    words = docs.where(is_candidate(F.col(text_col))).select(
         F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("path"), F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1).alias("_w")
     )
-    marked = words.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get(F.col("_w"), i).rlike(CANDIDATE))))
+    numbered = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: is_candidate(x["word"]))
+    marked = words.select("_id", "path", "_w", F.explode(numbered).alias("_c")).select("_id", "path", "_w", F.col("_c.word").alias("word"), F.col("_c.at").alias("at"))
     near = lambda k: F.get("_w", F.col("at") + k)
-    return marked.select("_id", F.col("at").cast("long").alias("at"), near(0).alias("word"), F.when(F.col("at") > 1, near(-2)).alias("before2"), F.when(F.col("at") > 0, near(-1)).alias("before"), near(1).alias("after"), "path")
+    return marked.select("_id", F.col("at").cast("long").alias("at"), "word", F.when(F.col("at") > 1, near(-2)).alias("before2"), F.when(F.col("at") > 0, near(-1)).alias("before"), near(1).alias("after"), "path")
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
