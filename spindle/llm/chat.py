@@ -11,20 +11,22 @@ assistant's texts and their end marks: spans of characters of the rendered text,
 of 0 and 1 for the turns.
 
 A conversation may be of any length, so it is cut into parts of ``part_turns`` turn numbers
-(and, where turn numbers repeat, of about ``part_rows`` rows); a row of the result is a part
-as one participant sees it, and parts are numbered in order.  A part never grows with its
-conversation; the rendered parts of a perspective, joined by line breaks, are its dialogue.
+(and, where turn numbers repeat, of at most about twice ``part_rows`` rows, numbered by ``sub``);
+a row of the result is a part as one participant sees it, and parts are numbered in order.
+The rendered parts of a perspective, joined by line breaks, are its dialogue.  The rows of
+one turn number, if over ``part_rows``, are dealt evenly to parts of their own by their place in
+the input, so that neither long turns nor thousands of equal rows fill a part.
 
 Defined cases: a null role is the participant "unknown", a null text is empty, a null turn
 comes first, rows without a conversation id form one conversation; turns with equal numbers
-come in the order of role and text, repeated rows are repeated turns; a conversation of system
+come in the order of role and text (within a part, if over ``part_rows`` are equal), repeated rows are repeated turns; a conversation of system
 turns only has no perspective; marks within a text are escaped by a backslash; extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_counted, staged
@@ -49,14 +51,26 @@ def perspectives(
         F.floor(F.coalesce(F.col(turn_col), F.lit(-1)) / part_turns).cast("long").alias("part"),
         F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("_who"),
         text.alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     rows = staged(rows, "chat-turns")
     total = rows.count()
-    # Parts whose turn numbers repeat beyond measure are cut again.
-    counts = rows.groupBy("_key", "part").agg(F.count("*").alias("n"))
-    cut = counts.select("_key", "part", F.ceil(F.col("n") / part_rows).cast("int").alias("_subs"), "n")
-    dealt = join_counted(rows, cut, ["_key", "part"], "n", total)
-    dealt = dealt.withColumn("sub", F.when(F.col("_subs") > 1, F.pmod(F.xxhash64("_turn", "_who", "_text"), F.col("_subs"))).otherwise(F.lit(0)).cast("int"))
+    # Where turn numbers repeat beyond measure, a part's turns are dealt in order to subparts, and a turn too large for one gets its own.
+    turn = F.coalesce(F.col("_turn").cast("long"), F.lit(-(1 << 63)))
+    subs = F.ceil(F.col("n") / part_rows).cast("int")
+    room = F.when(subs > 1, (subs + 1) * part_rows).otherwise(F.col("n"))
+    in_part = Window.partitionBy("_key", "part")
+    before = F.sum(room).over(in_part.orderBy("_at")) - room
+    cut = (
+        rows.groupBy("_key", "part", turn.alias("_at")).agg(F.count("*").alias("n"))
+        .select("_key", "part", "_at", subs.alias("subs"), F.floor(before / part_rows).cast("int").alias("first"), F.sum("n").over(in_part).alias("n"))
+        .where(F.col("n") > part_rows).groupBy("_key", "part")
+        .agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_at", F.struct("first", "subs")))).alias("_cut"))
+    )
+    dealt = join_counted(rows, cut, ["_key", "part"], "n", total, "left")
+    place = F.col("_cut")[turn]
+    own = F.when(place["subs"] > 1, 1 + F.pmod(F.xxhash64("_row"), place["subs"])).otherwise(F.lit(0))
+    dealt = dealt.withColumn("sub", F.coalesce(place["first"] + own, F.lit(0)).cast("int"))
     parts = dealt.groupBy("_key", "part", "sub").agg(
         F.first("_conv").alias("_conv"),
         F.sort_array(F.collect_list(F.struct("_turn", "_who", "_text"))).alias("_turns"),

@@ -289,6 +289,15 @@ def test_perspectives(spark):
     assert [r.n_turns for r in three] == [256, 256, 88]
     assert "\n".join(r.rendered for r in three).count("<|assistant|>") == 300
     assert perspectives(table.where("conv_id > 9")).count() == 0
+    # Turn numbers that repeat: bounded subparts, in the order of turns; equal rows are spread as well.
+    many = [(1, t, "ann" if n % 2 else "bob", "same", t) for t in range(6) for n in range(100 if t == 3 else 6)]
+    subs = perspectives(spark.createDataFrame(many, "conv_id long, turn long, role string, text string, part int"), part_rows=16).where("perspective = 'ann'").orderBy("part", "sub").collect()
+    assert sum(r.n_turns for r in subs) == len(many) and max(r.n_turns for r in subs) <= 40
+    assert sum(r.n_masked for r in subs) == len(many) // 2
+    plain = [(1, t, "bob", f"t{t:03}", 0) for t in range(200) for _ in range(3)] + [(1, 0, "ann", "a", 0)]
+    told = perspectives(spark.createDataFrame(plain, "conv_id long, turn long, role string, text string, part int"), part_rows=32).where("perspective = 'bob'").orderBy("part", "sub").collect()
+    lines = "\n".join(r.rendered for r in told).split("\n")
+    assert len(told) > 10 and [x for x in lines if "t" in x.split("> ")[1]] == [f"<|assistant|> t{t:03}<|end|>" for t in range(200) for _ in range(3)]
 
 
 def test_secrets(spark):
