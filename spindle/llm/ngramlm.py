@@ -1,14 +1,17 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
 The n-grams of the training texts, by order, are dealt by hash over shards.  A shard keeps its
-n-grams in a trie of two levels: contexts (all words but the last, as fingerprints of 20 bits)
+n-grams in a trie of two levels: contexts (all words but the last, as fingerprints of 36 bits)
 with pointers to their ranges of last words (fingerprints of 28 bits), and a 16-bit code of a
 quantised smoothed probability for each last word.  All sequences are monotone and in
 Elias-Fano form: a word is stored relative to its context, plus where the previous context's
 range ended.  An n-gram is looked up by finding its context, then the successor of the
 context-relative word in that context's range.  A shard's trie is one file, mapped into memory
-while it is queried.  Shards are of bounded size, so the share of false hits is too (about one
-in 10**8, one in 2000 in the most frequent contexts); words themselves are 64-bit hashes.
+while it is queried.  An n-gram that wasn't learned is taken for a learned one if both lie in one
+shard and have equal fingerprints: with odds of (contexts of its last word in the shard) / 2**36
+plus (words of its context in the shard) / 2**28, both bounded as shards are of bounded size.
+A shard is a range of the mixed fingerprints, so its number needn't be sent with each of them.
+Words themselves are 64-bit hashes.
 
 No node ever needs the whole model: texts are grouped into blocks of bounded size, each block
 asks every shard once for its distinct n-grams (which also carry the block's training counts,
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions_for
-from .textkernel import Vocabulary, mix, narrow, pack, unpack, words
+from .textkernel import Vocabulary, mix, narrow, pack, unmix, unpack, words
 
 END, BOS = b"\n</s>", b"\n<s>"  # no word holds white space
 EXACT = 1 << 14
@@ -153,7 +156,26 @@ class Trie:
 
 # ---------------------------------------------------------------- blocks
 
-CONTEXT_BITS, WORD_BITS = 20, 28
+CONTEXT_BITS, WORD_BITS = 36, 28  # 64 in all: ``mix`` maps them one to one
+
+
+def shard_width(shards: int) -> int:
+    """Mixed fingerprints in a shard."""
+    return -(-(1 << 64) // shards)
+
+
+def sent_key(mixed: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place within the shard, shard) of mixed fingerprints."""
+    if shards == 1:
+        return mixed, np.zeros(len(mixed), np.int64)
+    width = np.uint64(shard_width(shards))
+    shard = mixed // width
+    return mixed - shard * width, shard.astype(np.int64)
+
+
+def fingerprints(key: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """Contexts and words of the keys sent to a shard."""
+    return unmix(key + np.uint64(shard * shard_width(shards) if shards > 1 else 0), 1)
 
 
 class Block:
@@ -183,23 +205,18 @@ class Block:
         """(key, shard, inverse): the distinct n-grams by shard and key, and for each token the number of its own."""
         word = self.hashes[self.seq[self.at]]
         if order == 1:
-            key, shard_of = word, mix(word, 1)
-        else:
-            context = np.full(len(word), np.uint64(order))
-            for i in range(order - 1, 0, -1):
-                context = mix(context + self.hashes[self.seq[self.at - i]], i)
-            key = ((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (mix(word, 2) >> np.uint64(64 - WORD_BITS))
-            shard_of = mix(context + word, 2)
-        shard = (shard_of >> np.uint64(20)) % np.uint64(shards)
-        if order == 1 or shards >= 1 << (64 - CONTEXT_BITS - WORD_BITS):  # shard and key don't fit into one number
-            _, first, inverse = np.unique(key if order == 1 else mix(context + word, 1), return_index=True, return_inverse=True)
-            key, shard = key[first], shard[first].astype(np.int64)
+            key, inverse = np.unique(word, return_inverse=True)
+            shard = ((mix(key, 1) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             by = np.lexsort((key, shard))
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
             return key[by], shard[by], place[inverse]
-        u, inverse = np.unique((shard << np.uint64(CONTEXT_BITS + WORD_BITS)) | key, return_inverse=True)
-        return u & np.uint64((1 << (CONTEXT_BITS + WORD_BITS)) - 1), (u >> np.uint64(CONTEXT_BITS + WORD_BITS)).astype(np.int64), inverse
+        context = np.full(len(word), np.uint64(order))
+        for i in range(order - 1, 0, -1):
+            context = mix(context + self.hashes[self.seq[self.at - i]], i)
+        both = ((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (mix(word, 2) >> np.uint64(64 - WORD_BITS))
+        u, inverse = np.unique(mix(both, 1), return_inverse=True)
+        return *sent_key(u, shards), inverse
 
 
 def planes(sorted_keys: np.ndarray) -> np.ndarray:
@@ -251,26 +268,33 @@ def _asked(table: pa.Table):
     return table.column("block").to_pylist(), [len(k) for k in keys], np.concatenate(keys), np.concatenate([g[1].astype(np.int64) for g in got])
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(shards: dict[int, int]):
     """Build the shard's trie from the counts of all blocks and answer each block from it."""
-    order, shard = table.column("order")[0].as_py(), table.column("shard")[0].as_py()
-    blocks, sizes, keys, counts = _asked(table)
-    distinct, inverse = np.unique(keys[counts > 0], return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, inverse, counts[counts > 0])
-    low = np.uint64((1 << WORD_BITS) - 1)
-    split = (lambda k: (np.zeros(len(k), np.uint64), k)) if order == 1 else (lambda k: (k >> np.uint64(WORD_BITS), k & low))
-    fd, path = tempfile.mkstemp(suffix=".trie")
-    os.close(fd)
-    try:
-        Trie.build(*split(distinct), quantise(total)).save(path)
-        codes = Trie.open(path).find(*split(keys))
-    finally:
-        os.unlink(path)
-    if order == 1 and len(distinct):  # exact: the counts come along
-        codes = total[np.minimum(np.searchsorted(distinct, keys), len(distinct) - 1)] * (codes > 0)
-    cut = np.cumsum([0, *sizes])
-    return _rows((order, shard, block, pack(narrow(codes[a:b]))) for block, a, b in zip(blocks, cut, cut[1:]))
+
+    def run(table: pa.Table) -> pa.Table:
+        order, shard = table.column("order")[0].as_py(), table.column("shard")[0].as_py()
+        blocks, sizes, keys, counts = _asked(table)
+        if order > 1:
+            keys = fingerprints(keys, shard, shards[order])
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, inverse, counts)
+        low = np.uint64((1 << WORD_BITS) - 1)
+        split = (lambda k: (np.zeros(len(k), np.uint64), k)) if order == 1 else (lambda k: (k >> np.uint64(WORD_BITS), k & low))
+        fd, path = tempfile.mkstemp(suffix=".trie")
+        os.close(fd)
+        try:
+            Trie.build(*split(distinct[total > 0]), quantise(total[total > 0])).save(path)
+            codes = Trie.open(path).find(*split(distinct))
+        finally:
+            os.unlink(path)
+        if order == 1:  # exact: the counts come along
+            codes = total * (codes > 0)
+        codes = codes[inverse]
+        cut = np.cumsum([0, *sizes])
+        return _rows((order, shard, block, pack(narrow(codes[a:b]))) for block, a, b in zip(blocks, cut, cut[1:]))
+
+    return run
 
 
 def _count_words(shards: int, chunk: int):
@@ -354,5 +378,5 @@ def score_documents(
     dealt = base.withColumn("block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     orders = list(range(1, order + 1))
     asked = dealt.groupBy("block").applyInArrow(_ask(orders, shards), REQUEST)
-    answers = asked.groupBy("order", "shard").applyInArrow(_answer, REQUEST)
+    answers = asked.groupBy("order", "shard").applyInArrow(_answer(shards), REQUEST)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, shards, n, v, n_docs, floors, slopes), SCORES)

@@ -33,6 +33,14 @@ def mix(a: np.ndarray, k: int = 0) -> np.ndarray:
     return a ^ (a >> np.uint64(32))
 
 
+def unmix(a: np.ndarray, k: int = 0) -> np.ndarray:
+    """The numbers that ``mix`` maps to ``a``."""
+    back = [np.uint64(pow(int(m), -1, 1 << 64)) for m in MIX]
+    a = (a ^ (a >> np.uint64(32))) * back[(k + 1) % 3]
+    a = (a ^ (a >> np.uint64(29)) ^ (a >> np.uint64(58))) * back[k % 3]
+    return a ^ (a >> np.uint64(31)) ^ (a >> np.uint64(62))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<H", len(arrays))]
     for a in arrays:

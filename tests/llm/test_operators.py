@@ -102,6 +102,30 @@ def test_trie_holds_and_misses(tmp_path):
     assert trie.n_bytes < 9 * len(pairs)
 
 
+@pytest.mark.parametrize("shards", [1, 6])
+def test_unseen_contexts_of_a_frequent_word_are_missed(shards):
+    """60,000 learned contexts of one word: none of 4000 others may be taken for one of them."""
+    import pyarrow as pa
+
+    from spindle.llm.ngramlm import Block, _answer, _requests, _rows
+    from spindle.llm.textkernel import mix, unmix, unpack
+
+    some = np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    assert all((unmix(mix(some, k), k) == some).all() for k in range(3))
+    text = lambda a, b: " ".join(f"a{i} b{i} the" for i in range(a, b)).encode()
+    learned, other = Block([text(0, 60_000)], [True]), Block([text(60_000, 64_000)], [False])
+    asked = _rows([*_requests(0, learned, [3], {3: shards}), *_requests(1, other, [3], {3: shards})])
+    hits, n = [0, 0], [0, 0]
+    for s in range(shards):
+        mine = asked.filter(pa.array([x == s for x in asked.column("shard").to_pylist()]))
+        got = _answer({3: shards})(mine)
+        for block, blob in zip(got.column("block").to_pylist(), got.column("blob").to_pylist()):
+            (codes,) = unpack(blob)
+            hits[block] += int((codes > 0).sum())
+            n[block] += len(codes)
+    assert hits[0] == n[0] == 180_001 and hits[1] == 0 and n[1] >= 12_000
+
+
 def test_line_dedup(docs, rows, none):
     from spindle.llm.linededup import dedup_lines
 
