@@ -2,8 +2,10 @@
 
 Texts are cut into passages of two units of ``unit`` words, one unit apart.  Passages are TF-IDF
 rows over the terms of the benchmark (other words count in a passage's length only, as they
-can't meet an item); terms of more than ``stop_share`` of the units are left out.  The rows'
-leading right singular vectors come from a distributed randomised SVD: one pass sums
+can't meet an item); terms of more than ``stop_share`` of the units are left out unless they are
+among the ``least_terms`` rarest of an item: a passage that leaked into many documents makes its
+own terms frequent, and an item may consist of common words only.  Such terms weigh ``FLOOR`` of
+the mean weight at least, so that the words around a copy don't outweigh it.  The rows' leading right singular vectors come from a distributed randomised SVD: one pass sums
 G = A'(A W) for a random W over all partitions, and the Nystrom form of A'A gives the vectors.
 The items' own rows join A with a weight, so that an item that leaked once isn't lost among the
 directions of a large corpus.  A passage is a candidate for an item if its cosine with the
@@ -35,6 +37,8 @@ from .textkernel import narrow, pack, unpack
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DOCS = 250
+#: Least weight of a frequent term that an item needs, as a share of the other terms' mean weight.
+FLOOR = 0.7
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
@@ -225,6 +229,16 @@ def _times_omega(held):
     return run
 
 
+def kept_terms(items: list[list[int]], df: np.ndarray, idf: np.ndarray, most: float, least_terms: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(kept terms, weights, weight of other words): terms in at most ``most`` units, and every item's rarest."""
+    keep = df <= most
+    other = float(idf[keep].mean()) if keep.any() else 1.0
+    needed = np.zeros(len(df), bool)
+    for item in items:
+        needed[sorted(set(item), key=lambda t: (df[t], t))[:least_terms]] = True
+    return keep | needed, np.where(needed & ~keep, np.maximum(idf, FLOOR * other), idf), other
+
+
 def latent_items(g: np.ndarray, omega: np.ndarray, items: np.ndarray, weight: float, rank: int) -> np.ndarray:
     """The items' rows after projection on the leading right singular vectors, as unit columns [term, item].
 
@@ -307,6 +321,7 @@ def contaminated(
     lcs: float = 0.6,
     least_words: int = 5,
     stop_share: float = 0.02,
+    least_terms: int = 12,
     rank: int = 320,
     slice_items: int = 256,
     seed: int = 7,
@@ -324,7 +339,7 @@ def contaminated(
         got = sorted((r.i, plain_words(r.t.encode()), plain_words(r.a.encode()) if r.a else []) for r in taken.collect())
         got = [x for x in got if x[1]]
         if got:
-            parts.append(_slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, rank, seed))
+            parts.append(_slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, least_terms, rank, seed))
     if not parts:
         return spark.createDataFrame([], FOUND).withColumnRenamed("_id", id_col)
     out = parts[0]
@@ -333,13 +348,13 @@ def contaminated(
     return out.withColumnRenamed("_id", id_col)
 
 
-def _slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, rank, seed) -> DataFrame:
+def _slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, least_terms, rank, seed) -> DataFrame:
     terms = {w: i for i, w in enumerate(sorted({w for _, words, _ in got for w in words}))}
     share = spark.sparkContext.broadcast
     df = _summed(rows, _frequencies(share({"terms": terms}), unit), 1)[:, 0]
     df, n = (df[:-1], df[-1]) if len(df) else (np.zeros(len(terms)), 0.0)
     idf = np.log((n + 1) / (df + 1)) + 1
-    keep = df <= max(stop_share * n, 10)
+    keep, idf, other = kept_terms([[terms[w] for w in words] for _, words, _ in got], df, idf, max(stop_share * n, 10), least_terms)
     # Rarest terms stand for the answer where none is given.
     order = sorted(terms, key=lambda w: (df[terms[w]], w))
     rarity = {w: i for i, w in enumerate(order)}
@@ -352,7 +367,6 @@ def _slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, rank, s
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     width = min(len(terms), min(rank, len(items) + 64) + 16)
     omega = np.random.default_rng(seed).standard_normal((len(terms), width))
-    other = float(idf[keep].mean()) if keep.any() else 1.0
     fixed = {"terms": terms, "idf": idf, "keep": keep, "other": other}
     g = _summed(rows, _gram(share(fixed), unit), width, then=_times_omega(share({"omega": omega})))
     if not len(g):

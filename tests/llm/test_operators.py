@@ -393,6 +393,32 @@ def test_contamination(spark):
     assert lcs_length(a, masks_of(a), b) == 2
 
 
+def test_contamination_by_frequent_items(spark):
+    """An item copied into a third of short documents, and one of words that are common everywhere, are found in each."""
+    from spindle.llm.decontaminate import contaminated
+
+    rng = random.Random(9)
+    many = [a + b for a in WORDS for b in WORDS]
+    text = lambda n: " ".join(rng.choice(many) for _ in range(n))
+    common = [f"c{i}" for i in range(14)]
+    short, long = " ".join(common), " ".join(f"h{i}" for i in range(30))
+    docs = []
+    for i in range(300):
+        w = text(rng.randint(60, 120)).split()
+        for x in common:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), x)
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), long)
+        if i % 30 == 1:
+            w.insert(rng.randrange(len(w)), short)
+        docs.append((i, " ".join(w)))
+    bench = spark.createDataFrame([(0, long), (1, short)] + [(i, text(30)) for i in range(2, 12)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    held = {(i, 0) for i in range(0, 300, 3)} | {(i, 1) for i in range(1, 300, 30)}
+    assert held <= got and all(item == 1 for _, item in got - held)
+
+
 def test_pipeline_stages_keep_columns():
     import corpus_pipeline
 
