@@ -1,21 +1,31 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of two units of ``unit`` words, one unit apart.  Passages are TF-IDF
-rows over the terms of the benchmark (other words count in a passage's length only, as they
-can't meet an item); terms of more than ``stop_share`` of the units are left out unless they are
-among the ``least_terms`` rarest of an item: a passage that leaked into many documents makes its
-own terms frequent, and an item may consist of common words only.  Such terms weigh ``FLOOR`` of
-the mean weight at least, so that the words around a copy don't outweigh it.  The rows' leading right singular vectors come from a distributed randomised SVD: one pass sums
-G = A'(A W) for a random W over all partitions, and the Nystrom form of A'A gives the vectors.
-The items' own rows join A with a weight, so that an item that leaked once isn't lost among the
-directions of a large corpus.  A passage is a candidate for an item if its cosine with the
-item's latent vector reaches ``cosine``.  A candidate is then checked on the words themselves:
-the longest common subsequence of the item and the text around the passage must hold at least
-``lcs`` of the item's words, and the answer must be there: the words of the item's ``answer`` if
-the benchmark has that column, else its rarest terms, at least half of them.
-
-Items are taken in slices of at most ``slice_items``: what is sent to the tasks is bounded by
-a slice's words, and a larger benchmark takes more passes.
+The texts are read once, into codes of the benchmark's words (0 for all other words), a table in
+the shared folder that all later passes read.  Texts are cut into passages of two units of
+``unit`` words, one unit apart.  Passages are TF-IDF rows over ``FEATURES`` hashed terms of the
+benchmark, whatever its size; words in more than ``stop_share`` of the units weigh nothing unless
+they are among the ``least_terms`` rarest of an item: a passage that leaked into many documents
+makes its own terms frequent, and an item may consist of common words only.  Such terms weigh
+``FLOOR`` of the mean weight at least, so that the words around a copy don't outweigh it.
+
+The rows' leading right singular vectors come from a distributed randomised SVD: one pass sums
+A'A as sparse pairs, groups of its rows are multiplied by a random W in tasks, and the Nystrom
+form of A'A gives the vectors.  The items' own rows join A with a weight, so that an item that
+leaked once isn't lost among the directions of a large corpus.
+
+A passage is a candidate for an item if its cosine with the item's latent vector (without its
+negative parts, so that words around a copy can't lower it) reaches the item's own bound:
+``tolerance`` times the cosine that the best passage of a verbatim copy has at least, however it
+lies to the units and whatever words stand around it.  So no verbatim copy is ever missed, and
+the bound follows from the length of the item.  A candidate is then checked on the words
+themselves: the longest common subsequence of the item and the text around the passage must
+hold at least ``lcs`` of the item's words, and the answer must be there: the words of the item's
+``answer`` if the benchmark has that column, else its rarest terms, at least half of them.
+
+There is one latent space for all items.  They are searched in blocks of ``block_items``, which
+bound what is sent to the tasks at once; each item's bound and vector are its own, so blocks of
+any size give the same rows.  The benchmark's distinct words go to all tasks (``most_words`` at
+most, 2 million: about 150 MB; a larger benchmark is refused).
 
 Defined cases: null or empty texts and items match nothing; words are compared without ASCII
 punctuation, with A-Z lowered; items of fewer than ``least_words`` words are matched like all
@@ -29,14 +39,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, staged
 from .textkernel import narrow, pack, unpack
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-DOCS = 250
+FEATURES = 1 << 16
+CHUNK_WORDS = 250_000
 #: Least weight of a frequent term that an item needs, as a share of the other terms' mean weight.
 FLOOR = 0.7
 
@@ -45,7 +57,7 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return text.lower().translate(None, PUNCTUATION).split() if text else []
 
 
-def lcs_length(item: list[bytes], masks: dict[bytes, int], text: list[bytes]) -> int:
+def lcs_length(item: list, masks: dict, text: list) -> int:
     """Bit-parallel: ``masks`` has the places of each word in ``item``."""
     full = (1 << len(item)) - 1
     row = full
@@ -56,51 +68,75 @@ def lcs_length(item: list[bytes], masks: dict[bytes, int], text: list[bytes]) ->
     return len(item) - row.bit_count()
 
 
-def masks_of(item: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+def masks_of(item: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(item):
         out[w] = out.get(w, 0) | 1 << i
     return out
 
 
+# ---------------------------------------------------------------- passes over the texts
+
+CODED = "ids array<long>, blob binary"
+_CODED = pa.schema([("ids", pa.list_(pa.int64())), ("blob", pa.binary())])
+
+
+def _code(held):
+    """Texts as codes of their words: 1 + the number of a word of the benchmark, else 0; many texts to a row."""
+
+    def run(batches):
+        codes_of = held.value
+        ids, sizes, codes, waiting = [], [], [], 0
+
+        def row():
+            made = narrow(np.concatenate(codes)) if codes else np.zeros(0, np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([pack(made, np.array(sizes, np.int64))], pa.binary())], schema=_CODED)
+
+        for batch in batches:
+            for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist()):
+                w = plain_words(text)
+                ids.append(doc)
+                sizes.append(len(w))
+                codes.append(np.fromiter(map(codes_of.get, w, repeat(0)), np.uint32, len(w)))
+                waiting += len(w)
+                if waiting >= CHUNK_WORDS:
+                    yield row()
+                    ids, sizes, codes, waiting = [], [], [], 0
+        if ids:
+            yield row()
+
+    return run
+
+
 class Units:
-    """Hits of benchmark terms in the units of some texts."""
-
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int], unit: int):
-        unit_at, term, doc, sizes = [], [], [], []
-        n = 0
-        for i, w in enumerate(texts):
-            ids = np.fromiter(map(terms.get, w, repeat(-1)), np.int64, len(w))
-            hit = np.flatnonzero(ids >= 0)
-            unit_at.append(hit // unit + n)
-            term.append(ids[hit])
-            k = -(-len(w) // unit)
-            doc.append(np.full(k, i))
-            sizes.append(np.minimum(unit, len(w) - np.arange(k) * unit))
-            n += k
-        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        self.at, self.term, self.doc, self.sizes, self.n = cat(unit_at), cat(term), cat(doc), cat(sizes), n
+    """Features of benchmark words in the units of some coded texts."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, feature_of: np.ndarray, unit: int):
+        self.codes, self.starts = codes, np.cumsum(sizes) - sizes
+        per = -(-sizes // unit)
+        first = np.cumsum(per) - per
+        self.n = int(per.sum())
+        self.doc = np.repeat(np.arange(len(sizes)), per)
+        self.number = np.arange(self.n) - first[self.doc]  # within its text
+        self.sizes = np.minimum(unit, sizes[self.doc] - self.number * unit)
+        word = np.flatnonzero(codes)
+        doc = np.searchsorted(self.starts, word, "right") - 1
+        self.at = first[doc] + (word - self.starts[doc]) // unit
+        self.feature = feature_of[codes[word].astype(np.int64) - 1]
+        self.hits = np.bincount(self.at, minlength=self.n)
 
     def kept(self, keep: np.ndarray) -> Units:
-        """Only hits of kept terms."""
-        ok = keep[self.term]
-        self.at, self.term = self.at[ok], self.term[ok]
+        """Only hits of kept features."""
+        ok = keep[self.feature]
+        self.at, self.feature = self.at[ok], self.feature[ok]
         return self
 
-    def norms(self, idf: np.ndarray, other: float, hits: np.ndarray) -> np.ndarray:
-        """Squared lengths of the units' rows; words that aren't terms of the benchmark weigh ``other``."""
-        own = np.bincount(self.at, weights=idf[self.term] ** 2, minlength=self.n)
-        return own + (self.sizes - hits) * other**2
+    def norms(self, weight: np.ndarray, other: float) -> np.ndarray:
+        """Squared lengths of the units' rows; words that aren't the benchmark's weigh ``other``."""
+        own = np.bincount(self.at, weights=weight[self.feature] ** 2, minlength=self.n)
+        return own + (self.sizes - self.hits) * other**2
 
-    def passage_lengths(self, idf: np.ndarray, joined: np.ndarray) -> np.ndarray:
-        """Lengths of the TF-IDF rows, over the kept terms, of each unit together with the next one of its text."""
-        top = len(idf)
-        second = self.at > 0
-        second[second] = joined[self.at[second] - 1]
-        pair, n = np.unique(np.r_[self.at * top + self.term, (self.at[second] - 1) * top + self.term[second]], return_counts=True)
-        return np.sqrt(np.bincount(pair // top, weights=(n * idf[pair % top]) ** 2, minlength=self.n))
-
-    def times_for(self, matrix: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums_for(self, matrix: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of each unit, sums of the matrix's rows over the hits of the needed units); row 0 is for all others."""
         units = np.flatnonzero(needed)
         place = np.zeros(self.n, np.int64)
@@ -110,28 +146,28 @@ class Units:
         if len(hit):
             at = self.at[hit]
             start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            size, term = np.diff(start, append=len(at)), self.term[hit]
-            for d in range(int(size.max())):  # the d-th hit of every unit
-                more = size > d
-                start, size = start[more], size[more]
-                out[place[at[start]]] += matrix[term[start + d]]
+            out[place[at[start]]] = np.add.reduceat(matrix[self.feature[hit]], start, axis=0)
         return place, out
 
 
-def _batches(batches):
+def _chunks(batches):
     for batch in batches:
-        for i in range(0, batch.num_rows, DOCS):
-            part = batch.slice(i, DOCS)
-            yield part, [plain_words(t) for t in part.column("_text").cast(pa.binary()).to_pylist()]
+        for ids, blob in zip(batch.column("ids").to_pylist(), batch.column("blob").to_pylist()):
+            codes, sizes = unpack(blob)
+            yield ids, codes, sizes
 
 
 _SUM = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
-SLICES = 8
 
 
-def _sum_rows(matrix: np.ndarray):
-    edges = np.linspace(0, len(matrix), SLICES + 1).astype(int)
-    yield pa.RecordBatch.from_pydict({"slice": list(range(SLICES)), "blob": [pack(matrix[a:b].ravel()) for a, b in zip(edges, edges[1:])]}, schema=_SUM)
+def _edges(m: int) -> np.ndarray:
+    """Borders of the row groups of a matrix over m features."""
+    return np.linspace(0, m, max(8, m // 1024) + 1).astype(np.int64)
+
+
+def _sum_rows(matrix: np.ndarray, m: int):
+    edges = _edges(m)
+    yield pa.RecordBatch.from_pydict({"slice": list(range(len(edges) - 1)), "blob": [pack(matrix[a:b].ravel()) for a, b in zip(edges, edges[1:])]}, schema=_SUM)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -140,7 +176,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _summed(rows: DataFrame, f, width: int, then=None) -> np.ndarray:
-    """The sum over all partitions of a matrix whose size the benchmark slice bounds; ``then`` makes it from partial sums."""
+    """The sum over all partitions of a matrix of one row for each feature; ``then`` makes it from partial sums."""
     parts = rows.mapInArrow(f, "slice int, blob binary")
     if then:
         parts = parts.groupBy("slice").applyInArrow(then, "slice int, blob binary")
@@ -150,16 +186,17 @@ def _summed(rows: DataFrame, f, width: int, then=None) -> np.ndarray:
 
 
 def _frequencies(held, unit: int):
+    """Units that hold each feature, and the number of units in a last row."""
+
     def run(batches):
-        terms = held.value["terms"]
-        df, n = np.zeros(len(terms) + 1), 0
-        for _, texts in _batches(batches):
-            u = Units(texts, terms, unit)
-            pair = np.unique(u.at * len(terms) + u.term)
-            df[:-1] += np.bincount(pair % len(terms), minlength=len(terms))
+        feature_of, m = held.value["feature_of"], held.value["m"]
+        df, n = np.zeros(m + 1), 0
+        for _, codes, sizes in _chunks(batches):
+            u = Units(codes, sizes, feature_of, unit)
+            df[:-1] += np.bincount(np.unique(u.at * m + u.feature) % m, minlength=m)
             n += u.n
         df[-1] = n
-        yield from _sum_rows(df[:, None])
+        yield from _sum_rows(df[:, None], m + 1)
 
     return run
 
@@ -170,146 +207,173 @@ def _merged(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _gram(held, unit: int):
-    """Half of A'A of a partition, as sparse pairs of terms that meet in a unit: A's rows have few terms, so W can come last."""
+    """Half of A'A of a partition, as sparse pairs of features that meet in a unit: A's rows are short, so W can come last."""
 
     def run(batches):
         h = held.value
-        terms, idf, keep = h["terms"], h["idf"], h["keep"]
-        m = len(terms)
+        weight, m = h["weight"], h["m"]
         keys, values, waiting = [], [], 0
-        for _, texts in _batches(batches):
-            u = Units(texts, terms, unit)
-            hits = np.bincount(u.at, minlength=u.n)
-            u.kept(keep)
-            scale = 1 / np.maximum(u.norms(idf, h["other"], hits), 1e-9)
+        for _, codes, sizes in _chunks(batches):
+            u = Units(codes, sizes, h["feature_of"], unit).kept(h["keep"])
+            scale = 1 / np.maximum(u.norms(weight, h["other"]), 1e-9)
             for d in range(unit):
                 n = len(u.at) - d
                 same = np.flatnonzero(u.at[:n] == u.at[d:]) if n > 0 else np.zeros(0, np.int64)
                 if not len(same):
                     break
-                a, b = u.term[same], u.term[same + d]
+                a, b = u.feature[same], u.feature[same + d]
                 # Half of the symmetric matrix; the diagonal counts half here and twice in the end.
                 keys.append(a * m + b)
-                values.append(idf[a] * idf[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
+                values.append(weight[a] * weight[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
                 waiting += len(same)
             if waiting > 4_000_000:
                 k, v = _merged(keys, values)
                 keys, values, waiting = [k], [v], 0
         if keys:
             k, v = _merged(keys, values)
-            edges = np.linspace(0, m, SLICES + 1).astype(np.int64) * m
+            edges = _edges(m) * m
             cut = np.searchsorted(k, edges)
             blobs = [pack(narrow(np.diff(k[a:b], prepend=e)), v[a:b].astype(np.float32)) for a, b, e in zip(cut, cut[1:], edges)]
-            yield pa.RecordBatch.from_pydict({"slice": list(range(SLICES)), "blob": blobs}, schema=_SUM)
+            yield pa.RecordBatch.from_pydict({"slice": list(range(len(blobs))), "blob": blobs}, schema=_SUM)
 
     return run
 
 
 def _times_omega(held):
-    """A slice of rows of A'A, summed over the partitions, times W; both halves of the symmetric matrix."""
+    """A group of rows of A'A, summed over the partitions, times W; both halves of the symmetric matrix."""
 
     def run(table: pa.Table) -> pa.Table:
         w = held.value["omega"].astype(np.float32)
         m = len(w)
-        edges = np.linspace(0, m, SLICES + 1).astype(np.int64)
+        edges = _edges(m)
         s = table.column("slice")[0].as_py()
         got = [unpack(b.as_py()) for b in table.column("blob")]
         k, v = _merged([np.cumsum(g[0].astype(np.int64)) + edges[s] * m for g in got], [g[1] for g in got])
         row, col = k // m, k % m
         g = np.zeros((m, w.shape[1]), np.float32)
-        for first in range(edges[s], edges[s + 1], 1024):
-            last = min(first + 1024, edges[s + 1])
+        step = max(16, (1 << 24) // m)
+        for first in range(edges[s], edges[s + 1], step):
+            last = min(first + step, edges[s + 1])
             a, b = np.searchsorted(row, [first, last])
             block = np.zeros((last - first, m), np.float32)
             block[row[a:b] - first, col[a:b]] = v[a:b]
             g[first:last] += block @ w
             g += block.T @ w[first:last]
-        return pa.Table.from_batches(list(_sum_rows(g)))
+        return pa.Table.from_batches(list(_sum_rows(g, m)))
 
     return run
 
 
-def kept_terms(items: list[list[int]], df: np.ndarray, idf: np.ndarray, most: float, least_terms: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(kept terms, weights, weight of other words): terms in at most ``most`` units, and every item's rarest."""
-    keep = df <= most
+# ---------------------------------------------------------------- latent space and bounds
+
+
+def kept_features(items: list[np.ndarray], df: np.ndarray, n: float, stop_share: float, least_terms: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(kept features, weights, weight of other words): features in at most a share of the units, and every item's rarest."""
+    idf = np.log((n + 1) / (df + 1)) + 1
+    keep = df <= stop_share * n
     other = float(idf[keep].mean()) if keep.any() else 1.0
     needed = np.zeros(len(df), bool)
     for item in items:
-        needed[sorted(set(item), key=lambda t: (df[t], t))[:least_terms]] = True
-    return keep | needed, np.where(needed & ~keep, np.maximum(idf, FLOOR * other), idf), other
-
+        own = np.unique(item)
+        needed[own[np.lexsort((own, df[own]))[:least_terms]]] = True
+    keep |= needed
+    return keep, np.where(keep, np.where(needed, np.maximum(idf, FLOOR * other), idf), 0.0), other
 
-def latent_items(g: np.ndarray, omega: np.ndarray, items: np.ndarray, weight: float, rank: int) -> np.ndarray:
-    """The items' rows after projection on the leading right singular vectors, as unit columns [term, item].
 
-    ``g`` is A'(A omega) of the corpus; the items' rows join with ``weight``.
-    """
+def latent_basis(g: np.ndarray, omega: np.ndarray, items: np.ndarray, weight: float, rank: int) -> np.ndarray:
+    """The leading right singular vectors of the corpus rows and, with ``weight``, the items' rows; ``g`` is A'(A omega) of the corpus."""
     g = g + weight * items.T @ (items @ omega)
     core = omega.T @ g
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     ok = values > max(values.max(), 1e-12) * 1e-10
     b = g @ (vectors[:, ok] / np.sqrt(values[ok]))
     v, _, _ = np.linalg.svd(b, full_matrices=False)
-    v = v[:, :rank]
-    m = v @ (v.T @ items.T)
-    return m / np.maximum(np.linalg.norm(m, axis=0), 1e-12)
+    return v[:, :rank]
+
+
+def latent_items(basis: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """The items' rows projected on the basis, as unit columns [feature, item] without their negative parts."""
+    m = basis @ (basis.T @ items.T)
+    return np.maximum(m / np.maximum(np.linalg.norm(m, axis=0), 1e-12), 0)
 
 
-def _search(held, unit: int, cosine: float, lcs: float, least_words: int):
-    schema = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("at_word", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
+def copy_score(gain: np.ndarray, square: np.ndarray, unit: int, around: float) -> float:
+    """The least cosine that the best passage of a verbatim copy can have.
+
+    ``gain`` and ``square`` are the item's words' parts of the product and of the squared length,
+    ``around`` the largest squared weight of any word beside it.
+    """
+    n, least = len(gain), np.inf
+    g, q = np.r_[0, np.cumsum(gain)], np.r_[0, np.cumsum(square)]
+    for offset in range(unit):
+        start = np.arange(-1, -(-(offset + n) // unit)) * unit - offset  # passages' first words, in words of the item
+        a, b = np.clip(start, 0, n), np.clip(start + 2 * unit, 0, n)
+        best = ((g[b] - g[a]) / np.sqrt(np.maximum(q[b] - q[a] + (2 * unit - (b - a)) * around, 1e-12))).max()
+        least = min(least, best)
+    return float(least)
 
+
+_FOUND = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("at_word", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
+FOUND = "_id long, item_id long, at_word long, cosine double, lcs_share double, answer_share double"
+
+
+def _search(held, unit: int, lcs: float, least_words: int):
     def run(batches):
         h = held.value
-        terms, idf, items = h["terms"], h["idf"], h["items"]
-        weighted = (h["latent"] * idf[:, None]).astype(np.float32)
-        masks = [masks_of(words) for _, words, _ in items]
-        for part, texts in _batches(batches):
-            u = Units(texts, terms, unit)
-            hits = np.bincount(u.at, minlength=u.n)
-            u.kept(h["keep"])
-            norm = u.norms(idf, h["other"], hits)
-            first = np.r_[True, u.doc[1:] != u.doc[:-1]] if u.n else np.zeros(0, bool)
-            start_of = np.maximum.accumulate(np.where(first, np.arange(u.n), 0)) if u.n else np.zeros(0, np.int64)
-            joined = np.r_[u.doc[1:] == u.doc[:-1], False] if u.n else np.zeros(0, bool)
-            nxt = np.minimum(np.arange(u.n) + 1, max(u.n - 1, 0))
+        weight, items, bound = h["weight"], h["items"], h["bound"]
+        reach = (h["latent"] * weight[:, None] / bound).astype(np.float32)  # a candidate sums up to its length
+        most = reach.max(axis=1, initial=0).astype(np.float64)
+        masks = [masks_of(words.tolist()) for _, words, _ in items]
+        member = np.zeros((len(items), h["n_codes"] + 1), bool)
+        for i, (_, words, _) in enumerate(items):
+            member[i, words] = True
+        least = [int(np.ceil((lcs if len(words) >= least_words else 1.0) * len(words) - 1e-9)) for _, words, _ in items]
+        for ids, codes, sizes in _chunks(batches):
+            u = Units(codes, sizes, h["feature_of"], unit).kept(h["keep"])
+            if not len(u.at):
+                continue
+            norm = u.norms(weight, h["other"])
+            joined = np.r_[u.doc[1:] == u.doc[:-1], False]
+            nxt = np.minimum(np.arange(u.n) + 1, u.n - 1)
             length = np.maximum(np.sqrt(norm + norm[nxt] * joined), 1e-9)
-            # A passage's cosine is at most its own terms' share of its length: most can't reach the limit.
-            able = np.flatnonzero(u.passage_lengths(idf, joined) >= cosine * length * (1 - 1e-6))
-            needed = np.zeros(u.n, bool)
-            needed[able] = True
-            needed[nxt[able]] |= joined[able]
-            place, score = u.times_for(weighted, needed)
-            both = score[place[able]] + score[place[nxt[able]]] * joined[able, None]
-            both /= length[able, None].astype(np.float32)
+            # No item gets more from a passage's words than the largest part of each: most passages can't reach any bound.
+            top = np.bincount(u.at, weights=most[u.feature], minlength=u.n)
+            able = np.flatnonzero(top + top[nxt] * joined >= length * (1 - 1e-5))
             found: dict[tuple[int, int], tuple] = {}
-            row, item = np.nonzero(both >= cosine)
-            for r, i in zip(row.tolist(), item.tolist()):
-                a = int(able[r])
-                doc = int(u.doc[a])
-                if (doc, i) in found:
-                    continue
-                item_id, words, answer = items[i]
-                w = texts[doc]
-                word = int(a - start_of[a]) * unit
-                # An item of n words around the passage lies within n words of it.
-                near = w[max(0, word - len(words)) : word + 2 * unit + len(words)]
-                share = lcs_length(words, masks[i], near) / len(words)
-                if share >= (lcs if len(words) >= least_words else 1.0):
-                    seen = set(near)
-                    right = sum(x in seen for x in answer) / max(len(answer), 1)
-                    if right >= 0.5 or not answer:
-                        found[doc, i] = (item_id, word, float(both[r, i]), share, right)
+            for part in np.array_split(able, max(1, -(-len(able) // 4000))):
+                needed = np.zeros(u.n, bool)
+                needed[part] = True
+                needed[nxt[part]] |= joined[part]
+                place, score = u.sums_for(reach, needed)
+                both = score[place[part]]
+                both += score[place[nxt[part]]] * joined[part, None]
+                both /= length[part, None].astype(np.float32)
+                row, item = np.nonzero(both >= 1)
+                for r, i in zip(row.tolist(), item.tolist()):
+                    a = int(part[r])
+                    doc = int(u.doc[a])
+                    if (doc, i) in found:
+                        continue
+                    item_id, words, answer = items[i]
+                    word, start, n = int(u.number[a]) * unit, int(u.starts[doc]), len(words)
+                    # An item of n words around the passage lies within n words of it.
+                    near = codes[start + max(0, word - n) : start + min(int(sizes[doc]), word + 2 * unit + n)]
+                    if np.count_nonzero(member[i][near]) < least[i]:
+                        continue
+                    near = near.tolist()
+                    common = lcs_length(words, masks[i], near)
+                    if common >= least[i]:
+                        seen = set(near)
+                        right = sum(x in seen for x in answer) / max(len(answer), 1)
+                        if right >= 0.5 or not len(answer):
+                            found[doc, i] = (item_id, word, float(both[r, i] * bound[i]), common / n, right)
             if found:
-                ids = part.column("_id").to_pylist()
                 rows = [(ids[doc], *found[doc, i]) for doc, i in sorted(found)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
 
     return run
 
 
-FOUND = "_id long, item_id long, at_word long, cosine double, lcs_share double, answer_share double"
-
-
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -317,69 +381,77 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     unit: int = 12,
-    cosine: float = 0.3,
+    tolerance: float = 0.5,
     lcs: float = 0.6,
     least_words: int = 5,
     stop_share: float = 0.02,
     least_terms: int = 12,
     rank: int = 320,
-    slice_items: int = 256,
+    block_items: int = 256,
+    most_words: int = 2_000_000,
     seed: int = 7,
 ) -> DataFrame:
     """(id, item_id, at_word, cosine, lcs_share, answer_share): a row for every document and item found in it."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    share = spark.sparkContext.broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     source = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t"), answer.alias("a")).where("i is not null and t is not null")
-    slices = max(1, -(-source.count() // slice_items))
-    parts = []
-    for s in range(slices):
-        taken = source if slices == 1 else source.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == s)
-        got = sorted((r.i, plain_words(r.t.encode()), plain_words(r.a.encode()) if r.a else []) for r in taken.collect())
-        got = [x for x in got if x[1]]
-        if got:
-            parts.append(_slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, least_terms, rank, seed))
-    if not parts:
+    got = sorted((r.i, plain_words(r.t.encode()), plain_words(r.a.encode()) if r.a else []) for r in source.collect())
+    got = [x for x in got if x[1]]
+    if not got:
         return spark.createDataFrame([], FOUND).withColumnRenamed("_id", id_col)
+    told = sorted({w for _, words, answer in got for w in (*words, *answer)})
+    if len(told) > most_words:
+        raise ValueError(f"the benchmark has {len(told)} distinct words, over {most_words}: split it")
+    codes_of = {w: i + 1 for i, w in enumerate(told)}
+    coded = staged(rows.mapInArrow(_code(share(codes_of)), CODED), "benchmark-words")
+    used, feature_of = np.unique(np.array([xxhash.xxh3_64_intdigest(w) % FEATURES for w in told], np.int64), return_inverse=True)
+    m = len(used)
+    items = [(i, np.array([codes_of[w] for w in words], np.int64), [codes_of[w] for w in answer]) for i, words, answer in got]
+    features = [feature_of[words - 1] for _, words, _ in items]
+    fixed = {"feature_of": feature_of, "m": m, "n_codes": len(told)}
+    df = _summed(coded, _frequencies(share(fixed), unit), 1)[:, 0]
+    df, n = (df[:-1], df[-1]) if len(df) else (np.zeros(m), 0.0)
+    keep, weight, other = kept_features(features, df, n, stop_share, least_terms)
+    fixed |= {"keep": keep, "weight": weight, "other": other}
+    width = min(m, rank + 16)
+    omega = np.random.default_rng(seed).standard_normal((m, width))
+    g = _summed(coded, _gram(share(fixed), unit), width, then=_times_omega(share({"omega": omega})))
+    if not len(g):
+        g = np.zeros((m, width))
+
+    def matrix(part: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(part), m))
+        for r, f in enumerate(part):
+            np.add.at(out[r], f, weight[f])
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    strength = max(1.0, float(np.abs(np.diagonal(omega.T @ g)).max() / max(m, 1)))
+    basis = latent_basis(g, omega, matrix(features), strength, min(rank, width))
+    # Rarest terms stand for the answer where none is given.
+    for k, (i, words, answer) in enumerate(items):
+        if not answer:
+            own = np.unique(words)
+            items[k] = (i, words, own[np.lexsort((own, df[feature_of[own - 1]]))[: max(1, min(4, len(words) // 4))]].tolist())
+    around = max(float(weight.max()), other) ** 2
+    parts = []
+    for a in range(0, len(items), block_items):
+        block, own = items[a : a + block_items], features[a : a + block_items]
+        latent = latent_items(basis, matrix(own))
+        least = [copy_score(latent[f, c] * weight[f], weight[f] ** 2, unit, around) for c, f in enumerate(own)]
+        bound = np.maximum(tolerance * np.array(least) * (1 - 1e-4), 1e-6)
+        held = share(fixed | {"items": block, "latent": latent.astype(np.float32), "bound": bound})
+        parts.append(coded.mapInArrow(_search(held, unit, lcs, least_words), FOUND))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out.withColumnRenamed("_id", id_col)
 
 
-def _slice(spark, rows, got, unit, cosine, lcs, least_words, stop_share, least_terms, rank, seed) -> DataFrame:
-    terms = {w: i for i, w in enumerate(sorted({w for _, words, _ in got for w in words}))}
-    share = spark.sparkContext.broadcast
-    df = _summed(rows, _frequencies(share({"terms": terms}), unit), 1)[:, 0]
-    df, n = (df[:-1], df[-1]) if len(df) else (np.zeros(len(terms)), 0.0)
-    idf = np.log((n + 1) / (df + 1)) + 1
-    keep, idf, other = kept_terms([[terms[w] for w in words] for _, words, _ in got], df, idf, max(stop_share * n, 10), least_terms)
-    # Rarest terms stand for the answer where none is given.
-    order = sorted(terms, key=lambda w: (df[terms[w]], w))
-    rarity = {w: i for i, w in enumerate(order)}
-    items = [(i, words, answer or sorted(dict.fromkeys(words), key=rarity.get)[: max(1, min(4, len(words) // 4))]) for i, words, answer in got]
-    matrix = np.zeros((len(items), len(terms)))
-    for r, (_, words, _) in enumerate(items):
-        for w in words:
-            if keep[terms[w]]:
-                matrix[r, terms[w]] += idf[terms[w]]
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    width = min(len(terms), min(rank, len(items) + 64) + 16)
-    omega = np.random.default_rng(seed).standard_normal((len(terms), width))
-    fixed = {"terms": terms, "idf": idf, "keep": keep, "other": other}
-    g = _summed(rows, _gram(share(fixed), unit), width, then=_times_omega(share({"omega": omega})))
-    if not len(g):
-        g = np.zeros((len(terms), width))
-    weight = max(1.0, float(np.abs(np.diagonal(omega.T @ g)).max() / max(len(terms), 1)))
-    latent = latent_items(g, omega, matrix, weight, min(rank, width))
-    return rows.mapInArrow(_search(share(fixed | {"items": items, "latent": latent}), unit, cosine, lcs, least_words), FOUND)
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` in which no item is found."""
-    from .common import staged
-
     found = staged(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
     if found.count() <= 1_000_000:  # 8 MB of ids
         found = F.broadcast(found)

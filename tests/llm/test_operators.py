@@ -385,7 +385,7 @@ def test_contamination(spark):
     bench = spark.createDataFrame(items + [(90, None), (91, "")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in contaminated(table, bench).collect())
     assert got == sorted([(1000 + i, i) for i in range(30)] + [(1000, 0)])
-    assert sorted((r.doc_id, r.item_id) for r in contaminated(table, bench, slice_items=7).collect()) == got
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(table, bench, block_items=7).collect()) == got
     left = clean_documents(table, bench)
     assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {i for i, *_ in docs} | {2000, 2001, None}
     assert contaminated(table, bench.where("item_id < 0")).count() == 0 and contaminated(table.where("doc_id < 0"), bench).count() == 0
@@ -419,6 +419,43 @@ def test_contamination_by_frequent_items(spark):
     assert held <= got and all(item == 1 for _, item in got - held)
 
 
+def test_contamination_equals_exhaustive_lcs(spark):
+    """Every document against every item, word by word: paraphrases with words dropped, changed and put in; long texts; ties."""
+    from spindle.llm.decontaminate import contaminated, lcs_length, masks_of, plain_words
+
+    rng = random.Random(12)
+    many = [a + b for a in WORDS for b in WORDS]
+    text = lambda n: [rng.choice(many) if rng.random() < 0.6 else rng.choice(WORDS) for _ in range(n)]
+    items = {i: text(rng.randint(6, 59)) for i in range(40)}
+    docs = [(i, " ".join(text(rng.choice([3, 40, 300, 6000 if i % 40 == 0 else 100])))) for i in range(120)]
+    verbatim = set()
+    for i, words in items.items():
+        for k, change in enumerate((0.0, 0.1, 0.2, 0.3)):
+            w = [x for x in words if rng.random() >= change]
+            for _ in range(int(change * 10)):
+                w.insert(rng.randrange(len(w) + 1), "new")
+            around = rng.randint(0, 70)
+            docs.append((1000 + 4 * i + k, " ".join(text(around) + w + w * (k == 3) + text(70 - around))))
+            if k == 0:
+                verbatim.add((1000 + 4 * i, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = set()
+    for i, words in items.items():
+        w = [x.encode() for x in words]
+        masks, n = masks_of(w), len(w)
+        for doc, t in docs:
+            told = plain_words(t.encode())
+            if len(set(w) & set(told)) >= 0.5 * len(set(w)) and any(lcs_length(w, masks, told[a : a + 2 * n]) >= 0.8 * n for a in range(0, max(1, len(told) - n), 3)):
+                want.add((doc, i))
+    assert verbatim <= got and verbatim <= want
+    assert len(want & got) >= 0.9 * len(want) and len(want) > 100
+    # What is found beyond that holds at least 0.6 of the item in order.
+    for doc, i in got - want:
+        w = [x.encode() for x in items[i]]
+        assert lcs_length(w, masks_of(w), plain_words(dict(docs)[doc].encode())) >= 0.6 * len(w)
+
+
 def test_pipeline_stages_keep_columns():
     import corpus_pipeline
 
