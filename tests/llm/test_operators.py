@@ -154,7 +154,7 @@ def components(sets, num, den):
     return [root(x) for x in range(len(sets))]
 
 
-@pytest.mark.parametrize("k,num,block", [(3, 90, 2000), (5, 80, 3)])
+@pytest.mark.parametrize("k,num,block", [(3, 90, 512), (5, 80, 3)])
 def test_jaccard_components(docs, rows, none, k, num, block, monkeypatch):
     from spindle.llm import jaccard
 
@@ -174,15 +174,52 @@ def test_jaccard_components(docs, rows, none, k, num, block, monkeypatch):
 
 
 def test_divide_skip_equals_counting():
-    from spindle.llm.jaccard import divide_skip
+    """Short lists merged, long ones probed: the same sets as by counting in all lists."""
+    from spindle.llm.jaccard import merge_short, probe_long
 
     rng = random.Random(2)
     sets = [set(rng.sample(range(40), rng.randint(3, 20))) for _ in range(50)]
     lists = {t: [i for i, s in enumerate(sets) if t in s] for t in range(40)}
-    for need in (1, 3, 6):
-        for n_long in (0, 2, 5):
-            got = divide_skip(np.array(sorted(sets[0])), lists, need, n_long)
-            assert got == {i: len(s & sets[0]) for i, s in enumerate(sets) if len(s & sets[0]) >= need}
+    query = np.array(sorted(sets[0]), np.uint64)
+    for need in (2, 3, 6):
+        for n_long in range(need - 1):
+            own = sorted((lists[int(t)] for t in query), key=len)[: len(query) - n_long]
+            merged = merge_short(own, need - n_long)
+            assert merged == [i for i in range(50) if sum(i in x for x in own) >= need - n_long]
+            for step in (1, 7, 256):
+                got = [i for i in merged if probe_long(query, np.array(sorted(sets[i]), np.uint64), need, step)]
+                assert got == [i for i, s in enumerate(sets) if len(s & sets[0]) >= need]
+    assert merge_short([], 1) == [] and not probe_long(query, query[:0], 1)
+
+
+def test_jaccard_of_ids_that_clash(spark):
+    """Rows that share an id but not their text are sets of their own: no link of theirs is lost."""
+    from spindle.llm.jaccard import jaccard_components, near_duplicates_removed
+
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = lambda t, x: " ".join([*t.split()[:-1], x])
+    rows = [(1, a, 0), (1, b, 0), (5, near(b, "five"), 0), (6, near(b, "six"), 0), (7, near(a, "seven"), 0), (9, prose(rng, 60), 0), (9, prose(rng, 50), 0), (9, None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(table, k=3, num=80).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (9, 9), (9, 9), (9, 9)]
+    left = near_duplicates_removed(table, k=3, num=80)
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [1, 1, 9, 9, 9]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_jaccard_of_long_lists(spark, monkeypatch, block):
+    """Sets of all sizes made of few common passages: lists are long, min-hashes meet but don't link."""
+    from spindle.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SPAN", 10)
+    rng = random.Random(5)
+    passages = [prose(rng, 12) for _ in range(7)]
+    rows = [(i, " ".join(rng.sample(passages, rng.randint(1, 7))) + rng.choice(["", " x", f" y{i}"])) for i in range(150)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=80).collect())
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (tokens(t) for _, t in rows)]
+    assert got == list(enumerate(components(sets, 80, 100)))
 
 
 def test_mix_meets_targets(docs, rows, none):
