@@ -317,16 +317,32 @@ _FOUND = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("at_word", pa
 FOUND = "_id long, item_id long, at_word long, cosine double, lcs_share double, answer_share double"
 
 
+GROUP = 16  # items whose bounds are looked at together
+
+
+def in_common(places: np.ndarray, counts: np.ndarray, near: np.ndarray) -> int:
+    """Words that the item and a text share, repeated ones as often as both have them: no common subsequence is longer.
+
+    ``places`` numbers the item's distinct words from 1, ``counts`` has how often each occurs.
+    """
+    return int(np.minimum(np.bincount(places[near], minlength=len(counts))[1:], counts[1:]).sum())
+
+
 def _search(held, unit: int, lcs: float, least_words: int):
     def run(batches):
         h = held.value
         weight, items, bound = h["weight"], h["items"], h["bound"]
         reach = (h["latent"] * weight[:, None] / bound).astype(np.float32)  # a candidate sums up to its length
-        most = reach.max(axis=1, initial=0).astype(np.float64)
+        groups = []
+        for a in range(0, len(items), GROUP):
+            part = np.ascontiguousarray(reach[:, a : a + GROUP])
+            groups.append((a, part, part.max(axis=1, initial=0).astype(np.float64)))
         masks = [masks_of(words.tolist()) for _, words, _ in items]
-        member = np.zeros((len(items), h["n_codes"] + 1), bool)
+        places, counts = np.zeros((len(items), h["n_codes"] + 1), np.uint16), []
         for i, (_, words, _) in enumerate(items):
-            member[i, words] = True
+            own, n = np.unique(words, return_counts=True)
+            places[i, own] = np.arange(1, len(own) + 1)
+            counts.append(np.r_[0, n])
         least = [int(np.ceil((lcs if len(words) >= least_words else 1.0) * len(words) - 1e-9)) for _, words, _ in items]
         for ids, codes, sizes in _chunks(batches):
             u = Units(codes, sizes, h["feature_of"], unit).kept(h["keep"])
@@ -336,21 +352,23 @@ def _search(held, unit: int, lcs: float, least_words: int):
             joined = np.r_[u.doc[1:] == u.doc[:-1], False]
             nxt = np.minimum(np.arange(u.n) + 1, u.n - 1)
             length = np.maximum(np.sqrt(norm + norm[nxt] * joined), 1e-9)
-            # No item gets more from a passage's words than the largest part of each: most passages can't reach any bound.
-            top = np.bincount(u.at, weights=most[u.feature], minlength=u.n)
-            able = np.flatnonzero(top + top[nxt] * joined >= length * (1 - 1e-5))
             found: dict[tuple[int, int], tuple] = {}
-            for part in np.array_split(able, max(1, -(-len(able) // 4000))):
+            for base, matrix, most in groups:
+                # No item of the group gets more from a passage's words than the largest part of each: most passages can't reach any bound.
+                top = np.bincount(u.at, weights=most[u.feature], minlength=u.n)
+                able = np.flatnonzero(top + top[nxt] * joined >= length * (1 - 1e-5))
+                if not len(able):
+                    continue
                 needed = np.zeros(u.n, bool)
-                needed[part] = True
-                needed[nxt[part]] |= joined[part]
-                place, score = u.sums_for(reach, needed)
-                both = score[place[part]]
-                both += score[place[nxt[part]]] * joined[part, None]
-                both /= length[part, None].astype(np.float32)
+                needed[able] = True
+                needed[nxt[able]] |= joined[able]
+                place, score = u.sums_for(matrix, needed)
+                both = score[place[able]]
+                both += score[place[nxt[able]]] * joined[able, None]
+                both /= length[able, None].astype(np.float32)
                 row, item = np.nonzero(both >= 1)
-                for r, i in zip(row.tolist(), item.tolist()):
-                    a = int(part[r])
+                for r, i in zip(row.tolist(), (item + base).tolist()):
+                    a = int(able[r])
                     doc = int(u.doc[a])
                     if (doc, i) in found:
                         continue
@@ -358,7 +376,7 @@ def _search(held, unit: int, lcs: float, least_words: int):
                     word, start, n = int(u.number[a]) * unit, int(u.starts[doc]), len(words)
                     # An item of n words around the passage lies within n words of it.
                     near = codes[start + max(0, word - n) : start + min(int(sizes[doc]), word + 2 * unit + n)]
-                    if np.count_nonzero(member[i][near]) < least[i]:
+                    if in_common(places[i], counts[i], near) < least[i]:
                         continue
                     near = near.tolist()
                     common = lcs_length(words, masks[i], near)
@@ -366,7 +384,7 @@ def _search(held, unit: int, lcs: float, least_words: int):
                         seen = set(near)
                         right = sum(x in seen for x in answer) / max(len(answer), 1)
                         if right >= 0.5 or not len(answer):
-                            found[doc, i] = (item_id, word, float(both[r, i] * bound[i]), common / n, right)
+                            found[doc, i] = (item_id, word, float(both[r, i - base] * bound[i]), common / n, right)
             if found:
                 rows = [(ids[doc], *found[doc, i]) for doc, i in sorted(found)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
@@ -381,7 +399,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     unit: int = 12,
-    tolerance: float = 0.5,
+    tolerance: float = 0.6,
     lcs: float = 0.6,
     least_words: int = 5,
     stop_share: float = 0.02,
