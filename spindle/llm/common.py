@@ -35,8 +35,8 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(n_bytes: int, each: int = 32 << 20, least: int = 6, most: int = 200_000) -> int:
-    return int(max(least, min(most, -(-n_bytes // each))))
+def partitions_for(n_bytes: int, each: int = 32 << 20, least: int = 6) -> int:
+    return int(max(least, -(-n_bytes // each)))
 
 
 def ascii_lower(column: Column) -> Column:

@@ -3,17 +3,18 @@
 The n-grams of the training texts, by order, are dealt by hash over shards.  A shard keeps its
 n-grams in a trie of two levels: contexts (all words but the last, as fingerprints of 36 bits)
 with pointers to their ranges of last words (fingerprints of 28 bits), and a 16-bit code of a
-quantised smoothed probability for each last word.  All sequences are monotone and in
-Elias-Fano form: a word is stored relative to its context, plus where the previous context's
-range ended.  An n-gram is looked up by finding its context, then the successor of the
-context-relative word in that context's range.  A shard's trie is one file, mapped into memory
-while it is queried.  An n-gram that wasn't learned is taken for a learned one if both lie in one
-shard and have equal fingerprints: with odds of (contexts of its last word in the shard) / 2**36
-plus (words of its context in the shard) / 2**28, both bounded as shards are of bounded size.
-A shard is a range of the mixed fingerprints, so its number needn't be sent with each of them.
-Words themselves are 64-bit hashes.
-
-No node ever needs the whole model: texts are grouped into blocks of bounded size, each block
+quantised probability for each last word.  All sequences are monotone and in Elias-Fano form:
+a word is stored relative to its context, plus where the previous context's range ended.  A
+shard's trie is one file, mapped into memory while it is queried, and never unpacked: an n-gram
+is looked up by a successor search for its context, two pointers selected, and a successor
+search for the context-relative word in the context's range, all on the high and low parts as
+they lie in the file.  An n-gram that wasn't learned is taken for a learned one if both lie in
+one shard and have equal fingerprints: with odds of (contexts of its last word in the shard) /
+2**36 plus (words of its context in the shard) / 2**28, both bounded as shards are of bounded
+size.  A shard is a range of the mixed fingerprints, so its number needn't be sent with each of
+them.  Words themselves are 64-bit hashes.
+
+No node ever needs the whole model: texts are packed into blocks of bounded size, each block
 asks every shard once for its distinct n-grams (which also carry the block's training counts,
 so one shuffle both builds and queries the model), and gets back a code for each.
 
@@ -21,8 +22,10 @@ The model interpolates orders; with c the training count, v the context without
     P1(w) = (c(w) + 1) / (N + V + 1)
     Pk(w | ctx) = (c(ctx w) + m * P(k-1)(w | v)) / (c(ctx) + m),  m = floor_k + slope_k * c(ctx)
 so every order sums to one over the V known words and one unknown word.  A code stands for the
-joint share c / (N + V + 1); N, V and the counts of order 1 are exact, higher counts are exact
-to 2**14 and quantised in steps of 0.08 % above.
+joint probability c / (N + V + 1) of an n-gram; as a context's words lie in many shards, the
+division by the context's own code and the smoothing follow where the text is scored.  N, V and
+the counts of order 1 are exact, higher ones are exact for counts to 2**14 and quantised in
+steps of 0.08 % above.
 
 Defined cases: a null or empty text is its end alone; a null id is scored, belongs to neither
 part (held_out null) and isn't learned from; repeated rows are learned from and scored each;
@@ -36,6 +39,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +69,26 @@ def table_of_counts() -> np.ndarray:
 # ------------------------------------------------------------ Elias-Fano
 
 
+def _select_table() -> np.ndarray:
+    """[byte, r]: the place of the r-th one of a byte, lowest bit first."""
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    out = np.zeros((256, 8), np.uint8)
+    for byte in range(256):
+        at = np.flatnonzero(bits[byte])
+        out[byte, : len(at)] = at
+    return out
+
+
+SELECT = _select_table()
+
+
 class EliasFano:
-    """A monotone sequence of whole numbers: whole bytes of low bits, high bits in unary."""
+    """A monotone sequence of whole numbers: whole bytes of low bits, high bits in unary, and the ones before each 64 of these."""
 
-    def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
+    def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bytes = n, low_bytes
+        self.low, self.high, self.ones = low.reshape(n, low_bytes), high.view("<u8"), ones.view("<u4")
+        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -78,22 +97,66 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         wide = -(-max(0, (top // max(n, 1)).bit_length() - 1) // 8)
         part = (values >> np.uint64(8 * wide)) if wide < 8 else np.zeros(n, np.uint64)
-        high = np.zeros((int(part[-1]) if n else 0) + n + 1, np.uint8)
+        size = (int(part[-1]) if n else 0) + n + 1
+        high = np.zeros(-(-size // 64) * 64, np.uint8)
         high[part.astype(np.int64) + np.arange(n)] = 1
-        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :wide]
-        return cls(n, wide, np.ascontiguousarray(low).ravel(), np.packbits(high))
+        high = np.packbits(high, bitorder="little")
+        ones = np.cumsum(np.bitwise_count(high.view("<u8")), dtype=np.int64)
+        low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :wide])
+        return cls(n, wide, low.ravel(), high, np.r_[0, ones[:-1]].astype("<u4").view(np.uint8))
 
-    def decode(self) -> np.ndarray:
-        """All values in order."""
-        at = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n]
-        out = np.zeros((self.n, 8), np.uint8)
-        out[:, : self.low_bytes] = np.asarray(self.low).reshape(self.n, self.low_bytes)
-        low = out.view("<u8").ravel()
-        return low if self.low_bytes == 8 else low | ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(8 * self.low_bytes))
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.low.ravel(), self.high.view(np.uint8), self.ones.view(np.uint8)
 
     @property
     def n_bytes(self) -> int:
-        return len(self.low) + len(self.high)
+        return sum(len(a) for a in self.arrays())
+
+    def _nth(self, rank: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """Places in the high part of the rank-th ones (zeros, if ``flip``)."""
+        at = np.searchsorted(before, rank, "right") - 1
+        word = self.high[at]
+        octets = np.ascontiguousarray(~word if flip else word).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
+        rest = rank - before[at]
+        octet = np.minimum((upto <= rest[:, None]).sum(axis=1), 7)
+        row = np.arange(len(rank))
+        rest = rest - np.where(octet > 0, upto[row, octet - 1], 0)
+        return at * 64 + octet * 8 + SELECT[octets[row, octet], np.minimum(rest, 7)]
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 8), np.uint8)
+        out[:, : self.low_bytes] = self.low[at]
+        return out.view("<u8").ravel()
+
+    def select(self, at: np.ndarray) -> np.ndarray:
+        """Values at the places ``at``."""
+        high = (self._nth(at, self.ones, False) - at).astype(np.uint64)
+        return self._lows(at) if self.low_bytes == 8 else self._lows(at) | (high << np.uint64(8 * self.low_bytes))
+
+    def successor(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Place of the first value in places first to last (excluded) that is at least x; ``last`` if there is none."""
+        x = x.astype(np.uint64)
+        high = (x >> np.uint64(8 * self.low_bytes)) if self.low_bytes < 8 else np.zeros(len(x), np.uint64)
+        low = (x & np.uint64((1 << (8 * self.low_bytes)) - 1)) if self.low_bytes < 8 else x
+        n_zeros = len(self.high) * 64 - self.n
+        beyond = high >= n_zeros  # above all values
+        high = np.minimum(high, np.uint64(n_zeros - 1)).astype(np.int64)
+        # Values with these high bits lie between two zeros.
+        begin = np.where(high > 0, self._nth(np.maximum(high - 1, 0), self.zeros, True) - (high - 1), 0)
+        end = self._nth(high, self.zeros, True) - high
+        begin, end = np.clip(begin, first, last), np.clip(end, first, last)
+        begin = np.where(beyond, last, begin)
+        live = np.flatnonzero(begin < end)
+        a, b = begin[live], end[live]
+        while len(live):
+            middle = (a + b) >> 1
+            less = self._lows(middle) < low[live]
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            begin[live] = a
+            more = a < b
+            live, a, b = live[more], a[more], b[more]
+        return begin
 
 
 class Trie:
@@ -113,40 +176,48 @@ class Trie:
         base = np.r_[np.uint64(0), np.cumsum(ends)[:-1]].astype(np.uint64) if len(at) else ends
         return cls(EliasFano.of(context[at]), EliasFano.of(pointers), EliasFano.of(word + np.repeat(base, np.diff(pointers))), codes.astype("<u2"))
 
-    # One file: a header, then every array behind the other.
+    # One file: a header, then every array behind the other, each from a multiple of 8 bytes on.
     def save(self, path: str) -> None:
-        head = [len(self.codes), *(x for p in self.parts for x in (p.n, p.low_bytes, len(p.low), len(p.high)))]
+        arrays = [self.codes.view(np.uint8), *(a for p in self.parts for a in p.arrays())]
+        head = [x for p in self.parts for x in (p.n, p.low_bytes)] + [len(a) for a in arrays]
         with open(path, "wb") as f:
             f.write(np.array(head, "<i8").tobytes())
-            for a in (self.codes, *(x for p in self.parts for x in (p.low, p.high))):
-                a.tofile(f)
+            for a in arrays:
+                f.write(a.tobytes() + bytes(-len(a) % 8))
 
     @classmethod
     def open(cls, path: str) -> Trie:
         data = np.memmap(path, np.uint8, "r")
-        n, *head = data[: 13 * 8].view("<i8").tolist()
-        at = 13 * 8 + 2 * n
-        parts = []
-        for i in range(0, 12, 4):
-            size, wide, low, high = head[i : i + 4]
-            parts.append(EliasFano(size, wide, data[at : at + low], data[at + low : at + low + high]))
-            at += low + high
-        return cls(*parts, data[13 * 8 : 13 * 8 + 2 * n].view("<u2"))
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        head = data[: 16 * 8].view("<i8").tolist()
+        at, arrays = 16 * 8, []
+        for size in head[6:]:
+            arrays.append(data[at : at + size])
+            at += size + -size % 8
+        parts = [EliasFano(*head[2 * i : 2 * i + 2], *arrays[3 * i + 1 : 3 * i + 4]) for i in range(3)]
+        return cls(*parts, arrays[0].view("<u2"))
+
+    def find(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 16) -> np.ndarray:
         """Codes of n-grams; 0 for those that the trie lacks."""
+        out = np.zeros(len(word), np.uint16)
+        if self.parts[0].n:
+            for i in range(0, len(word), step):
+                out[i : i + step] = self._find(context[i : i + step], word[i : i + step])
+        return out
+
+    def _find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         known, pointers, words_ = self.parts
-        if not known.n:
-            return np.zeros(len(word), np.uint16)
-        c, p, w = known.decode(), pointers.decode().astype(np.int64), words_.decode()
-        node = np.minimum(np.searchsorted(c, context), len(c) - 1)
-        first, last = p[node], p[node + 1]
+        none = np.zeros(len(word), np.int64)
+        node = known.successor(context, none, none + known.n)
+        ok = node < known.n
+        node = np.minimum(node, known.n - 1)
+        ok &= known.select(node) == context
+        first, last = pointers.select(node).astype(np.int64), pointers.select(node + 1).astype(np.int64)
         # A range's words start where the last range ended.
-        target = np.where(first > 0, w[np.maximum(first, 1) - 1] + np.uint64(1), np.uint64(0)) + word
-        at = np.searchsorted(w, target)
-        ok = (c[node] == context) & (at >= first) & (at < last)
-        at = np.minimum(at, len(w) - 1)
-        ok &= w[at] == target
+        target = np.where(first > 0, words_.select(np.maximum(first, 1) - 1) + np.uint64(1), np.uint64(0)) + word
+        at = words_.successor(target, first, last)
+        ok &= at < last
+        at = np.minimum(at, words_.n - 1)
+        ok &= words_.select(at) == target
         return np.where(ok, self.codes[at], 0).astype(np.uint16)
 
     @property
@@ -248,15 +319,67 @@ def _rows(rows) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REQUEST)], schema=_REQUEST)
 
 
-def _read_block(table: pa.Table) -> Block:
-    texts = table.column("_text").cast(pa.binary()).to_pylist()
-    return Block(texts, [bool(x) for x in table.column("_learn").to_pylist()])
+_DEALT = pa.schema([("block", pa.int32()), ("blob", pa.binary())])
+
+
+def _deal(blocks: int, buffer: int = 8 << 20):
+    """Texts packed by block. The block follows from the row, the partition and, for rows that repeat in it, their number."""
+
+    def run(batches):
+        task = TaskContext.get()
+        here = np.uint64(mix(np.array([task.partitionId() if task else 0], np.uint64), 0)[0])
+        times: dict[int, int] = {}
+        held, size = [], 0
+
+        def rows():
+            out: tuple[list, list] = ([], [])
+            for b, at in sorted(by.items()):
+                part = [held[i] for i in at]
+                texts = [r[2] or b"" for r in part]
+                out[0].append(b)
+                out[1].append(pack(
+                    np.array([r[1] or 0 for r in part], np.int64), np.array([r[1] is None for r in part], np.uint8), np.array([bool(r[3]) for r in part], np.uint8),
+                    np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8),
+                ))
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], schema=_DEALT)
+
+        by: dict[int, list[int]] = {}
+        for batch in batches:
+            key = batch.column("_h").to_numpy().view(np.uint64)
+            nth = np.zeros(len(key), np.uint64)
+            for i, k in enumerate(key.tolist()):
+                nth[i] = times[k] = times.get(k, -1) + 1
+            own = (mix(key + here + nth * np.uint64(0x9E3779B97F4A7C15), 1) % np.uint64(blocks)).astype(np.int64).tolist()
+            for b, doc, text, learn in zip(own, batch.column("_id").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_learn").to_pylist()):
+                by.setdefault(b, []).append(len(held))
+                held.append((b, doc, text, learn))
+                size += len(text or b"")
+                if size >= buffer:
+                    yield rows()
+                    held, by, size = [], {}, 0
+        if held:
+            yield rows()
+
+    return run
+
+
+def _read_block(table: pa.Table) -> tuple[Block, pa.Array]:
+    """(the texts, their ids) of all rows of a block."""
+    texts, learn, ids = [], [], []
+    for blob in table.column("blob").to_pylist():
+        doc, missing, flags, sizes, data = unpack(blob)
+        end = np.cumsum(sizes).tolist()
+        data = data.tobytes()
+        texts += [data[a:b] for a, b in zip([0, *end], end)]
+        learn += flags.astype(bool).tolist()
+        ids.append(pa.array(doc, pa.int64(), mask=missing.astype(bool)))
+    return Block(texts, learn), pa.concat_arrays(ids)
 
 
 def _ask(orders, shards):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        return _rows(_requests(block, _read_block(table), orders, shards))
+        return _rows(_requests(block, _read_block(table)[0], orders, shards))
 
     return run
 
@@ -325,7 +448,7 @@ def _score(order: int, shards: dict[int, int], n: int, v: int, n_docs: int, floo
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "model_order": pa.array([], pa.int32())})
-        held = _read_block(left)
+        held, ids = _read_block(left)
         answers = {(o, s): unpack(b)[0] for o, s, b in zip(right.column("order").to_pylist(), right.column("shard").to_pylist(), right.column("blob").to_pylist())}
         doc = np.repeat(np.arange(len(held.sizes)), held.sizes)
         first = np.r_[True, doc[1:] != doc[:-1]]
@@ -345,7 +468,7 @@ def _score(order: int, shards: dict[int, int], n: int, v: int, n_docs: int, floo
             context = np.where(first, float(n_docs), np.r_[0.0, c[:-1]])
         total = lambda x: np.bincount(doc, weights=x, minlength=len(held.sizes))
         return pa.table({
-            "_id": left.column("_id"), "n_tokens": pa.array(held.sizes), "n_known": pa.array(total(known).astype(np.int64)),
+            "_id": ids, "n_tokens": pa.array(held.sizes), "n_known": pa.array(total(known).astype(np.int64)),
             "train_tokens": pa.array(np.full(len(held.sizes), n, np.int64)), "base_score": pa.array(total(np.log10((count + 1) / (n + v + 1)))),
             "score": pa.array(total(np.log10(p))), "model_order": pa.array(np.full(len(held.sizes), order, np.int32)),
         })
@@ -375,7 +498,8 @@ def score_documents(
     shards = {k: max(1, blocks // 4) if k == 1 else blocks for k in range(1, order + 1)}
     tally = base.where("_learn").mapInArrow(_count_words(shards[1], block_bytes), REQUEST).groupBy("shard").applyInArrow(_tally, "n long, v long")
     n, v = tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    keyed = base.withColumn("_h", F.xxhash64("_id", "_text"))
+    dealt = keyed.mapInArrow(_deal(blocks), "block int, blob binary").repartition(min(blocks, 50_000), "block")  # a task may hold several blocks
     orders = list(range(1, order + 1))
     asked = dealt.groupBy("block").applyInArrow(_ask(orders, shards), REQUEST)
     answers = asked.groupBy("order", "shard").applyInArrow(_answer(shards), REQUEST)

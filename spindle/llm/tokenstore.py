@@ -255,7 +255,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     bounded_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     n_bytes = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    n = partitions_for(n_bytes, shard_bytes)
+    n = min(100_000, partitions_for(n_bytes, shard_bytes))  # a range may fill several pieces
     ranged = base.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
     ranged = ranged.select("_id", "_text", F.spark_partition_id().alias("_shard"))
     ranged.mapInArrow(_write(tokenizer, end_id, shard_bytes), SHARD).write.option("compression", "zstd").parquet(path)

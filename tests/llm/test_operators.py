@@ -90,8 +90,17 @@ def test_trie_holds_and_misses(tmp_path):
     from spindle.llm.ngramlm import EliasFano, Trie
 
     rng = np.random.default_rng(1)
-    for values in (np.zeros(0), np.array([0]), np.sort(rng.integers(0, 1 << 40, 1000)), np.sort(rng.integers(0, 50, 1000))):
-        assert (EliasFano.of(values).decode() == values.astype(np.uint64)).all()
+    dense = np.sort(np.r_[rng.integers(0, 1 << 50, 500), (1 << 49) + rng.integers(0, 3000, 2000)])  # many values with equal high bits
+    for values in (np.zeros(0), np.array([0]), np.array([7, 7, 7]), np.sort(rng.integers(0, 1 << 40, 1000)), np.sort(rng.integers(0, 50, 1000)), dense, np.array([(1 << 64) - 1], np.uint64)):
+        ef, values = EliasFano.of(values), values.astype(np.uint64)
+        if not len(values):
+            assert ef.n == 0
+            continue
+        assert (ef.select(np.arange(len(values))) == values).all()
+        ask = np.unique(np.r_[values, values + np.uint64(1), rng.integers(0, 1 << 52, 300).astype(np.uint64)])
+        first = rng.integers(0, len(values), len(ask))
+        last = first + rng.integers(0, len(values) + 1 - first)
+        assert (ef.successor(ask, first, last) == np.clip(np.searchsorted(values, ask), first, last)).all()
     pairs = np.unique(np.stack([rng.integers(0, 100, 3000), rng.integers(0, 1 << 28, 3000)], 1), axis=0).astype(np.uint64)
     codes = rng.integers(1, 60_000, len(pairs))
     path = str(tmp_path / "t")
