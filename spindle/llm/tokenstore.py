@@ -11,31 +11,39 @@ Shards hold about ``shard_bytes`` of text each, so that both writing and reading
 A shard also lists its keys in order, for readers that want all of its documents; such readers
 look each key up like any other, where the shard lies, without a shuffle.
 
-Defined cases: a null or empty text has the end id only; a null id comes first; rows with the
-same id are told apart by their place among them (the key is the pair of id and place), in the
+Where a shard's ids begin in the whole store is a running sum over shards, joined to what is
+read; nothing is gathered on the driver.
+
+Defined cases: a null or empty text has the end id only; a null id comes first (its key is told
+apart from all whole numbers); rows with the same id are told apart by their place among them (the key is the pair of id and place), in the
 order of their texts; an empty table gives an empty store; strings of special tokens in a text
 are encoded as the tokenizer does by default.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions_for, shared_dir
+from .common import bounded_batches, join_checked, partitions_for, shared_dir, staged
 from .textkernel import mix
 
 SHARD = "shard int, piece int, first_id long, last_id long, n_docs long, n_ids long, ids binary, seeds binary, slots binary, keys binary"
 _SHARD = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("seeds", pa.binary()), ("slots", pa.binary()), ("keys", pa.binary())])
 SLOT = np.dtype([("print", "<u8"), ("start", "<u8"), ("n", "<u4")])
 PER_BUCKET = 4
+#: Null ids are routed as the least number; as keys they are (0, -1 - place), which no other row has.
 NULL_ID = -(1 << 63)
+#: Fixed values of a tokenizer file: how texts must be normalised and parted for pieces between white space to be independent.
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 # ------------------------------------------------- minimal perfect hash
@@ -94,6 +102,25 @@ def lookup(keys: np.ndarray, seeds: np.ndarray, slots: np.ndarray) -> np.ndarray
 # ------------------------------------------------------------- encoding
 
 
+def parts_at_white_space(made: dict) -> bool:
+    """Whether a tokenizer (its file as a dict) lowers letters, parts at white space and drops it, marks words' ends, and has special tokens with "<|" only."""
+    steps = (made.get("normalizer") or {}).get("normalizers") or []
+    split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        [x.get("type") for x in steps] == PIECE_NORMALIZERS
+        and steps[1].get("pattern") == {"Regex": r"\s+"}
+        and steps[1].get("content") == " "
+        and split.get("type") == "Split"
+        and split.get("pattern") == {"Regex": PIECE_PATTERN}
+        and split.get("behavior") == "Removed"
+        and split.get("invert") is True
+        and made["model"].get("type") == "BPE"
+        and made["model"].get("end_of_word_suffix") == "</w>"
+        and not made.get("post_processor")
+        and all("<|" in x["content"] for x in made.get("added_tokens") or [])
+    )
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each distinct piece.
 
@@ -108,6 +135,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        self.by_pieces = parts_at_white_space(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -155,6 +183,9 @@ class Encoder:
         return text.lower().split()
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if not self.by_pieces:
+            got = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+            return [np.array([*e.ids, self.end_id], np.uint32) for e in got]
         if self.n > self.keep:
             self._begin()
         cut = [None if t and b"<|" in t else self._pieces(t) if t else [] for t in texts]
@@ -214,18 +245,19 @@ def _write(path: str, end_id: int, piece_bytes: int):
     def run(batches):
         shard = None
         rows, size, piece = [], 0, 0
-        last, nth = None, 0
+        last, nth = object(), 0
 
         def flush():
-            keys_id = np.array([r[0] for r in rows], np.int64)
-            keys = key_of(keys_id, np.array([r[1] for r in rows], np.int64))
+            pairs = np.array([(0, -1 - nth) if doc is None else (doc, nth) for doc, nth, _ in rows], "<i8")
+            keys = key_of(pairs[:, 0], pairs[:, 1])
+            first, last = (NULL_ID if r[0] is None else r[0] for r in (rows[0], rows[-1]))
             seeds, slots = build_index(keys)
             n = np.array([len(r[2]) for r in rows], np.int64)
             table = np.zeros(len(rows), SLOT)
             table["print"][slots], table["start"][slots], table["n"][slots] = mix(keys, 1), np.cumsum(n) - n, n
             blob = np.concatenate([r[2] for r in rows]).astype("<u4").tobytes()
             return pa.RecordBatch.from_pylist(
-                [{"shard": shard, "piece": piece, "first_id": int(keys_id[0]), "last_id": int(keys_id[-1]), "n_docs": len(rows), "n_ids": int(n.sum()), "ids": blob, "seeds": seeds.tobytes(), "slots": table.tobytes(), "keys": np.array([r[:2] for r in rows], "<i8").tobytes()}],
+                [{"shard": shard, "piece": piece, "first_id": first, "last_id": last, "n_docs": len(rows), "n_ids": int(n.sum()), "ids": blob, "seeds": seeds.tobytes(), "slots": table.tobytes(), "keys": pairs.tobytes()}],
                 schema=_SHARD,
             )
 
@@ -235,7 +267,6 @@ def _write(path: str, end_id: int, piece_bytes: int):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 for doc, ids in zip(part.column("_id").to_pylist(), encoder(path, end_id).encode(part.column("_text").cast(pa.binary()).to_pylist())):
-                    doc = NULL_ID if doc is None else doc
                     nth = nth + 1 if doc == last else 0
                     last = doc
                     rows.append((doc, nth, ids))
@@ -265,88 +296,103 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD).parquet(path)
 
 
-def _read_all(before: dict):
-    """Every document of the shards, looked up by its key."""
-    schema = pa.schema([("_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in ("shard", "piece", "ids", "seeds", "slots", "keys")}
-                keys = np.frombuffer(row["keys"].as_py(), "<i8").reshape(-1, 2)
-                slots = np.frombuffer(row["slots"].as_py(), SLOT)
-                at = lookup(key_of(keys[:, 0], keys[:, 1]), np.frombuffer(row["seeds"].as_py(), "<u4"), slots)
-                if (at < 0).any():
-                    raise ValueError("a key of the shard is missing in its index")
-                start, n = slots["start"][at].astype(np.int64), slots["n"][at].astype(np.int64)
-                raw = memoryview(row["ids"].as_buffer())
-                crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(start.tolist(), n.tolist())]
-                columns = [keys[:, 0], keys[:, 1].astype(np.int32), start + before[row["shard"].as_py(), row["piece"].as_py()], n, np.array(crc, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    return run
-
-
-def _ends(store: DataFrame) -> list[tuple]:
-    """(shard, piece, first id, last id, ids before) in order; 40 bytes for each ``shard_bytes`` of text come to the driver."""
-    ends = sorted((r.shard, r.piece, r.first_id, r.last_id, r.n_ids) for r in store.select("shard", "piece", "first_id", "last_id", "n_ids").collect())
-    before = np.cumsum([0, *(e[4] for e in ends)]).tolist()
-    return [(*e[:4], b) for e, b in zip(ends, before)]
-
-
-def _route(first: np.ndarray, last: np.ndarray):
+_READ = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("_id", pa.int64()), ("nth", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+READ = "shard int, piece int, _id long, nth int, at long, n_tokens long, ids_crc32 long"
+
+
+def _read(batches):
+    """Every document of the shards, looked up by its key; ``at`` is its place in the shard."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in ("shard", "piece", "ids", "seeds", "slots", "keys")}
+            keys = np.frombuffer(row["keys"].as_py(), "<i8").reshape(-1, 2)
+            slots = np.frombuffer(row["slots"].as_py(), SLOT)
+            at = lookup(key_of(keys[:, 0], keys[:, 1]), np.frombuffer(row["seeds"].as_py(), "<u4"), slots)
+            if (at < 0).any():
+                raise ValueError("a key of the shard is missing in its index")
+            start, n = slots["start"][at].astype(np.int64), slots["n"][at].astype(np.int64)
+            raw = memoryview(row["ids"].as_buffer())
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(start.tolist(), n.tolist())]
+            missing = keys[:, 1] < 0
+            nth = np.where(missing, -1 - keys[:, 1], keys[:, 1]).astype(np.int32)
+            where = [pa.array(np.full(len(n), row[c].as_py(), np.int32)) for c in ("shard", "piece")]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(keys[:, 0], mask=missing), pa.array(nth), pa.array(start), pa.array(n), pa.array(np.array(crc, np.int64))], schema=_READ)
+
+
+def shard_starts(store: DataFrame, block: int = 1024) -> DataFrame:
+    """(shard, piece, before): ids in front of each row of the store. Sums run over blocks of shards, then within each."""
+    sizes = store.select("shard", "piece", "n_ids").withColumn("_block", F.floor(F.col("shard") / block).cast("int"))
+    blocks = sizes.groupBy("_block").agg(F.sum("n_ids").alias("_all"))
+    # One row for each block of shards: over 12 GB of text.
+    blocks = blocks.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_first"))
+    inner = F.sum("n_ids").over(Window.partitionBy("_block").orderBy("shard", "piece")) - F.col("n_ids")
+    return sizes.withColumn("_inner", inner).join(blocks, "_block").select("shard", "piece", (F.col("_first") + F.col("_inner")).alias("before"))
+
+
+def _route(keys: pa.Table, ends: pa.Table) -> pa.Table:
     """Keys to the pieces whose range of ids holds them (more than one only where an id runs over a border)."""
+    schema = pa.schema([("_id", pa.int64()), ("missing", pa.bool_()), ("nth", pa.int32()), ("shard", pa.int32()), ("piece", pa.int32())])
+    if not keys.num_rows or not ends.num_rows:
+        return schema.empty_table()
+    ends = ends.sort_by([("shard", "ascending"), ("piece", "ascending")])
+    doc = keys.column("_id").to_numpy()
+    low = np.searchsorted(ends.column("last_id").to_numpy(), doc, "left")
+    n = np.maximum(np.searchsorted(ends.column("first_id").to_numpy(), doc, "right") - low, 0)
+    row = np.repeat(np.arange(len(doc)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+    return pa.table([keys.column("_id").take(row), keys.column("missing").take(row), keys.column("nth").take(row), ends.column("shard").take(at), ends.column("piece").take(at)], schema=schema)
 
-    def run(batches):
-        for batch in batches:
-            doc = batch.column("_id").to_numpy()
-            low, high = np.searchsorted(last, doc, "left"), np.searchsorted(first, doc, "right")
-            n = np.maximum(high - low, 0)
-            row = np.repeat(np.arange(len(doc)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(batch.column("nth").to_numpy()[row]), pa.array(at, pa.int32())], ["_id", "nth", "at"])
 
-    return run
-
-
-def _lookup_rows(with_ids: bool, place: dict, before: np.ndarray):
-    schema = pa.schema([("_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.binary())] if with_ids else []))
+def _lookup_rows(with_ids: bool):
+    schema = pa.schema([*_READ] + ([pa.field("ids", pa.binary())] if with_ids else []))
 
     def run(keys: pa.Table, shards: pa.Table) -> pa.Table:
         parts = []
-        if keys.num_rows and shards.num_rows:
-            doc, nth = keys.column("_id").to_numpy(), keys.column("nth").to_numpy()
-            key = key_of(doc, nth)
+        if keys.num_rows:
+            missing = keys.column("missing").to_numpy()
+            doc = np.where(missing, 0, keys.column("_id").to_numpy())
+            nth = keys.column("nth").to_numpy()
+            key = key_of(doc, np.where(missing, -1 - nth, nth))
             for row in shards.to_pylist():
                 slots = np.frombuffer(row["slots"], SLOT)
                 at = lookup(key, np.frombuffer(row["seeds"], "<u4"), slots)
                 hit = np.flatnonzero(at >= 0)
                 start, n = slots["start"][at[hit]].astype(np.int64), slots["n"][at[hit]].astype(np.int64)
                 raw = [row["ids"][4 * a : 4 * (a + k)] for a, k in zip(start.tolist(), n.tolist())]
-                columns = [doc[hit], nth[hit], start + before[place[row["shard"], row["piece"]]], n, np.array([zlib.crc32(x) for x in raw], np.int64)]
-                parts.append(pa.table([pa.array(c) for c in columns] + ([pa.array(raw, pa.binary())] if with_ids else []), schema=schema))
+                where = [pa.array(np.full(len(hit), row[c], np.int32)) for c in ("shard", "piece")]
+                columns = [*where, pa.array(doc[hit], mask=missing[hit]), pa.array(nth[hit]), pa.array(start), pa.array(n), pa.array(np.array([zlib.crc32(x) for x in raw], np.int64))]
+                parts.append(pa.table(columns + ([pa.array(raw, pa.binary())] if with_ids else []), schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
 
 
-def fetch(store: DataFrame, keys: DataFrame, with_ids: bool = False, id_col: str = "doc_id") -> DataFrame:
+def _placed(found: DataFrame, store: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """``found`` with ``start`` over the whole store."""
+    starts = shard_starts(store)
+    out = join_checked(found, starts, ["shard", "piece"], "inner", starts.count())
+    return out.select(F.col("_id").alias(id_col), "nth", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *more)
+
+
+def fetch(store: DataFrame, keys: DataFrame, with_ids: bool = False, id_col: str = "doc_id", ranges: int = 2048, salts: int = 8) -> DataFrame:
     """(id, nth, start, n_tokens, ids_crc32[, ids]) of ``keys`` (ids, with ``nth`` for repeated ids) found through the index.
 
-    Keys are sent to the shards that may hold them.
+    Keys are sent to the shards that may hold them: ids fall into at most ``ranges`` ranges, in
+    each of which the shards' own ranges are searched; a range's keys are dealt to ``salts`` tasks.
     """
-    ends = _ends(store)
-    first, last = np.array([e[2] for e in ends], np.int64), np.array([e[3] for e in ends], np.int64)
-    before = np.array([e[4] for e in ends], np.int64)
-    place = {(e[0], e[1]): i for i, e in enumerate(ends)}
-    spark = store.sparkSession
     nth = F.col("nth").cast("int") if "nth" in keys.columns else F.lit(0)
-    keys = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), nth.alias("nth"))
-    routed = keys.mapInArrow(_route(first, last), "_id long, nth int, at int")
-    table = spark.createDataFrame([(e[0], e[1], i) for i, e in enumerate(ends)], "shard int, piece int, at int")
-    placed = store.join(F.broadcast(table), ["shard", "piece"])  # a row for each piece, as above
-    schema = "_id long, nth int, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return routed.groupBy("at").cogroup(placed.groupBy("at")).applyInArrow(_lookup_rows(with_ids, place, before), schema)
+    missing = F.col(id_col).isNull()
+    keys = keys.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), missing.alias("missing"), nth.alias("nth"))
+    ends = staged(store.select("shard", "piece", "first_id", "last_id"), "store-ends")
+    cut = ends.agg(F.percentile_approx("first_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cut))]).cast("array<long>")
+    range_of = lambda c: F.size(F.filter(cuts, lambda x: x <= c))
+    dealt = keys.withColumn("range", range_of(F.col("_id"))).withColumn("salt", F.pmod(F.xxhash64("_id", "nth"), F.lit(salts)))
+    spread = ends.withColumn("range", F.explode(F.sequence(range_of(F.col("first_id")), range_of(F.col("last_id"))))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    routed = dealt.groupBy("range", "salt").cogroup(spread.groupBy("range", "salt")).applyInArrow(_route, "_id long, missing boolean, nth int, shard int, piece int")
+    schema = READ + (", ids binary" if with_ids else "")
+    found = routed.groupBy("shard", "piece").cogroup(store.groupBy("shard", "piece")).applyInArrow(_lookup_rows(with_ids), schema)
+    return _placed(found, store, id_col, *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **options) -> DataFrame:
@@ -355,5 +401,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "
     path = path or shared_dir(spark, "token-store")
     write_store(docs, path, tokenizer, end_id, id_col, text_col, **options)
     store = read_store(spark, path)
-    found = store.mapInArrow(_read_all({(e[0], e[1]): e[4] for e in _ends(store)}), "_id long, nth int, start long, n_tokens long, ids_crc32 long")
-    return found.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "start", "n_tokens", "ids_crc32")
+    return _placed(store.mapInArrow(_read, READ), store, id_col).drop("nth")

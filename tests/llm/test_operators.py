@@ -280,7 +280,7 @@ def test_token_store_round_trip(docs, rows, none, spark, tmp_path):
     from spindle.llm.tokenstore import fetch, read_store, round_trip
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    special = [(200, "It's we've Ångström İ̇ end. <|EndOfText|> <|endoftext|>x ... don't,.  nbsp 12,000.5 \U0001f600."), (201, "a.b,c. 'S. re.,"), (None, "no id")]
+    special = [(200, "It's we've Ångström İ̇ end. <|EndOfText|> <|endoftext|>x ... don't,.  nbsp 12,000.5 \U0001f600."), (201, "a.b,c. 'S. re.,"), (None, "no id"), (least := -(1 << 63), "the least id")]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(special, "doc_id long, text string"))
     tokenizer = Tokenizer.from_file(path)
     want, at = [], 0
@@ -292,14 +292,29 @@ def test_token_store_round_trip(docs, rows, none, spark, tmp_path):
     at = str(tmp_path / "store")
     got = sorted(map(tuple, round_trip(table, path, shard_bytes=3000, path=at).collect()), key=lambda r: r[1])
     assert got == want
-    keys = spark.createDataFrame([(5, 0), (99, 1), (99, 7), (None, 0), (200, 0), (-3, 0)], "doc_id long, nth int")
-    found = {(r["_id"], r.nth): (r.start, r.n_tokens, r.ids_crc32) for r in fetch(read_store(spark, at), keys, with_ids=True).collect()}
-    nulls = (-(1 << 63), 0)
-    assert set(found) == {(5, 0), (99, 1), (200, 0), nulls}
-    assert found[5, 0] == next(w[1:] for w in want if w[0] == 5) and found[nulls] == want[0][1:]
+    keys = spark.createDataFrame([(5, 0), (99, 1), (99, 7), (None, 0), (200, 0), (-3, 0), (least, 0), (None, 1)], "doc_id long, nth int")
+    found = {(r.doc_id, r.nth): (r.start, r.n_tokens, r.ids_crc32) for r in fetch(read_store(spark, at), keys, with_ids=True).collect()}
+    assert set(found) == {(5, 0), (99, 1), (200, 0), (None, 0), (least, 0)}
+    assert found[5, 0] == next(w[1:] for w in want if w[0] == 5) and found[None, 0] == want[0][1:] and found[least, 0] == want[1][1:]
     assert round_trip(none, path).count() == 0
 
 
+def test_token_store_with_another_tokenizer(docs, rows, spark):
+    """A tokenizer that keeps white space and case gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from spindle.llm.tokenstore import round_trip
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = [(300, "Ab cd  e"), (301, " <|endoftext|> It's\t\n x"), (302, "\u00e9\u0301")]
+    table = docs.withColumn("start", F.lit("clash")).select("doc_id", "text", "start").unionByName(spark.createDataFrame([(*r, "") for r in odd], "doc_id long, text string, start string"))
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in round_trip(table, path, shard_bytes=3000).collect()}
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+    assert got == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in [*((r[0], r[1]) for r in rows), *odd] for x in [ids(t)]}
+
+
 def test_minimal_perfect_hash():
     from spindle.llm.tokenstore import SLOT, build_index, key_of, lookup
     from spindle.llm.textkernel import mix
