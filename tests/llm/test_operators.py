@@ -338,7 +338,7 @@ def test_neighbours_equal_brute_force(spark):
     data = [(i, [float(x) for x in row], 1) for i, row in enumerate(v)]
     bad = [(700, None, 1), (800, [0.0] * 8, 1), (900, [float("nan")] + [1.0] * 7, 1), (901, [None] + [1.0] * 7, 1), (902, [float("inf")] + [1.0] * 7, 1), (None, [1.0] * 8, 1)]
     table = spark.createDataFrame(data + bad, "vec_id long, embedding array<float>, score int")
-    got = sorted(map(tuple, nearest_neighbours(table, F.col("vec_id") % 100 == 0, shard_rows=150, block_rows=3).collect()))
+    got = sorted(map(tuple, nearest_neighbours(table, F.col("vec_id") % 100 == 0, shard_rows=60, block_rows=3).collect()))
     x = v.astype(np.float64)
     want = []
     for q in range(0, 700, 100):
@@ -347,8 +347,18 @@ def test_neighbours_equal_brute_force(spark):
         want += [(q, r + 1, i, d[i]) for r, i in enumerate(near)]
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert all(math.isclose(g[3], w[3], rel_tol=1e-12, abs_tol=1e-12) for g, w in zip(got, want))
-    relaxed = VPTree(np.arange(700), x, leaf=16)
-    assert len(relaxed.nearest(5, x[5], 10, factor=4.0)[0]) == 10
+    # Larger factors: fewer comparisons, most neighbours still found; by the tree and by the cells.
+    told, hits = {}, {}
+    for factor in (1.0, 1.5, 3.0):
+        tree = VPTree(np.arange(700), x, leaf=16)
+        near = {q: set(tree.nearest(q, x[q], 10, factor)[0].tolist()) for q in range(0, 700, 100)}
+        told[factor], hits[factor] = tree.compared, sum(len(near[w[0]] & {w[2]}) for w in want) / len(want)
+    assert told[1.0] > told[1.5] > told[3.0] and hits[1.0] == 1 and hits[1.5] >= 0.9 and all(len(n) == 10 for n in near.values())
+    loose = {(r.query_id, r.vec_id) for r in nearest_neighbours(table, F.col("vec_id") % 100 == 0, factor=1.5, shard_rows=60).collect()}
+    assert len(loose & {(w[0], w[2]) for w in want}) >= 0.9 * len(want)
+    # Each length is searched by itself; a query whose id repeats asks with its smallest vector.
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [5.0, 0.0]), (10, [1.0, 1.0, 1.0]), (0, [9.0, 9.0]), (11, [1.0, 1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, nearest_neighbours(mixed, F.col("vec_id") % 10 == 0, k=2).collect())) == [(0, 1, 1, 1.0), (0, 2, 2, 4.0), (10, 1, 11, 1.0)]
     assert nearest_neighbours(table.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
     few = nearest_neighbours(table.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert len(few) == 3
