@@ -17,8 +17,8 @@ the query's lists goes to the query's task, which merges them.
 
 Size is kept in hand like this:
 * equal sets are one class, found by a 128-bit fingerprint, so exact copies never form pairs;
-* classes sharing a min-hash are first compared with the smallest of them only, which joins
-  nearly all near copies; a list whose sets are all joined already needs no further pairs;
+* classes sharing a min-hash are first compared with one of them only, in ``LEADERS`` rounds,
+  which joins nearly all near copies; a list whose sets are all joined already needs no further pairs;
 * a list of over ``BLOCK`` sets is cut by set size, so that only sizes that can link meet, and
   then dealt by pairs of blocks over many tasks; a query's candidates are dealt by ``SPAN``.
 
@@ -45,6 +45,7 @@ SLICES = 16
 BLOCK = 512
 SPAN = 100_000  # classes that the candidates of one merge lie among, on average
 KEYS = 4
+LEADERS = 2  # rounds of first comparisons
 SHORT = 2  # occurrences asked of the short lists
 CHUNK_BYTES = 8 << 20
 SIGNATURE = 512
@@ -340,14 +341,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     reps = staged(reps.select("cls", "_id", "h", "n", "mins", "lists", "signature"), "jaccard-reps")
     texts = base.where("_id is not null")
     n_reps = reps.count()
-    # First comparisons: with the smallest set of each min-hash.
-    keyed = reps.select("cls", "n", "signature", F.posexplode("mins").alias("at", "key"))
-    leaders = keyed.groupBy("at", "key").agg(F.min(F.struct("cls", "n", "signature")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    first = join_counted(keyed, leaders, ["at", "key"], "c", KEYS * n_reps).where(F.col("lead.cls") != F.col("cls"))
-    first = first.where(may_link(F.col("n"), F.col("lead.n"), F.col("signature"), F.col("lead.signature"), num, den))
-    first = first.select(F.col("lead.cls").alias("u"), F.col("cls").alias("v")).distinct()
-    early = staged(_verified(first, texts, reps, "jaccard-first", k, num, den), "jaccard-early")
-    labels = connected(early, "jaccard-a")
+    # First comparisons: with one set of each min-hash, the smallest row (originals tend to come
+    # before their copies); then with another, for those that are still apart from it.
+    keyed = staged(reps.select("cls", "n", "signature", F.struct("_id", "h").alias("first"), F.posexplode("mins").alias("at", "key")), "jaccard-mins")
+    early, labels = None, None
+    for turn in range(LEADERS):
+        rank = F.col("first") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+        known = keyed.withColumn("label", F.col("cls")) if labels is None else keyed.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        leaders = known.groupBy("at", "key").agg(
+            F.min_by(F.struct("cls", "n", "signature", "label"), F.struct(rank, "cls")).alias("lead"), F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")
+        ).where("a <> b").drop("a", "b")
+        asked = join_counted(known, leaders, ["at", "key"], "c", KEYS * n_reps).where(F.col("lead.label") != F.col("label"))
+        asked = asked.where(may_link(F.col("n"), F.col("lead.n"), F.col("signature"), F.col("lead.signature"), num, den))
+        asked = asked.select(F.least("lead.cls", "cls").alias("u"), F.greatest("lead.cls", "cls").alias("v")).distinct()
+        found = staged(_verified(asked, texts, reps, "jaccard-first", k, num, den), "jaccard-early")
+        early = found if early is None else early.unionAll(found)
+        labels = staged(connected(early, "jaccard-a"), "jaccard-labels")
     joined = staged(
         reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "lists", "signature", F.coalesce("label", "cls").alias("label")),
         "jaccard-joined",
@@ -359,7 +368,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     keepers = labels.groupBy("label").agg(F.min(F.struct("_id", "h")).alias("keeper"), F.count("*").alias("c"))
     linked = join_counted(labels.select("node", "label"), keepers, ["label"], "c", labels.count()).select(F.col("node").alias("cls"), "keeper")
     named = classes.join(linked, "cls", "left").select("f1", "f2", "copies", F.coalesce("keeper", F.struct("_id", "h")).alias("keeper"), F.col("copies").alias("n_copies"))
-    found = join_counted(full.select("_id", "h", "n", "f1", "f2"), staged(named, "jaccard-labels"), ["f1", "f2"], "copies", total)
+    found = join_counted(full.select("_id", "h", "n", "f1", "f2"), staged(named, "jaccard-named"), ["f1", "f2"], "copies", total)
     alone = sets.where("n = 0 or _id is null").select("_id", "h", "n", F.struct("_id", "h").alias("keeper"), F.lit(1).cast("long").alias("n_copies"))
     return found.select("_id", "h", "n", "keeper", "n_copies").unionByName(alone)
 
