@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +125,10 @@ class EliasFano:
         rest = rest - np.where(octet > 0, upto[row, octet - 1], 0)
         return at * 64 + octet * 8 + SELECT[octets[row, octet], np.minimum(rest, 7)]
 
-    def _lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(at), 8), np.uint8)
-        out[:, : self.low_bytes] = self.low[at]
+    def _lows(self, at: np.ndarray | slice) -> np.ndarray:
+        low = self.low[at]
+        out = np.zeros((len(low), 8), np.uint8)
+        out[:, : self.low_bytes] = low
         return out.view("<u8").ravel()
 
     def select(self, at: np.ndarray) -> np.ndarray:
@@ -134,6 +136,16 @@ class EliasFano:
         high = (self._nth(at, self.ones, False) - at).astype(np.uint64)
         return self._lows(at) if self.low_bytes == 8 else self._lows(at) | (high << np.uint64(8 * self.low_bytes))
 
+    def window(self, a: int, b: int) -> np.ndarray:
+        """The values at places a to b (excluded)."""
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        first, last = self._nth(np.array([a, b - 1]), self.ones, False).tolist()
+        bits = np.unpackbits(np.ascontiguousarray(self.high[first >> 6 : (last >> 6) + 1]).view(np.uint8), bitorder="little")
+        at = np.flatnonzero(bits[first & 63 : last - (first >> 6 << 6) + 1]) + first
+        low = self._lows(slice(a, b))
+        return low if self.low_bytes == 8 else low | ((at - np.arange(a, b)).astype(np.uint64) << np.uint64(8 * self.low_bytes))
+
     def successor(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Place of the first value in places first to last (excluded) that is at least x; ``last`` if there is none."""
         x = x.astype(np.uint64)
@@ -197,14 +209,39 @@ class Trie:
         return cls(*parts, arrays[0].view("<u2"))
 
     def find(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """Codes of n-grams; 0 for those that the trie lacks."""
+        """Codes of n-grams, sorted by context; 0 for those that the trie lacks.
+
+        Each ``step`` of them lies in one stretch of the contexts: its ends are found by successor
+        search.  If the stretch is about as long as the list of n-grams it is read through once,
+        else each n-gram is searched by itself.
+        """
         out = np.zeros(len(word), np.uint16)
-        if self.parts[0].n:
-            for i in range(0, len(word), step):
-                out[i : i + step] = self._find(context[i : i + step], word[i : i + step])
+        known, pointers, _ = self.parts
+        for i in range(0, len(word) if known.n else 0, step):
+            c, w = context[i : i + step], word[i : i + step]
+            a = int(known.successor(c[:1], np.array([0]), np.array([known.n]))[0])
+            b = int(known.successor(c[-1:] + np.uint64(1), np.array([a]), np.array([known.n]))[0])
+            first, last = pointers.select(np.array([a, b])).tolist() if a < b else (0, 0)
+            if a < b:
+                out[i : i + step] = self._find_each(c, w) if last - first > 8 * len(w) + 64 else self._find_in(a, b, int(first), int(last), c, w)
         return out
 
-    def _find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def _find_in(self, a: int, b: int, first: int, last: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """N-grams whose contexts can only be those of places a to b."""
+        known, pointers, words_ = self.parts
+        own, pointer = known.window(a, b), pointers.window(a, b + 1).astype(np.int64)
+        begin = max(first - 1, 0)
+        values = words_.window(begin, last)
+        node = np.minimum(np.searchsorted(own, context), len(own) - 1)
+        low, high = pointer[node], pointer[node + 1]
+        target = np.where(low > 0, values[np.maximum(low - 1 - begin, 0)] + np.uint64(1), np.uint64(0)) + word
+        at = np.searchsorted(values, target) + begin
+        ok = (own[node] == context) & (at >= low) & (at < high)
+        at = np.minimum(at, last - 1)
+        ok &= values[at - begin] == target
+        return np.where(ok, self.codes[at], 0).astype(np.uint16)
+
+    def _find_each(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         known, pointers, words_ = self.parts
         none = np.zeros(len(word), np.int64)
         node = known.successor(context, none, none + known.n)
@@ -252,7 +289,8 @@ def fingerprints(key: np.ndarray, shard: int, shards: int) -> np.ndarray:
 class Block:
     """The texts of a block as word hashes. n-grams are numbered by hash, so row order doesn't matter."""
 
-    def __init__(self, texts: list[bytes | None], learn: list[bool]):
+    def __init__(self, texts: Iterable[bytes | None], learn: list[bool]):
+        """``learn`` may be filled while ``texts`` are read."""
         seen = Vocabulary()
         bos, end = seen[BOS], seen[END]
         parts = []
@@ -365,15 +403,19 @@ def _deal(blocks: int, buffer: int = 8 << 20):
 
 def _read_block(table: pa.Table) -> tuple[Block, pa.Array]:
     """(the texts, their ids) of all rows of a block."""
-    texts, learn, ids = [], [], []
-    for blob in table.column("blob").to_pylist():
-        doc, missing, flags, sizes, data = unpack(blob)
-        end = np.cumsum(sizes).tolist()
-        data = data.tobytes()
-        texts += [data[a:b] for a, b in zip([0, *end], end)]
-        learn += flags.astype(bool).tolist()
-        ids.append(pa.array(doc, pa.int64(), mask=missing.astype(bool)))
-    return Block(texts, learn), pa.concat_arrays(ids)
+    learn: list[bool] = []
+    ids: list[pa.Array] = []
+
+    def texts():
+        for blob in table.column("blob"):
+            doc, missing, flags, sizes, data = unpack(blob.as_py())
+            learn.extend(flags.astype(bool).tolist())
+            ids.append(pa.array(doc, pa.int64(), mask=missing.astype(bool)))
+            end = np.cumsum(sizes).tolist()
+            data = data.tobytes()
+            yield from (data[a:b] for a, b in zip([0, *end], end))
+
+    return Block(texts(), learn), pa.concat_arrays(ids)
 
 
 def _ask(orders, shards):

@@ -100,13 +100,20 @@ def test_trie_holds_and_misses(tmp_path):
         ask = np.unique(np.r_[values, values + np.uint64(1), rng.integers(0, 1 << 52, 300).astype(np.uint64)])
         first = rng.integers(0, len(values), len(ask))
         last = first + rng.integers(0, len(values) + 1 - first)
+        a, b = sorted(rng.integers(0, len(values) + 1, 2).tolist())
+        assert (ef.window(a, b) == values[a:b]).all()
         assert (ef.successor(ask, first, last) == np.clip(np.searchsorted(values, ask), first, last)).all()
     pairs = np.unique(np.stack([rng.integers(0, 100, 3000), rng.integers(0, 1 << 28, 3000)], 1), axis=0).astype(np.uint64)
     codes = rng.integers(1, 60_000, len(pairs))
     path = str(tmp_path / "t")
     Trie.build(pairs[:, 0], pairs[:, 1], codes).save(path)
     trie = Trie.open(path)
-    assert (trie.find(pairs[:, 0], pairs[:, 1]) == codes).all()
+    for step in (1 << 16, 700, 1):
+        assert (trie.find(pairs[:, 0], pairs[:, 1], step) == codes).all()
+        some = np.arange(0, len(pairs), 40)  # searched one by one
+        assert (trie.find(pairs[some, 0], pairs[some, 1], step) == codes[some]).all()
+        assert (trie.find(pairs[some, 0], pairs[some, 1] + np.uint64(1 << 29), step) == 0).all()
+    assert (trie._find_each(pairs[:, 0], pairs[:, 1]) == codes).all()
     assert (trie.find(pairs[:, 0] + np.uint64(1000), pairs[:, 1]) == 0).all()
     assert trie.n_bytes < 9 * len(pairs)
 
