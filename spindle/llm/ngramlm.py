@@ -2,7 +2,7 @@
 
 The n-grams of the training texts, by order, are dealt by hash over shards.  A shard keeps its
 n-grams in a trie of two levels: contexts (all words but the last, as fingerprints of 36 bits)
-with pointers to their ranges of last words (fingerprints of 28 bits), and a 16-bit code of a
+with pointers to their ranges of last words (fingerprints of 24 bits), and a 16-bit code of a
 quantised probability for each last word.  All sequences are monotone and in Elias-Fano form:
 a word is stored relative to its context, plus where the previous context's range ended.  A
 shard's trie is one file, mapped into memory while it is queried, and never unpacked: an n-gram
@@ -10,7 +10,7 @@ is looked up by a successor search for its context, two pointers selected, and a
 search for the context-relative word in the context's range, all on the high and low parts as
 they lie in the file.  An n-gram that wasn't learned is taken for a learned one if both lie in
 one shard and have equal fingerprints: with odds of (contexts of its last word in the shard) /
-2**36 plus (words of its context in the shard) / 2**28, both bounded as shards are of bounded
+2**36 plus (words of its context in the shard) / 2**24, both bounded as shards are of bounded
 size.  A shard is a range of the mixed fingerprints, so its number needn't be sent with each of
 them.  Words themselves are 64-bit hashes.
 
@@ -264,12 +264,13 @@ class Trie:
 
 # ---------------------------------------------------------------- blocks
 
-CONTEXT_BITS, WORD_BITS = 36, 28  # 64 in all: ``mix`` maps them one to one
+CONTEXT_BITS, WORD_BITS = 36, 24
+BITS = CONTEXT_BITS + WORD_BITS
 
 
 def shard_width(shards: int) -> int:
     """Mixed fingerprints in a shard."""
-    return -(-(1 << 64) // shards)
+    return -(-(1 << BITS) // shards)
 
 
 def sent_key(mixed: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +284,11 @@ def sent_key(mixed: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(key: np.ndarray, shard: int, shards: int) -> np.ndarray:
     """Contexts and words of the keys sent to a shard."""
-    return unmix(key + np.uint64(shard * shard_width(shards) if shards > 1 else 0), 1)
+    return unmix(key + np.uint64(shard * shard_width(shards) if shards > 1 else 0), 1, BITS)
+
+
+def shard_of_word(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(key, 1) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
 class Block:
@@ -315,7 +320,7 @@ class Block:
         word = self.hashes[self.seq[self.at]]
         if order == 1:
             key, inverse = np.unique(word, return_inverse=True)
-            shard = ((mix(key, 1) >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            shard = shard_of_word(key, shards)
             by = np.lexsort((key, shard))
             place = np.empty(len(by), np.int64)
             place[by] = np.arange(len(by))
@@ -324,7 +329,8 @@ class Block:
         for i in range(order - 1, 0, -1):
             context = mix(context + self.hashes[self.seq[self.at - i]], i)
         both = ((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (mix(word, 2) >> np.uint64(64 - WORD_BITS))
-        u, inverse = np.unique(mix(both, 1), return_inverse=True)
+        del word, context
+        u, inverse = np.unique(mix(both, 1, BITS), return_inverse=True)
         return *sent_key(u, shards), inverse
 
 
@@ -342,6 +348,7 @@ def _requests(block: int, held: Block, orders, shards: dict[int, int]):
     for order in orders:
         key, shard, inverse = held.grams(order, shards[order])
         counts = np.bincount(inverse[held.learn], minlength=len(key))
+        del inverse
         cut = np.searchsorted(shard, np.arange(shards[order] + 1))
         for s, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a:
@@ -462,18 +469,34 @@ def _answer(shards: dict[int, int]):
     return run
 
 
-def _count_words(shards: int, chunk: int):
+def _count_words(shards: int, most: int = 1 << 20):
+    """Counts of distinct words, sent on when there are ``most`` of them."""
+
+    def rows(seen: Vocabulary, counts: np.ndarray):
+        key = seen.hashes()
+        shard = shard_of_word(key, shards)
+        by = np.lexsort((key, shard))
+        key, counts = key[by], counts[by]
+        cut = np.searchsorted(shard[by], np.arange(shards + 1))
+        yield from _rows((1, s, 0, pack(planes(key[a:b]), narrow(counts[a:b]))) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a).to_batches()
+
     def run(batches):
-        texts, size = [], 0
+        seen, counts, ends = Vocabulary(), np.zeros(1 << 16, np.int64), 0
         for batch in batches:
             for text in batch.column("_text").cast(pa.binary()).to_pylist():
-                texts.append(text)
-                size += len(text or b"")
-                if size >= chunk:
-                    yield from _rows(_requests(0, Block(texts, [True] * len(texts)), [1], {1: shards})).to_batches()
-                    texts, size = [], 0
-        if texts:
-            yield from _rows(_requests(0, Block(texts, [True] * len(texts)), [1], {1: shards})).to_batches()
+                w = words(text)
+                ids = np.fromiter(map(seen.__getitem__, w), np.int32, len(w))
+                ends += 1
+                while len(seen) + 1 > len(counts):
+                    counts = np.concatenate([counts, np.zeros_like(counts)])
+                np.add.at(counts, ids, 1)
+            if len(seen) >= most:
+                yield from rows(seen, counts[: len(seen)])
+                seen, counts = Vocabulary(), np.zeros(1 << 16, np.int64)
+        if ends:
+            counts[seen[END]] += ends
+        if seen:
+            yield from rows(seen, counts[: len(seen)])
 
     return run
 
@@ -524,7 +547,7 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 3,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 12 << 20,
     floors: dict[int, float] | None = None,
     slopes: dict[int, float] | None = None,
 ) -> DataFrame:
@@ -538,7 +561,7 @@ def score_documents(
     n_bytes, n_docs = base.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count_if("_learn")).first()
     blocks = partitions_for(n_bytes, block_bytes)
     shards = {k: max(1, blocks // 4) if k == 1 else blocks for k in range(1, order + 1)}
-    tally = base.where("_learn").mapInArrow(_count_words(shards[1], block_bytes), REQUEST).groupBy("shard").applyInArrow(_tally, "n long, v long")
+    tally = base.where("_learn").mapInArrow(_count_words(shards[1]), REQUEST).groupBy("shard").applyInArrow(_tally, "n long, v long")
     n, v = tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     keyed = base.withColumn("_h", F.xxhash64("_id", "_text"))
     dealt = keyed.mapInArrow(_deal(blocks), "block int, blob binary").repartition(min(blocks, 50_000), "block")  # a task may hold several blocks

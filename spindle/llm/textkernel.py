@@ -27,17 +27,24 @@ class Vocabulary(dict):
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self), dtype=np.uint64, count=len(self))
 
 
-def mix(a: np.ndarray, k: int = 0) -> np.ndarray:
-    a = (a ^ (a >> np.uint64(31))) * MIX[k % 3]
-    a = (a ^ (a >> np.uint64(29))) * MIX[(k + 1) % 3]
-    return a ^ (a >> np.uint64(32))
-
-
-def unmix(a: np.ndarray, k: int = 0) -> np.ndarray:
+def mix(a: np.ndarray, k: int = 0, bits: int = 64) -> np.ndarray:
+    """Maps numbers of so many bits one to one onto such numbers."""
+    mask = np.uint64((1 << bits) - 1)
+    a = a ^ (a >> np.uint64(31))
+    for step, shift in ((0, 29), (1, 32)):
+        a *= MIX[(k + step) % 3]
+        if bits < 64:
+            a &= mask
+        a ^= a >> np.uint64(shift)
+    return a
+
+
+def unmix(a: np.ndarray, k: int = 0, bits: int = 64) -> np.ndarray:
     """The numbers that ``mix`` maps to ``a``."""
+    mask = np.uint64((1 << bits) - 1)
     back = [np.uint64(pow(int(m), -1, 1 << 64)) for m in MIX]
-    a = (a ^ (a >> np.uint64(32))) * back[(k + 1) % 3]
-    a = (a ^ (a >> np.uint64(29)) ^ (a >> np.uint64(58))) * back[k % 3]
+    a = ((a ^ (a >> np.uint64(32))) * back[(k + 1) % 3]) & mask
+    a = ((a ^ (a >> np.uint64(29)) ^ (a >> np.uint64(58))) * back[k % 3]) & mask
     return a ^ (a >> np.uint64(31)) ^ (a >> np.uint64(62))
 
 
