@@ -4,11 +4,12 @@ Words that may hold a secret are found by a pattern, described by features, and
 forest of ``pyspark.ml`` trained from labelled findings: the candidate's length, its character
 classes and the transitions between them, how much of its letters a dictionary covers, its
 path and the words around it.  The dictionary is counted over all texts: the words of letters
-that at least ``min_docs`` documents hold.
+that at least ``min_share`` of the documents hold, and two of them.
 
-Labelled findings are rows (word, before2, before, after, path, label).  ``labelled_findings``
-makes a fixed set of ``rows`` such rows (a bounded training set, 6000 by default) from the
-templates below; pass a table of reviewed findings instead where there is one.
+Labelled findings are rows (word, before2, before, after, path, label); pass a table of reviewed
+findings where there is one.  Else the forest learns from two bounded sets: ``rows`` findings
+made from the templates below (6000), and at most ``train_rows`` of the corpus's own candidates
+for each label (2000, those of smallest hash) on which the ``weak_labels`` agree.
 
 Defined cases: a null or empty text has no candidates; a null path counts as none; repeated
 rows yield their findings each; candidates of any length are judged whole; an empty table gives
@@ -23,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, staged
+from .common import WORD, ascii_lower, join_counted, staged
 
 #: A word is a candidate if it holds a digit and a run of 12 such characters, or assigns to a telling name.
 RUN = r"[A-Za-z0-9+/_.@:-]{12}"
@@ -53,8 +54,10 @@ def pieces(word: Column) -> Column:
 
 def with_features(found: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """``found`` (word, before2, before, after, path and a unique ``key``) with all of ``FEATURES``."""
-    words = found.select(key, F.explode(pieces(core(F.col("word")))).alias("piece"))
-    known = words.join(dictionary.select(F.col("term").alias("piece"), F.lit(1).alias("hit")), "piece", "left")
+    words = staged(found.select(key, F.explode(pieces(core(F.col("word")))).alias("piece")), "secret-pieces")
+    # Each distinct piece meets the dictionary once; frequent ones ("https") then come back by broadcast.
+    met = words.groupBy("piece").agg(F.count("*").alias("n")).join(dictionary.select(F.col("term").alias("piece")), "piece").withColumn("hit", F.lit(1))
+    known = join_counted(words, staged(met, "secret-known"), ["piece"], "n", words.count(), "left")
     covered = known.groupBy(key).agg(F.sum(F.when(F.col("hit") == 1, F.length("piece")).otherwise(0)).alias("covered"))
     c, before = F.col("core"), F.concat_ws(" ", F.coalesce("before2", F.lit("")), F.coalesce("before", F.lit("")))
     letters = F.greatest(F.regexp_count(c, F.lit("[A-Za-z]")), F.lit(1))
@@ -78,10 +81,25 @@ def with_features(found: DataFrame, dictionary: DataFrame, key: str) -> DataFram
     return found.join(covered, key, "left").withColumn("core", core(F.col("word"))).withColumns({k: v.cast("double") for k, v in made.items()}).drop("covered", "core")
 
 
-def dictionary_of(docs: DataFrame, text_col: str = "text", min_docs: int = 20) -> DataFrame:
-    """Words of letters found in at least ``min_docs`` texts, counted over all of them."""
+def dictionary_of(docs: DataFrame, text_col: str = "text", min_share: float = 0.0005) -> DataFrame:
+    """Words of letters found in at least ``min_share`` of the texts (and in two), counted over all of them."""
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(r"\b([a-z]{3,})\b"), 1))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("term")
+    return terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, min_share * docs.count())).select("term")
+
+
+def weak_labels(featured: DataFrame) -> DataFrame:
+    """``featured`` rows with a ``label`` on which several labellers agree: none speaks against it, and for a secret two speak for it.
+
+    For: announced or named as a secret; of a known prefix; many digits and changes of class with
+    few known words.  Against: mail and number shapes, announced as harmless, made of known words, a path.
+    """
+    f = F.col
+    told = (f("telling_name") + f("telling_before") > 0) & (f("assigned") > 0)
+    mixed = (f("coverage") < 0.2) & (f("core_length") >= 12) & (f("lower_digit") + f("digit_lower") + f("upper_digit") > 0.15) & (f("distinct") > 0.2)
+    votes = lambda *tests: sum((x.cast("int") for x in tests), F.lit(0))
+    yes = votes(told, f("known_prefix") > 0, mixed, f("assigned") > 0)
+    no = votes(f("mail") > 0, f("address") > 0, (f("harmless_before") > 0) & ~told, (f("coverage") >= 0.6) & (f("digits") < 0.3), (f("slashes") >= 2) & (f("assigned") == 0))
+    return featured.withColumn("label", F.when((yes >= 2) & (no == 0), 1).when((no > 0) & (yes == 0), 0)).where("label is not null")
 
 
 def labelled_findings(spark: SparkSession, dictionary: DataFrame, rows: int = 6000, seed: int = 5) -> DataFrame:
@@ -122,9 +140,10 @@ def labelled_findings(spark: SparkSession, dictionary: DataFrame, rows: int = 60
     return made.select("id", "_f.*", word(16).alias("after"), pick(["src1", "src2", "src3", "web/docs/a", "app/config"], 17).alias("path"))
 
 
-def train(labelled: DataFrame, dictionary: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
-    data = with_features(labelled, dictionary, "id").orderBy("id").coalesce(1)  # the bounded training set in a fixed order: reruns agree
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data).select("features", F.col("label").cast("double").alias("label"))
+def train(featured: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
+    """A forest of ``featured`` rows with a ``label``: a bounded set, in a fixed order, so that reruns agree."""
+    data = featured.select(*FEATURES, F.col("label").cast("double").alias("label")).orderBy(*FEATURES, "label").coalesce(1)
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, maxMemoryInMB=64).fit(assembled)
 
 
@@ -138,18 +157,26 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = docs.where(is_candidate(F.col(text_col))).select(
         F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("path"), F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1).alias("_w")
     )
-    numbered = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: is_candidate(x["word"]))
-    marked = words.select("_id", "path", "_w", F.explode(numbered).alias("_c")).select("_id", "path", "_w", F.col("_c.word").alias("word"), F.col("_c.at").alias("at"))
-    near = lambda k: F.get("_w", F.col("at") + k)
-    return marked.select("_id", F.col("at").cast("long").alias("at"), "word", F.when(F.col("at") > 1, near(-2)).alias("before2"), F.when(F.col("at") > 0, near(-1)).alias("before"), near(1).alias("after"), "path")
+    # The neighbours are taken before the candidates part from their text.
+    near = lambda i, k: F.get("_w", i + k)
+    numbered = F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("at"), F.when(i > 1, near(i, -2)).alias("before2"), F.when(i > 0, near(i, -1)).alias("before"), near(i, 1).alias("after")))
+    return words.select("_id", "path", F.explode(F.filter(numbered, lambda x: is_candidate(x["word"]))).alias("_c")).select("_id", "_c.*", "path")
 
 
-def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5, min_share: float = 0.0005, train_rows: int = 2000) -> DataFrame:
     """(id, at, word, before, after, path, score) of the candidates that the forest takes for secrets."""
     spark = docs.sparkSession
-    dictionary = staged(dictionary_of(docs, text_col), "secret-dictionary")
-    model = train(labelled if labelled is not None else labelled_findings(spark, dictionary), dictionary)
+    dictionary = staged(dictionary_of(docs, text_col, min_share), "secret-dictionary")
     found = staged(candidates(docs, id_col, text_col, path_col).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary, "_row")))
+    featured = staged(with_features(found, dictionary, "_row"), "secret-features")
+    if labelled is not None:
+        learned = with_features(labelled.withColumn("id", F.monotonically_increasing_id()), dictionary, "id").select(*FEATURES, "label")
+    else:
+        learned = with_features(labelled_findings(spark, dictionary), dictionary, "id").select(*FEATURES, "label")
+        own = staged(weak_labels(featured).select(*FEATURES, "label", F.xxhash64("word", "before2", "before", "_id", "at").alias("_h")), "secret-labels")
+        for label in (0, 1):
+            learned = learned.unionAll(own.where(F.col("label") == label).orderBy("_h", *FEATURES).limit(train_rows).select(*FEATURES, "label"))
+    model = train(staged(learned, "secret-training"))
+    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured))
     score = vector_to_array("probability")[1]
     return judged.select(F.col("_id").alias(id_col), "at", "word", "before", "after", "path", score.alias("score")).where(F.col("score") >= threshold)
