@@ -10,7 +10,9 @@ language: all trigrams alike):
 * the host: a prior smoothed up a hierarchy, host to domain to suffix to all rows, each level
   adding ``kappa`` rows' worth of the level above.
 The counts are grouped aggregations in which each row counts for the language its text alone
-speaks for.  The text model is fitted on at most ``train_rows`` labelled rows for each language
+speaks for; a row's own verdict is taken out of the counts that it meets again.  Documents
+have no markup: their ``lang`` column labels the rows that the text model is fitted on and is no
+evidence.  The text model is fitted on at most ``train_rows`` labelled rows for each language
 (those of smallest hash); everything else covers all rows.
 
 A row is rejected if "zxx" wins, if no language reaches ``least``, or if the row has no trigram
@@ -131,48 +133,50 @@ def identify(
     one_hot = [F.sum(F.when(F.col("_top") == i + 1, 1.0).otherwise(0.0)) for i in range(k)]
     flat = F.array(*[F.lit((1 - noise_prior) / max(k - 1, 1))] * (k - 1), F.lit(noise_prior))
 
-    def level(key: str, above: str | None, prior: DataFrame | None) -> DataFrame:
-        """(key, n, shares): one row for each value of ``key``, smoothed by the level above."""
-        keys = [key] + ([above] if above else [])
-        counted = scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*one_hot).alias("c"), *([F.min(above).alias(above)] if above else []))
-        if prior is None:
-            return counted.select(*keys, "n", _smoothed(F.col("c"), F.array(*[F.lit(x) for x in overall]), kappa).alias("p"))
-        up = prior.select(F.col(above), F.col("p").alias("_up"))
-        joined = counted.join(up, above, "left")
-        return joined.select(*keys, "n", _smoothed(F.col("c"), F.coalesce("_up", F.array(*[F.lit(x) for x in overall])), kappa).alias("p"))
+    def counted(key: str, above: str | None = None) -> DataFrame:
+        """(key, n, c[, above]): rows and verdicts for each value of ``key``."""
+        more = [F.min(above).alias(above)] if above else []
+        return scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*one_hot).alias("c"), *more)
 
     total, shares = scored.agg(F.count("*"), _smoothed(F.array(*one_hot), flat, kappa)).first()
     overall = list(shares) if shares else [1.0 / k] * k
-    suffixes = level("_suffix", None, None)
-    domains = level("_domain", "_suffix", suffixes)
-    hosts = staged(level("_host", "_domain", domains).select("_host", "n", F.col("p").alias("_prior")), "lang-hosts")
+    domains = counted("_domain", "_suffix").join(counted("_suffix").select("_suffix", F.col("c").alias("_c3")), "_suffix", "left")
+    hosts = counted("_host", "_domain").join(domains.select("_domain", F.col("c").alias("_c2"), "_c3"), "_domain", "left")
+    hosts = staged(hosts.select("_host", "n", F.col("c").alias("_c1"), "_c2", "_c3"), "lang-hosts")
     # P(declared | language), P(suffix | language): columns of the same counts, smoothed by the value's share of all rows.
     by_lang = [float(x or 0) for x in scored.agg(*one_hot).first()]
 
     def likelihood(key: str, name: str) -> DataFrame:
-        counted = scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*one_hot).alias("c"))
-        sizes = F.array(*[F.lit(x) for x in by_lang])
-        share = F.col("n") / F.lit(float(max(total, 1)))
-        return staged(counted.select(key, "n", F.zip_with("c", sizes, lambda c, s: F.log((c + kappa * share) / (s + kappa))).alias(name)), f"lang{key}")
+        return staged(counted(key).select(key, "n", F.col("c").alias(name), (F.col("n") / F.lit(float(max(total, 1)))).alias(f"{name}_share")), f"lang{key}")
 
     out = scored
-    for key, side, name in (("_host", hosts, "_prior"), ("_declared", likelihood("_declared", "_from_declared"), "_from_declared"), ("_suffix", likelihood("_suffix", "_from_suffix"), "_from_suffix")):
+    for key, side in (("_host", hosts), ("_declared", likelihood("_declared", "_from_declared")), ("_suffix", likelihood("_suffix", "_from_suffix"))):
         out = join_counted(out, side, [key], "n", max(total, 1), "left")
     zeros = F.array(*[F.lit(0.0)] * k)
-    prior = F.transform(F.coalesce("_prior", F.array(*[F.lit(float(x)) for x in overall])), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
+    own = F.array(*[F.when(F.col("_top") == i + 1, 1.0).otherwise(0.0) for i in range(k)])
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    # What no language declares or hosts can't speak for "zxx": it is judged by its text alone there.
-    spoken = lambda c: F.coalesce(F.transform(F.col(c), lambda x, i: F.when(i == k - 1, F.lit(0.0)).otherwise(x)), zeros)
+    others = lambda c: F.zip_with(c, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    shares = F.array(*[F.lit(float(x)) for x in overall])
+    for level in ("_c3", "_c2", "_c1"):
+        shares = F.when(F.col(level).isNotNull(), _smoothed(others(F.col(level)), shares, kappa)).otherwise(shares)
+    prior = F.transform(shares, lambda p: F.log(F.greatest(p, F.lit(1e-9))))
+    sizes = F.zip_with(F.array(*[F.lit(x) for x in by_lang]), own, lambda s, y: F.greatest(s - y, F.lit(0.0)))
+
+    def spoken(name: str) -> Column:
+        """What no language declares can't speak for "zxx": it is judged by its text alone there."""
+        said = F.zip_with(others(F.col(name)), sizes, lambda c, s: F.log((c + kappa * F.col(f"{name}_share")) / (s + kappa)))
+        return F.coalesce(F.transform(said, lambda x, i: F.when(i == k - 1, F.lit(0.0)).otherwise(x)), zeros)
+
     fused = add(add(F.col("_text_ll"), prior), add(spoken("_from_declared"), spoken("_from_suffix")))
     peak = F.array_max("_fused")
     mass = F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - peak))
     labels = F.array(*[F.lit(x) for x in names])
     out = out.withColumn("_fused", fused).withColumn("_best", F.array_position("_fused", peak).cast("int")).withColumn("posterior", F.lit(1.0) / mass)
     language = F.element_at(labels, F.col("_best"))
-    silent = F.col("_top").isNull() & F.col("_prior").isNull() & F.col("_from_declared").isNull()
+    silent = F.col("_top").isNull() & F.col("_c1").isNull() & F.col("_from_declared").isNull()
     return out.select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_domain").alias("domain"), language.alias("language"), "posterior",
-        F.element_at(labels, F.col("_top")).alias("text_language"), F.col("_declared").alias("declared"),
+        F.when(F.col("_top").isNotNull(), F.element_at(labels, F.coalesce("_top", F.lit(1)))).alias("text_language"), F.col("_declared").alias("declared"),
         ((language != NONE) & (F.col("posterior") >= least) & ~silent & F.lit(bool(langs))).alias("accepted"), "_h",
     )
 
@@ -192,13 +196,13 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     })
 
 
-def document_evidence(docs: DataFrame, source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with a declared language, a host (the source) and a domain (the source without its number)."""
-    return docs.withColumns({"_declared_by": F.col(lang_col), "_hosted": F.col(source_col), "_domain_of": F.regexp_replace(F.col(source_col), "[0-9]+$", "")})
+def document_evidence(docs: DataFrame, source_col: str = "source") -> DataFrame:
+    """``docs`` with a host (the source) and a domain (the source without its number)."""
+    return docs.withColumns({"_hosted": F.col(source_col), "_domain_of": F.regexp_replace(F.col(source_col), "[0-9]+$", "")})
 
 
 def identify_documents(docs: DataFrame, model, **options) -> DataFrame:
-    return identify(document_evidence(docs), model, declared_col="_declared_by", host_col="_hosted", domain_col="_domain_of", **options)
+    return identify(document_evidence(docs), model, host_col="_hosted", domain_col="_domain_of", **options)
 
 
 def accepted_documents(docs: DataFrame, model=None, **options) -> DataFrame:
