@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import written
+
 
 @dataclass
 class Graph:
@@ -63,6 +65,21 @@ class Graph:
         odd = e.join(r, ["src", "dst", "weight"], "left").where(F.col("m").isNull() | (F.col("n") != F.col("m")))
         return odd.agg((F.count("*") == 0).alias("undirected"))
 
+    def sorted_edges(self) -> DataFrame:
+        """Edges in the order of (src, dst), with their place ``pos``."""
+        from .operators.joins import ranked
+
+        return ranked(self.edges, "pos", "src", "dst", "weight")
+
+    def flags(self) -> DataFrame:
+        """One row: whether edges are weighted and nodes labelled (``y``), and the length of their features (``x``)."""
+        columns = self.nodes.columns
+        width = F.coalesce(F.max(F.size("x")), F.lit(0)) if "x" in columns else F.lit(0)
+        labels = F.coalesce(F.max(F.col("y").isNotNull()), F.lit(False)) if "y" in columns else F.lit(False)
+        n = self.nodes.agg(F.count("*").alias("n_nodes"), labels.alias("has_labels"), width.cast("int").alias("n_features"))
+        e = self.edges.agg(F.count("*").alias("n_edges"), F.coalesce(F.max(F.col("weight") != 1.0), F.lit(False)).alias("weighted"))
+        return n.join(F.broadcast(e))
+
     # ---- neighbourhoods
 
     def neighbours(self, sources: DataFrame) -> DataFrame:
@@ -76,18 +93,20 @@ class Graph:
 
     def within_hops(self, sources: DataFrame, hops: int = 1) -> DataFrame:
         """(id, level): nodes within ``hops`` steps of ``sources``, which have level 0."""
-        seen = sources.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("level")).distinct()
-        front = seen
+        front = written(sources.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("level")).distinct(), "hop")
+        seen = front
         for level in range(1, hops + 1):
             reached = self.edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-            front = reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
+            front = written(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)), "hop")
             seen = seen.unionAll(front)
         return seen
 
     def subgraph(self, nodes: DataFrame, relabel: bool = True) -> Graph:
         """Induced by ``nodes`` (id[, pos]); relabelled to 0..k-1 in the order of ``pos`` (of the ids without it)."""
         if "pos" not in nodes.columns:
-            nodes = nodes.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
+            from .operators.joins import ranked
+
+            nodes = ranked(nodes, "pos", "id")
         named = nodes.select("id", F.col("pos").cast("long").alias("pos"))
         inner = (
             self.edges.join(named.select(F.col("id").alias("src"), F.col("pos").alias("a")), "src")

@@ -1,9 +1,10 @@
 """Partitioning a graph into clusters.
 
 FENNEL and spread are sequential by definition: each node's choice depends on all earlier ones.
-``mode="exact"`` runs them in one task over the edges in compressed form (for graphs of up to
-``EXACT_EDGES`` edges); ``mode="bulk"`` moves all nodes at once in rounds of joins, which scales
-with the cluster and gives other, similar clusters.  Louvain and the multilevel partitioner
+``mode="bulk"``, the default, moves all nodes at once in rounds of joins, which scales with the
+graph, keeps FENNEL's load limit in every round, and gives other, similar clusters.
+``mode="exact"`` repeats the sequential result in one task over the edges in compressed form
+(for graphs of up to ``EXACT_EDGES`` edges).  Louvain and the multilevel partitioner
 work in rounds of joins and quotient graphs.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import written
+from .joins import ranked
 
 EXACT_EDGES = 20_000_000
 
@@ -93,7 +95,7 @@ def _exact(graph: Graph, f: Callable) -> DataFrame:
     if n_edges > EXACT_EDGES:
         raise ValueError("too many edges for one task; use mode='bulk'")
     n = graph.nodes.count()
-    names = graph.ids.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
+    names = ranked(graph.ids, "pos", "id")
     named = graph.edges.join(names.select(F.col("id").alias("src"), F.col("pos").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("pos").alias("b")), "dst")
     rows = named.select(F.lit(0).alias("g"), "a", "b", "weight").where("a <> b")
 
@@ -110,32 +112,105 @@ def _exact(graph: Graph, f: Callable) -> DataFrame:
     return names.join(found, "pos").select("id", "cluster")
 
 
-def fennel(graph: Graph, k: int, load_limit: float = 1.1, gamma: float = 1.5, alpha: float | None = None, rounds: int = 1, mode: str = "exact") -> DataFrame:
-    """(id, cluster)."""
+def _admitted(asking: DataFrame, room: DataFrame, name: str) -> DataFrame:
+    """Those of ``asking`` (id, to, gain[, size]) that fit: best gain first, ties to the smaller id, up to each cluster's ``room`` (to, room).
+
+    Gains fall into 256 steps of their range; only the step in which the room ends is ranked row by
+    row, in 64 parts by hash that share what is left.
+    """
+    asking = written(asking, f"{name}-ask")
+    low, high = asking.agg(F.min("gain"), F.max("gain")).first()
+    if low is None:
+        return asking.select("id", "to")
+    step = F.when(F.lit(high > low), F.floor((F.lit(high) - F.col("gain")) / F.lit(max(high - low, 1e-300)) * 255)).otherwise(F.lit(0)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(64)).cast("int")
+    asking = asking.withColumns({"step": step, "part": part})
+    cells = asking.groupBy("to", "step", "part").agg(F.sum("size").alias("n"))
+    w = Window.partitionBy("to").orderBy("step", "part")
+    # 256 x 64 rows for each cluster at most.
+    cells = cells.join(F.broadcast(room), "to").withColumn("before", F.sum("n").over(w) - F.col("n")).select("to", "step", "part", "n", F.greatest(F.col("room") - F.col("before"), F.lit(0)).alias("left"))
+    cells = written(cells.where("left > 0"), f"{name}-cells")
+    placed = asking.join(cells, ["to", "step", "part"])
+    fits = placed.where("n <= left").select("id", "to")
+    order = Window.partitionBy("to", "step", "part").orderBy(F.desc("gain"), "id")
+    edge = placed.where("n > left").withColumn("upto", F.sum("size").over(order)).where("upto <= left").select("id", "to")
+    return fits.unionAll(edge)
+
+
+def fennel(
+    graph: Graph, k: int, load_limit: float = 1.1, gamma: float = 1.5, alpha: float | None = None, rounds: int = 1, mode: str = "bulk",
+    node_weights: DataFrame | None = None, weighted: bool = False,
+) -> DataFrame:
+    """(id, cluster): most neighbours minus alpha * gamma * size^(gamma - 1), never over floor(load_limit * n / k) nodes.
+
+    In bulk mode nodes may weigh more than one (``node_weights``: id, size) and, if ``weighted``,
+    edges count by their weight.  Nodes start in clusters dealt by hash, in which none is over the limit;
+    in each of ``8 + rounds`` rounds half of the nodes ask for the best cluster, and those of
+    the largest gain are let in up to the room there is.
+    """
     if mode == "exact":
         return _exact(graph, lambda a, b, w, n: fennel_kernel(a, b, n, k, load_limit, gamma, alpha, rounds))
-    n, m = graph.nodes.count(), graph.edges.count()
+    sizes = graph.ids.join(node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else graph.ids.withColumn("size", F.lit(1).cast("long"))
+    edges = written(graph.edges.where("src <> dst").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")), "fennel-edges")
+    sizes = written(sizes, "fennel-sizes")
+    n, heaviest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    m = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     alpha = m * k ** (gamma - 1) / max(n, 1) ** gamma if alpha is None else alpha
-    state = written(graph.ids.withColumn("cluster", F.pmod(F.xxhash64("id"), F.lit(k))), "fennel")
-    most = max(1, int(load_limit * n / k))
-    for step in range(max(rounds, 8)):
-        size = state.groupBy("cluster").agg(F.count("*").alias("size"))
-        near = graph.edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.count("*").alias("n"))
-        gain = near.join(F.broadcast(size), "cluster").withColumn("gain", F.col("n") - alpha * gamma * F.pow("size", F.lit(gamma - 1)))
-        want = gain.groupBy("id").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b")).select("id", (-F.col("b.c")).alias("to"))
-        # Only a part of the nodes moves in a round, and only as many into a cluster as it has room for.
+    most = max(int(load_limit * n / k), -(-n // k) + (heaviest if heaviest > 1 else 0), 1)
+    # Dealt in turn by hash order: full clusters differ by the weight of one node at most.
+    dealt = ranked(sizes.withColumn("h", F.xxhash64("id")), "at", "h", "id")
+    state = written(dealt.select("id", "size", (F.col("at") % k).alias("cluster")), "fennel")
+    table = state.groupBy("cluster").agg(F.sum("size").alias("load"))
+    clusters = graph.edges.sparkSession.range(k).select(F.col("id").alias("cluster"))
+    for step in range(8 + rounds):
+        load = written(clusters.join(table, "cluster", "left").select("cluster", F.coalesce("load", F.lit(0)).alias("load")), "fennel-load")
+        small = k <= 100_000  # a row for each cluster
+        hint = F.broadcast if small else (lambda x: x)
+        near = edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("n"))
+        gain = near.join(hint(load), "cluster").withColumn("gain", F.col("n") - alpha * gamma * F.pow("load", F.lit(gamma - 1)))
+        best = gain.groupBy("id").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"))
+        here = state.join(gain.select("id", "cluster", "gain"), ["id", "cluster"], "left").join(hint(load), "cluster")
+        here = here.select("id", "size", "cluster", F.coalesce("gain", -alpha * gamma * F.pow("load", F.lit(gamma - 1))).alias("stay"))
         turn = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0
-        moves = state.join(want, "id").where(turn & (F.col("to") != F.col("cluster")))
-        room = size.select(F.col("cluster").alias("to"), F.greatest(F.lit(0), F.lit(most) - F.col("size")).alias("room"))
-        share = moves.groupBy("to").agg(F.count("*").alias("asked")).join(room, "to").select("to", (F.col("room") / F.col("asked")).alias("p"))
-        lucky = F.pmod(F.xxhash64("id", F.lit(step), F.lit(1)), F.lit(1 << 20)) / (1 << 20)
-        go = moves.join(F.broadcast(share), "to").where(lucky < F.col("p")).select("id", "to")
-        state = written(state.join(go, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster")), "fennel")
-    return state
+        moves = here.join(best, "id").select("id", "size", "cluster", (-F.col("b.c")).alias("to"), (F.col("b.gain") - F.col("stay")).alias("gain")).where(turn & (F.col("to") != F.col("cluster")) & (F.col("gain") > 1e-12))
+        room = load.select(F.col("cluster").alias("to"), F.greatest(F.lit(0), F.lit(most) - F.col("load")).alias("room"))
+        go = _admitted(moves.select("id", "to", "gain", "size"), room, "fennel")
+        state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "fennel")
+        table = state.groupBy("cluster").agg(F.sum("size").alias("load"))
+    return state.select("id", "cluster")
 
 
-def spread(graph: Graph, k: int) -> DataFrame:
-    return _exact(graph, lambda a, b, w, n: spread_kernel(a, b, w, n, k))
+def spread(graph: Graph, k: int, mode: str = "bulk") -> DataFrame:
+    """(id, cluster) grown from the k nodes of largest degree.
+
+    In bulk mode every cluster takes, in each round, all free nodes of which it holds most (weight
+    by the node's strength; ties to the lower cluster).  What no cluster reaches forms further
+    clusters, one for each component.
+    """
+    if mode == "exact":
+        return _exact(graph, lambda a, b, w, n: spread_kernel(a, b, w, n, k))
+    edges = written(graph.edges.where("src <> dst"), "spread-edges")
+    degree = graph.ids.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    seeds = degree.orderBy(F.desc("n"), "id").limit(k)
+    taken = written(ranked(seeds, "cluster", F.desc("n"), F.asc("id")).select("id", "cluster"), "spread")
+    front = taken
+    while front.limit(1).count():
+        # Each free node joins the cluster with most weight into it among all taken neighbours so far.
+        touched = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(taken.select("id"), "id", "left_anti")
+        pull = edges.join(touched.select(F.col("id").alias("dst")), "dst", "left_semi").join(taken.select(F.col("id").alias("src"), "cluster"), "src")
+        pull = pull.groupBy(F.col("dst").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+        front = written(pull.groupBy("id").agg(F.max(F.struct("w", (-F.col("cluster")).alias("c"))).alias("b")).select("id", (-F.col("b.c")).alias("cluster")), "spread-front")
+        taken = written(taken.unionByName(front), "spread")
+    from .fixpoints import component_labels
+
+    rest = graph.ids.join(taken.select("id"), "id", "left_anti")
+    if not rest.limit(1).count():
+        return taken
+    rest = written(rest, "spread-rest")
+    inner = edges.join(rest.select(F.col("id").alias("src")), "src", "left_semi")
+    labels = component_labels(Graph(inner, rest))
+    heads = ranked(labels.where("id = label").select("label"), "n", "label")
+    return taken.unionByName(labels.join(heads, "label").select("id", (F.col("n") + k).alias("cluster")))
 
 
 def balanced(partition: DataFrame, k: int, slack: float = 1.2) -> DataFrame:
@@ -187,8 +262,8 @@ def louvain(graph: Graph, resolution: float = 1.0, levels: int = 10, rounds: int
             break
         names = written(names.join(state.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster").select("id", F.col("next").alias("cluster")), "louvain-n")
         level_graph = Graph.from_edges(level_graph.quotient(state).select("src", "dst", "weight"))
-    dense = names.select("cluster").distinct().withColumn("n", F.row_number().over(Window.orderBy("cluster")) - 1)
-    return names.join(dense, "cluster").select("id", F.col("n").cast("long").alias("cluster"))
+    dense = ranked(names.select("cluster").distinct(), "n", "cluster")
+    return names.join(dense, "cluster").select("id", F.col("n").alias("cluster"))
 
 
 def louvain_resolutions(graph: Graph, resolutions: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)) -> DataFrame:
@@ -200,31 +275,62 @@ def louvain_resolutions(graph: Graph, resolutions: tuple[float, ...] = (0.5, 1.0
     return out
 
 
-def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1.1) -> DataFrame:
-    """Balanced k-way cut: heavy-edge matching down to ``coarsest`` nodes, FENNEL there, then projection and one refining pass."""
-    maps, g = [], Graph(graph.undirected().edges.where("src <> dst"), graph.nodes)
-    while g.nodes.count() > max(coarsest, 4 * k) and len(maps) < 20:
-        best = g.edges.groupBy("src").agg(F.max_by("dst", F.struct("weight", (-F.col("dst")).alias("d"))).alias("dst"))
+def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1.1, node_weights: DataFrame | None = None, refine: int = 2) -> DataFrame:
+    """Balanced k-way cut by node and edge weights: heavy-edge matching down to ``coarsest`` nodes, weighted FENNEL there, then a refinement on every level.
+
+    A coarse node weighs what its nodes weigh (``node_weights``: id, size; 1 each without).  No matched
+    pair weighs over half a cluster.  ``refine`` rounds on each level move nodes to the cluster with
+    more of their edges' weight, up to the load limit.
+    """
+    base = Graph(graph.undirected().edges.where("src <> dst"), graph.nodes)
+    size = base.ids.join(node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else base.ids.withColumn("size", F.lit(1).cast("long"))
+    g, size = Graph(written(base.edges, "level-edges"), base.nodes), written(size, "level-sizes")
+    total = size.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    levels, n = [], g.nodes.count()
+    while n > max(coarsest, 4 * k):
+        fit = g.edges.join(size.select(F.col("id").alias("src"), F.col("size").alias("a")), "src").join(size.select(F.col("id").alias("dst"), F.col("size").alias("b")), "dst").where(F.col("a") + F.col("b") <= max(2, total // (2 * k)))
+        tie = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"))  # the same from both ends
+        best = written(fit.groupBy("src").agg(F.max_by("dst", F.struct("weight", tie)).alias("dst")), "match")
         pairs = best.join(best.select(F.col("src").alias("dst"), F.col("dst").alias("back")), "dst").where("src = back").select(F.greatest("src", "dst").alias("id"), F.least("src", "dst").alias("cluster")).distinct()
         step = written(g.ids.join(pairs, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "match")
-        maps.append(step)
-        g = Graph(written(g.quotient(step, self_loops=False).select("src", "dst", "weight"), "coarse"), step.select(F.col("cluster").alias("id")).distinct())
-        if step.where("id <> cluster").limit(1).count() == 0:
+        coarse = written(step.join(size, "id").groupBy(F.col("cluster").alias("id")).agg(F.sum("size").alias("size")), "level-sizes")
+        left = coarse.count()
+        if left > 0.98 * n:  # hardly anything matches any more
             break
-    part = written(fennel(g, k, load_limit, rounds=3), "multilevel")
-    for step in reversed(maps):
+        levels.append((g, size, step))
+        g, size, n = Graph(written(g.quotient(step, self_loops=False).select("src", "dst", "weight"), "level-edges"), coarse.select("id")), coarse, left
+    part = written(fennel(g, k, load_limit, rounds=4, node_weights=size, weighted=True), "multilevel")
+    for finer, sizes, step in reversed(levels):
         part = written(step.join(part.select(F.col("id").alias("cluster"), F.col("cluster").alias("c")), "cluster").select("id", F.col("c").alias("cluster")), "multilevel")
-    return balanced(part, k, load_limit)
-
-
-def hierarchical(graph: Graph, most: int, split: int, method: Callable | None = None) -> DataFrame:
-    """(id, cluster): clusters over ``most`` nodes are split again; numbers are dense, in order of their paths."""
+        part = refined(finer, part, k, load_limit, sizes, refine)
+    return part
+
+
+def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes: DataFrame, rounds: int = 2) -> DataFrame:
+    """``partition`` after rounds in which nodes go where more of their edges' weight lies, largest gain first, up to the load limit."""
+    state = written(partition.join(sizes, "id").select("id", "size", "cluster"), "refine")
+    most = int(load_limit * state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / k)
+    for step in range(2 * rounds):
+        near = graph.edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+        near = near.join(state.select("id", "size", F.col("cluster").alias("home")), "id")
+        best = near.groupBy("id", "size", "home").agg(F.max(F.struct("w", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("w"))).alias("own"))
+        side = lambda c: F.pmod(F.xxhash64(c, F.lit(step)), F.lit(2))
+        # Half of the clusters give and the others take, so that neighbours don't swap places.
+        moves = best.select("id", "size", "home", (-F.col("b.c")).alias("to"), (F.col("b.w") - F.coalesce("own", F.lit(0.0))).alias("gain")).where((F.col("gain") > 1e-12) & (side(F.col("home")) == 0) & (side(F.col("to")) == 1))
+        load = state.groupBy(F.col("cluster").alias("to")).agg(F.sum("size").alias("load")).select("to", F.greatest(F.lit(most) - F.col("load"), F.lit(0)).alias("room"))
+        go = _admitted(moves.select("id", "to", "gain", "size"), load, "refine")
+        state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "refine")
+    return state.select("id", "cluster")
+
+
+def hierarchical(graph: Graph, most: int, split: int, method: Callable | None = None, levels: int | None = None) -> DataFrame:
+    """(id, cluster): clusters over ``most`` nodes are split again (``levels`` times at most, if given); numbers are dense, in order of their paths."""
     method = method or fennel
     done, todo = None, [("", graph.ids)]
     while todo:
         path, nodes = todo.pop()
         n = nodes.count()
-        if n <= most or n <= split:
+        if n <= most or n <= split or (levels is not None and path.count("/") >= levels):
             one = nodes.select("id", F.lit(path).alias("path"))
             done = one if done is None else done.unionAll(one)
             continue
@@ -235,8 +341,8 @@ def hierarchical(graph: Graph, most: int, split: int, method: Callable | None =
             done = nodes.select("id", F.lit(path).alias("path")) if done is None else done.unionAll(nodes.select("id", F.lit(path).alias("path")))
             continue
         todo += [(f"{path}/{c:06d}", part.where(F.col("cluster") == c).select("id")) for c in found]
-    dense = done.select("path").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("path")) - 1)
-    return done.join(dense, "path").select("id", F.col("cluster").cast("long").alias("cluster"))
+    dense = ranked(done.select("path").distinct(), "cluster", "path")
+    return done.join(dense, "path").select("id", "cluster")
 
 
 def agglomerative(graph: Graph, levels: int = 2, branches: list[int] | None = None, method: Callable | None = None) -> list[DataFrame]:
@@ -258,7 +364,7 @@ def adaptive(graph: Graph, least: int, most: int, method: Callable | None = None
     """Splits until no cluster is over ``most``, then merges those under ``least``."""
     from .patching import merge_small
 
-    return merge_small(graph, written(hierarchical(graph, most, 2, method), "adaptive"), least)
+    return merge_small(graph, written(hierarchical(graph, most, 2, method, levels), "adaptive"), least)
 
 
 CLUSTERINGS: dict[str, Callable] = {

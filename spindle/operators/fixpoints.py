@@ -6,40 +6,50 @@ sees counts only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import written
+from .joins import join_heavy, ranked
 
 
 def component_labels(graph: Graph) -> DataFrame:
     """(id, label): the smallest id of each node's weak component.
 
     Every node goes to the smallest of itself and its neighbours, and the edges are contracted by
-    that map, until none is left; each round at least halves the nodes that have edges.
+    that map, until none is left; each round at least halves the nodes that have edges.  Hubs are
+    joined apart from the other nodes.
     """
     e = graph.edges.where("src <> dst")
     edges = written(e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "cc-edges")
     maps = []
-    while edges.limit(1).count():
+    while n := edges.count():
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")), "cc-map")
+        step = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to"), F.count("*").alias("n")), "cc-map")
         maps.append(step)
-        pairs = edges.join(step.withColumnRenamed("to", "a"), "u").join(step.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
+        left = join_heavy(edges, step.withColumnRenamed("to", "a"), "u", "n", n).select("a", "v")
+        pairs = join_heavy(left, step.select(F.col("u").alias("v"), F.col("to").alias("b"), "n"), "v", "n", n).where("a <> b")
         edges = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges")
     labels = graph.ids.withColumn("label", F.col("id"))
-    for step in maps:
-        labels = labels.join(step.withColumnRenamed("u", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-    return written(labels, "cc-labels")
+    for k, step in enumerate(maps):
+        if k == 0:  # each node is a label of its own yet
+            labels = written(labels.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "cc-labels")
+            continue
+        held = labels.groupBy("label").agg(F.count("*").alias("held"))
+        to = held.join(step.select(F.col("u").alias("label"), "to"), "label")
+        labels = written(join_heavy(labels, to, "label", "held", labels.count(), "left").select("id", F.coalesce("to", "label").alias("label")), "cc-labels")
+    return labels
 
 
 def components(graph: Graph) -> DataFrame:
     """(id, component): components numbered by size, 0 the largest, ties by smallest id."""
     labels = component_labels(graph)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    rank = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
-    return labels.join(rank.select("label", "component"), "label").select("id", F.col("component").cast("long").alias("component"))
+    rank = ranked(sizes, "component", F.desc("n"), F.asc("label"))
+    return join_heavy(labels, rank, "label", "n", labels.count()).select("id", "component")
 
 
 def largest_component(graph: Graph, relabel: bool = True) -> Graph:
@@ -60,15 +70,19 @@ def bfs(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
         labels = component_labels(graph)
         taken = labels.join(roots, "id", "left_semi").select("label")
         roots = roots.unionAll(labels.where("id = label").join(taken, "label", "left_anti").select("id"))
-    seen = written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "bfs")
-    front, level = seen, 0
+    edges = written(graph.edges.select("src", "dst"), "bfs-edges")
+    degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "bfs-degree")
+    n_edges = edges.count()
+    fronts = [written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "bfs")]
     while True:
-        level += 1
-        step = graph.edges.join(front.select(F.col("id").alias("src"), "root"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("root"), F.min("src").alias("parent"))
-        front = written(step.join(seen.select("id"), "id", "left_anti").select("id", "root", F.lit(level).alias("level"), "parent"), "bfs-front")
+        # Each front is a table of its own: what was seen is their union, and nothing is written twice.
+        seen = reduce(DataFrame.unionAll, fronts)
+        front = fronts[-1].select("id", "root").join(degree, "id").withColumnRenamed("id", "src")
+        step = join_heavy(edges, front, "src", "n", n_edges).groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("root"), F.min("src").alias("parent"))
+        front = written(step.join(seen.select("id"), "id", "left_anti").select("id", "root", F.lit(len(fronts)).alias("level"), "parent"), "bfs-front")
         if not front.limit(1).count():
             return seen
-        seen = written(seen.unionAll(front), "bfs")
+        fronts.append(front)
 
 
 def spanning_forest(graph: Graph, maximise: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..session import written
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def copart(spark, d, least: float = 45.0) -> Graph:
     """Parts that share an order, both directions, weighted by orders; lines of more than ``least`` pieces."""
     x = t(spark, d, "lineitem").where(F.col("l_quantity") > least).select("l_orderkey", "l_partkey").distinct()
     a, b = x.withColumnRenamed("l_partkey", "src"), x.withColumnRenamed("l_partkey", "dst")
-    return Graph.from_edges(a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight")))
+    return Graph.from_edges(written(a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight")), "copart"))
 
 
 COPART = """
