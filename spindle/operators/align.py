@@ -311,6 +311,50 @@ def geometric(members: DataFrame, least: int = 1, epochs: int = 1000, rate: floa
     return recombined(out), out, losses
 
 
+def two_patches_aligned(members: DataFrame, least: int = 1, scale: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(embedding, aligned members) of exactly two patches: the second is turned, scaled and moved onto the first by the moments of their overlap."""
+    m = Moments.of(members, least)
+    if len(m.patches) != 2:
+        raise ValueError(f"two patches are needed, not {len(m.patches)}")
+    ((_, _, _, mi, mj, vi, vj, cov),) = m.pairs
+    u, _, vt = np.linalg.svd(cov.T)  # x_j to x_i
+    turn = u @ vt
+    factor = float(np.sqrt(vi / vj)) if scale and vj > 0 else 1.0
+    rows = [(m.patches[0], 1.0, np.eye(len(mi)).tolist(), [0.0] * len(mi)), (m.patches[1], factor, turn.T.tolist(), (mi - factor * mj @ turn).tolist())]
+    t = members.sparkSession.createDataFrame(rows, "patch_id int, scale double, rotation array<array<double>>, shift array<double>")
+    out = translated(rotated(scaled(members.select("patch_id", "node_id", "coord"), t.select("patch_id", "scale")), t.select("patch_id", "rotation")), t.select("patch_id", "shift"))
+    return recombined(out), out
+
+
+def aligned_iteratively(members: DataFrame, rounds: int = 3, method: str = "l2g", tolerance: float = 1e-9, **options) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(embedding, aligned members, mean overlap distances): aligned again from where the last round ended, until that distance no longer falls."""
+    from ..session import written
+
+    def distance_of(rows: DataFrame) -> float:
+        return float(intersections(rows).select(distance(F.col("a"), F.col("b")).alias("d")).agg(F.avg("d")).first()[0] or 0.0)
+
+    found, best, told = None, members, []
+    for _ in range(rounds):
+        one = local_to_global(best, **options) if method == "l2g" else geometric(best, **options)[:2]
+        aligned = written(one[1], "realigned")
+        told.append(distance_of(aligned))
+        if found is not None and told[-1] >= told[-2] - tolerance:
+            told.pop()
+            break
+        found, best = one[0], aligned
+    return recombined(best), best, told
+
+
+def matrix_diagnostics(m: np.ndarray) -> dict[str, float]:
+    """Condition number, range of eigenvalues, share of zeros and asymmetry of a synchronisation matrix."""
+    values = np.linalg.eigvalsh((m + m.T) / 2)
+    size = np.abs(values)
+    return {
+        "condition": float(size.max() / size.min()) if size.min() > 0 else float("inf"), "least": float(values[0]), "largest": float(values[-1]),
+        "zeros": float((m == 0).mean()), "asymmetry": float(np.abs(m - m.T).max()),
+    }
+
+
 ALIGNERS = {"l2g": lambda m, **o: local_to_global(m, **o)[0], "geo": lambda m, **o: geometric(m, **o)[0]}
 
 

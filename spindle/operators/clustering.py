@@ -112,29 +112,21 @@ def _exact(graph: Graph, f: Callable) -> DataFrame:
     return names.join(found, "pos").select("id", "cluster")
 
 
-def _admitted(asking: DataFrame, room: DataFrame, name: str) -> DataFrame:
-    """Those of ``asking`` (id, to, gain[, size]) that fit: best gain first, ties to the smaller id, up to each cluster's ``room`` (to, room).
+def _admitted(asking: DataFrame, room: DataFrame, parts: int) -> DataFrame:
+    """Those of ``asking`` (id, to, gain, size) that fit: largest gain first, ties to the smaller id, up to each cluster's ``room`` (to, room).
 
-    Gains fall into 256 steps of their range; only the step in which the room ends is ranked row by
-    row, in 64 parts by hash that share what is left.
+    The nodes that ask for a cluster are dealt to ``parts`` tasks by hash, each of which gives away an equal share of the room.
     """
-    asking = written(asking, f"{name}-ask")
-    low, high = asking.agg(F.min("gain"), F.max("gain")).first()
-    if low is None:
-        return asking.select("id", "to")
-    step = F.when(F.lit(high > low), F.floor((F.lit(high) - F.col("gain")) / F.lit(max(high - low, 1e-300)) * 255)).otherwise(F.lit(0)).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(64)).cast("int")
-    asking = asking.withColumns({"step": step, "part": part})
-    cells = asking.groupBy("to", "step", "part").agg(F.sum("size").alias("n"))
-    w = Window.partitionBy("to").orderBy("step", "part")
-    # 256 x 64 rows for each cluster at most.
-    cells = cells.join(F.broadcast(room), "to").withColumn("before", F.sum("n").over(w) - F.col("n")).select("to", "step", "part", "n", F.greatest(F.col("room") - F.col("before"), F.lit(0)).alias("left"))
-    cells = written(cells.where("left > 0"), f"{name}-cells")
-    placed = asking.join(cells, ["to", "step", "part"])
-    fits = placed.where("n <= left").select("id", "to")
-    order = Window.partitionBy("to", "step", "part").orderBy(F.desc("gain"), "id")
-    edge = placed.where("n > left").withColumn("upto", F.sum("size").over(order)).where("upto <= left").select("id", "to")
-    return fits.unionAll(edge)
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int")
+    order = Window.partitionBy("to", "part").orderBy(F.desc("gain"), "id")
+    asked = asking.withColumn("part", part).withColumn("upto", F.sum("size").over(order))
+    return asked.join(F.broadcast(room), "to").where(F.col("upto") <= F.floor(F.col("room") / parts)).select("id", "to")
+
+
+def _loads(state: DataFrame, k: int, most: int) -> DataFrame:
+    """(cluster, load, room): k numbers, by way of the driver."""
+    held = {r["cluster"]: r["n"] for r in state.groupBy("cluster").agg(F.sum("size").alias("n")).collect()}
+    return state.sparkSession.createDataFrame([(c, held.get(c, 0), max(0, most - held.get(c, 0))) for c in range(k)], "cluster long, load long, room long")
 
 
 def fennel(
@@ -145,7 +137,7 @@ def fennel(
 
     In bulk mode nodes may weigh more than one (``node_weights``: id, size) and, if ``weighted``,
     edges count by their weight.  Nodes start in clusters dealt by hash, in which none is over the limit;
-    in each of ``8 + rounds`` rounds half of the nodes ask for the best cluster, and those of
+    in each of ``4 + rounds`` rounds half of the nodes ask for the best cluster, and those of
     the largest gain are let in up to the room there is.
     """
     if mode == "exact":
@@ -160,23 +152,18 @@ def fennel(
     # Dealt in turn by hash order: full clusters differ by the weight of one node at most.
     dealt = ranked(sizes.withColumn("h", F.xxhash64("id")), "at", "h", "id")
     state = written(dealt.select("id", "size", (F.col("at") % k).alias("cluster")), "fennel")
-    table = state.groupBy("cluster").agg(F.sum("size").alias("load"))
-    clusters = graph.edges.sparkSession.range(k).select(F.col("id").alias("cluster"))
-    for step in range(8 + rounds):
-        load = written(clusters.join(table, "cluster", "left").select("cluster", F.coalesce("load", F.lit(0)).alias("load")), "fennel-load")
-        small = k <= 100_000  # a row for each cluster
-        hint = F.broadcast if small else (lambda x: x)
+    parts = max(1, -(-n // 1_000_000))
+    for step in range(4 + rounds):
+        load = _loads(state, k, most)
         near = edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("n"))
-        gain = near.join(hint(load), "cluster").withColumn("gain", F.col("n") - alpha * gamma * F.pow("load", F.lit(gamma - 1)))
-        best = gain.groupBy("id").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"))
-        here = state.join(gain.select("id", "cluster", "gain"), ["id", "cluster"], "left").join(hint(load), "cluster")
-        here = here.select("id", "size", "cluster", F.coalesce("gain", -alpha * gamma * F.pow("load", F.lit(gamma - 1))).alias("stay"))
+        cost = lambda c: alpha * gamma * F.pow(c, F.lit(gamma - 1))
+        gain = near.join(F.broadcast(load), "cluster").join(state.select("id", "size", F.col("cluster").alias("home")), "id").withColumn("gain", F.col("n") - cost(F.col("load")))
+        best = gain.groupBy("id", "size", "home").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("gain"))).alias("own"))
+        stay = F.coalesce("own", -cost(F.col("load")))
+        best = best.join(F.broadcast(load.select(F.col("cluster").alias("home"), "load")), "home").select("id", "size", "home", (-F.col("b.c")).alias("to"), (F.col("b.gain") - stay).alias("gain"))
         turn = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0
-        moves = here.join(best, "id").select("id", "size", "cluster", (-F.col("b.c")).alias("to"), (F.col("b.gain") - F.col("stay")).alias("gain")).where(turn & (F.col("to") != F.col("cluster")) & (F.col("gain") > 1e-12))
-        room = load.select(F.col("cluster").alias("to"), F.greatest(F.lit(0), F.lit(most) - F.col("load")).alias("room"))
-        go = _admitted(moves.select("id", "to", "gain", "size"), room, "fennel")
+        go = _admitted(best.where(turn & (F.col("to") != F.col("home")) & (F.col("gain") > 1e-12)), load.select(F.col("cluster").alias("to"), "room"), parts)
         state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "fennel")
-        table = state.groupBy("cluster").agg(F.sum("size").alias("load"))
     return state.select("id", "cluster")
 
 
@@ -309,7 +296,8 @@ def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1
 def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes: DataFrame, rounds: int = 2) -> DataFrame:
     """``partition`` after rounds in which nodes go where more of their edges' weight lies, largest gain first, up to the load limit."""
     state = written(partition.join(sizes, "id").select("id", "size", "cluster"), "refine")
-    most = int(load_limit * state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / k)
+    n = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(1, -(-n // 1_000_000))
     for step in range(2 * rounds):
         near = graph.edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
         near = near.join(state.select("id", "size", F.col("cluster").alias("home")), "id")
@@ -317,8 +305,7 @@ def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes
         side = lambda c: F.pmod(F.xxhash64(c, F.lit(step)), F.lit(2))
         # Half of the clusters give and the others take, so that neighbours don't swap places.
         moves = best.select("id", "size", "home", (-F.col("b.c")).alias("to"), (F.col("b.w") - F.coalesce("own", F.lit(0.0))).alias("gain")).where((F.col("gain") > 1e-12) & (side(F.col("home")) == 0) & (side(F.col("to")) == 1))
-        load = state.groupBy(F.col("cluster").alias("to")).agg(F.sum("size").alias("load")).select("to", F.greatest(F.lit(most) - F.col("load"), F.lit(0)).alias("room"))
-        go = _admitted(moves.select("id", "to", "gain", "size"), load, "refine")
+        go = _admitted(moves, _loads(state, k, int(load_limit * n / k)).select(F.col("cluster").alias("to"), "room"), parts)
         state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "refine")
     return state.select("id", "cluster")
 

@@ -235,3 +235,18 @@ def thickened(points: DataFrame, step: float = 1.0) -> DataFrame:
     offsets = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)] + [(2, 0), (-2, 0), (0, 2), (0, -2)]
     grid = F.array(*[F.struct(F.lit(x * step).alias("dx"), F.lit(y * step).alias("dy")) for x, y in offsets])
     return points.withColumn("_o", F.explode(grid)).withColumns({"x": F.col("x") + F.col("_o.dx"), "y": F.col("y") + F.col("_o.dy")}).drop("_o")
+
+
+def strength_statistics(members: DataFrame) -> DataFrame:
+    """(community, n, mean, std, least, largest) of memberships' strengths; std is the population's."""
+    x = F.col("strength")
+    return members.groupBy("community").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("largest"))
+
+
+def tree_report(tree: DataFrame) -> DataFrame:
+    """One row of a tree (tree_id, parent_id, level, is_leaf, num_nodes): depth, leaves, their mean and largest size, and branches of inner nodes."""
+    inner = tree.groupBy("parent_id").agg(F.count("*").alias("n")).where("parent_id is not null").agg(F.avg("n").alias("mean_branches"))
+    return tree.agg(
+        F.max("level").alias("depth"), F.count_if("is_leaf").alias("leaves"), F.avg(F.when(F.col("is_leaf"), F.col("num_nodes"))).alias("mean_leaf"),
+        F.max(F.when(F.col("is_leaf"), F.col("num_nodes"))).alias("largest_leaf"), F.count("*").alias("n_tree"),
+    ).join(F.broadcast(inner))

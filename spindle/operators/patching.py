@@ -56,9 +56,10 @@ def connectivity(graph: Graph, partition: DataFrame, conductance_weight: bool =
     q = graph.quotient(partition, self_loops=False).select("src", "dst", "count")
     clusters = partition.select(F.col("cluster").alias("id")).distinct()
     label = component_labels(Graph.from_edges(q, clusters, weight="count"))
-    heads = label.where("id = label").select("id")
-    w = Window.orderBy("id")
-    chain = heads.select("id", F.lead("id").over(w).alias("next")).where("next is not null")
+    from .joins import ranked
+
+    heads = ranked(label.where("id = label").select("id"), "n", "id")
+    chain = heads.join(heads.select((F.col("n") - 1).alias("n"), F.col("id").alias("next")), "n").select("id", "next")
     both = chain.select(F.col("id").alias("src"), F.col("next").alias("dst")).unionAll(chain.select(F.col("next").alias("src"), F.col("id").alias("dst")))
     q = q.unionAll(both.select("src", "dst", F.lit(0).cast("long").alias("count")))
     if not conductance_weight:
@@ -109,12 +110,13 @@ def merge_small(graph: Graph, partition: DataFrame, least: int) -> DataFrame:
     return partition.join(F.broadcast(table), "cluster").select("id", F.col("to").alias("cluster"))
 
 
-def expand(graph: Graph, partition: DataFrame, pairs: DataFrame, least: int, target: int, rounds: int = 50) -> DataFrame:
+def expand(graph: Graph, partition: DataFrame, pairs: DataFrame, least: int, target: int) -> DataFrame:
     """(patch_id, node_id): each part, and what it takes from its neighbours along the edges of ``pairs`` (src, dst).
 
     For a pair (i, j) the nodes of part i that touch part j join patch j; their breadth-first
     surroundings inside part i follow until ``target`` nodes joined, nearest levels and smaller
-    ids first. Where part i has no edge into j, its smallest id is the seed.
+    ids first. Where part i has no edge into j, its smallest id is the seed. Where the search ends
+    with fewer than ``least`` nodes (the part falls into pieces), the part's other nodes fill up.
     """
     p = partition.select(F.col("id").alias("node_id"), F.col("cluster"))
     wanted = pairs.select(F.col("src").alias("i"), F.col("dst").alias("j")).where("i <> j").distinct()
@@ -125,7 +127,7 @@ def expand(graph: Graph, partition: DataFrame, pairs: DataFrame, least: int, tar
     taken = written(seeds.unionByName(bare).withColumn("level", F.lit(0)), "overlap")
     inner = written(graph.clustered(partition).where("cs = cd").select(F.col("cs").alias("i"), "src", "dst").distinct(), "overlap-inner")
     front, level = taken, 0
-    while level < rounds:
+    while True:
         level += 1
         open_ = taken.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") < target)
         step = front.join(open_, ["i", "j"], "left_semi").join(inner, (front["i"] == inner["i"]) & (front["node_id"] == inner["src"])).select(front["i"], "j", F.col("dst").alias("node_id")).distinct()
@@ -133,6 +135,9 @@ def expand(graph: Graph, partition: DataFrame, pairs: DataFrame, least: int, tar
         if not front.limit(1).count():
             break
         taken = written(taken.unionByName(front), "overlap")
+    short = taken.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") < least).select("i", "j")
+    spare = short.join(p.select(F.col("cluster").alias("i"), "node_id"), "i").join(taken.select("i", "j", "node_id"), ["i", "j", "node_id"], "left_anti")
+    taken = taken.unionByName(spare.select("i", "j", "node_id", F.lit(level + 1).alias("level")))
     order = Window.partitionBy("i", "j").orderBy("level", "node_id")
     kept = taken.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(target, least)).select(F.col("j").alias("patch_id"), "node_id")
     return p.select(F.col("cluster").alias("patch_id"), "node_id").unionByName(kept).distinct()
@@ -149,6 +154,42 @@ def create_patches(graph: Graph, partition: DataFrame, min_overlap: int = 10, ta
     return members, overlap_sizes(members)
 
 
+def create_patches_by_size(graph: Graph, size: int, method: str = "fennel", tolerance: float = 0.2, rounds: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+    """Patches of about ``size`` nodes: the number of clusters is corrected up to ``rounds`` times by the mean size reached."""
+    from .clustering import run_clustering
+
+    n = graph.nodes.count()
+    k = max(1, round(n / size))
+    for _ in range(rounds):
+        part = written(run_clustering(graph, k, method), "sized")
+        members, near = create_patches(graph, part, **options)
+        members = written(members, "sized-members")
+        reached = members.count() / max(1, members.select("patch_id").distinct().count())
+        if abs(reached - size) <= tolerance * size or k == 1:
+            break
+        k = max(1, round(k * reached / size))
+    return members, near
+
+
+def create_patch_data(graph: Graph, partition: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The older name of ``create_patches``."""
+    return create_patches(graph, partition, **options)
+
+
+def partition_members(partition: DataFrame, coordinates: DataFrame | None = None) -> DataFrame:
+    """(patch_id, node_id, coord): a partition as patches; coord is null for nodes that ``coordinates`` (node_id, coord) lacks."""
+    members = partition.select(F.col("cluster").alias("patch_id"), F.col("id").alias("node_id"))
+    if coordinates is None:
+        return members.withColumn("coord", F.lit(None).cast("array<double>"))
+    return members.join(coordinates.select("node_id", "coord"), "node_id", "left").select("patch_id", "node_id", "coord")
+
+
+def coordinates_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (patch_id, node_id) with ``found`` and ``coord``: nodes that a patch lacks have none."""
+    held = members.select("patch_id", "node_id", "coord").withColumn("found", F.lit(True))
+    return wanted.join(held, ["patch_id", "node_id"], "left").select("patch_id", "node_id", F.coalesce("found", F.lit(False)).alias("found"), "coord")
+
+
 def patch_parameters(n_nodes: int) -> dict:
     """Patch size, overlap and number that suit a graph of that size."""
     size = 100 if n_nodes < 1000 else 500 if n_nodes < 10_000 else 1000 if n_nodes < 100_000 else 5000

@@ -160,35 +160,6 @@ def exact_sample(spark, d):
 # ---- generators
 
 
-MEMBERS = f"{COPART}, mem AS (SELECT id AS node_id, id % 7 AS community FROM nodes WHERE id % 4 = 0 UNION SELECT id, 7 + id % 5 FROM nodes WHERE id % 8 = 0)"
-
-
-def _members(spark, d):
-    n = copart(spark, d).ids
-    a = n.where("id % 4 = 0").select(F.col("id").alias("node_id"), (F.col("id") % 7).alias("community"))
-    return a.unionAll(n.where("id % 8 = 0").select("id", 7 + F.col("id") % 5)).withColumn("strength", (F.col("node_id") % 10 + 1) / 20)
-
-
-@query("agm_probabilities", f"WITH {MEMBERS}, p AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS k FROM mem x JOIN mem y USING (community) WHERE x.node_id < y.node_id GROUP BY 1, 2) SELECT a, b, round(1 - power(0.7, k), 9) AS p FROM p")
-def agm_probabilities(spark, d):
-    return gn.agm_probabilities(_members(spark, d), 0.3).withColumn("p", F.round("p", 9))
-
-
-@query("osbm_probabilities", f"""WITH {MEMBERS}, mix AS (SELECT a.r AS c, b.r AS d, CASE WHEN a.r = b.r THEN 0.4 ELSE 0.05 END AS p FROM range(12) a(r), range(12) b(r)),
-s AS (SELECT * FROM mem WHERE node_id % 16 = 0) SELECT x.node_id AS a, y.node_id AS b, round(1 - exp(sum(ln(1 - p))), 9) AS p FROM s x JOIN mix ON x.community = c JOIN s y ON y.community = d WHERE x.node_id < y.node_id GROUP BY 1, 2""")
-def osbm_probabilities(spark, d):
-    mix = spark.range(144).select(F.floor(F.col("id") / 12).alias("c"), (F.col("id") % 12).alias("d")).withColumn("p", F.when(F.col("c") == F.col("d"), 0.4).otherwise(0.05))
-    return gn.osbm_probabilities(_members(spark, d).where("node_id % 16 = 0"), mix).withColumn("p", F.round("p", 9))
-
-
-@query("overlap_probabilities", f"""WITH {MEMBERS}, s AS (SELECT *, (node_id % 10 + 1) / 20 AS st FROM mem), p AS (SELECT x.node_id AS a, y.node_id AS b, x.st AS sa, y.st AS sb FROM s x JOIN s y USING (community) WHERE x.node_id < y.node_id)
-SELECT a, b, round(least(1.0, 0.5 * sum(sa * sb)), 9) AS product, round(0.5 * max(least(sa, sb)), 9) AS strongest, round(1 - exp(sum(ln(1 - 0.5 * sa * sb))), 9) AS noisy FROM p GROUP BY 1, 2""")
-def overlap_probabilities(spark, d):
-    m = _members(spark, d)
-    p = lambda how, name: gn.overlap_probabilities(m, how).select("a", "b", F.round("p", 9).alias(name))
-    return p("strength_product", "product").join(p("max_strength", "strongest"), ["a", "b"]).join(p("noisy_or", "noisy"), ["a", "b"])
-
-
 @query("random_community_graph")
 def random_community_graph(spark, d):
     m = gn.memberships(spark, 150, 6)
@@ -219,7 +190,7 @@ def _stats(g, p):
 
 @query("cluster_fennel")
 def cluster_fennel(spark, d):
-    return cl.fennel(copart(spark, d), 8)
+    return cl.fennel(copart(spark, d), 8, mode="exact")
 
 
 @query("cluster_fennel_bulk")
@@ -245,7 +216,7 @@ def cluster_multilevel(spark, d):
 
 @query("cluster_hierarchical")
 def cluster_hierarchical(spark, d):
-    return cl.hierarchical(copart(spark, d), 400, 4)
+    return cl.hierarchical(copart(spark, d), 400, 4, method=lambda g, k: cl.fennel(g, k, mode="exact"))
 
 
 # ---- embeddings

@@ -114,6 +114,129 @@ def exact_sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
+def labelled_only(nodes: DataFrame, label: str = "y") -> DataFrame:
+    """Nodes with a label; the filter reaches the scan."""
+    return nodes.where(F.col(label).isNotNull())
+
+
+def edges_between(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """Edges of which both ends are among ``nodes``."""
+    ids = nodes.select(F.col(key).alias("_known")).distinct()
+    kept = edges.join(ids, F.col("src") == F.col("_known"), "left_semi")
+    return kept.join(ids, F.col("dst") == F.col("_known"), "left_semi")
+
+
+def cached_subset(spark: SparkSession, root: str, parameters: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives for these parameters, written once below ``root`` and read again ever after."""
+    import hashlib
+    import json
+
+    from pyspark.errors import AnalysisException
+
+    path = f"{root.rstrip('/')}/subset-{hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path)
+
+
+# ---- conversions
+
+
+def snapshots(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of the graphs by timestamp: one edge for each (timestamp, src, dst), one node for each (timestamp, id).
+
+    Of several rows the least stays, whole: features are kept, and none is mixed from two rows.
+    """
+
+    def one(rows: DataFrame, keys: list[str]) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        if not rest:
+            return rows.distinct()
+        return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+    e = one(edges, ["timestamp", "src", "dst"])
+    if nodes is None:
+        nodes = e.select("timestamp", F.col("src").alias("id")).unionAll(e.select("timestamp", F.col("dst").alias("id")))
+    return e, one(nodes, ["timestamp", "id"])
+
+
+def frames_of(graphs: list[tuple[int | None, Graph]]) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) tables of graphs with their timestamps, 0 where there is none; columns that a graph lacks are null."""
+    edges = nodes = None
+    for at, g in graphs:
+        e, n = (x.withColumn("timestamp", F.lit(at or 0).cast("long")) for x in (g.edges, g.nodes))
+        edges = e if edges is None else edges.unionByName(e, allowMissingColumns=True)
+        nodes = n if nodes is None else nodes.unionByName(n, allowMissingColumns=True)
+    return edges, nodes
+
+
+def event_stream(edges: DataFrame, features: list[str]) -> DataFrame:
+    """(pos, src, dst, timestamp, msg): edges in the order of time, features as one vector."""
+    from ..operators.joins import ranked
+
+    message = F.array(*[F.col(c).cast("double") for c in features]) if features else F.array().cast("array<double>")
+    return ranked(edges.select("src", "dst", "timestamp", message.alias("msg")), "pos", "timestamp", "src", "dst", "msg")
+
+
+def papers_as_graph(rows: DataFrame) -> Graph:
+    """The graph of a ``subset``: labels are years since 1900, 0 where unknown; no features are made up."""
+    nodes = rows.where("type = 'node'").select("id", F.coalesce(F.col("year") - 1900, F.lit(0)).cast("int").alias("y"))
+    return Graph.from_edges(rows.where("type = 'edge'").select(F.col("source").alias("src"), F.col("target").alias("dst")), nodes)
+
+
+def transaction_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: entities, transactions, share of anomalies, amounts and times."""
+    e = edges.agg(
+        F.count("*").alias("n_edges"), F.avg(F.col("is_anomaly").cast("double")).alias("anomaly_share"), F.sum("btc_amount").alias("total_amount"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+    )
+    return nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(e))
+
+
+# ---- results on disk
+
+#: Column names under which embeddings and labels are looked for, in this order.
+EMBEDDING_NAMES = ("embedding", "embeddings", "X", "x", "features", "data", "coord")
+LABEL_NAMES = ("labels", "y", "Y", "targets", "classes", "label")
+
+
+def read_embedding(spark: SparkSession, path: str, names: tuple[str, ...] = EMBEDDING_NAMES) -> DataFrame:
+    """A Parquet or JSON table with its vectors as ``embedding``."""
+    rows = spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
+    for name in names:
+        if name in rows.columns:
+            return rows.withColumnRenamed(name, "embedding") if name != "embedding" else rows
+    raise KeyError(f"none of {names} among {rows.columns}")
+
+
+def write_embedding(rows: DataFrame, path: str, **facts: str | int | float) -> None:
+    """Vectors as Parquet, and one row of facts about them."""
+    rows.write.mode("overwrite").parquet(f"{path}/embedding")
+    if facts:
+        rows.sparkSession.createDataFrame([tuple(facts.values())], list(facts)).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def results_summary(runs: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """Mean and sample deviation of every measure, and the number of runs."""
+    made = [f(c).alias(f"{c}_{n}") for c in measures for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), *made)
+
+
+def write_results(runs: DataFrame, by: list[str], measures: list[str], path: str) -> None:
+    """raw and summary as CSV with headers."""
+    runs.write.mode("overwrite").option("header", True).csv(f"{path}/raw")
+    results_summary(runs, by, measures).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """(node_id, coord) as CSV, a column for each dimension."""
+    width = points.agg(F.max(F.size("coord"))).first()[0] or 0
+    rest = [c for c in points.columns if c != "coord"]
+    points.select(*rest, *[F.get("coord", F.lit(k)).alias(f"dim_{k}") for k in range(width)]).write.mode("overwrite").option("header", True).csv(path)
+
+
 # ---- subsets of a citation graph: papers (id, year, field), citations (src, dst)
 
 
@@ -154,10 +277,12 @@ def subset_statistics(rows: DataFrame) -> DataFrame:
 def transactions(spark: SparkSession, entities: int = 1000, n: int = 5000, seed: int = 42, start: int = 1_500_000_000) -> tuple[DataFrame, DataFrame]:
     """Entities with types and transactions with lognormal amounts, a twentieth of them anomalous."""
     u = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(m))
+    flat = lambda k: (u(k, 1 << 40).cast("double") + 0.5) / float(1 << 40)
+    normal = lambda k: F.sqrt(-2 * F.log(flat(k))) * F.cos(2 * F.pi() * flat(k + 1))
     nodes = spark.range(entities).select("id", u(1, 5).cast("int").alias("entity_type_id"), (u(2, 10) < 3).cast("int").alias("is_labeled"), (F.lit(start) + u(3, 86400 * 365)).alias("timestamp"))
     edges = spark.range(n).select(
         u(4, entities).alias("src"), u(5, entities).alias("dst"), (F.lit(start) + u(6, 86400 * 365)).alias("timestamp"),
-        F.exp(F.randn(seed)).alias("btc_amount"), (u(7, 20) == 0).cast("int").alias("is_anomaly"), F.col("id").alias("transaction_id"),
+        F.exp(normal(8)).alias("btc_amount"), (u(7, 20) == 0).cast("int").alias("is_anomaly"), F.col("id").alias("transaction_id"),
     ).withColumn("usd_amount", F.col("btc_amount") * 30000.0)
     return edges, nodes
 

@@ -66,6 +66,78 @@ def memberships(spark: SparkSession, n: int, communities: int, p: float = 0.3, s
     return kept.withColumn("strength", s)
 
 
+def community_sizes(n: int, communities: int, how: str = "uniform", seed: int = 0) -> list[int]:
+    """Sizes that sum to n: uniform, poisson, power_law or bernoulli (each node picks one)."""
+    rng = np.random.default_rng(seed)
+    if how == "bernoulli":
+        return rng.multinomial(n, np.full(communities, 1 / communities)).tolist()
+    raw = {"uniform": np.ones(communities), "poisson": rng.poisson(n / communities, communities) + 1.0, "power_law": (np.arange(communities) + 1.0) ** -1.5}[how]
+    edges = np.round(np.cumsum(raw) / raw.sum() * n).astype(int)
+    return np.diff(np.r_[0, edges]).tolist()
+
+
+def sized_memberships(spark: SparkSession, sizes: list[int], overlap: float = 0.1, seed: int = 0) -> DataFrame:
+    """(node_id, community, strength): planted communities of given sizes; with odds ``overlap`` a node joins the next one too, at half strength."""
+    ends = np.cumsum(sizes)
+    table = F.array(*[F.lit(int(e)) for e in ends])
+    own = F.size(F.filter(table, lambda e: e <= F.col("id")))
+    base = spark.range(int(ends[-1])).select(F.col("id").alias("node_id"), own.cast("long").alias("community"))
+    more = base.where(uniform("node_id", seed=seed) < overlap).select("node_id", F.pmod(F.col("community") + 1, F.lit(len(sizes))).alias("community"), F.lit(0.5).alias("strength"))
+    return base.withColumn("strength", F.lit(1.0)).unionByName(more).dropDuplicates(["node_id", "community"])
+
+
+def grown_memberships(spark: SparkSession, n: int, communities: int, joins: int = 2, seed: int = 0) -> DataFrame:
+    """Grown by preference: a node's j-th choice copies the community of an earlier node (with odds 0.8), else picks any.
+
+    A node copies a node of at most half its number, so chains of copies are resolved in log2(n) rounds of joins.
+    """
+    from ..session import written
+
+    picks = spark.range(n).select(F.col("id").alias("node_id"), F.explode(F.sequence(F.lit(0), F.lit(joins - 1))).alias("j"))
+    free = (F.col("node_id") < communities) | (uniform("node_id", "j", seed=seed) >= 0.8)
+    own = F.floor(uniform("node_id", "j", seed=seed + 1) * communities).cast("long")
+    earlier = F.floor(uniform("node_id", "j", seed=seed + 2) * (F.col("node_id") + 1) / 2).cast("long")
+    state = written(picks.select("node_id", "j", F.when(free, own).alias("community"), F.when(~free, earlier).alias("of")), "grown")
+    while state.where("community is null").limit(1).count():
+        known = state.select(F.col("node_id").alias("of"), "j", F.col("community").alias("c2"), F.col("of").alias("of2"))
+        step = state.where("community is null").join(known, ["of", "j"]).select("node_id", "j", F.col("c2").alias("community"), F.col("of2").alias("of"))
+        state = written(state.where("community is not null").unionByName(step), "grown")
+    return state.select("node_id", "community").distinct().withColumn("strength", F.lit(1.0))
+
+
+def roc_probabilities(members: DataFrame, nodes: DataFrame, p_in: float, p_out: float) -> DataFrame:
+    """(a, b, p): pairs that share a community have ``p_in``. All other pairs have ``p_out``, which ``drawn`` takes as its background."""
+    if not 0 <= p_out <= p_in <= 1:
+        raise ValueError("0 <= p_out <= p_in <= 1 is needed")
+    return community_pairs(members).select("a", "b").distinct().withColumn("p", F.lit(p_in))
+
+
+def roc_memberships(spark: SparkSession, n: int, communities: int, double: float = 0.3, seed: int = 0) -> DataFrame:
+    """Each node is in one random community, with odds ``double`` in another one too."""
+    first = F.floor(uniform("id", seed=seed) * communities).cast("long")
+    other = F.pmod(first + 1 + F.floor(uniform("id", seed=seed + 1) * (communities - 1)).cast("long"), F.lit(communities))
+    both = F.when(uniform("id", seed=seed + 2) < double, F.array(first, other)).otherwise(F.array(first))
+    return spark.range(n).select(F.col("id").alias("node_id"), F.explode(both).alias("community")).withColumn("strength", F.lit(1.0))
+
+
+def community_embeddings(members: DataFrame, communities: int, dim: int = 2, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """(node_id, coord): around its community's place on a circle; a node of several lies at their mean."""
+    angle = 2 * np.pi * F.col("community") / communities
+    place = F.array(F.cos(angle), F.sin(angle), *[F.lit(0.0)] * (dim - 2))
+    each = members.select("node_id", F.posexplode(place).alias("p", "v")).groupBy("node_id", "p").agg(F.avg("v").alias("v"))
+    z = F.sqrt(-2 * F.log(uniform("node_id", "p", seed=seed))) * F.cos(2 * np.pi * uniform("node_id", "p", seed=seed + 1))
+    out = each.withColumn("v", F.col("v") + noise * z) if noise else each
+    return out.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("coord"))
+
+
+def standard_suite(spark: SparkSession, seed: int = 0) -> dict[str, Graph]:
+    """Three test graphs: agm of 150 nodes and 6 communities, osbm of 120 and 5, roc of 200 and 8."""
+    m = {"agm": memberships(spark, 150, 6, seed=seed), "osbm": memberships(spark, 120, 5, seed=seed), "roc": roc_memberships(spark, 200, 8, seed=seed)}
+    mixing = spark.range(25).select(F.floor(F.col("id") / 5).alias("c"), (F.col("id") % 5).alias("d")).withColumn("p", F.when(F.col("c") == F.col("d"), 0.4).otherwise(0.05))
+    p = {"agm": agm_probabilities(m["agm"], 0.3), "osbm": osbm_probabilities(m["osbm"], mixing), "roc": roc_probabilities(m["roc"], m["roc"], 0.3, 0.02)}
+    return {k: drawn(p[k], m[k].select("node_id").distinct(), 0.02 if k != "osbm" else 0.0, seed) for k in m}
+
+
 def community_pairs(members: DataFrame) -> DataFrame:
     """Pairs a < b with each community they share: an equi-join on the community."""
     a, b = members.select("community", F.col("node_id").alias("a"), F.col("strength").alias("sa")), members.select("community", F.col("node_id").alias("b"), F.col("strength").alias("sb"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,10 @@ def step(state: DataFrame | None, batch: DataFrame, n: int, k: int, load_limit:
 
 def assign_rest(nodes: DataFrame, state: DataFrame, k: int) -> DataFrame:
     """Nodes without edges are dealt over the clusters."""
-    free = nodes.select("id").join(state, "id", "left_anti")
-    return state.select("id", "cluster").unionByName(free.select("id", F.pmod(F.row_number().over(Window.orderBy("id")) - 1, F.lit(k)).cast("long").alias("cluster")))
+    from ..operators.joins import ranked
+
+    free = ranked(nodes.select("id").join(state, "id", "left_anti"), "n", "id")
+    return state.select("id", "cluster").unionByName(free.select("id", F.pmod("n", F.lit(k)).cast("long").alias("cluster")))
 
 
 def partition_stream(stream: DataFrame, path: str, n: int, k: int, load_limit: float = 1.1, checkpoint: str | None = None):
@@ -68,6 +70,60 @@ def partition_stream(stream: DataFrame, path: str, n: int, k: int, load_limit: f
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint or f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
+def write_stream_patches(edges: DataFrame, state: DataFrame, path: str, overlap: bool = True) -> DataFrame:
+    """Patches of a partitioned stream below ``path``: clusters, both directions of the edges, and each patch's nodes and edges.
+
+    With ``overlap`` a patch also holds the nodes just across its border, so that patches that
+    touch share nodes. Returns the patch graph (src, dst, n): shared nodes of every pair.
+    """
+    from ..operators.patching import overlap_sizes
+    from ..session import written
+
+    both = written(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "stream-edges")
+    own = state.select(F.col("cluster").alias("patch_id"), F.col("id").alias("node_id"))
+    members = own
+    if overlap:
+        border = both.join(state.select(F.col("id").alias("src"), F.col("cluster").alias("patch_id")), "src").select("patch_id", F.col("dst").alias("node_id"))
+        members = own.unionByName(border).distinct()
+    members = written(members, "stream-members")
+    inner = both.join(members.withColumnRenamed("node_id", "src"), "src").join(members.withColumnRenamed("node_id", "dst"), ["patch_id", "dst"]).select("patch_id", "src", "dst")
+    both.write.mode("overwrite").parquet(f"{path}/edges")
+    state.select("id", "cluster").write.mode("overwrite").parquet(f"{path}/clusters")
+    members.write.mode("overwrite").partitionBy("patch_id").parquet(f"{path}/members")
+    inner.write.mode("overwrite").partitionBy("patch_id").parquet(f"{path}/patch_edges")
+    return overlap_sizes(members).select(F.col("i").alias("src"), F.col("j").alias("dst"), "n")
+
+
+class LazyPatch:
+    """One patch of those that ``write_stream_patches`` wrote; its tables are read when they are asked for."""
+
+    def __init__(self, spark: SparkSession, path: str, patch_id: int):
+        self.spark, self.path, self.patch_id = spark, path, patch_id
+
+    def _part(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("patch_id") == self.patch_id).drop("patch_id")
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._part("members").select("node_id")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._part("patch_edges")
+
+    @property
+    def coordinates(self) -> DataFrame:
+        rows = self._part("members")
+        if "coord" not in rows.columns:
+            raise ValueError("this patch was written without coordinates")
+        return rows.select("node_id", "coord")
+
+    def graph(self):
+        from ..graph import Graph
+
+        return Graph.from_edges(self.edges, self.nodes.select(F.col("node_id").alias("id")))
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     (batch,) = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()
     return spark.read.parquet(f"{path}/state{batch}")
