@@ -290,7 +290,7 @@ def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1
     for finer, sizes, step in reversed(levels):
         part = written(step.join(part.select(F.col("id").alias("cluster"), F.col("cluster").alias("c")), "cluster").select("id", F.col("c").alias("cluster")), "multilevel")
         part = refined(finer, part, k, load_limit, sizes, refine)
-    return part
+    return part if node_weights is not None else balanced(part, k, load_limit)
 
 
 def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes: DataFrame, rounds: int = 2) -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner", parts: int = 500) -> DataFrame:
+def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner", parts: int = 500, small: int = 200_000) -> DataFrame:
     """``left`` with ``right``, a row for each ``key`` and the ``count`` of left rows that hold it.
 
     A key with over a ``parts``-th of the ``total`` left rows is heavy; there are at most ``parts``
-    of them, which are broadcast, so that a hub's rows stay where they are.
+    of them, which are broadcast, so that a hub's rows stay where they are.  Up to ``small`` left
+    rows fit a task, whatever their keys, and are joined at once.
     """
+    if total <= small:
+        return left.join(right.drop(count), key, how)
     least = max(1000, total // parts)
     own = [c for c in right.columns if c not in (key, count)]
     heavy = F.broadcast(right.where(F.col(count) > least).drop(count).withColumn("_heavy", F.lit(1)))

@@ -169,11 +169,12 @@ def agm_probabilities(spark, d):
     return gn.agm_probabilities(_members(spark, d), 0.3).withColumn("p", F.round("p", 9))
 
 
-@query("overlap_probabilities", f"""{PAIRS} SELECT a, b, round(least(1.0, 0.5 * sum(sa * sb)), 9) AS product, round(0.5 * max(least(sa, sb)), 9) AS strongest, round(1 - exp(sum(ln(1 - 0.5 * sa * sb))), 9) AS noisy FROM p GROUP BY 1, 2""")
+@query("overlap_probabilities", f"""{PAIRS} SELECT a, b, round(least(1.0, 0.5 * sum(sa * sb)), 9) AS product, round(0.5 * max(least(sa, sb)), 9) AS strongest, round(1 - exp(sum(ln(1 - 0.5 * sa * sb))), 11) AS noisy FROM p GROUP BY 1, 2""")
 def overlap_probabilities(spark, d):
     m = _members(spark, d)
     p = lambda how, name: gn.overlap_probabilities(m, how).select("a", "b", F.round("p", 9).alias(name))
-    return p("strength_product", "product").join(p("max_strength", "strongest"), ["a", "b"]).join(p("noisy_or", "noisy"), ["a", "b"])
+    out = p("strength_product", "product").join(p("max_strength", "strongest"), ["a", "b"])
+    return out.join(gn.overlap_probabilities(m, "noisy_or").select("a", "b", F.round("p", 11).alias("noisy")), ["a", "b"])
 
 
 @query("osbm_probabilities", """WITH mem AS (SELECT n_nationkey AS node_id, CAST(n_regionkey AS BIGINT) AS community FROM nation UNION SELECT n_nationkey, 5 + CAST(n_nationkey % 5 AS BIGINT) FROM nation),

@@ -185,3 +185,58 @@ def test_entry_runs_without_the_corpus_package(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_heavy_joins_and_ranks(spark):
+    """A hub of half of the rows is joined apart with the same result; ranks run over all ranges."""
+    from spindle.operators.joins import join_heavy, ranked
+
+    rows = [(0 if i % 2 else i, i) for i in range(6000)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    right = left.where("k % 3 = 0").groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", F.col("k") * 2)
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right.select("k", "w"), "k", how).collect()), key=repr)
+        got = join_heavy(left, right, "k", "n", 6000, how, parts=3, small=0).select("k", "v", "w")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    placed = ranked(left, "pos", F.desc("k"), F.asc("v")).collect()
+    assert [r.v for r in sorted(placed, key=lambda r: r.pos)] == [v for _, v in sorted(rows, key=lambda r: (-r[0], r[1]))]
+    assert sorted(r.pos for r in placed) == list(range(6000)) and ranked(left.where("k < 0"), "pos", "k").count() == 0
+
+
+def test_bulk_fennel_keeps_loads_with_weights(spark):
+    from spindle.graph import Graph
+    from spindle.operators.clustering import fennel, multilevel
+
+    edges = [(a, b) for g in range(4) for a in range(g * 20, g * 20 + 20) for b in range(g * 20, g * 20 + 20) if a != b] + [(i, (i + 20) % 80) for i in range(0, 80, 10)]
+    g = Graph.from_edges(spark.createDataFrame(edges + [(b, a) for a, b in edges[-8:]], "src long, dst long"))
+    for part in (fennel(g, 4), multilevel(g, 4, coarsest=20)):
+        size = [r["n"] for r in part.groupBy("cluster").agg(F.count("*").alias("n")).collect()]
+        assert sum(size) == 80 and max(size) <= 24
+    heavy = g.ids.withColumn("size", F.when(F.col("id") == 0, 15).otherwise(1))
+    load = fennel(g, 4, node_weights=heavy).join(heavy, "id").groupBy("cluster").agg(F.sum("size").alias("n")).collect()
+    assert sum(r["n"] for r in load) == 94 and max(r["n"] for r in load) <= 94 // 4 + 1 + 15
+
+
+def test_conversions_and_sinks(spark, tmp_path):
+    from spindle.graph import Graph
+    from spindle.sources import datasets as ds
+    from spindle.sources import generators as gn
+    from spindle.streaming.partitioner import LazyPatch, write_stream_patches
+
+    e = spark.createDataFrame([(1, 0, 1, 2.0), (1, 0, 1, 1.0), (2, 1, 0, 3.0)], "timestamp long, src long, dst long, f double")
+    edges, nodes = ds.snapshots(e)
+    assert sorted(map(tuple, edges.collect())) == [(1, 0, 1, 1.0), (2, 1, 0, 3.0)] and nodes.count() == 4
+    ds.write_points(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0])], "node_id long, coord array<double>"), str(tmp_path / "p"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "p")).collect()), key=repr) == [("1", "1.0", "2.0"), ("2", "3.0", None)]
+    runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "method string, accuracy double")
+    ds.write_results(runs, ["method"], ["accuracy"], str(tmp_path / "r"))
+    assert {(r.method, r.accuracy_mean) for r in spark.read.option("header", True).csv(str(tmp_path / "r/summary")).collect()} == {("a", "2.0"), ("b", "5.0")}
+    state = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, cluster long")
+    write_stream_patches(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), state, str(tmp_path / "s"))
+    patch = LazyPatch(spark, str(tmp_path / "s"), 1)
+    assert {r.node_id for r in patch.nodes.collect()} == {1, 2} and patch.graph().edges.count() == 2
+    assert [sum(gn.community_sizes(100, 7, how)) for how in ("uniform", "poisson", "power_law", "bernoulli")] == [100] * 4
+    grown = gn.grown_memberships(spark, 200, 5)
+    assert grown.where("community is null or community < 0 or community >= 5").count() == 0 and grown.select("node_id").distinct().count() == 200
+    assert set(gn.standard_suite(spark)) == {"agm", "osbm", "roc"}
+    assert ds.transactions(spark)[0].where("btc_amount is null or btc_amount <= 0").count() == 0
