@@ -18,7 +18,7 @@ the query's lists goes to the query's task, which merges them.
 Size is kept in hand like this:
 * equal sets are one class, found by a 128-bit fingerprint, so exact copies never form pairs;
 * classes sharing a min-hash are first compared with one of them only, in ``LEADERS`` rounds,
-  which joins nearly all near copies; a list whose sets are all joined already needs no further pairs;
+  which joins most near copies; a list whose sets are all joined already needs no further pairs;
 * a list of over ``BLOCK`` sets is cut by set size, so that only sizes that can link meet, and
   then dealt by pairs of blocks over many tasks; a query's candidates are dealt by ``SPAN``.
 
@@ -45,7 +45,7 @@ SLICES = 16
 BLOCK = 512
 SPAN = 100_000  # classes that the candidates of one merge lie among, on average
 KEYS = 4
-LEADERS = 2  # rounds of first comparisons
+LEADERS = 1  # rounds of first comparisons
 SHORT = 2  # occurrences asked of the short lists
 CHUNK_BYTES = 8 << 20
 SIGNATURE = 512
@@ -342,8 +342,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     texts = base.where("_id is not null")
     n_reps = reps.count()
     # First comparisons: with one set of each min-hash, the smallest row (originals tend to come
-    # before their copies); then with another, for those that are still apart from it.
-    keyed = staged(reps.select("cls", "n", "signature", F.struct("_id", "h").alias("first"), F.posexplode("mins").alias("at", "key")), "jaccard-mins")
+    # before their copies); in further rounds with another, for those that are still apart from it.
+    keyed = reps.select("cls", "n", "signature", F.struct("_id", "h").alias("first"), F.posexplode("mins").alias("at", "key"))
     early, labels = None, None
     for turn in range(LEADERS):
         rank = F.col("first") if turn == 0 else F.xxhash64("cls", F.lit(turn))
