@@ -58,13 +58,16 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, rig
     return left.withColumn("_salt", salt).join(dealt, [*on, "_salt"], how).drop("_salt")
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner", parts: int = 1000, most: int | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which has a row for each key with the ``count`` of left rows that hold it.
 
     Keys with over a ``parts``-th of the ``total`` left rows are at most ``parts`` many, so they are
     broadcast; no key of the rest is large enough to weigh down a task of the shuffle join.
+    Without such keys (``most`` is the largest count, if known) one shuffle join does: ``left`` is read once.
     """
-    least = max(2, total // parts)
+    least = max(1000, total // parts)
+    if min(total, total if most is None else most) <= least:
+        return left.join(right.drop(count), on, how)
     heavy = right.where(F.col(count) > least).drop(count).withColumn("_heavy", F.lit(True))
     light = right.where(F.col(count) <= least).drop(count)
     marked = left.join(F.broadcast(heavy), on, "left")
@@ -85,8 +88,9 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = staged(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to"), F.count("*").alias("n")), f"{name}-m")
         maps.append(step.select("u", "to"))
-        left = join_counted(edges, step, ["u"], "n", n).select(F.col("to").alias("a"), F.col("v").alias("u"))
-        pairs = join_counted(left, step, ["u"], "n", n).select(F.col("a"), F.col("to").alias("b")).where("a <> b")
+        most = step.agg(F.max("n")).first()[0]
+        left = join_counted(edges, step, ["u"], "n", n, most=most).select(F.col("to").alias("a"), F.col("v").alias("u"))
+        pairs = join_counted(left, step, ["u"], "n", n, most=most).select(F.col("a"), F.col("to").alias("b")).where("a <> b")
         edges = staged(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), f"{name}-e")
     if not maps:
         return spark.createDataFrame([], "node long, label long")

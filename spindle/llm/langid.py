@@ -156,10 +156,11 @@ def identify(
     own = F.array(*[F.when(F.col("_top") == i + 1, 1.0).otherwise(0.0) for i in range(k)])
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     others = lambda c: F.zip_with(c, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    shares = F.array(*[F.lit(float(x)) for x in overall])
+    # One column a level: an expression that holds the level above twice would double with every level.
+    out = out.withColumn("_shares", F.array(*[F.lit(float(x)) for x in overall]))
     for level in ("_c3", "_c2", "_c1"):
-        shares = F.when(F.col(level).isNotNull(), _smoothed(others(F.col(level)), shares, kappa)).otherwise(shares)
-    prior = F.transform(shares, lambda p: F.log(F.greatest(p, F.lit(1e-9))))
+        out = out.withColumn("_met", others(F.col(level))).withColumn("_shares", F.when(F.col(level).isNotNull(), _smoothed(F.col("_met"), F.col("_shares"), kappa)).otherwise(F.col("_shares")))
+    prior = F.transform("_shares", lambda p: F.log(F.greatest(p, F.lit(1e-9))))
     sizes = F.zip_with(F.array(*[F.lit(x) for x in by_lang]), own, lambda s, y: F.greatest(s - y, F.lit(0.0)))
 
     def spoken(name: str) -> Column:
