@@ -139,7 +139,7 @@ def identify(
         return scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*one_hot).alias("c"), *more)
 
     total, shares = scored.agg(F.count("*"), _smoothed(F.array(*one_hot), flat, kappa)).first()
-    overall = list(shares) if shares else [1.0 / k] * k
+    overall = list(shares) if total else [1.0 / k] * k
     domains = counted("_domain", "_suffix").join(counted("_suffix").select("_suffix", F.col("c").alias("_c3")), "_suffix", "left")
     hosts = counted("_host", "_domain").join(domains.select("_domain", F.col("c").alias("_c2"), "_c3"), "_domain", "left")
     hosts = staged(hosts.select("_host", "n", F.col("c").alias("_c1"), "_c2", "_c3"), "lang-hosts")
