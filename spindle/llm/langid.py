@@ -51,6 +51,11 @@ def _counts(table: pa.Table) -> pa.Table:
     return pa.table({"_lang": table.column("_lang")[:1], "_part": table.column("_part")[:1], "cells": [total.astype("<i8").tobytes()]})
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(cells, "<i8") for cells in table.column("cells").to_pylist())
+    return pa.table({"_lang": table.column("_lang")[:1], "cells": [total.astype("<i8").tobytes()]})
+
+
 def fit_text_model(docs: DataFrame, text_col: str = "text", label_col: str = "lang", train_rows: int = 2000) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [cell, language]) from at most ``train_rows`` rows a language.
 
@@ -63,7 +68,9 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", label_col: str = "la
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_rows / n)))])
     u = F.pmod(F.xxhash64(F.col(text_col), F.lit(3)), F.lit(1 << 20)) / (1 << 20)
     taken = base.where(u < F.element_at(share, F.col(label_col))).select(F.col(label_col).alias("_lang"), F.pmod(F.xxhash64(text_col), F.lit(8)).cast("int").alias("_part"), F.col(text_col).alias("_text"))
-    parts = taken.groupBy("_lang", "_part").applyInArrow(_counts, "_lang string, _part int, cells binary").collect()
+    # Summed again by language before they leave the executors: the driver gets one table of cells a language.
+    parts = taken.groupBy("_lang", "_part").applyInArrow(_counts, "_lang string, _part int, cells binary")
+    parts = parts.groupBy("_lang").applyInArrow(_summed, "_lang string, cells binary").collect()
     langs = sorted(sizes)
     total = np.zeros((CELLS, len(langs)))
     for r in parts:
@@ -130,28 +137,45 @@ def identify(
     scored = scored.withColumn("_text_ll", F.transform("_ll", lambda x: F.greatest(F.lit(-text_most), (x - best) * text_weight)))
     top = F.when(F.array_max("_ll") < 0, F.array_position("_ll", F.array_max("_ll")).cast("int"))
     scored = staged(scored.withColumn("_top", top).drop("_ll"), "lang-text")
+    held.destroy()  # the likelihoods are written
     one_hot = [F.sum(F.when(F.col("_top") == i + 1, 1.0).otherwise(0.0)) for i in range(k)]
-    flat = F.array(*[F.lit((1 - noise_prior) / max(k - 1, 1))] * (k - 1), F.lit(noise_prior))
 
     def counted(key: str, above: str | None = None) -> DataFrame:
         """(key, n, c[, above]): rows and verdicts for each value of ``key``."""
         more = [F.min(above).alias(above)] if above else []
         return scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array(*one_hot).alias("c"), *more)
 
-    total, shares = scored.agg(F.count("*"), _smoothed(F.array(*one_hot), flat, kappa)).first()
-    overall = list(shares) if total else [1.0 / k] * k
-    domains = counted("_domain", "_suffix").join(counted("_suffix").select("_suffix", F.col("c").alias("_c3")), "_suffix", "left")
-    hosts = counted("_host", "_domain").join(domains.select("_domain", F.col("c").alias("_c2"), "_c3"), "_domain", "left")
-    hosts = staged(hosts.select("_host", "n", F.col("c").alias("_c1"), "_c2", "_c3"), "lang-hosts")
-    # P(declared | language), P(suffix | language): columns of the same counts, smoothed by the value's share of all rows.
-    by_lang = [float(x or 0) for x in scored.agg(*one_hot).first()]
+    total, *by_lang = scored.agg(F.count("*"), *one_hot).first()
+    by_lang = [float(x or 0) for x in by_lang]
+    flat = [(1 - noise_prior) / max(k - 1, 1)] * (k - 1) + [noise_prior]
+    overall = [(c + kappa * p) / (sum(by_lang) + kappa) for c, p in zip(by_lang, flat)] if total else [1.0 / k] * k
 
     def likelihood(key: str, name: str) -> DataFrame:
+        """P(key | language): columns of the same counts, smoothed by the value's share of all rows."""
         return staged(counted(key).select(key, "n", F.col("c").alias(name), (F.col("n") / F.lit(float(max(total, 1)))).alias(f"{name}_share")), f"lang{key}")
 
+    # What rows don't have at all needs no tables: levels and likelihoods of columns that aren't given stay null.
+    null = F.lit(None).cast("array<double>")
+    above = counted("_domain", "_suffix").withColumn("_c3", null)
+    if suffix_col:
+        above = above.drop("_c3").join(counted("_suffix").select("_suffix", F.col("c").alias("_c3")), "_suffix", "left")
+    sides = []
+    if host_col:
+        hosts = counted("_host", "_domain").join(above.select("_domain", F.col("c").alias("_c2"), "_c3"), "_domain", "left")
+        sides.append(("_host", staged(hosts.select("_host", "n", F.col("c").alias("_c1"), "_c2", "_c3"), "lang-hosts")))
+    for given, key, name in ((declared_col, "_declared", "_from_declared"), (suffix_col, "_suffix", "_from_suffix")):
+        if given:
+            sides.append((key, likelihood(key, name)))
     out = scored
-    for key, side in (("_host", hosts), ("_declared", likelihood("_declared", "_from_declared")), ("_suffix", likelihood("_suffix", "_from_suffix"))):
-        out = join_counted(out, side, [key], "n", max(total, 1), "left")
+    for key, side in sides:
+        # Few values (20,000 rows of counts are some MB) go to every task; else hot ones part from the rest.
+        out = out.join(F.broadcast(side.drop("n")), key, "left") if side.count() <= 20_000 else join_counted(out, side, [key], "n", max(total, 1), "left")
+    for name in ("_c1", "_c2", "_c3", "_from_declared", "_from_suffix"):
+        if name not in out.columns:
+            out = out.withColumn(name, null)
+    for name in ("_from_declared_share", "_from_suffix_share"):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast("double"))
     zeros = F.array(*[F.lit(0.0)] * k)
     own = F.array(*[F.when(F.col("_top") == i + 1, 1.0).otherwise(0.0) for i in range(k)])
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
