@@ -424,19 +424,24 @@ def contaminated(
     if len(told) > most_words:
         raise ValueError(f"the benchmark has {len(told)} distinct words, over {most_words}: split it")
     codes_of = {w: i + 1 for i, w in enumerate(told)}
-    coded = staged(rows.mapInArrow(_code(share(codes_of)), CODED), "benchmark-words")
+    sent = [share(codes_of)]
+    coded = staged(rows.mapInArrow(_code(sent[0]), CODED), "benchmark-words")
     used, feature_of = np.unique(np.array([xxhash.xxh3_64_intdigest(w) % FEATURES for w in told], np.int64), return_inverse=True)
     m = len(used)
     items = [(i, np.array([codes_of[w] for w in words], np.int64), [codes_of[w] for w in answer]) for i, words, answer in got]
     features = [feature_of[words - 1] for _, words, _ in items]
     fixed = {"feature_of": feature_of, "m": m, "n_codes": len(told)}
-    df = _summed(coded, _frequencies(share(fixed), unit), 1)[:, 0]
+    sent.append(share(fixed))
+    df = _summed(coded, _frequencies(sent[-1], unit), 1)[:, 0]
     df, n = (df[:-1], df[-1]) if len(df) else (np.zeros(m), 0.0)
     keep, weight, other = kept_features(features, df, n, stop_share, least_terms)
     fixed |= {"keep": keep, "weight": weight, "other": other}
     width = min(m, rank + 16)
     omega = np.random.default_rng(seed).standard_normal((m, width))
-    g = _summed(coded, _gram(share(fixed), unit), width, then=_times_omega(share({"omega": omega})))
+    sent += [share(fixed), share({"omega": omega})]
+    g = _summed(coded, _gram(sent[-2], unit), width, then=_times_omega(sent[-1]))
+    for used_up in sent:
+        used_up.destroy()  # all that needed them is written or summed
     if not len(g):
         g = np.zeros((m, width))
 
