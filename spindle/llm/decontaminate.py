@@ -226,7 +226,8 @@ def _gram(held, unit: int):
                 keys.append(a * m + b)
                 values.append(weight[a] * weight[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
                 waiting += len(same)
-            if waiting > 4_000_000:
+            # Merged in proportion to the pairs held so far: sorting takes several times the memory of what waits.
+            if waiting > max(1_000_000, len(keys[0])):
                 k, v = _merged(keys, values)
                 keys, values, waiting = [k], [v], 0
         if keys:
@@ -251,7 +252,7 @@ def _times_omega(held):
         k, v = _merged([np.cumsum(g[0].astype(np.int64)) + edges[s] * m for g in got], [g[1] for g in got])
         row, col = k // m, k % m
         g = np.zeros((m, w.shape[1]), np.float32)
-        step = max(16, (1 << 24) // m)
+        step = max(16, (1 << 22) // m)
         for first in range(edges[s], edges[s + 1], step):
             last = min(first + step, edges[s + 1])
             a, b = np.searchsorted(row, [first, last])
