@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -35,6 +36,14 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(schema: T.StructType, **fields: str) -> T.StructType:
+    """A new schema with more fields behind those of ``schema``."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
 def partitions_for(n_bytes: int, each: int = 32 << 20, least: int = 6) -> int:
     return int(max(least, -(-n_bytes // each)))
 
@@ -104,6 +113,7 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: very long texts must not pile up in one."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of few rows and bytes: very long texts must not pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
