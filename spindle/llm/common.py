@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; tests, which leave that unset, get one of the machine's."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spindle-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -84,6 +86,27 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, t
     return marked.where("_heavy").drop("_heavy").unionByName(marked.where("_heavy is null").drop("_heavy", *own).join(light, on, how))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as no column of ``df`` has: helpers never take a caller's column."""
+    head = "_"
+    while any(c.lower().startswith(head) for c in df.columns):
+        head += "_"
+    return [head + n for n in names]
+
+
+def same_row(docs: DataFrame, other: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Condition on a side (_id, h) of ids and text hashes: rows of one id are told apart by their texts, null ids are equal."""
+    return docs[id_col].cast("long").eqNullSafe(other["_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(other["h"])
+
+
+def rows_apart(docs: DataFrame, gone: DataFrame, how: str = "left_anti", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that aren't (or, by left_semi, are) among the distinct (_id, h) of ``gone``, with their own columns only."""
+    gone = staged(gone.select("_id", "h").distinct(), "rows")
+    if gone.count() <= 1_000_000:  # 16 MB
+        gone = F.broadcast(gone)
+    return docs.join(gone, same_row(docs, gone, id_col, text_col), how)
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node of the component of every node of the edges (u, v).
 

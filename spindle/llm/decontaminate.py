@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, rows_apart, staged
 from .textkernel import narrow, pack, unpack
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -77,8 +77,10 @@ def masks_of(item: list) -> dict:
 
 # ---------------------------------------------------------------- passes over the texts
 
-CODED = "ids array<long>, blob binary"
-_CODED = pa.schema([("ids", pa.list_(pa.int64())), ("blob", pa.binary())])
+#: ``ids`` are pairs of a row's id and the hash of its text.
+CODED = "ids array<struct<i: long, h: long>>, blob binary"
+_PAIRS = pa.list_(pa.struct([("i", pa.int64()), ("h", pa.int64())]))
+_CODED = pa.schema([("ids", _PAIRS), ("blob", pa.binary())])
 
 
 def _code(held):
@@ -90,12 +92,12 @@ def _code(held):
 
         def row():
             made = narrow(np.concatenate(codes)) if codes else np.zeros(0, np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([pack(made, np.array(sizes, np.int64))], pa.binary())], schema=_CODED)
+            return pa.RecordBatch.from_arrays([pa.array([ids], _PAIRS), pa.array([pack(made, np.array(sizes, np.int64))], pa.binary())], schema=_CODED)
 
         for batch in batches:
-            for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist()):
+            for doc, h, text in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist()):
                 w = plain_words(text)
-                ids.append(doc)
+                ids.append({"i": doc, "h": h})
                 sizes.append(len(w))
                 codes.append(np.fromiter(map(codes_of.get, w, repeat(0)), np.uint32, len(w)))
                 waiting += len(w)
@@ -227,7 +229,7 @@ def _gram(held, unit: int):
                 values.append(weight[a] * weight[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
                 waiting += len(same)
             # Merged in proportion to the pairs held so far: sorting takes several times the memory of what waits.
-            if waiting > max(1_000_000, len(keys[0])):
+            if keys and waiting > max(1_000_000, len(keys[0])):
                 k, v = _merged(keys, values)
                 keys, values, waiting = [k], [v], 0
         if keys:
@@ -314,8 +316,8 @@ def copy_score(gain: np.ndarray, square: np.ndarray, unit: int, around: float) -
     return float(least)
 
 
-_FOUND = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("at_word", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
-FOUND = "_id long, item_id long, at_word long, cosine double, lcs_share double, answer_share double"
+_FOUND = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("item_id", pa.int64()), ("at_word", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())])
+FOUND = "_id long, _h long, item_id long, at_word long, cosine double, lcs_share double, answer_share double"
 
 
 GROUP = 16  # items whose bounds are looked at together
@@ -387,7 +389,7 @@ def _search(held, unit: int, lcs: float, least_words: int):
                         if right >= 0.5 or not len(answer):
                             found[doc, i] = (item_id, word, float(both[r, i - base] * bound[i]), common / n, right)
             if found:
-                rows = [(ids[doc], *found[doc, i]) for doc, i in sorted(found)]
+                rows = [(ids[doc]["i"], ids[doc]["h"], *found[doc, i]) for doc, i in sorted(found)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_FOUND)], schema=_FOUND)
 
     return run
@@ -409,18 +411,23 @@ def contaminated(
     block_items: int = 256,
     most_words: int = 2_000_000,
     seed: int = 7,
+    hashed: bool = False,
 ) -> DataFrame:
-    """(id, item_id, at_word, cosine, lcs_share, answer_share): a row for every document and item found in it."""
+    """(id, item_id, at_word, cosine, lcs_share, answer_share): a row for every document and item found in it; with ``hashed`` also _h, the xxhash64 of the text."""
     spark = docs.sparkSession
     bounded_batches(spark)
+
+    def named(found: DataFrame) -> DataFrame:
+        return (found if hashed else found.drop("_h")).withColumnRenamed("_id", id_col)
+
     share = spark.sparkContext.broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     source = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t"), answer.alias("a")).where("i is not null and t is not null")
     got = sorted((r.i, plain_words(r.t.encode()), plain_words(r.a.encode()) if r.a else []) for r in source.collect())
     got = [x for x in got if x[1]]
     if not got:
-        return spark.createDataFrame([], FOUND).withColumnRenamed("_id", id_col)
+        return named(spark.createDataFrame([], FOUND))
     told = sorted({w for _, words, answer in got for w in (*words, *answer)})
     if len(told) > most_words:
         raise ValueError(f"the benchmark has {len(told)} distinct words, over {most_words}: split it")
@@ -471,12 +478,14 @@ def contaminated(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.withColumnRenamed("_id", id_col)
+    return named(out)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` in which no item is found."""
-    found = staged(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    if found.count() <= 1_000_000:  # 8 MB of ids
-        found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` in which no item is found.
+
+    What is dropped is a row of that id, or without id, and that text: a clean row stays, whatever id it has.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = contaminated(docs, benchmark, hashed=True, **options)
+    return rows_apart(docs, found.select(F.col(id_col).alias("_id"), F.col("_h").alias("h")), "left_anti", id_col, text_col)

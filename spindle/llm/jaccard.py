@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected, join_counted, staged
+from .common import bounded_batches, connected, fresh, join_counted, rows_apart, staged
 from .textkernel import Vocabulary, fold, mix, narrow, pack, shingles, unpack, words
 
 SKETCH_BITS = 22
@@ -385,19 +385,11 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Documents without words or id link with nothing and stay; of repeated rows one stays.
     """
     found = staged(_components(docs, id_col, text_col, k, num, den).select("_id", "h", "n", "keeper"), "jaccard-found")
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-
-    def among(rows: DataFrame) -> DataFrame:
-        out = staged(rows.select(F.col("_id").alias("_gone"), F.col("h").alias("_gone_h")).distinct(), "near-copies")
-        return F.broadcast(out) if out.count() <= 1_000_000 else out  # 16 MB of ids
-
-    def parted(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        return rows.join(side, (rows[id_col].cast("long") == F.col("_gone")) & (rows["_h"] == F.col("_gone_h")), how)
-
-    kept = parted(keyed, among(found.where(F.col("keeper") != F.struct("_id", "h"))), "left_anti")
+    kept = rows_apart(docs, found.where(F.col("keeper") != F.struct("_id", "h")), "left_anti", id_col, text_col)
     repeated = found.where(F.col("_id").isNotNull()).groupBy("_id", "h").agg(F.count("*").alias("c")).where("c > 1")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = among(repeated)
-    one = parted(kept, again, "left_semi").dropDuplicates([id_col, "_h"])
-    return parted(kept, again, "left_anti").unionByName(one).select(*docs.columns)
+        return kept
+    again = staged(repeated, "jaccard-repeated")
+    [hashed] = fresh(docs, "h")
+    one = rows_apart(kept, again, "left_semi", id_col, text_col).withColumn(hashed, F.xxhash64(text_col)).dropDuplicates([id_col, hashed]).drop(hashed)
+    return rows_apart(kept, again, "left_anti", id_col, text_col).unionByName(one)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_counted, staged
+from .common import bounded_batches, join_counted, rows_apart, staged
 
 CELLS = 1 << 16
 NONE = "zxx"
@@ -233,9 +233,4 @@ def identify_documents(docs: DataFrame, model, **options) -> DataFrame:
 def accepted_documents(docs: DataFrame, model=None, **options) -> DataFrame:
     """Rows of ``docs`` whose language is identified."""
     judged = identify_documents(docs, model or fit_text_model(docs), **options)
-    ok = staged(judged.where(~F.col("accepted")).select("doc_id", "_h").distinct(), "lang-rejected")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    if ok.count() <= 1_000_000:
-        ok = F.broadcast(ok)
-    keep = keyed.join(ok, keyed["doc_id"].eqNullSafe(ok["doc_id"]) & (keyed["_h"] == ok["_h"]), "left_anti")
-    return keep.select(*docs.columns)
+    return rows_apart(docs, judged.where(~F.col("accepted")).select(F.col("doc_id").alias("_id"), F.col("_h").alias("h")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_checked, staged, unit_hash
+from .common import WORD, fresh, join_checked, same_row, staged, unit_hash
 
 #: Ranks are looked up through this many equal bins of the logistic scale; only the bin that holds a source's cut is ranked row by row.
 BINS = 4096
@@ -101,7 +101,8 @@ def pareto_mix(
     rows = join_checked(rows, centre, ["_key"], "inner", n_sources)
     f = F.col("_part")
     p = f + f * (1 - f) * (F.col("_centre") - F.col("_length")) / 1_000_000
-    u = unit_hash(F.col("_id"), F.lit(seed))
+    # Rows without id are told apart by their texts.
+    u = F.when(F.col("_id").isNull(), unit_hash(F.col("_text"), F.lit(seed))).otherwise(unit_hash(F.col("_id"), F.lit(seed)))
     rank = F.log(u / (1 - u)) - F.log(p / (1 - p))
     drawn = (F.col("_rest") >= 0.5) & (p > 0) & (p < 1) & (F.col("size") > 0)
     rows = staged(
@@ -141,12 +142,14 @@ def pareto_mix(
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = pareto_mix(docs, **options).groupBy("_id", "_text").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_text", F.xxhash64(F.col(text_col)))
-    out = keyed.join(plan, (keyed[id_col].eqNullSafe(plan["_id"])) & (keyed["_text"] == plan["_text"]), "inner").drop(plan["_text"])
-    # Rows that repeat wholly share their copies: the first of them gets the rest of the division.
-    whole = F.floor(F.col("_copies") / F.col("_n")).cast("int")
-    over = F.when(F.col("_n") > 1, F.pmod(F.col("_copies"), F.col("_n"))).otherwise(F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_copies"))
-    counted = out.withColumn("_times", whole + (nth <= over).cast("int"))
-    return counted.where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times, over, nth, copy = fresh(docs, "times", "over", "nth", "copy")
+    plan = pareto_mix(docs, **options).groupBy("_id", F.col("_text").alias("h")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    # Rows that repeat wholly share their copies: the first of them get the rest of the division.
+    plan = staged(plan.where("_copies > 0").select("_id", "h", F.floor(F.col("_copies") / F.col("_n")).cast("int").alias(times), F.pmod("_copies", "_n").alias(over)), "mix-plan")
+    if plan.count() <= 500_000:  # 14 MB
+        plan = F.broadcast(plan)
+    out = docs.join(plan, same_row(docs, plan, id_col, text_col), "inner").drop(plan["_id"], plan["h"])
+    # Only rows that share a rest are told apart, which takes a window; all others stay where they are.
+    ranked = out.where(F.col(over) > 0).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(over)))
+    even = out.where(F.col(over) == 0).unionByName(ranked.withColumn(times, F.col(times) + (F.col(nth) <= F.col(over)).cast("int")).drop(nth))
+    return even.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times, over, copy)
