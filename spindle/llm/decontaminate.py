@@ -22,9 +22,9 @@ themselves: the longest common subsequence of the item and the text around the p
 hold at least ``lcs`` of the item's words, and the answer must be there: the words of the item's
 ``answer`` if the benchmark has that column, else its rarest terms, at least half of them.
 
-There is one latent space for all items.  They are searched in blocks of ``block_items``, which
-bound what is sent to the tasks at once; each item's bound and vector are its own, so blocks of
-any size give the same rows.  The benchmark's distinct words go to all tasks (``most_words`` at
+There is one latent space for all items.  They are searched in blocks of ``block_items``, one after
+the other, which bound what is sent to the tasks at once; each item's bound and vector are its own, so blocks of
+any size give the same rows.  The driver holds the items' sparse rows and matrices of ``FEATURES`` rows at most.  The benchmark's distinct words go to all tasks (``most_words`` at
 most, 2 million: about 150 MB; a larger benchmark is refused).
 
 Defined cases: null or empty texts and items match nothing; words are compared without ASCII
@@ -35,6 +35,7 @@ go to the earlier one; empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -163,8 +164,8 @@ _SUM = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
 
 
 def _edges(m: int) -> np.ndarray:
-    """Borders of the row groups of a matrix over m features."""
-    return np.linspace(0, m, max(8, m // 1024) + 1).astype(np.int64)
+    """Borders of the row groups of a matrix over m features: 8 at least, and of 4 million entries of A'A at most each."""
+    return np.linspace(0, m, min(m, max(8, -(-m * m // (1 << 22)))) + 1).astype(np.int64)
 
 
 def _sum_rows(matrix: np.ndarray, m: int):
@@ -172,17 +173,18 @@ def _sum_rows(matrix: np.ndarray, m: int):
     yield pa.RecordBatch.from_pydict({"slice": list(range(len(edges) - 1)), "blob": [pack(matrix[a:b].ravel()) for a, b in zip(edges, edges[1:])]}, schema=_SUM)
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(unpack(b.as_py())[0].astype(np.float64) for b in table.column("blob"))
-    return pa.table({"slice": table.column("slice")[:1], "blob": pa.array([pack(total)], pa.binary())}, schema=_SUM)
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of a row group's parts, taken one after the other."""
+    total = 0.0
+    for batch in batches:
+        for blob in batch.column("blob"):
+            total = total + unpack(blob.as_py())[0].astype(np.float64)
+    yield pa.RecordBatch.from_pydict({"slice": [key[0].as_py()], "blob": [pack(total)]}, schema=_SUM)
 
 
-def _summed(rows: DataFrame, f, width: int, then=None) -> np.ndarray:
-    """The sum over all partitions of a matrix of one row for each feature; ``then`` makes it from partial sums."""
-    parts = rows.mapInArrow(f, "slice int, blob binary")
-    if then:
-        parts = parts.groupBy("slice").applyInArrow(then, "slice int, blob binary")
-    parts = parts.groupBy("slice").applyInArrow(_add, "slice int, blob binary").collect()
+def _summed(rows: DataFrame, f, width: int, add=_add) -> np.ndarray:
+    """A matrix of one row for each feature, from parts of its row groups that ``f`` makes and ``add`` sums."""
+    parts = rows.mapInArrow(f, "slice int, blob binary").groupBy("slice").applyInArrow(add, "slice int, blob binary").collect()
     got = [unpack(bytes(r["blob"]))[0] for r in sorted(parts, key=lambda r: r["slice"])]
     return np.concatenate(got).reshape(-1, width) if got else np.zeros((0, width))
 
@@ -208,13 +210,30 @@ def _merged(key: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray,
     return u, np.bincount(inverse, weights=np.concatenate(value), minlength=len(u))
 
 
+HELD_PAIRS = 1_000_000
+
+
 def _gram(held, unit: int):
-    """Half of A'A of a partition, as sparse pairs of features that meet in a unit: A's rows are short, so W can come last."""
+    """A'A of a partition, as sparse pairs of features that meet in a unit: A's rows are short, so W can come last.
+
+    Sums go on as soon as ``HELD_PAIRS`` pairs are held, so a task's memory doesn't grow with its partition.
+    """
 
     def run(batches):
         h = held.value
         weight, m = h["weight"], h["m"]
+        edges = _edges(m) * m
         keys, values, waiting = [], [], 0
+
+        def part(k: np.ndarray, v: np.ndarray):
+            # Both halves of the symmetric matrix; the diagonal has counted half.
+            k = np.concatenate([k, k % m * m + k // m])
+            order = np.argsort(k)
+            k, v = k[order], np.concatenate([v, v])[order]
+            cut = np.searchsorted(k, edges)
+            blobs = [pack(narrow(np.diff(k[a:b], prepend=e)), v[a:b].astype(np.float32)) for a, b, e in zip(cut, cut[1:], edges)]
+            return pa.RecordBatch.from_pydict({"slice": list(range(len(blobs))), "blob": blobs}, schema=_SUM)
+
         for _, codes, sizes in _chunks(batches):
             u = Units(codes, sizes, h["feature_of"], unit).kept(h["keep"])
             scale = 1 / np.maximum(u.norms(weight, h["other"]), 1e-9)
@@ -224,45 +243,35 @@ def _gram(held, unit: int):
                 if not len(same):
                     break
                 a, b = u.feature[same], u.feature[same + d]
-                # Half of the symmetric matrix; the diagonal counts half here and twice in the end.
                 keys.append(a * m + b)
                 values.append(weight[a] * weight[b] * scale[u.at[same]] * (0.5 if d == 0 else 1.0))
                 waiting += len(same)
-            # Merged in proportion to the pairs held so far: sorting takes several times the memory of what waits.
-            if keys and waiting > max(1_000_000, len(keys[0])):
-                k, v = _merged(keys, values)
-                keys, values, waiting = [k], [v], 0
+                if waiting > HELD_PAIRS // 2:
+                    k, v = _merged(keys, values)
+                    keys, values, waiting = [k], [v], 0
+                    if len(k) > HELD_PAIRS:
+                        yield part(k, v)
+                        keys, values = [], []
         if keys:
-            k, v = _merged(keys, values)
-            edges = _edges(m) * m
-            cut = np.searchsorted(k, edges)
-            blobs = [pack(narrow(np.diff(k[a:b], prepend=e)), v[a:b].astype(np.float32)) for a, b, e in zip(cut, cut[1:], edges)]
-            yield pa.RecordBatch.from_pydict({"slice": list(range(len(blobs))), "blob": blobs}, schema=_SUM)
+            yield part(*_merged(keys, values))
 
     return run
 
 
 def _times_omega(held):
-    """A group of rows of A'A, summed over the partitions, times W; both halves of the symmetric matrix."""
-
-    def run(table: pa.Table) -> pa.Table:
-        w = held.value["omega"].astype(np.float32)
-        m = len(w)
-        edges = _edges(m)
-        s = table.column("slice")[0].as_py()
-        got = [unpack(b.as_py()) for b in table.column("blob")]
-        k, v = _merged([np.cumsum(g[0].astype(np.int64)) + edges[s] * m for g in got], [g[1] for g in got])
-        row, col = k // m, k % m
-        g = np.zeros((m, w.shape[1]), np.float32)
-        step = max(16, (1 << 22) // m)
-        for first in range(edges[s], edges[s + 1], step):
-            last = min(first + step, edges[s + 1])
-            a, b = np.searchsorted(row, [first, last])
-            block = np.zeros((last - first, m), np.float32)
-            block[row[a:b] - first, col[a:b]] = v[a:b]
-            g[first:last] += block @ w
-            g += block.T @ w[first:last]
-        return pa.Table.from_batches(list(_sum_rows(g, m)))
+    """A group of rows of A'A times W; the partitions' parts are added one by one."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value["omega"]
+        m, s = len(w), key[0].as_py()
+        first, end = _edges(m)[s : s + 2]
+        rows = np.zeros((end - first) * m)
+        for batch in batches:
+            for blob in batch.column("blob"):
+                gaps, v = unpack(blob.as_py())
+                rows += np.bincount(np.cumsum(gaps.astype(np.int64)), weights=v, minlength=len(rows))
+        g = rows.reshape(end - first, m) @ w
+        yield pa.RecordBatch.from_pydict({"slice": [s], "blob": [pack(g.ravel())]}, schema=_SUM)
 
     return run
 
@@ -283,9 +292,46 @@ def kept_features(items: list[np.ndarray], df: np.ndarray, n: float, stop_share:
     return keep, np.where(keep, np.where(needed, np.maximum(idf, FLOOR * other), idf), 0.0), other
 
 
-def latent_basis(g: np.ndarray, omega: np.ndarray, items: np.ndarray, weight: float, rank: int) -> np.ndarray:
+class Rows:
+    """The items' unit rows, sparse."""
+
+    def __init__(self, features: list[np.ndarray], weight: np.ndarray):
+        pairs = [np.unique(f, return_counts=True) for f in features]
+        self.starts = np.cumsum([0, *[len(f) for f, _ in pairs]])
+        self.feature = np.concatenate([f for f, _ in pairs])
+        value = weight[self.feature] * np.concatenate([n for _, n in pairs])
+        norm = np.sqrt(np.add.reduceat(value**2, self.starts[:-1]))
+        self.value = value / np.repeat(np.maximum(norm, 1e-12), np.diff(self.starts))
+
+    def blocks(self, size: int = 256):
+        """(features, values, rows from 0, number of rows) of so many items after each other."""
+        n = len(self.starts) - 1
+        for a in range(0, n, size):
+            b = min(a + size, n)
+            part = slice(self.starts[a], self.starts[b])
+            yield self.feature[part], self.value[part], np.repeat(np.arange(b - a), np.diff(self.starts[a : b + 1])), b - a
+
+    def gram_times(self, w: np.ndarray) -> np.ndarray:
+        """B'(B w) for the items' rows B."""
+        out = np.zeros(w.shape)
+        for f, v, r, n in self.blocks():
+            product = np.zeros((n, w.shape[1]))
+            np.add.at(product, r, v[:, None] * w[f])
+            np.add.at(out, f, v[:, None] * product[r])
+        return out
+
+    def latent(self, basis: np.ndarray, size: int):
+        """Blocks of items projected on the basis, as unit columns [feature, item] without their negative parts."""
+        for f, v, r, n in self.blocks(size):
+            low = np.zeros((n, basis.shape[1]))
+            np.add.at(low, r, v[:, None] * basis[f])
+            m = basis @ low.T
+            yield np.maximum(m / np.maximum(np.linalg.norm(m, axis=0), 1e-12), 0)
+
+
+def latent_basis(g: np.ndarray, omega: np.ndarray, items: Rows, weight: float, rank: int) -> np.ndarray:
     """The leading right singular vectors of the corpus rows and, with ``weight``, the items' rows; ``g`` is A'(A omega) of the corpus."""
-    g = g + weight * items.T @ (items @ omega)
+    g = g + weight * items.gram_times(omega)
     core = omega.T @ g
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     ok = values > max(values.max(), 1e-12) * 1e-10
@@ -294,12 +340,6 @@ def latent_basis(g: np.ndarray, omega: np.ndarray, items: np.ndarray, weight: fl
     return v[:, :rank]
 
 
-def latent_items(basis: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """The items' rows projected on the basis, as unit columns [feature, item] without their negative parts."""
-    m = basis @ (basis.T @ items.T)
-    return np.maximum(m / np.maximum(np.linalg.norm(m, axis=0), 1e-12), 0)
-
-
 def copy_score(gain: np.ndarray, square: np.ndarray, unit: int, around: float) -> float:
     """The least cosine that the best passage of a verbatim copy can have.
 
@@ -447,20 +487,16 @@ def contaminated(
     width = min(m, rank + 16)
     omega = np.random.default_rng(seed).standard_normal((m, width))
     sent += [share(fixed), share({"omega": omega})]
-    g = _summed(coded, _gram(sent[-2], unit), width, then=_times_omega(sent[-1]))
+    g = _summed(coded, _gram(sent[-2], unit), width, _times_omega(sent[-1]))
     for used_up in sent:
         used_up.destroy()  # all that needed them is written or summed
     if not len(g):
         g = np.zeros((m, width))
 
-    def matrix(part: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(part), m))
-        for r, f in enumerate(part):
-            np.add.at(out[r], f, weight[f])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
     strength = max(1.0, float(np.abs(np.diagonal(omega.T @ g)).max() / max(m, 1)))
-    basis = latent_basis(g, omega, matrix(features), strength, min(rank, width))
+    rows_ = Rows(features, weight)
+    basis = latent_basis(g, omega, rows_, strength, min(rank, width))
+    del g, omega
     # Rarest terms stand for the answer where none is given.
     for k, (i, words, answer) in enumerate(items):
         if not answer:
@@ -468,13 +504,14 @@ def contaminated(
             items[k] = (i, words, own[np.lexsort((own, df[feature_of[own - 1]]))[: max(1, min(4, len(words) // 4))]].tolist())
     around = max(float(weight.max()), other) ** 2
     parts = []
-    for a in range(0, len(items), block_items):
+    for a, latent in zip(range(0, len(items), block_items), rows_.latent(basis, block_items)):
         block, own = items[a : a + block_items], features[a : a + block_items]
-        latent = latent_items(basis, matrix(own))
         least = [copy_score(latent[f, c] * weight[f], weight[f] ** 2, unit, around) for c, f in enumerate(own)]
         bound = np.maximum(tolerance * np.array(least) * (1 - 1e-4), 1e-6)
         held = share(fixed | {"items": block, "latent": latent.astype(np.float32), "bound": bound})
-        parts.append(coded.mapInArrow(_search(held, unit, lcs, least_words), FOUND))
+        # One block's vectors are alive at a time, however many items there are.
+        parts.append(staged(coded.mapInArrow(_search(held, unit, lcs, least_words), FOUND), "benchmark-found"))
+        held.destroy()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
