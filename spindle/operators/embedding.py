@@ -336,7 +336,34 @@ def patched(graph: Graph, members: DataFrame, dim: int, method: str = "svd", ali
     return ALIGNERS[aligner](coords, least=least or dim + 1)
 
 
+def svd_embedding(graph: Graph, dim: int, seed: int = 0, matrix: str = "adjacency", tolerance: float = 1e-3, rounds: int = 40) -> DataFrame:
+    """(node_id, coord): leading left singular vectors of the whole graph's matrix (adjacency, laplacian or normalized_laplacian).
+
+    Those of the adjacency are scaled by the roots of their singular values.  The graph is taken as
+    undirected, without loops.  Edge joins and small Gram matrices only, so the graph may be of any size.
+    """
+    from ..session import written
+    from . import tall
+
+    edges = written(graph.undirected().edges.where("src <> dst"), "svd-edges")
+    if matrix != "adjacency":
+        degree = graph.ids.join(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"))
+        degree = written(degree, "svd-degrees")
+        off, own = (-F.col("weight")).alias("weight"), F.col("d")
+        if matrix == "normalized_laplacian":
+            root = degree.select("id", F.sqrt("d").alias("root"))
+            edges = edges.join(root.withColumnsRenamed({"id": "src", "root": "a"}), "src").join(root.withColumnsRenamed({"id": "dst", "root": "b"}), "dst")
+            off, own = (-F.col("weight") / F.col("a") / F.col("b")).alias("weight"), F.lit(1.0)
+        edges = edges.select("src", "dst", off).unionByName(degree.select(F.col("id").alias("src"), F.col("id").alias("dst"), own.alias("weight")))
+    u, values = tall.singular_vectors(tall.Sparse.of(edges), graph.ids, dim, tolerance=tolerance, rounds=rounds, seed=seed)
+    scale = np.sqrt(values) if matrix == "adjacency" else np.ones(dim)
+    return tall.each(u, lambda v: v * scale, "v").select(F.col("id").alias("node_id"), F.col("v").alias("coord"))
+
+
 def full_graph(graph: Graph, dim: int, method: str = "svd", seed: int = 0, **options) -> DataFrame:
+    """(node_id, coord) of the whole graph; all methods but svd hold it in one task."""
+    if method == "svd":
+        return svd_embedding(graph, dim, seed, **options)
     members = graph.ids.select(F.lit(0).alias("patch_id"), F.col("id").alias("node_id"))
     return embed_patches(graph, members, dim, method, seed, **options).select("node_id", "coord")
 

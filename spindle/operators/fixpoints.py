@@ -104,3 +104,33 @@ def spanning_forest(graph: Graph, maximise: bool = False) -> DataFrame:
             "mst",
         )
     return chosen if chosen is not None else graph.edges.limit(0).select("src", "dst", "weight")
+
+
+def bottlenecks(graph: Graph, maximise: bool = False) -> DataFrame:
+    """(src, dst, weight, cost, bottleneck) for every edge, src < dst: the largest cost on its path in the minimum (maximum) spanning forest.
+
+    In each of Boruvka's rounds a component picks its cheapest edge.  In the tree of these merges, where the way up
+    from a component costs what it picked, the largest cost between two leaves is that between the nodes in
+    the spanning forest; so every edge climbs from both ends, a round at a time, until these meet.  Costs are weights, negative for a maximum forest.
+    """
+    w = -F.col("weight") if maximise else F.col("weight")
+    edges = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", w.alias("cost"))
+    edges = edges.groupBy("src", "dst").agg(F.min("cost").alias("cost"), F.min_by("weight", "cost").alias("weight"))
+    open_ = written(edges.withColumns({"a": F.col("src"), "b": F.col("dst"), "worst": F.lit(float("-inf"))}), "bottleneck")
+    done = None
+    while n := open_.count():
+        ends = open_.select(F.col("a").alias("c"), "*").unionByName(open_.select(F.col("b").alias("c"), "*"))
+        pick = ends.groupBy("c").agg(F.min(F.struct("cost", "src", "dst", "a", "b")).alias("e"), F.count("*").alias("n"))
+        pick = written(pick.select("c", "n", "e.cost", "e.a", "e.b"), "bottleneck-pick")
+        label = component_labels(Graph.from_edges(pick.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        up = written(pick.select("c", "n", "cost").join(label.select(F.col("id").alias("c"), "label"), "c"), "bottleneck-up")
+        step = open_
+        for end in ("a", "b"):
+            side = up.select(F.col("c").alias(end), "n", F.col("cost").alias(f"{end}_cost"), F.col("label").alias(f"{end}_up"))
+            step = join_heavy(step, side, end, "n", n)
+        step = step.select("src", "dst", "weight", "cost", F.col("a_up").alias("a"), F.col("b_up").alias("b"), F.greatest("worst", "a_cost", "b_cost").alias("worst"))
+        step = written(step, "bottleneck")
+        met = step.where("a = b").select("src", "dst", "weight", "cost", F.col("worst").alias("bottleneck"))
+        done = met if done is None else done.unionAll(met)
+        open_ = written(step.where("a <> b"), "bottleneck-open")
+    return done if done is not None else open_.select("src", "dst", "weight", "cost", F.col("worst").alias("bottleneck"))

@@ -1,20 +1,25 @@
 """Edge selection on patch graphs (src, dst, weight), which have a row for each pair of patches.
 
-Conductance weights and mutual neighbours are relational at any size.  Resistances and
-relaxed trees need the whole graph's Laplacian or paths; patch graphs are small (patches, not
-nodes), so those run in numpy on the driver, up to ``MAX_PATCHES`` patches.
+All run as joins and grouped sums: resistances from conjugate gradients on the Laplacian, relaxed
+trees from bottlenecks on the tree of merges.  Small graphs' resistances come from a pseudoinverse.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .fixpoints import spanning_forest
+from ..session import written
+from . import tall
+from .fixpoints import bottlenecks, spanning_forest
+from .joins import join_heavy
 
-MAX_PATCHES = 4000
+#: Most columns of one solve: a row of its tables has five arrays of so many numbers.
+SIGNS = 256
 
 
 def conductance_weights(edges: DataFrame) -> DataFrame:
@@ -27,8 +32,6 @@ def conductance_weights(edges: DataFrame) -> DataFrame:
 def _driver(edges: DataFrame):
     rows = edges.select("src", "dst", "weight").collect()
     ids = sorted({r[0] for r in rows} | {r[1] for r in rows})
-    if len(ids) > MAX_PATCHES:
-        raise ValueError(f"over {MAX_PATCHES} patches")
     at = {v: i for i, v in enumerate(ids)}
     w = np.zeros((len(ids), len(ids)))
     for s, d, x in rows:
@@ -37,12 +40,46 @@ def _driver(edges: DataFrame):
     return ids, w
 
 
-def resistances(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight, resistance) of an undirected graph, by the pseudoinverse of its Laplacian."""
-    ids, w = _driver(edges)
-    p = np.linalg.pinv(np.diag(w.sum(axis=0)) - w) if len(ids) else w
-    rows = [(ids[i], ids[j], float(w[i, j]), float(p[i, i] + p[j, j] - 2 * p[i, j])) for i, j in zip(*np.nonzero(w))]
-    return edges.sparkSession.createDataFrame(rows, "src long, dst long, weight double, resistance double")
+def _undirected(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge once, without loops; of parallel edges the largest weight stays."""
+    return Graph.from_edges(edges.where("src <> dst")).undirected().edges.where("weight > 0")
+
+
+def resistances(edges: DataFrame, epsilon: float = 0.3, exact_up_to: int = 1000, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+    """(src, dst, weight, resistance) of an undirected graph, both directions.
+
+    With up to ``exact_up_to`` nodes by the pseudoinverse of the Laplacian, else by random projections: the
+    rows of Q W^(1/2) B L^+ keep all distances within a factor of 1 +- ``epsilon`` with high
+    probability, where Q has 4 ln n / (epsilon^2 / 2 - epsilon^3 / 3) rows of random signs.  Up to ``SIGNS`` of
+    them are one solve of the Laplacian by conjugate gradients, a round of which is a few joins.
+    """
+    both = written(_undirected(edges), "resistance-edges")
+    n = both.agg(F.count_distinct("src")).first()[0]
+    if n <= exact_up_to:
+        ids, w = _driver(both)
+        p = np.linalg.pinv(np.diag(w.sum(axis=0)) - w) if len(ids) else w
+        rows = [(ids[i], ids[j], float(w[i, j]), float(p[i, i] + p[j, j] - 2 * p[i, j])) for i, j in zip(*np.nonzero(w))]
+        return edges.sparkSession.createDataFrame(rows, "src long, dst long, weight double, resistance double")
+    needed = math.ceil(4 * math.log(max(n, 2)) / (epsilon**2 / 2 - epsilon**3 / 3))
+    blocks = -(-needed // SIGNS)
+    words = -(-min(needed, SIGNS) // 64)  # an edge's signs are the bits of so many hashes
+    width = 64 * words
+    tall.bounded_batches(edges.sparkSession)
+    lap, degree = tall.laplacian(both)
+    half = both.where("src < dst")
+    found = None
+    for block in range(blocks):
+        bits = F.array(*[F.xxhash64("src", "dst", F.lit((seed * 1_000_003 + block) * words + i)) for i in range(words)])
+        signs = half.select("src", "dst", F.sqrt("weight").alias("root"), bits.alias("bits"))
+        drawn = tall.each(signs, lambda b: ((b[:, :, None] >> np.arange(64) & 1) * 2.0 - 1.0).reshape(len(b), -1), "bits", keep=("src", "dst", "root"))
+        ends = drawn.select("src", F.col("root").alias("weight"), "v").unionAll(drawn.select("dst", -F.col("root"), "v"))
+        z = written(tall.solved(lap, degree, tall.summed(ends), width, tolerance), "resistance-z")
+        near = half.join(z.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(z.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+        apart = tall.each(near, lambda a, b: ((a - b) ** 2).sum(axis=1)[:, None], "a", "b", keep=("src", "dst", "weight"))
+        part = written(apart.select("src", "dst", "weight", (F.col("v")[0] / (blocks * width)).alias("r")), "resistance-part")
+        found = part if found is None else found.unionAll(part)
+    out = written(found.groupBy("src", "dst").agg(F.first("weight").alias("weight"), F.sum("r").alias("resistance")), "resistances")
+    return out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "resistance"))
 
 
 def gumbel_top(edges: DataFrame, k: int, weight: str = "weight", seed: int = 0) -> DataFrame:
@@ -80,27 +117,17 @@ def relaxed_tree(edges: DataFrame, gamma: float = 1.0, maximise: bool = True) ->
 
     d is the distance to a node's best neighbour, on the scale of weights (of -weights for a maximum tree).
     """
-    ids, w = _driver(edges)
-    n = len(ids)
-    cost = np.where(w > 0, -w if maximise else w, np.inf)
-    best = cost.min(axis=1) if n else np.zeros(0)
-    # Minimax path costs by single linkage: merging components in order of cost.
-    order = sorted((cost[i, j], i, j) for i in range(n) for j in range(i + 1, n) if np.isfinite(cost[i, j]))
-    group = [{i} for i in range(n)]
-    of = list(range(n))
-    path = np.full((n, n), np.inf)
-    for c, i, j in order:
-        a, b = of[i], of[j]
-        if a != b:
-            x, y = list(group[a]), list(group[b])
-            path[np.ix_(x, y)] = path[np.ix_(y, x)] = c
-            group[a] |= group[b]
-            for k in y:
-                of[k] = a
-    low = best.min() if n else 0.0
-    d = best - low
-    rows = [(ids[i], ids[j], float(w[i, j])) for i, j in zip(*np.nonzero(w)) if cost[i, j] <= path[i, j] + gamma * (d[i] + d[j]) + 1e-12]
-    return edges.sparkSession.createDataFrame(rows, "src long, dst long, weight double")
+    found = written(bottlenecks(Graph.from_edges(_undirected(edges)), maximise), "bottlenecks")
+    both = found.select("src", "cost").unionAll(found.select("dst", "cost"))
+    best = written(both.groupBy(F.col("src").alias("id")).agg(F.min("cost").alias("d"), F.count("*").alias("n")), "best-neighbours")
+    row = best.agg(F.min("d"), F.sum("n")).first()
+    if row[0] is None:
+        return edges.select("src", "dst", "weight").limit(0)
+    near = best.select("id", (F.col("d") - row[0]).alias("d"), "n")
+    for end, name in (("src", "ds"), ("dst", "dd")):
+        found = join_heavy(found, near.withColumnsRenamed({"id": end, "d": name}), end, "n", row[1])
+    kept = found.where(F.col("cost") <= F.col("bottleneck") + gamma * (F.col("ds") + F.col("dd")) + 1e-12)
+    return _both(kept.select("src", "dst", "weight"))
 
 
 def sparsify(edges: DataFrame, method: str = "resistance", mean_degree: float = 4.0, gamma: float = 1.0, seed: int = 0) -> DataFrame:
