@@ -361,9 +361,19 @@ def svd_embedding(graph: Graph, dim: int, seed: int = 0, matrix: str = "adjacenc
 
 
 def full_graph(graph: Graph, dim: int, method: str = "svd", seed: int = 0, **options) -> DataFrame:
-    """(node_id, coord) of the whole graph; all methods but svd hold it in one task."""
-    if method == "svd":
+    """(node_id, coord) of the whole graph: svd, gae, vgae and graphsage as joins; dgi, gin and gat hold it in one task.
+
+    ``features`` (id, x); without them gae, vgae and graphsage take 16 normal numbers of each node.
+    """
+    from . import messages, tall
+
+    if ALIASES.get(method, method) == "svd":
         return svd_embedding(graph, dim, seed, **options)
+    if ALIASES.get(method, method) in messages.KINDS:
+        features = options.pop("features", None)
+        if features is None:
+            features = tall.normal(graph.ids, 16, seed).withColumnRenamed("v", "x")
+        return messages.encode(messages.train(graph, features, dim, ALIASES.get(method, method), seed=seed, **options), graph, features)
     members = graph.ids.select(F.lit(0).alias("patch_id"), F.col("id").alias("node_id"))
     return embed_patches(graph, members, dim, method, seed, **options).select("node_id", "coord")
 

@@ -30,6 +30,14 @@ def embed_svd(spark, d):
     return em.full_graph(copart(spark, d), 8, "svd")
 
 
+for _name in ("gae", "vgae", "graphsage"):
+
+    def _embed(spark, d, name=_name):
+        return em.full_graph(copart(spark, d), 8, name, epochs=3, hidden=16)
+
+    QUERIES[f"embed_{_name}"] = _embed
+
+
 @query("svd_residuals", f"WITH {COPART} SELECT id, true AS held FROM nodes")
 def svd_residuals(spark, d):
     """A (A u) is the square of the singular value times u, at every node, to a fiftieth of the largest square."""
