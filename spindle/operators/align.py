@@ -1,8 +1,8 @@
 """Alignment of overlapping patches: synchronisation of scale, rotation and translation.
 
 What depends on the data is aggregated in Spark (moments of the overlaps: counts, means,
-covariances, d*d numbers for each pair of patches); only the small systems over patches are
-solved in numpy on the driver.  Patches are members (patch_id, node_id, coord).
+covariances, d*d numbers for each pair of patches).  Systems over few patches are solved in numpy on
+the driver, those over many as tables (``synchronise``).  Patches are members (patch_id, node_id, coord).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..functions.vectors import distance
 from ..graph import Graph
 from .fixpoints import component_labels
 from .patching import intersections, overlap_sizes
+from .tall import arrays, bounded_batches, matrix
 
 
 def patch_degrees(members: DataFrame, least: int = 1) -> DataFrame:
@@ -31,23 +33,70 @@ def pair_weights(members: DataFrame, least: int = 1) -> DataFrame:
 
 
 def overlap_moments(members: DataFrame, least: int = 1) -> DataFrame:
-    """(i, j, n, mean_i, mean_j, var_i, var_j, cov) for i < j; var are sums of squares and cov the d x d sums, all centred."""
-    x = intersections(members, least)
-    long_ = x.select("i", "j", "node_id", F.posexplode(F.arrays_zip("a", "b")).alias("p", "z")).select("i", "j", "node_id", "p", F.col("z.a").alias("a"), F.col("z.b").alias("b"))
-    means = long_.groupBy("i", "j", "p").agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.sum(F.col("a") * F.col("a")).alias("saa"), F.sum(F.col("b") * F.col("b")).alias("sbb"))
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("p", c))), lambda v: v[c])
-    per = means.groupBy("i", "j").agg(
-        F.first("n").alias("n"), ordered("ma").alias("mean_i"), ordered("mb").alias("mean_j"),
-        F.sum(F.col("saa") - F.col("n") * F.col("ma") * F.col("ma")).alias("var_i"), F.sum(F.col("sbb") - F.col("n") * F.col("mb") * F.col("mb")).alias("var_j"),
-    )
-    left = long_.select("i", "j", "node_id", F.col("p").alias("r"), "a")
-    cross = x.select("i", "j", "node_id", "b").join(left, ["i", "j", "node_id"]).select("i", "j", "r", "a", F.posexplode("b").alias("c", "b"))
-    sums = cross.groupBy("i", "j", "r", "c").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    ma = means.select("i", "j", F.col("p").alias("r"), "n", "ma")
-    mb = means.select("i", "j", F.col("p").alias("c"), "mb")
-    cov = sums.join(ma, ["i", "j", "r"]).join(mb, ["i", "j", "c"]).withColumn("v", F.col("s") - F.col("n") * F.col("ma") * F.col("mb"))
-    flat = cov.groupBy("i", "j").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "c", "v"))), lambda z: z["v"]).alias("cov"))
-    return per.join(flat, ["i", "j"])
+    """(i, j, n, mean_i, mean_j, var_i, var_j, cov) for i < j; var are sums of squares and cov the d x d sums, all centred.
+
+    Shared nodes are dealt by pair (a pair of very many nodes over several tasks), and each task keeps
+    the moments of one pair at a time; what several tasks hold of a pair is merged afterwards.
+    """
+    x = intersections(members, 1).select("i", "j", F.col("a").alias("mean_i"), F.col("b").alias("mean_j"))
+    bounded_batches(members.sparkSession)
+    keys = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in "ij")
+    made = x.hint("rebalance", F.col("i"), F.col("j")).sortWithinPartitions("i", "j").mapInArrow(_pair_moments, f"{keys}, {_MOMENTS}")
+    merged = made.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_pair_moments, made.schema)
+    return merged.where(F.col("n") >= least)
+
+
+_MOMENTS = "n long, mean_i array<double>, mean_j array<double>, var_i double, var_j double, cov array<double>"
+
+
+def _moments_of(x: np.ndarray, y: np.ndarray) -> tuple:
+    a, b = x.mean(axis=0), y.mean(axis=0)
+    x, y = x - a, y - b
+    return len(x), a, b, (x**2).sum(), (y**2).sum(), x.T @ y
+
+
+def _moments_merged(s: tuple, t: tuple) -> tuple:
+    n = s[0] + t[0]
+    da, db, share = t[1] - s[1], t[2] - s[2], s[0] * t[0] / n
+    return n, s[1] + da * t[0] / n, s[2] + db * t[0] / n, s[3] + t[3] + share * (da @ da), s[4] + t[4] + share * (db @ db), s[5] + t[5] + share * np.outer(da, db)
+
+
+def _pair_moments(batches):
+    """The moments of each run of equal (i, j), of rows of coordinates or of moments; a run may go on in the next batch."""
+    held, done = None, []
+
+    def told(types):
+        i, j, found = zip(*done)
+        n, a, b, va, vb, cov = zip(*found)
+        done.clear()
+        columns = [pa.array(i, types[0]), pa.array(j, types[1]), pa.array(n, pa.int64()), arrays(np.stack(a)), arrays(np.stack(b)), pa.array(va, pa.float64()), pa.array(vb, pa.float64()), arrays(np.stack(cov).reshape(len(n), -1))]
+        return pa.RecordBatch.from_arrays(columns, ["i", "j", "n", "mean_i", "mean_j", "var_i", "var_j", "cov"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        types = [batch.schema.field(c).type for c in "ij"]
+        i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in "ij")
+        a, b = matrix(batch.column("mean_i")), matrix(batch.column("mean_j"))
+        rest = [matrix(batch.column(c)) for c in ("n", "var_i", "var_j", "cov")] if "n" in batch.schema.names else None
+        starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        for s, e in zip(starts, np.r_[starts[1:], len(i)]):
+            if rest is None:
+                parts = [_moments_of(a[s:e], b[s:e])]
+            else:
+                parts = [(int(rest[0][k]), a[k], b[k], rest[1][k], rest[2][k], rest[3][k].reshape(a.shape[1], -1)) for k in range(s, e)]
+            for part in parts:
+                if held is not None and held[0] == i[s] and held[1] == j[s]:
+                    held = (i[s], j[s], _moments_merged(held[2], part))
+                    continue
+                if held is not None:
+                    done.append(held)
+                held = (i[s], j[s], part)
+            if done and len(done) * done[0][2][5].size > 1 << 20:
+                yield told(types)
+    if held is not None:
+        done.append(held)
+        yield told(types)
 
 
 def relative_scales(members: DataFrame, least: int = 1) -> DataFrame:
@@ -145,12 +194,12 @@ class Moments:
     pairs: list
 
     @classmethod
-    def of(cls, members: DataFrame, least: int) -> Moments:
+    def of(cls, members: DataFrame, least: int, moments: DataFrame | None = None) -> Moments:
         patches = sorted(r[0] for r in members.select("patch_id").distinct().collect())
         if not patches:
             raise ValueError("no patches")
         at = {p: k for k, p in enumerate(patches)}
-        rows = overlap_moments(members, least).collect()
+        rows = (overlap_moments(members, least) if moments is None else moments).collect()
         if len(patches) > 1 and not rows:
             raise ValueError("no overlaps")
         pairs = [(at[r["i"]], at[r["j"]], r["n"], np.array(r["mean_i"]), np.array(r["mean_j"]), r["var_i"], r["var_j"], np.array(r["cov"]).reshape(len(r["mean_i"]), -1)) for r in rows]
@@ -216,13 +265,22 @@ def synchronised_shifts(members: DataFrame, patches: list[int], least: int) -> n
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
-def local_to_global(members: DataFrame, least: int = 1, scale: bool = True, method: str = "adaptive", how: str = "mean", seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(embedding, aligned members): scales, then rotations, then shifts, then the mean or median of patches."""
+def local_to_global(members: DataFrame, least: int = 1, scale: bool = True, method: str = "adaptive", how: str = "mean", seed: int = 0, solver: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(embedding, aligned members): scales, then rotations, then shifts, then the mean or median of patches.
+
+    ``solver``: "driver" gathers the moments and solves dense systems, "tables" iterates over tables of
+    pairs; "auto" takes the first while patches and moments are few.  Both give the same alignment.
+    """
     from ..session import written
+    from .synchronise import few, synchronised
 
     spark = members.sparkSession
     members = written(members.select("patch_id", "node_id", "coord"), "patches")
-    m = Moments.of(members, least)
+    moments = written(overlap_moments(members, least), "moments")
+    if solver == "tables" or solver == "auto" and not few(members, moments):
+        aligned = written(synchronised(members, moments, scale, seed).apply(members), "patches")
+        return recombined(aligned, how), aligned
+    m = Moments.of(members, least, moments)
     if len(m.patches) > 1:
         s = synchronised_scales(m) if scale else np.ones(len(m.patches))
         r = synchronised_rotations(m, method, seed)

@@ -51,7 +51,15 @@ def _within(batches):
         ids, inverse = np.unique(matrix(b.column("src")), return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         starts = np.searchsorted(inverse[order], np.arange(len(ids)))
-        yield _tall(ids, np.add.reduceat((matrix(b.column("v")) * matrix(b.column("weight"))[:, None])[order], starts, axis=0))
+        yield _tall(ids, np.add.reduceat(_weighted(matrix(b.column("weight")), matrix(b.column("v")))[order], starts, axis=0))
+
+
+def _weighted(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows of ``v`` times a number each, or, as matrices of d rows, times a d x d block each."""
+    if w.ndim == 1:
+        return v * w[:, None]
+    d = math.isqrt(w.shape[1])
+    return (w.reshape(-1, d, d) @ v.reshape(len(v), d, -1)).reshape(len(v), -1)
 
 
 def _runs(batches):
@@ -83,7 +91,10 @@ def summed(parts: DataFrame) -> DataFrame:
 
 @dataclass
 class Sparse:
-    """A matrix of rows (src, dst, weight); columns of very many entries are joined apart from the rest."""
+    """A matrix of rows (src, dst, weight); columns of very many entries are joined apart from the rest.
+
+    A weight is a number, or a d x d block as an array; then a row of a tall matrix holds d rows.
+    """
 
     rows: DataFrame
     hot: DataFrame | None

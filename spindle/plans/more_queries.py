@@ -12,6 +12,7 @@ from ..operators import fixpoints as fx
 from ..operators import measures as ms
 from ..operators import patching as pt
 from ..operators import sparsify as sp
+from ..operators import synchronise as sy
 from ..session import folder, written
 from ..sources import datasets as ds
 from ..sources import generators as gn
@@ -388,6 +389,29 @@ def aligned_nodes(spark, d):
     return _residual(spark, d, al.local_to_global(_turned(spark, d))[0], 1e-5)
 
 
+@query("aligned_nodes_by_tables", OWN)
+def aligned_nodes_by_tables(spark, d):
+    return _residual(spark, d, al.local_to_global(_turned(spark, d), solver="tables")[0], 1e-5)
+
+
+def _overlaps_of_turned(spark, d):
+    moments = written(al.overlap_moments(_turned(spark, d)), "moments")
+    return moments, sy.strengths(moments)
+
+
+@query("synchronised_scales", f"WITH {PATCHES}, p AS (SELECT DISTINCT patch_id FROM members) SELECT CAST(patch_id AS BIGINT) AS id, round((1 + patch_id / 10.0) / avg(1 + patch_id / 10.0) OVER (), 6) AS scale FROM p")
+def synchronised_scales(spark, d):
+    """What each patch was scaled by, of mean 1."""
+    return sy.scales(*_overlaps_of_turned(spark, d)).select("id", F.round(F.col("v")[0], 6).alias("scale"))
+
+
+@query("synchronised_rotations", f"""WITH {PATCHES}, p AS (SELECT DISTINCT patch_id FROM members), b AS (SELECT min(patch_id) AS base FROM p), c AS (SELECT unnest(range(64)) AS place)
+SELECT CAST(patch_id AS BIGINT) AS id, CAST(place AS INTEGER) AS place, 0.0 + round(CASE WHEN place // 8 = place % 8 THEN cos(0.7 * (patch_id - base)) WHEN place % 8 = place // 8 + 1 AND place % 2 = 1 THEN -sin(0.7 * (patch_id - base)) WHEN place // 8 = place % 8 + 1 AND place % 2 = 0 THEN sin(0.7 * (patch_id - base)) ELSE 0 END, 6) AS value FROM p, b, c""")
+def synchronised_rotations(spark, d):
+    """All entries of the matrices that turn each patch onto the first."""
+    return sy.rotations(*_overlaps_of_turned(spark, d), 8).select("id", F.posexplode("v").alias("place", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
 @query("aligned_nodes_geometric", OWN)
 def aligned_nodes_geometric(spark, d):
     return _residual(spark, d, al.geometric(_turned(spark, d), epochs=200)[0], 1e-3)
