@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
+from .joins import ranked as numbered
 from .measures import scores
 
 CLASSIFIERS = {
@@ -18,7 +19,10 @@ CLASSIFIERS = {
 
 
 def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """``rows`` (id, x, y) balanced: ros, rus, smote, borderline_smote, adasyn, tomek, enn, smote_tomek, smote_enn or class_weight."""
+    """``rows`` (id, x, y) balanced: ros, rus, smote, borderline_smote, adasyn, tomek, enn, smote_tomek, smote_enn or class_weight.
+
+    Made rows are numbered downwards from below every id, and below 0.
+    """
     if method == "class_weight":
         n = rows.groupBy("y").agg(F.count("*").alias("n"))
         t = n.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
@@ -51,7 +55,9 @@ def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFr
     grown = ranked.withColumn("c", F.explode(F.sequence(F.lit(0), whole))).where("c > 0").join(options, "id")
     pick = F.element_at("near", (F.pmod(F.xxhash64("id", "c", F.lit(seed)), F.size("near")) + 1).cast("int"))["ox"]
     u = F.pmod(F.xxhash64("id", "c", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)
-    new = grown.select((-F.col("id") * 1000 - F.col("c") - 1).alias("id"), F.zip_with("x", pick, lambda a, b: a + u * (b - a)).alias("x"), "y")
+    new = grown.select("id", "c", F.zip_with("x", pick, lambda a, b: a + u * (b - a)).alias("x"), "y")
+    first = min(rows.agg(F.min("id")).first()[0] or 0, 0)
+    new = numbered(new, "place", "id", "c").select((F.lit(first - 1) - F.col("place")).alias("id"), "x", "y")
     return rows.select("id", "x", "y").unionByName(new)
 
 

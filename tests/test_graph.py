@@ -150,6 +150,13 @@ def test_resampling(spark):
         assert set(n(m)) <= {0, 1}
 
 
+def test_made_rows_have_ids_of_their_own(spark):
+    """Over a thousand copies of a row, and negative ids in the table."""
+    rows = spark.createDataFrame([(k, [float(k), 1.0], 0) for k in range(2, 2102)] + [(0, [0.0, 0.0], 1), (-3, [1.0, 0.0], 1)], "id long, x array<double>, y int")
+    out = learning.resampled(rows, "smote").cache()
+    assert out.count() == 4200 and out.select("id").distinct().count() == 4200 and out.where("id < -3").count() == 2098
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     edges = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 30, (120, 2)))]
