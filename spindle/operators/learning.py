@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import distance
 from .joins import ranked as numbered
 from .measures import scores
+from .tall import each, total
 
 CLASSIFIERS = {
     "logistic": lambda seed: LogisticRegression(maxIter=100),
@@ -70,8 +72,27 @@ def _neighbours(rows: DataFrame, k: int, same: bool) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k).select("id", "y", "other", "other_y", "ox", "rank")
 
 
+def random_features(train: DataFrame, width: int = 512, gamma: float | None = None, seed: int = 0):
+    """A function of rows (id, x, y) that puts ``width`` random Fourier features of the Gaussian kernel in place of x.
+
+    Dot products of them come near exp(-gamma |x - y|^2); gamma is 1 / (dimensions * variance of the
+    training rows' components) unless it is given.
+    """
+    first = train.select(F.size("x")).first()
+    d = first[0] if first else 0
+    if gamma is None:
+        n, s, q = total(train, lambda x: [x.size, x.sum(), (x**2).sum()], (3,), "x")
+        gamma = 1 / max(d * (q / max(n, 1) - (s / max(n, 1)) ** 2), 1e-12) if d else 1.0
+    rng = np.random.default_rng(seed)
+    w, turn = rng.standard_normal((d, width)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, width)
+    return lambda rows: each(rows.select("id", "y", "x"), lambda x: np.cos(x @ w + turn) * np.sqrt(2 / width), "x", keep=("id", "y"), out=("x",))
+
+
 def classified(train: DataFrame, test: DataFrame, method: str = "logistic", seed: int = 0) -> DataFrame:
-    """``test`` (id, x, y) with predicted, by a classifier of ``train``."""
+    """``test`` (id, x, y) with predicted, by a classifier of ``train``; "rbf" is "svm" on random features of the Gaussian kernel."""
+    if method == "rbf":
+        features = random_features(train, seed=seed)
+        return classified(features(train), features(test), "svm", seed)
     vec = lambda d: d.select("id", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), F.col("y"))
     return CLASSIFIERS[method](seed).fit(vec(train)).transform(vec(test)).select("id", "y", F.col("prediction").cast("int").alias("predicted"))
 

@@ -157,6 +157,21 @@ def test_made_rows_have_ids_of_their_own(spark):
     assert out.count() == 4200 and out.select("id").distinct().count() == 4200 and out.where("id < -3").count() == 2098
 
 
+def test_kernel_classifier_tells_rings_apart(spark):
+    rng = np.random.default_rng(8)
+    angle, y = rng.uniform(0, 2 * np.pi, 400), np.arange(400) % 2
+    x = (np.stack([np.cos(angle), np.sin(angle)], 1) * (1 + 2 * y[:, None])) + 0.1 * rng.standard_normal((400, 2))
+    rows = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int")
+    train, test = rows.where("id < 200"), rows.where("id >= 200")
+    right = {m: learning.classified(train, test, m).where("y = predicted").count() for m in ("rbf", "svm")}
+    assert right["rbf"] >= 195 > 150 > right["svm"]
+    # Dot products of the features come near the kernel.
+    z = {r.id: np.array(r.x) for r in learning.random_features(train, 4096, 0.5)(train.limit(20)).collect()}
+    ids = list(z)
+    kernel = np.exp(-0.5 * ((x[ids][:, None] - x[ids]) ** 2).sum(-1))
+    assert np.abs(np.array([[z[i] @ z[j] for j in ids] for i in ids]) - kernel).max() < 0.1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     edges = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 30, (120, 2)))]
