@@ -257,6 +257,16 @@ def classify_logistic(spark, d):
     return lr.classified(v.where("part = 'train'"), v.where("part = 'test'"))
 
 
+for _name in ("forest", "rbf"):
+
+    def _classify(spark, d, name=_name):
+        v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").alias("y"))
+        v = ms.stratified_split(v)
+        return lr.classified(v.where("part = 'train'"), v.where("part = 'test'"), name)
+
+    QUERIES[f"classify_{_name}"] = _classify
+
+
 @query("resample_over", "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label AS y, CAST((SELECT max(n) FROM n) AS BIGINT) AS n FROM n")
 def resample_over(spark, d):
     return lr.resampled(_vectors(spark, d), "ros").groupBy("y").agg(F.count("*").alias("n"))
