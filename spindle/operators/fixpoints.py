@@ -85,6 +85,66 @@ def bfs(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
         fronts.append(front)
 
 
+def first_reachers(graph: Graph, start: int | None = None) -> DataFrame:
+    """(id, root): the first of the nodes from which a path leads to ``id`` (itself included); ``start`` is before all others, then ids ascend.
+
+    Where every edge has its reverse these are the components. Else roots spread along edges: only nodes whose root got
+    smaller in a round speak in the next one.
+    """
+    e = written(graph.edges.where("src <> dst").select("src", "dst").distinct(), "reach-edges")
+    one_way = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").limit(1).count()
+    if not one_way:
+        labels = component_labels(Graph.from_edges(e, graph.ids))
+        if start is None:
+            return labels.withColumnRenamed("label", "root")
+        mine = labels.where(F.col("id") == start).select("label", F.lit(start).cast("long").alias("root"))
+        return labels.join(F.broadcast(mine), "label", "left").select("id", F.coalesce("root", "label").alias("root"))
+    place = F.struct((F.col("id") != F.lit(start)).alias("later") if start is not None else F.lit(True).alias("later"), F.col("id").alias("id"))
+    best = written(graph.ids.select("id", place.alias("best"), F.lit(True).alias("changed")), "reach")
+    degree = written(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "reach-degree")
+    n_edges = e.count()
+    while best.where("changed").limit(1).count():
+        said = best.where("changed").join(degree, "id").select(F.col("id").alias("src"), "best", "n")
+        heard = join_heavy(e, said, "src", "n", n_edges).groupBy(F.col("dst").alias("id")).agg(F.min("best").alias("heard"))
+        less = F.col("heard").isNotNull() & (F.col("heard") < F.col("best"))
+        best = written(best.join(heard, "id", "left").select("id", F.when(less, F.col("heard")).otherwise(F.col("best")).alias("best"), less.alias("changed")), "reach")
+    return best.select("id", F.col("best.id").alias("root"))
+
+
+def bfs_order(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
+    """(id, visit, root, level, parent): the order in which a queue visits the nodes, from 0.
+
+    A visited node adds its unseen neighbours by ascending id; an empty queue goes on from the smallest unseen node if
+    ``restart`` is set.  All searches run at once: a node belongs to the first root that reaches it, and within
+    a level the queue's order is that of (place of the parent, id), numbered by ranges.  Without
+    ``start`` among the nodes the search begins at the smallest one; without ``restart`` only what ``start`` reaches is returned.
+    Parallel edges and loops change nothing; edges whose ends are no nodes are ignored.
+    """
+    edges = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    if restart:
+        owner = written(first_reachers(graph, start), "order-owner")
+        edges = edges.join(owner.select(F.col("id").alias("src"), F.col("root").alias("ra")), "src").join(owner.select(F.col("id").alias("dst"), F.col("root").alias("rb")), "dst").where("ra = rb").select("src", "dst")
+        roots = owner.where("id = root").select("id")
+    else:
+        edges = edges.join(graph.ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+        roots = graph.ids.where(F.col("id") == start)
+    edges = written(edges, "order-edges")
+    degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "order-degree")
+    n_edges = edges.count()
+    first = ranked(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "at", F.col("id") != start, "id")
+    fronts = [written(first, "order")]
+    while True:
+        seen = reduce(DataFrame.unionAll, fronts)
+        front = fronts[-1].select(F.col("id").alias("src"), "root", "at").join(degree.withColumnRenamed("id", "src"), "src")
+        found = join_heavy(edges, front, "src", "n", n_edges).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("at", "src", "root")).alias("by"))
+        fresh = found.join(seen.select("id"), "id", "left_anti").select("id", F.col("by.root").alias("root"), F.lit(len(fronts)).alias("level"), F.col("by.src").alias("parent"), F.col("by.at").alias("before"))
+        front = written(ranked(fresh, "at", "before", "id").select("id", "root", "level", "parent", "at"), "order")
+        if not front.limit(1).count():
+            break
+        fronts.append(front)
+    return ranked(seen, "visit", F.col("root") != start, "root", "level", "at").select("id", "visit", "root", "level", "parent")
+
+
 def spanning_forest(graph: Graph, maximise: bool = False) -> DataFrame:
     """(src, dst, weight) with src < dst: Boruvka's minimum (maximum) spanning forest; equal weights by (src, dst)."""
     w = -F.col("weight") if maximise else F.col("weight")

@@ -140,6 +140,22 @@ def bfs_forest(spark, d):
     return fx.bfs(copart(spark, d), 1)
 
 
+@query("bfs_order", """WITH RECURSIVE lines AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+near AS (SELECT src, list(dst ORDER BY dst) AS near FROM (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) GROUP BY 1),
+ids AS (SELECT list(src ORDER BY src) AS ids FROM near),
+walk AS (
+  SELECT [CAST(7 AS BIGINT)] AS q, 1 AS i
+  UNION ALL
+  SELECT list_concat(w.q, CASE WHEN w.i > len(w.q) THEN list_filter(ids, lambda x: NOT list_contains(w.q, x))[1:1]
+                               ELSE list_filter(near, lambda x: NOT list_contains(w.q, x)) END), CASE WHEN w.i > len(w.q) THEN w.i ELSE w.i + 1 END
+  FROM walk w CROSS JOIN ids LEFT JOIN near ON src = w.q[w.i] WHERE len(w.q) < len(ids)),
+whole AS (SELECT q FROM walk ORDER BY len(q) DESC LIMIT 1)
+SELECT unnest(q) AS id, CAST(unnest(range(len(q))) AS BIGINT) AS visit FROM whole""")
+def bfs_order(spark, d):
+    """Parts in the order of a search from part 7 along shared orders, over all lines."""
+    return fx.bfs_order(copart(spark, d, 0.0), 7).select("id", "visit")
+
+
 @query("rolling_window_graph", "SELECT a.r AS i, b.r AS j FROM range(40) a(r) JOIN range(40) b(r) ON abs(a.r - b.r) BETWEEN 1 AND 3")
 def rolling_window_graph(spark, d):
     return rolling_window(spark, 40, 4)
