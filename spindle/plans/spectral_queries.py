@@ -8,8 +8,10 @@ from ..operators import embedding as em
 from ..operators import fixpoints as fx
 from ..operators import sparsify as sp
 from ..operators import tall
-from ..session import written
-from .fixtures import COPART, copart
+from ..operators.joins import ranked
+from ..session import folder, written
+from ..sources import numpy_files as npf
+from .fixtures import COPART, copart, t
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,3 +74,31 @@ def bottleneck_paths(spark, d):
 @query("relaxed_tree")
 def relaxed_tree(spark, d):
     return sp.relaxed_tree(copart(spark, d).edges, 0.5)
+
+
+# ---- numpy files
+
+
+@query("numpy_vectors", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")
+def numpy_vectors(spark, d):
+    """The vectors written as npy files and read by ranges."""
+    v = written(ranked(t(spark, d, "embeddings").select("vec_id", "label", "embedding"), "row", "vec_id"), "numbered")
+    path = folder(spark, "npy")
+    npf.write_npy(v, f"{path}-x.npy", "embedding", "float32")
+    npf.write_npy(v, f"{path}-ids.npy", ["vec_id", "label"], "int64")
+    x = npf.read_npy(spark, f"{path}-x.npy", part_bytes=1 << 20).select("row", F.col("value").cast("array<double>").alias("embedding"))
+    ids = npf.read_npy(spark, f"{path}-ids.npy", axis=1, columns={"vec_id": 0, "label": 1}, part_bytes=1 << 20)
+    return ids.join(x, "row")
+
+
+@query("numpy_graph", """WITH lines AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+pairs AS (SELECT a.l_partkey AS s, b.l_partkey AS d, CAST(count(*) AS DOUBLE) AS weight FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2),
+ids AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS id FROM (SELECT DISTINCT s FROM pairs))
+SELECT a.id AS src, b.id AS dst, weight FROM pairs JOIN ids a ON pairs.s = a.s JOIN ids b ON pairs.d = b.s""")
+def numpy_graph(spark, d):
+    """Parts that share orders, over all lines, relabelled, saved as a folder of npy files and loaded again."""
+    g = copart(spark, d, 0.0)
+    g = g.subgraph(g.ids)
+    path = folder(spark, "npy-graph")
+    npf.save_graph(g, path)
+    return npf.load_graph(spark, path, 1 << 20).edges

@@ -203,7 +203,22 @@ LABEL_NAMES = ("labels", "y", "Y", "targets", "classes", "label")
 
 
 def read_embedding(spark: SparkSession, path: str, names: tuple[str, ...] = EMBEDDING_NAMES) -> DataFrame:
-    """A Parquet or JSON table with its vectors as ``embedding``."""
+    """A Parquet or JSON table with its vectors as ``embedding``; of an npy or npz file (row, embedding[, label]).
+
+    An npz file's labels are looked for under ``LABEL_NAMES``.
+    """
+    if path.endswith((".npy", ".npz")):
+        from .numpy_files import members, read_npy
+
+        if path.endswith(".npy"):
+            return read_npy(spark, path).withColumnRenamed("value", "embedding")
+        held = members(path)
+        name = next((x for x in names if x in held), None)
+        if name is None:
+            raise KeyError(f"none of {names} among {held}")
+        found = read_npy(spark, path, name).withColumnRenamed("value", "embedding")
+        label = next((x for x in LABEL_NAMES if x in held), None)
+        return found if label is None else found.join(read_npy(spark, path, label).withColumnRenamed("value", "label"), "row", "left")
     rows = spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
     for name in names:
         if name in rows.columns:
