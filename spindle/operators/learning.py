@@ -8,9 +8,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance
 from .joins import ranked as numbered
 from .measures import scores
+from .nearest import Cells
 from .tall import each, total
 
 CLASSIFIERS = {
@@ -64,12 +64,11 @@ def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFr
 
 
 def _neighbours(rows: DataFrame, k: int, same: bool) -> DataFrame:
-    """(id, y, other, other_y, ox, rank): nearest rows, of the same class only if ``same``. Quadratic within classes: for training sets."""
-    a = rows.select("id", "x", "y")
-    b = rows.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("other_y"))
-    on = (F.col("id") != F.col("other")) & (F.col("y") == F.col("other_y")) if same else F.col("id") != F.col("other")
-    d = a.join(b, on).withColumn("d", distance(F.col("x"), F.col("ox")))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k).select("id", "y", "other", "other_y", "ox", "rank")
+    """(id, y, other, other_y, ox, rank): nearest rows, of the same class only if ``same``; searched by pivot cells."""
+    near = Cells(rows.select("id", "x", "y"), "y" if same else None).nearest(rows, k).select("id", "other", "rank")
+    mine = rows.select("id", "y")
+    others = rows.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("other_y"))
+    return near.join(mine, "id").join(others, "other").select("id", "y", "other", "other_y", "ox", "rank")
 
 
 def random_features(train: DataFrame, width: int = 512, gamma: float | None = None, seed: int = 0):

@@ -206,16 +206,17 @@ def two_patches(graph: Graph, partition: DataFrame, target: int) -> DataFrame:
 def voronoi(points: DataFrame, centres: DataFrame, eps: float) -> DataFrame:
     """(patch_id, node_id): each point in its nearest centre's patch and in further ones while their distance stays under eps times the nearest.
 
-    ``centres`` (patch_id, centre) are a small table of chosen centres: it is counted, and broadcast up to 10,000 rows.
+    ``centres`` (patch_id, centre) may be many: each point's nearest one, and then those within that range, are searched by
+    pivot cells. Centres at the same least distance all count as nearest; points without whole coordinates are in no patch.
     """
-    from ..functions.vectors import distance
-
-    if centres.count() > 10_000:
-        raise ValueError("too many centres; partition the points first")
-    d = points.join(F.broadcast(centres), F.lit(True))
-    d = d.select("patch_id", "node_id", distance(F.col("coord"), F.col("centre")).alias("d"))
-    w = Window.partitionBy("node_id")
-    return d.withColumn("m", F.min("d").over(w)).where((F.col("d") == F.col("m")) | (F.col("d") < eps * F.col("m"))).select("patch_id", "node_id")
+    from .nearest import Cells
+
+    cells = Cells(centres.select(F.col("patch_id").alias("id"), F.col("centre").alias("x")))
+    at = points.select(F.col("node_id").alias("id"), F.col("coord").alias("x"))
+    least = written(cells.nearest(at, 1, itself=True).select("id", F.col("d").alias("m")), "voronoi-nearest")
+    near = cells.within(at.join(least, "id").select("id", "x", (F.col("m") * max(eps, 1.0) * (1 + 1e-12)).alias("bound")))
+    near = near.join(least, "id").where((F.col("d") == F.col("m")) | (F.col("d") < eps * F.col("m")))
+    return near.select(F.col("other").alias("patch_id"), F.col("id").alias("node_id"))
 
 
 def communities_to_patches(communities: DataFrame, min_size: int = 1, min_overlap: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import embedding as em
 from ..operators import fixpoints as fx
+from ..operators import learning as lr
+from ..operators import patching as pt
 from ..operators import sparsify as sp
 from ..operators import tall
 from ..operators.joins import ranked
+from ..operators.nearest import Cells
 from ..session import folder, written
 from ..sources import numpy_files as npf
 from .fixtures import COPART, copart, t
@@ -102,3 +105,55 @@ def numpy_graph(spark, d):
     path = folder(spark, "npy-graph")
     npf.save_graph(g, path)
     return npf.load_graph(spark, path, 1 << 20).edges
+
+
+# ---- nearest neighbours of whole vectors
+
+NEAR = """v AS (SELECT vec_id AS id, label AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pairs AS (SELECT a.id, a.y, b.id AS other, b.y AS other_y, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.id <> b.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM pairs)"""
+
+
+def _labelled_vectors(spark, d):
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").alias("y"))
+
+
+@query("nearest_vectors", f"WITH {NEAR} SELECT id, other, CAST(rank AS INTEGER) AS rank, round(d, 8) AS d FROM near WHERE rank <= 5")
+def nearest_vectors(spark, d):
+    v = _labelled_vectors(spark, d)
+    return Cells(v).nearest(v, 5).select("id", "other", "rank", F.round("d", 8).alias("d"))
+
+
+@query("nearest_of_label", f"WITH {NEAR}, own AS (SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM pairs WHERE y = other_y) SELECT id, other, CAST(rank AS INTEGER) AS rank, round(d, 8) AS d FROM own WHERE rank <= 5")
+def nearest_of_label(spark, d):
+    v = _labelled_vectors(spark, d)
+    return Cells(v, "y").nearest(v, 5).select("id", "other", "rank", F.round("d", 8).alias("d"))
+
+
+@query("resample_tomek", f"WITH {NEAR}, one AS (SELECT * FROM near WHERE rank = 1), bad AS (SELECT a.id FROM one a JOIN one b ON a.other = b.id AND b.other = a.id WHERE a.y <> a.other_y) SELECT id, y FROM v WHERE id NOT IN (SELECT id FROM bad)")
+def resample_tomek(spark, d):
+    return lr.resampled(_labelled_vectors(spark, d), "tomek").select("id", "y")
+
+
+@query("resample_enn", f"WITH {NEAR}, bad AS (SELECT id FROM near WHERE rank <= 3 GROUP BY id HAVING avg(CASE WHEN y = other_y THEN 1.0 ELSE 0.0 END) < 0.5) SELECT id, y FROM v WHERE id NOT IN (SELECT id FROM bad)")
+def resample_enn(spark, d):
+    return lr.resampled(_labelled_vectors(spark, d), "enn").select("id", "y")
+
+
+def _resample(method):
+    def made(spark, d):
+        return lr.resampled(_labelled_vectors(spark, d), method).select("id", "y")
+
+    return made
+
+
+for _name in ("borderline_smote", "adasyn", "smote_tomek", "smote_enn"):
+    QUERIES[f"resample_{_name}"] = _resample(_name)
+
+
+@query("voronoi_whole", """WITH v AS (SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS coord FROM embeddings), d AS (SELECT c.node_id AS patch_id, v.node_id, list_distance(v.coord, c.coord) AS d FROM v JOIN v c ON c.node_id % 10 = 0),
+m AS (SELECT *, min(d) OVER (PARTITION BY node_id) AS m FROM d) SELECT patch_id, node_id FROM m WHERE d = m OR d < 1.1 * m""")
+def voronoi_whole(spark, d):
+    """Patches around every tenth vector, over all of the vectors' components."""
+    p = _labelled_vectors(spark, d).select(F.col("id").alias("node_id"), F.col("x").alias("coord"))
+    return pt.voronoi(p, p.where("node_id % 10 = 0").select(F.col("node_id").alias("patch_id"), F.col("coord").alias("centre")), 1.1)
