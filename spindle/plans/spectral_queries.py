@@ -14,7 +14,8 @@ from ..operators.joins import ranked
 from ..operators.nearest import Cells
 from ..session import folder, written
 from ..sources import numpy_files as npf
-from .fixtures import COPART, copart, t
+from ..streaming import keyed
+from .fixtures import COPART, TRANSITIONS, copart, t, transitions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -157,3 +158,25 @@ def voronoi_whole(spark, d):
     """Patches around every tenth vector, over all of the vectors' components."""
     p = _labelled_vectors(spark, d).select(F.col("id").alias("node_id"), F.col("x").alias("coord"))
     return pt.voronoi(p, p.where("node_id % 10 = 0").select(F.col("node_id").alias("patch_id"), F.col("coord").alias("centre")), 1.1)
+
+
+# ---- streams
+
+
+@query("stream_keyed", f"WITH {TRANSITIONS}, ids AS (SELECT src AS id FROM transitions UNION SELECT dst FROM transitions) SELECT id, CAST(1 AS BIGINT) AS n, true AS in_range, true AS within_limit FROM ids")
+def stream_keyed(spark, d):
+    """A stream of all transitions in four micro-batches, nodes' clusters kept by key: each node once, in one of 8 clusters that hold the limit."""
+    e = transitions(spark, d).select(F.col("event_id").alias("edge_seq"), "src", "dst")
+    e = written(e.repartitionByRange(4, "edge_seq"), "stream-feed")
+    n = e.select("src").union(e.select("dst")).distinct().count()
+    path = folder(spark, "stream-keyed")
+    feed = path + "-in"
+    e.coalesce(4).write.parquet(feed)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    run = keyed.partition_stream(stream, path, n, 8)
+    run.awaitTermination()
+    batches = (run.lastProgress or {"batchId": -1})["batchId"] + 1
+    state = written(keyed.clusters(spark, path, 8, batches), "stream-state")
+    sizes = state.groupBy("cluster").agg((F.count("*") <= F.ceil(F.lit(1.1 * n / 8))).alias("within_limit"))
+    per = state.join(F.broadcast(sizes), "cluster").groupBy("id")
+    return per.agg(F.count("*").alias("n"), F.min(F.col("cluster").between(0, 7)).alias("in_range"), F.min("within_limit").alias("within_limit"))
