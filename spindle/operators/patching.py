@@ -216,7 +216,7 @@ def voronoi(points: DataFrame, centres: DataFrame, eps: float) -> DataFrame:
     least = written(cells.nearest(at, 1, itself=True).select("id", F.col("d").alias("m")), "voronoi-nearest")
     near = cells.within(at.join(least, "id").select("id", "x", (F.col("m") * max(eps, 1.0) * (1 + 1e-12)).alias("bound")))
     near = near.join(least, "id").where((F.col("d") == F.col("m")) | (F.col("d") < eps * F.col("m")))
-    return near.select(F.col("other").alias("patch_id"), F.col("id").alias("node_id"))
+    return near.select(F.col("other").cast(centres.schema["patch_id"].dataType).alias("patch_id"), F.col("id").cast(points.schema["node_id"].dataType).alias("node_id"))
 
 
 def communities_to_patches(communities: DataFrame, min_size: int = 1, min_overlap: int = 5) -> tuple[DataFrame, DataFrame]:
