@@ -11,9 +11,12 @@ work in rounds of joins and quotient graphs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +115,45 @@ def _exact(graph: Graph, f: Callable) -> DataFrame:
     return names.join(found, "pos").select("id", "cluster")
 
 
+@dataclass(frozen=True)
+class Exact:
+    """A kernel (src, dst, weight, n, k) on node numbers as a method: of a graph, or of all parts of a level at once, one task a part."""
+
+    kernel: Callable
+
+    def __call__(self, graph: Graph, k: int) -> DataFrame:
+        return _exact(graph, lambda a, b, w, n: self.kernel(a, b, w, n, k))
+
+    def split(self, rows: DataFrame, k: int, open_: Callable[[int], bool]) -> DataFrame:
+        """``rows`` (path, src, dst, weight, open) of parts: nodes, whose dst is null, and their edges. The same of the parts' parts.
+
+        A part that doesn't fall apart is closed, as are parts of a size that ``open_`` refuses; their edges and those between parts are dropped.
+        """
+        kernel = self.kernel
+
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            path, columns = key[0].as_py(), [table.column(c).combine_chunks() for c in ("src", "dst", "weight")]
+            node = columns[1].is_null().to_numpy(zero_copy_only=False)
+            src = columns[0].to_numpy(zero_copy_only=False)
+            ids, src = np.sort(src[node]), src[~node]
+            dst, weight = (c.filter(pa.array(~node)).to_numpy(zero_copy_only=False) for c in columns[1:])
+            a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+            order = np.lexsort((b, a))
+            found, part, n = np.unique(np.asarray(kernel(a[order], b[order], weight[order], len(ids), k)), return_inverse=True, return_counts=True)
+            names = pa.array([f"{path}/{c:06d}" for c in found.tolist()] if len(found) > 1 else [path])
+            going = np.array([len(found) > 1 and open_(int(x)) for x in n])
+            inner = (part[a] == part[b]) & going[part[a]]
+            of = np.r_[part, part[a[inner]]]
+            far = pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(dst[inner], pa.int64())])
+            return pa.table([names.take(pa.array(of)), pa.array(np.r_[ids, src[inner]]), far, pa.array(np.r_[np.zeros(len(ids)), weight[inner]]), pa.array(going[of])], ["path", "src", "dst", "weight", "open"])
+
+        return rows.groupBy("path").applyInArrow(run, "path string, src long, dst long, weight double, open boolean")
+
+
+exact_fennel = Exact(lambda a, b, w, n, k: fennel_kernel(a, b, n, k))
+exact_spread = Exact(spread_kernel)
+
+
 def _admitted(asking: DataFrame, room: DataFrame, parts: int) -> DataFrame:
     """Those of ``asking`` (id, to, gain, size) that fit: largest gain first, ties to the smaller id, up to each cluster's ``room`` (to, room).
 
@@ -310,9 +352,35 @@ def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes
     return state.select("id", "cluster")
 
 
+def _levels(graph: Graph, most: int, split: int, method: Exact, levels: int | None) -> DataFrame:
+    """(id, path) of all clusters, split level by level."""
+    if graph.edges.count() > EXACT_EDGES:
+        raise ValueError("too many edges for one task; use mode='bulk'")
+    n, depth, done = graph.nodes.count(), 0, []
+    if n <= max(most, split) or levels == 0:
+        return graph.ids.withColumn("path", F.lit(""))
+    nodes = graph.ids.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"))
+    inner = graph.edges.where("src <> dst").select("src", "dst", "weight").join(graph.ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    inner = inner.join(graph.ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+    rows = nodes.unionAll(inner).select(F.lit("").alias("path"), "*")
+    while depth == 0 or rows.limit(1).count():
+        depth += 1
+        more = levels is None or depth < levels
+        made = written(method.split(rows, split, lambda size, more=more: more and size > most and size > split), "split")
+        done.append(made.where("dst is null and not open").select(F.col("src").alias("id"), "path"))
+        rows = made.where("open").drop("open")
+    return reduce(DataFrame.unionAll, done)
+
+
 def hierarchical(graph: Graph, most: int, split: int, method: Callable | None = None, levels: int | None = None) -> DataFrame:
-    """(id, cluster): clusters over ``most`` nodes are split again (``levels`` times at most, if given); numbers are dense, in order of their paths."""
+    """(id, cluster): clusters over ``most`` nodes are split again (``levels`` times at most, if given); numbers are dense, in order of their paths.
+
+    With an ``Exact`` method all clusters of a level are split by one job; other methods take a job or more for each cluster.
+    """
     method = method or fennel
+    if isinstance(method, Exact):
+        done = _levels(graph, most, split, method, levels)
+        return done.join(ranked(done.select("path").distinct(), "cluster", "path"), "path").select("id", "cluster")
     done, todo = None, [("", graph.ids)]
     while todo:
         path, nodes = todo.pop()

@@ -216,7 +216,7 @@ def cluster_multilevel(spark, d):
 
 @query("cluster_hierarchical")
 def cluster_hierarchical(spark, d):
-    return cl.hierarchical(copart(spark, d), 400, 4, method=lambda g, k: cl.fennel(g, k, mode="exact"))
+    return cl.hierarchical(copart(spark, d), 400, 4, method=cl.exact_fennel)
 
 
 # ---- embeddings

@@ -110,6 +110,22 @@ def test_clusterings_balance(two_triangles):
     assert label[0] == label[1] == label[2] != label[4] == label[5]
 
 
+def test_hierarchical_splits_a_level_in_one_job(spark):
+    """As cluster by cluster, isolated nodes and parallel edges included, in a number of jobs that doesn't follow that of clusters."""
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 100, (300, 2)).tolist()
+    g = Graph.from_edges(spark.createDataFrame(pairs + [[b, a] for a, b in pairs], "src long, dst long"), spark.range(104))
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    for most, levels in ((14, None), (14, 1)):
+        alone = {r.id: r.cluster for r in clustering.hierarchical(g, most, 3, lambda h, k: clustering.fennel(h, k, mode="exact"), levels).collect()}
+        group = f"split-{most}-{levels}"
+        spark.sparkContext.setJobGroup(group, "")
+        at_once = {r.id: r.cluster for r in clustering.hierarchical(g, most, 3, clustering.exact_fennel, levels).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert at_once == alone and len(alone) == 104
+        assert jobs(group) <= 40
+
+
 @pytest.mark.parametrize("name", [n for n in embedding.MODELS if n != "svd"])
 def test_models_learn_and_rerun_alike(name):
     rng = np.random.default_rng(1)
