@@ -261,7 +261,7 @@ def spread_guarantees(spark, d):
 @query("hierarchical_guarantees", f"WITH {COPART} SELECT id, true AS within FROM nodes")
 def hierarchical_guarantees(spark, d):
     g = copart(spark, d)
-    p = cl.hierarchical(g, 400, 4, method=lambda h, k: cl.fennel(h, k, mode="exact"))
+    p = cl.hierarchical(g, 400, 4, method=cl.exact_fennel)
     size = p.groupBy("cluster").agg(F.count("*").alias("n"))
     return g.ids.join(p.join(size, "cluster").select("id", (F.col("n") <= 400).alias("within")), "id", "left")
 
