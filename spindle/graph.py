@@ -60,9 +60,10 @@ class Graph:
 
     def is_undirected(self) -> DataFrame:
         """One row: whether the edges with their weights equal their reversal."""
-        e = self.edges.groupBy("src", "dst", "weight").agg(F.count("*").alias("n"))
-        r = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.col("n").alias("m"))
-        odd = e.join(r, ["src", "dst", "weight"], "left").where(F.col("m").isNull() | (F.col("n") != F.col("m")))
+        ends = self.edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "weight")
+        turned = F.sum(F.when(F.col("src") < F.col("dst"), 1).when(F.col("src") > F.col("dst"), -1).otherwise(0))
+        unknown = F.max(F.col("src").isNull() | F.col("dst").isNull() | F.col("weight").isNull())
+        odd = ends.agg(turned.alias("turned"), unknown.alias("unknown")).where("turned <> 0 or unknown")
         return odd.agg((F.count("*") == 0).alias("undirected"))
 
     def sorted_edges(self) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.graph import Graph
+from spindle.operators.joins import ranked
 from spindle.sources import numpy_files as npf
 from spindle.sources.datasets import read_embedding
 
@@ -92,3 +93,17 @@ def test_graph_folder(spark, tmp_path):
     np.save(tmp_path / "edge_index.npy", np.array([[0, 3], [0, 1]]))
     plain = npf.load_graph(spark, str(tmp_path))
     assert plain.nodes.count() == 4 and sorted(map(tuple, plain.edges.collect())) == [(0, 0, 1.0), (3, 1, 1.0)]
+
+
+def test_ranked_rows_are_written_where_they_lie(spark, tmp_path):
+    """In runs that files and batches cut anywhere: the same bytes as sorted rows, without a sort or a count of distinct numbers."""
+    rows = ranked(spark.range(0, 30000, 1, 7).select((F.col("id") * 7919 % 30011).alias("v")), "row", "v")
+    for path, in_runs in ((tmp_path / "a.npy", False), (tmp_path / "b.npy", True)):
+        npf.write_npy(rows, str(path), "v", "int64", in_runs=in_runs)
+    assert (tmp_path / "a.npy").read_bytes() == (tmp_path / "b.npy").read_bytes()
+
+
+def test_undirected_tells_weights_and_counts_apart(spark):
+    cases = [([(1, 2, 1.0), (2, 1, 1.0), (3, 3, 2.0)], True), ([(1, 2, 1.0), (2, 1, 2.0)], False), ([(1, 2, 1.0), (1, 2, 1.0), (2, 1, 1.0)], False), ([(1, 2, None), (2, 1, None)], False), ([], True)]
+    for edges, want in cases:
+        assert Graph.from_edges(spark.createDataFrame(edges, "src long, dst long, weight double")).is_undirected().first()[0] is want
