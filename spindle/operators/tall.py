@@ -11,15 +11,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..session import written
 
 TALL = "id long, v array<double>"
+#: The same in single precision, for tables and shuffles of iterations that need no more.
+SINGLE = "id long, v array<float>"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -31,7 +35,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def arrays(rows: np.ndarray) -> pa.Array:
     n, k = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+    kind = np.float32 if rows.dtype == np.float32 else np.float64
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(rows, kind).ravel()))
 
 
 def bounded_batches(spark: SparkSession, size: int = 32 << 20) -> None:
@@ -51,7 +56,8 @@ def _within(batches):
         ids, inverse = np.unique(matrix(b.column("src")), return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         starts = np.searchsorted(inverse[order], np.arange(len(ids)))
-        yield _tall(ids, np.add.reduceat(_weighted(matrix(b.column("weight")), matrix(b.column("v")))[order], starts, axis=0))
+        v = matrix(b.column("v"))
+        yield _tall(ids, np.add.reduceat(_weighted(matrix(b.column("weight")), v)[order], starts, axis=0).astype(v.dtype))
 
 
 def _weighted(w: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -85,8 +91,9 @@ def _runs(batches):
 
 def summed(parts: DataFrame) -> DataFrame:
     """(id, v): the weighted sums of ``parts`` (src, weight, v) by src."""
-    made = parts.select("src", "weight", "v").mapInArrow(_within, TALL)
-    return made.repartition("id").sortWithinPartitions("id").mapInArrow(_runs, TALL)
+    kind = SINGLE if parts.schema["v"].dataType.elementType == FloatType() else TALL
+    made = parts.select("src", "weight", "v").mapInArrow(_within, kind)
+    return made.repartition("id").sortWithinPartitions("id").mapInArrow(_runs, kind)
 
 
 @dataclass
@@ -118,15 +125,16 @@ class Sparse:
         return summed(few.unionByName(self.rows.join(hot, "dst", "left_anti").join(right, "dst")))
 
 
-def each(df: DataFrame, f: Callable, *columns: str, keep: tuple[str, ...] = ("id",), out: tuple[str, ...] = ("v",)) -> DataFrame:
-    """``keep`` and the arrays ``out`` that ``f`` makes of a batch's ``columns``."""
-    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} array<double>" for c in out]])
+def each(df: DataFrame, f: Callable, *columns: str, keep: tuple[str, ...] = ("id",), out: tuple[str, ...] = ("v",), kind: str = "double") -> DataFrame:
+    """``keep`` and the arrays ``out`` of ``kind`` double or float that ``f`` makes of a batch's ``columns``."""
+    schema = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} array<{kind}>" for c in out]])
+    number = np.float32 if kind == "float" else np.float64
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 made = f(*[matrix(b.column(c)) for c in columns])
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[arrays(x) for x in (made if isinstance(made, tuple) else (made,))]], [*keep, *out])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[arrays(np.asarray(x, number)) for x in (made if isinstance(made, tuple) else (made,))]], [*keep, *out])
 
     return df.mapInArrow(run, schema)
 
@@ -157,37 +165,113 @@ def normal(ids: DataFrame, k: int, seed: int) -> DataFrame:
 # ---------------------------------------------------------------- singular vectors
 
 
-def singular_vectors(a: Sparse, ids: DataFrame, k: int, spare: int = 16, rounds: int = 60, tolerance: float = 1e-6, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """((id, v), values): the ``k`` leading left singular vectors and values of a symmetric matrix, by block subspace iteration.
+#: Products of a cycle at most, after which all blocks are gathered; and their columns, the square of which reaches the driver.
+CYCLE, COLUMNS = 8, 512
 
-    Y = A Q by joins; the small Gram matrix Y'Y gives Y = U S V', whose U is the next Q.  ``spare``
-    more columns speed it up.  It ends when no value of the ``k`` moves by over ``tolerance`` of
-    the largest one, and tells if ``rounds`` weren't enough.
+
+def _gathered(blocks: list[DataFrame], width: int, single: bool) -> DataFrame:
+    """(id, v): the rows of all ``blocks`` (id, v of ``width`` numbers) side by side, zeros where a block has none."""
+    n_blocks, number = len(blocks), np.float32 if single else np.float64
+
+    def run(batches):
+        ids, at, v = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, width), number)
+
+        def side_by_side(ids, at, v):
+            keys, row = np.unique(ids, return_inverse=True)
+            out = np.zeros((len(keys), n_blocks, width), number)
+            out[row, at] = v
+            return _tall(keys, out.reshape(len(keys), -1))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, at, v = np.r_[ids, matrix(b.column("id"))], np.r_[at, matrix(b.column("at"))], np.vstack([v, matrix(b.column("v"))])
+            whole = np.searchsorted(ids, ids[-1])  # the last id may go on in the next batch
+            if whole:
+                yield side_by_side(ids[:whole], at[:whole], v[:whole])
+                ids, at, v = ids[whole:], at[whole:], v[whole:]
+        if len(ids):
+            yield side_by_side(ids, at, v)
+
+    rows = [block.select("id", F.lit(k).alias("at"), "v") for k, block in enumerate(blocks)]
+    return reduce(DataFrame.unionAll, rows).repartition("id").sortWithinPartitions("id").mapInArrow(run, SINGLE if single else TALL)
+
+
+def _orthonormal(gram: np.ndarray, least: float = 1e-14) -> np.ndarray:
+    """The matrix that makes columns of this Gram matrix orthonormal, zero for directions whose square is under ``least`` of the largest."""
+    square, turned = np.linalg.eigh((gram + gram.T) / 2)
+    square, turned = square[::-1], turned[:, ::-1]
+    kept = square > max(square.max(initial=0), 1e-300) * least
+    return turned * np.where(kept, 1 / np.sqrt(np.where(kept, square, 1.0)), 0.0)
+
+
+def _ritz(gram: np.ndarray, bases: list[np.ndarray], width: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, columns, residuals), largest absolute value first, of the space of all blocks but the last.
+
+    ``gram`` is that of the blocks [Q, Y1, ...] with Y1 = A Q and Yj+1 = A Yj Bj, ``bases`` are the identity and the Bj.
+    """
+    n = len(bases) * width
+    space, image = np.zeros((n + width, n)), np.eye(n + width, n, -width)
+    for j, basis in enumerate(bases):
+        space[j * width : (j + 1) * width, j * width : (j + 1) * width] = basis
+    gram = gram[: n + width, : n + width]
+    own = _orthonormal(space.T @ gram @ space, least)
+    own = own[:, own.any(axis=0)]
+    inner = own.T @ space.T @ gram @ image @ own
+    values, turned = np.linalg.eigh((inner + inner.T) / 2)
+    first = np.argsort(-np.abs(values), kind="stable")[:width]
+    first = first[np.abs(values[first]) > max(np.abs(values).max(initial=0), 1e-300) * 1e-7]
+    values, columns = values[first], space @ own @ turned[:, first]
+    off = image @ own @ turned[:, first] - columns * values
+    apart = np.sqrt(np.maximum((off * (gram @ off)).sum(axis=0), 0))
+    few = (0, width - len(first))
+    return np.pad(np.abs(values), few), np.pad(columns, ((0, 0), few)), np.pad(apart, few)
+
+
+def singular_vectors(a: Sparse, ids: DataFrame, k: int, spare: int = 4, rounds: int = 60, tolerance: float = 1e-6, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """((id, v), values): the ``k`` leading left singular vectors and values of a symmetric matrix, by a block Krylov method.
+
+    A cycle takes up to ``CYCLE`` products by joins, Y = A Q, whose small Gram matrix gives the next Q; then all blocks are gathered
+    by id, and the best vectors of their common space start the next cycle.  With a ``tolerance`` of 1e-7
+    or more blocks are kept and sent in single precision; sums are made in double.  ``spare`` more columns speed it up.  It ends
+    when a cycle's last product moves no value of the ``k`` by over ``tolerance`` of the largest one and no A u is farther from its
+    multiple of u than the root of ``tolerance`` of it, and tells if ``rounds`` products weren't enough.
     """
     import warnings
 
     width = min(k + spare, ids.count())
-    q = normal(ids, width, seed)
-    values = np.zeros(0)
-    for turn in range(rounds):
-        y = written(a.times(q), "subspace")
-        gram = total(y, lambda v: v.T @ v, (width, width), "v")
-        square, turned = np.linalg.eigh((gram + gram.T) / 2)
-        square, turned = square[::-1], turned[:, ::-1]
-        now = np.sqrt(np.maximum(square, 0))
-        kept = now > max(now.max(initial=0), 1e-300) * 1e-7
-        if not kept.any():
-            return each(ids, lambda i: np.zeros((len(i), k)), "id"), np.zeros(k)
-        width, basis = int(kept.sum()), turned[:, kept] / now[kept]
-        q = each(y, lambda v, m=basis: v @ m, "v")
-        before, values = values, now[:k]
-        # The first product is with a random block, whose values are none of the matrix's.
-        if turn > 1 and len(before) == len(values) and np.abs(values - before).max() <= tolerance * values[0]:
+    bounded_batches(ids.sparkSession)
+    gram = lambda y, n: total(y, lambda v: (v := v.astype(float)).T @ v, (n, n), "v")
+    single = tolerance >= 1e-7
+    kind, least = ("float", 1e-9) if single else ("double", 1e-11)  # directions below that hold rounding
+    cycle = max(2, min(CYCLE, COLUMNS // width - 1))
+    x = written(a.times(normal(ids, width, seed)), "subspace")
+    basis, values = _orthonormal(gram(x, width)), np.zeros(width)
+    if not basis.any():
+        return each(ids, lambda i: np.zeros((len(i), k)), "id"), np.zeros(k)
+    for _ in range(max(1, rounds // cycle)):
+        q = each(x, lambda v, m=basis: v @ m, "v", kind=kind)
+        blocks, bases = [q], [np.eye(width)]
+        for step in range(cycle):
+            blocks.append(written(a.times(q), "subspace"))
+            if step < cycle - 1:
+                bases.append(_orthonormal(gram(blocks[-1], width)))
+                q = each(blocks[-1], lambda v, m=bases[-1]: v @ m, "v", kind=kind)
+        every = written(_gathered(blocks, width, single), "krylov")
+        whole = gram(every, width * len(blocks))
+        before = _ritz(whole, bases[:-1], width, least)[0]
+        values, columns, apart = _ritz(whole, bases, width, least)
+        x = written(each(every, lambda v, m=columns: v @ m, "v"), "subspace")
+        # Rounding leaves the columns not quite orthonormal; the symmetric root moves them least.
+        square, turned = np.linalg.eigh(gram(x, width))
+        basis = turned * np.where(square > 0.5, 1 / np.sqrt(np.maximum(square, 0.5)), 0.0) @ turned.T
+        if np.abs(values - before)[:k].max() <= tolerance * values[0] and apart[:k].max() <= tolerance**0.5 * values[0]:
             break
     else:
         warnings.warn(f"singular values still move after {rounds} rounds", stacklevel=2)
-    values = np.pad(values[: min(k, width)], (0, max(0, k - width)))
-    q = written(each(q, lambda v: np.pad(v[:, :k], ((0, 0), (0, max(0, k - v.shape[1])))), "v"), "subspace")
+    few = (0, max(0, k - width))
+    values, basis = np.pad(values[:k], few), np.pad(basis[:, :k], ((0, 0), few))
+    q = each(x, lambda v: v @ basis, "v")
     # One sign on every run: the largest component is positive, of equal ones that of the smallest id.
     top = q.agg(*[F.max(F.struct(F.abs(F.col("v")[j]), -F.col("id"), F.col("v")[j])).alias(f"t{j}") for j in range(k)]).first()
     signs = np.array([-1.0 if t is not None and t[2] < 0 else 1.0 for t in top])
