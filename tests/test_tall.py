@@ -67,6 +67,32 @@ def test_resistances_come_near_the_pseudoinverse(spark):
     assert abs(foster - 11) < 0.05 * 11
 
 
+def test_blocks_send_a_row_once_to_each_block(spark):
+    rng = np.random.default_rng(8)
+    n, size = 11, 4
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.9), 1)
+    w = w + w.T
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "src long, dst long, weight double")
+    a = tall.Blocks.of(edges, n, size)
+    assert a.columns.count() <= 3 * n < edges.count()
+    x = rng.standard_normal((n, 64))
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], tall.TALL)
+    got = np.array([r.v for r in a.times(rows).orderBy("id").collect()])
+    assert np.allclose(got, w @ x, atol=1e-12)
+    apart = {(r.src, r.dst): (r.weight, r.r) for r in a.apart(rows).collect()}
+    assert set(apart) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(w)))}
+    assert all(np.isclose(r, ((x[i] - x[j]) ** 2).sum()) and weight == w[i, j] for (i, j), (weight, r) in apart.items())
+    ends = spark.createDataFrame([(9, 2.0, [5]), (9, -1.0, [-1]), (0, 1.0, [0])], "id long, weight double, bits array<long>")
+    sums = {r.id: r.v for r in a.signed(ends, 1, "float").collect()}
+    assert sums[9][:4] == [1.0, -3.0, 1.0, -3.0] and set(sums[0]) == {-1.0} and set(sums[8]) == {0.0} and 4 not in sums
+
+
+def test_resistances_join_no_wide_row_to_each_edge(spark, monkeypatch):
+    graph, _ = random_graph(spark, 8, 0.9, 3, weights=False)
+    monkeypatch.setattr(tall.Sparse, "times", lambda *_: pytest.fail("a row was joined to each edge"))
+    assert sparsify.resistances(graph.edges, epsilon=0.7, exact_up_to=0, tolerance=0.1).count() == graph.edges.count()
+
+
 def test_conjugate_gradients_solve(spark):
     graph, w = random_graph(spark, 8, 0.9, 4)
     lap, degree = tall.laplacian(graph.edges)
