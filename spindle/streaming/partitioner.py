@@ -10,14 +10,19 @@ the state before it, so its result is the same.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fold(state: dict[int, int], edges: np.ndarray, n: int, k: int, load_limit: float = 1.1) -> dict[int, int]:
+def loads(state: dict[int, int], k: int) -> np.ndarray:
+    return np.bincount(np.fromiter(state.values(), int, len(state)), minlength=k) if state else np.zeros(k, int)
+
+
+def fold(state: dict[int, int], edges: np.ndarray, n: int, k: int, load_limit: float = 1.1, load: np.ndarray | None = None) -> dict[int, int]:
+    """``state`` after ``edges``; ``load``, that of each cluster, is kept up to date if it is given."""
     most = max(1.0, load_limit * n / k)
-    load = np.bincount(np.fromiter(state.values(), int, len(state)), minlength=k) if state else np.zeros(k, int)
+    load = loads(state, k) if load is None else load
 
     def least() -> int:
         return int(np.argmin(np.where(load < most, load, np.iinfo(int).max)))
@@ -33,21 +38,41 @@ def fold(state: dict[int, int], edges: np.ndarray, n: int, k: int, load_limit: f
 
 
 def _folded(n, k, load_limit):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf.kind == 0]
-        edges = pdf[pdf.kind == 1].sort_values("seq", kind="stable")
-        state = fold(dict(zip(known.a.tolist(), known.b.tolist())), edges[["a", "b"]].to_numpy(), n, k, load_limit)
-        return pd.DataFrame({"id": list(state), "cluster": list(state.values())}, dtype="int64")
+    def run(batches):
+        state: dict[int, int] = {}
+        load = None
+        for b in batches:
+            kind, a, c = (b.column(x).to_numpy() for x in ("kind", "a", "b"))
+            state.update(zip(a[kind == 0].tolist(), c[kind == 0].tolist()))
+            if (kind == 1).any():
+                load = loads(state, k) if load is None else load
+                fold(state, np.stack([a[kind == 1], c[kind == 1]], axis=1), n, k, load_limit, load)
+        names, clusters = np.fromiter(state, np.int64, len(state)), np.fromiter(state.values(), np.int64, len(state))
+        for at in range(0, len(names), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)]), pa.array(clusters[at : at + (1 << 16)])], ["id", "cluster"])
 
     return run
 
 
+def _telling(batch: DataFrame) -> DataFrame:
+    """Edges of ``batch`` that hold a node for the first time; all others leave the fold's state as it is."""
+    ends = batch.select(F.col("src").alias("id"), "edge_seq").unionAll(batch.select("dst", "edge_seq"))
+    first = ends.groupBy("id").agg(F.min("edge_seq").alias("first"))
+    for end in ("src", "dst"):
+        batch = batch.join(first.select(F.col("id").alias(end), F.col("first").alias(f"{end}_first")), end)
+    return batch.where("edge_seq = src_first or edge_seq = dst_first").select("edge_seq", "src", "dst")
+
+
 def step(state: DataFrame | None, batch: DataFrame, n: int, k: int, load_limit: float = 1.1) -> DataFrame:
-    """(id, cluster) after ``batch`` (edge_seq, src, dst). The fold is one task: it needs all loads at every edge."""
-    rows = batch.select(F.lit(1).alias("kind"), F.col("edge_seq").alias("seq"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    """(id, cluster) after ``batch`` (edge_seq, src, dst).
+
+    The fold is one task: it needs all loads at every new node. It gets the state and, in order, at most one edge for each
+    node of the batch, as a sorted stream of which it holds an Arrow batch and the clusters of the nodes.
+    """
+    rows = _telling(batch.select("edge_seq", "src", "dst")).select(F.lit(1).alias("kind"), F.col("edge_seq").alias("seq"), F.col("src").alias("a"), F.col("dst").alias("b"))
     if state is not None:
         rows = rows.unionByName(state.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("id").alias("a"), F.col("cluster").alias("b")))
-    return rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_folded(n, k, load_limit), "id long, cluster long")
+    return rows.repartition(1).sortWithinPartitions("kind", "seq").mapInArrow(_folded(n, k, load_limit), "id long, cluster long")
 
 
 def assign_rest(nodes: DataFrame, state: DataFrame, k: int) -> DataFrame:

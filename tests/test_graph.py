@@ -278,3 +278,32 @@ def test_conversions_and_sinks(spark, tmp_path):
     assert grown.where("community is null or community < 0 or community >= 5").count() == 0 and grown.select("node_id").distinct().count() == 200
     assert set(gn.standard_suite(spark)) == {"agm", "osbm", "roc"}
     assert ds.transactions(spark)[0].where("btc_amount is null or btc_amount <= 0").count() == 0
+
+
+def test_the_stream_fold_gets_an_edge_for_each_node_at_most(spark):
+    import numpy as np
+
+    from spindle.streaming import partitioner as st
+
+    rng = np.random.default_rng(3)
+    ends = rng.integers(0, 30, (400, 2)).tolist()
+    batch = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "edge_seq long, src long, dst long").repartition(4)
+    assert st._telling(batch).count() <= 30
+    known = {5: 1, 40: 0}
+    want = st.fold(dict(known), np.array(ends), 32, 3)
+    state = spark.createDataFrame(list(known.items()), "id long, cluster long")
+    assert {r.id: r.cluster for r in st.step(state, batch, 32, 3).collect()} == want
+    assert {r.id: r.cluster for r in st.step(None, batch, 32, 3).collect()} == st.fold({}, np.array(ends), 32, 3)
+    assert {r.id: r.cluster for r in st.step(state, batch.limit(0), 32, 3).collect()} == known
+
+
+def test_community_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from spindle.sources import generators as gn
+
+    monkeypatch.setattr(gn, "PAIRS", 100)
+    members = spark.range(200).select(F.col("id").alias("node_id"), F.floor(F.col("id") / 20).alias("community"), F.lit(1.0).alias("strength"))
+    p = gn.agm_probabilities(members.unionAll(members.where("node_id < 20").withColumn("community", F.lit(99))), 0.3)
+    assert p.rdd.getNumPartitions() >= 20
+    got = {(r.a, r.b): round(r.p, 9) for r in p.collect()}
+    assert got == {(a, b): 0.51 if b < 20 else 0.3 for a in range(200) for b in range(a + 1, 200) if a // 20 == b // 20}
+    assert gn.agm_probabilities(members.limit(0), 0.3).count() == 0
