@@ -129,8 +129,10 @@ class Graph:
 
     def clustered(self, partition: DataFrame) -> DataFrame:
         """Edges with the clusters of both ends, cs and cd."""
+        from .operators.joins import join_dealt
+
         p = partition.select("id", "cluster")
-        return self.edges.join(p.select(F.col("id").alias("src"), F.col("cluster").alias("cs")), "src").join(p.select(F.col("id").alias("dst"), F.col("cluster").alias("cd")), "dst")
+        return join_dealt(join_dealt(self.edges, p.select(F.col("id").alias("src"), F.col("cluster").alias("cs")), "src"), p.select(F.col("id").alias("dst"), F.col("cluster").alias("cd")), "dst")
 
     def conductance(self, partition: DataFrame) -> DataFrame:
         """(cluster, cut, volume, conductance) of each cluster against all others: cut edges by the smaller volume."""

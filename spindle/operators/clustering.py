@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import written
-from .joins import ranked
+from .joins import join_dealt, ranked
 
 EXACT_EDGES = 20_000_000
 
@@ -184,7 +184,7 @@ def fennel(
     """
     if mode == "exact":
         return _exact(graph, lambda a, b, w, n: fennel_kernel(a, b, n, k, load_limit, gamma, alpha, rounds))
-    sizes = graph.ids.join(node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else graph.ids.withColumn("size", F.lit(1).cast("long"))
+    sizes = join_dealt(graph.ids, node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else graph.ids.withColumn("size", F.lit(1).cast("long"))
     edges = written(graph.edges.where("src <> dst").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")), "fennel-edges")
     sizes = written(sizes, "fennel-sizes")
     n, heaviest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
@@ -197,15 +197,15 @@ def fennel(
     parts = max(1, -(-n // 1_000_000))
     for step in range(4 + rounds):
         load = _loads(state, k, most)
-        near = edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("n"))
+        near = join_dealt(edges, state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("n"))
         cost = lambda c: alpha * gamma * F.pow(c, F.lit(gamma - 1))
-        gain = near.join(F.broadcast(load), "cluster").join(state.select("id", "size", F.col("cluster").alias("home")), "id").withColumn("gain", F.col("n") - cost(F.col("load")))
+        gain = join_dealt(near.join(F.broadcast(load), "cluster"), state.select("id", "size", F.col("cluster").alias("home")), "id").withColumn("gain", F.col("n") - cost(F.col("load")))
         best = gain.groupBy("id", "size", "home").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("gain"))).alias("own"))
         stay = F.coalesce("own", -cost(F.col("load")))
         best = best.join(F.broadcast(load.select(F.col("cluster").alias("home"), "load")), "home").select("id", "size", "home", (-F.col("b.c")).alias("to"), (F.col("b.gain") - stay).alias("gain"))
         turn = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0
         go = _admitted(best.where(turn & (F.col("to") != F.col("home")) & (F.col("gain") > 1e-12)), load.select(F.col("cluster").alias("to"), "room"), parts)
-        state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "fennel")
+        state = written(join_dealt(state, go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "fennel")
     return state.select("id", "cluster")
 
 
@@ -268,20 +268,22 @@ def louvain(graph: Graph, resolution: float = 1.0, levels: int = 10, rounds: int
     for _ in range(levels):
         edges = written(level_graph.edges, "louvain-e")
         degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("deg")), "louvain-d")
-        state = written(level_graph.ids.withColumn("cluster", F.col("id")), "louvain")
+        state = written(join_dealt(level_graph.ids, degree, "id", "left").select("id", F.col("id").alias("cluster"), "deg"), "louvain")
         any_move, idle = False, 0
         for step in range(rounds):
-            total = state.join(degree, "id").groupBy("cluster").agg(F.sum("deg").alias("tot"))
-            link = edges.where("src <> dst").join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
-            own = state.join(degree, "id").select("id", "deg", F.col("cluster").alias("home"))
-            offer = link.join(own, "id").join(total, "cluster")
+            total = state.groupBy("cluster").agg(F.sum("deg").alias("tot"))
+            link = join_dealt(edges.where("src <> dst"), state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+            own = join_dealt(state.where("deg is not null").select("id", "deg", F.col("cluster").alias("home")), total.select(F.col("cluster").alias("home"), F.col("tot").alias("home_tot")), "home")
+            offer = join_dealt(join_dealt(link, own, "id"), total, "cluster")
             without = F.col("tot") - F.when(F.col("cluster") == F.col("home"), F.col("deg")).otherwise(0.0)
-            offer = offer.withColumn("gain", F.col("w") - resolution * F.col("deg") * without / m2)
-            alone = own.join(total.withColumnRenamed("cluster", "home"), "home").select("id", F.col("home").alias("cluster"), (-resolution * F.col("deg") * (F.col("tot") - F.col("deg")) / m2).alias("stay"))
-            best = offer.groupBy("id").agg(F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("gain"))).alias("here"))
+            offer = offer.withColumns({"gain": F.col("w") - resolution * F.col("deg") * without / m2, "alone": -resolution * F.col("deg") * (F.col("home_tot") - F.col("deg")) / m2})
+            best = offer.groupBy("id").agg(
+                F.max(F.struct("gain", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("gain"))).alias("here"),
+                F.first("alone").alias("stay"), F.first("home").alias("cluster"),
+            )
             side = lambda c: F.pmod(F.xxhash64(c, F.lit(step)), F.lit(2))
-            moves = best.join(alone, "id").withColumn("to", -F.col("b.c")).where((F.col("b.gain") > F.coalesce("here", "stay") + 1e-12) & (F.col("to") != F.col("cluster")) & (side(F.col("cluster")) == 0) & (side(F.col("to")) == 1)).select("id", "to")
-            new = written(state.join(moves, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("moved")), "louvain")
+            moves = best.withColumn("to", -F.col("b.c")).where((F.col("b.gain") > F.coalesce("here", "stay") + 1e-12) & (F.col("to") != F.col("cluster")) & (side(F.col("cluster")) == 0) & (side(F.col("to")) == 1)).select("id", "to")
+            new = written(join_dealt(state, moves, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"), "deg", F.col("to").isNotNull().alias("moved")), "louvain")
             moved = new.where("moved").limit(1).count()
             state = new.drop("moved")
             any_move, idle = any_move or bool(moved), 0 if moved else idle + 1
@@ -289,10 +291,10 @@ def louvain(graph: Graph, resolution: float = 1.0, levels: int = 10, rounds: int
                 break
         if not any_move:
             break
-        names = written(names.join(state.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster").select("id", F.col("next").alias("cluster")), "louvain-n")
+        names = written(join_dealt(names, state.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster").select("id", F.col("next").alias("cluster")), "louvain-n")
         level_graph = Graph.from_edges(level_graph.quotient(state).select("src", "dst", "weight"))
     dense = ranked(names.select("cluster").distinct(), "n", "cluster")
-    return names.join(dense, "cluster").select("id", F.col("n").alias("cluster"))
+    return join_dealt(names, dense, "cluster").select("id", F.col("n").alias("cluster"))
 
 
 def louvain_resolutions(graph: Graph, resolutions: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)) -> DataFrame:
@@ -312,17 +314,17 @@ def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1
     more of their edges' weight, up to the load limit.
     """
     base = Graph(graph.undirected().edges.where("src <> dst"), graph.nodes)
-    size = base.ids.join(node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else base.ids.withColumn("size", F.lit(1).cast("long"))
+    size = join_dealt(base.ids, node_weights.select("id", "size"), "id", "left").select("id", F.coalesce("size", F.lit(1)).cast("long").alias("size")) if node_weights is not None else base.ids.withColumn("size", F.lit(1).cast("long"))
     g, size = Graph(written(base.edges, "level-edges"), base.nodes), written(size, "level-sizes")
     total = size.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     levels, n = [], g.nodes.count()
     while n > max(coarsest, 4 * k):
-        fit = g.edges.join(size.select(F.col("id").alias("src"), F.col("size").alias("a")), "src").join(size.select(F.col("id").alias("dst"), F.col("size").alias("b")), "dst").where(F.col("a") + F.col("b") <= max(2, total // (2 * k)))
+        fit = join_dealt(join_dealt(g.edges, size.select(F.col("id").alias("src"), F.col("size").alias("a")), "src"), size.select(F.col("id").alias("dst"), F.col("size").alias("b")), "dst").where(F.col("a") + F.col("b") <= max(2, total // (2 * k)))
         tie = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"))  # the same from both ends
         best = written(fit.groupBy("src").agg(F.max_by("dst", F.struct("weight", tie)).alias("dst")), "match")
-        pairs = best.join(best.select(F.col("src").alias("dst"), F.col("dst").alias("back")), "dst").where("src = back").select(F.greatest("src", "dst").alias("id"), F.least("src", "dst").alias("cluster")).distinct()
-        step = written(g.ids.join(pairs, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "match")
-        coarse = written(step.join(size, "id").groupBy(F.col("cluster").alias("id")).agg(F.sum("size").alias("size")), "level-sizes")
+        pairs = join_dealt(best, best.select(F.col("src").alias("dst"), F.col("dst").alias("back")), "dst").where("src = back").select(F.greatest("src", "dst").alias("id"), F.least("src", "dst").alias("cluster")).distinct()
+        step = written(join_dealt(g.ids, pairs, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "match")
+        coarse = written(join_dealt(step, size, "id").groupBy(F.col("cluster").alias("id")).agg(F.sum("size").alias("size")), "level-sizes")
         left = coarse.count()
         if left > 0.98 * n:  # hardly anything matches any more
             break
@@ -330,25 +332,25 @@ def multilevel(graph: Graph, k: int, coarsest: int = 4000, load_limit: float = 1
         g, size, n = Graph(written(g.quotient(step, self_loops=False).select("src", "dst", "weight"), "level-edges"), coarse.select("id")), coarse, left
     part = written(fennel(g, k, load_limit, rounds=4, node_weights=size, weighted=True), "multilevel")
     for finer, sizes, step in reversed(levels):
-        part = written(step.join(part.select(F.col("id").alias("cluster"), F.col("cluster").alias("c")), "cluster").select("id", F.col("c").alias("cluster")), "multilevel")
+        part = written(join_dealt(step, part.select(F.col("id").alias("cluster"), F.col("cluster").alias("c")), "cluster").select("id", F.col("c").alias("cluster")), "multilevel")
         part = refined(finer, part, k, load_limit, sizes, refine)
     return part if node_weights is not None else balanced(part, k, load_limit)
 
 
 def refined(graph: Graph, partition: DataFrame, k: int, load_limit: float, sizes: DataFrame, rounds: int = 2) -> DataFrame:
     """``partition`` after rounds in which nodes go where more of their edges' weight lies, largest gain first, up to the load limit."""
-    state = written(partition.join(sizes, "id").select("id", "size", "cluster"), "refine")
+    state = written(join_dealt(partition, sizes, "id").select("id", "size", "cluster"), "refine")
     n = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(1, -(-n // 1_000_000))
     for step in range(2 * rounds):
-        near = graph.edges.join(state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
-        near = near.join(state.select("id", "size", F.col("cluster").alias("home")), "id")
+        near = join_dealt(graph.edges, state.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("id"), "cluster").agg(F.sum("weight").alias("w"))
+        near = join_dealt(near, state.select("id", "size", F.col("cluster").alias("home")), "id")
         best = near.groupBy("id", "size", "home").agg(F.max(F.struct("w", (-F.col("cluster")).alias("c"))).alias("b"), F.max(F.when(F.col("cluster") == F.col("home"), F.col("w"))).alias("own"))
         side = lambda c: F.pmod(F.xxhash64(c, F.lit(step)), F.lit(2))
         # Half of the clusters give and the others take, so that neighbours don't swap places.
         moves = best.select("id", "size", "home", (-F.col("b.c")).alias("to"), (F.col("b.w") - F.coalesce("own", F.lit(0.0))).alias("gain")).where((F.col("gain") > 1e-12) & (side(F.col("home")) == 0) & (side(F.col("to")) == 1))
         go = _admitted(moves, _loads(state, k, int(load_limit * n / k)).select(F.col("cluster").alias("to"), "room"), parts)
-        state = written(state.join(go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "refine")
+        state = written(join_dealt(state, go, "id", "left").select("id", "size", F.coalesce("to", "cluster").alias("cluster")), "refine")
     return state.select("id", "cluster")
 
 

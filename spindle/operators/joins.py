@@ -25,6 +25,11 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: i
     return marked.where("_heavy = 1").drop("_heavy").unionByName(marked.where("_heavy is null").drop("_heavy", *own).join(light, key, how))
 
 
+def join_dealt(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` with ``right`` by an exchange of both: in rounds, small sides that are broadcast add up on the driver."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with ``name``: each row's place from 0 in the order given.
 

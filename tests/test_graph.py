@@ -307,3 +307,25 @@ def test_community_pairs_are_dealt_by_their_number(spark, monkeypatch):
     got = {(r.a, r.b): round(r.p, 9) for r in p.collect()}
     assert got == {(a, b): 0.51 if b < 20 else 0.3 for a in range(200) for b in range(a + 1, 200) if a // 20 == b // 20}
     assert gn.agm_probabilities(members.limit(0), 0.3).count() == 0
+
+
+def test_rounds_of_louvain_and_multilevel_broadcast_no_tables_of_nodes(spark, monkeypatch):
+    from spindle import session
+
+    plans = []
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return session.written(df, name)
+
+    half = [(a, b) for a in range(12) for b in range(a) if a % 3 == b % 3 or a == b + 1]
+    e = session.written(spark.createDataFrame([(a, b, 1.0) for x, y in half for a, b in ((x, y), (y, x))], "src long, dst long, weight double"), "edges")
+    g = Graph.from_edges(e)
+    monkeypatch.setattr(clustering, "written", recorded)
+    state = session.written(g.ids.select("id", (F.col("id") % 2).alias("cluster")), "state")
+    clustering.refined(g, state, 2, 1.1, session.written(g.ids.withColumn("size", F.lit(1).cast("long")), "sizes"), 1)
+    clustering.louvain(g, levels=1, rounds=2)
+    recorded(g.clustered(state), "clustered")
+    assert {name for name, _ in plans} >= {"louvain", "refine", "clustered"}
+    for name, plan in plans:
+        assert "BroadcastHashJoin" not in plan or name == "refine" and plan.count("BroadcastHashJoin") == 1, (name, plan)  # the room of each cluster
