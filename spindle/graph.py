@@ -18,6 +18,8 @@ from .session import written
 class Graph:
     edges: DataFrame
     nodes: DataFrame
+    #: (src, dst, ...) with src < dst: each pair once, where the edges are known to be both directions of these pairs of nodes.
+    half: DataFrame | None = None
 
     @classmethod
     def from_edges(cls, edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = "weight") -> Graph:
@@ -27,6 +29,12 @@ class Graph:
             nodes = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
         return cls(edges, nodes)
 
+    @classmethod
+    def mirrored(cls, half: DataFrame, nodes: DataFrame | None = None) -> Graph:
+        """Both directions of ``half`` (src, dst, weight), whose pairs are distinct with src < dst; ``nodes`` hold all ends."""
+        g = cls.from_edges(half, nodes)
+        return cls(g.edges.unionAll(g.reversed()), g.nodes, g.edges)
+
     @property
     def ids(self) -> DataFrame:
         return self.nodes.select("id")

@@ -6,6 +6,7 @@ sees counts only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..session import written
-from .joins import join_heavy, ranked
+from .joins import Spokes, join_dealt, join_heavy, ranked
 
 
 def component_labels(graph: Graph) -> DataFrame:
@@ -23,8 +24,11 @@ def component_labels(graph: Graph) -> DataFrame:
     that map, until none is left; each round at least halves the nodes that have edges.  Hubs are
     joined apart from the other nodes.
     """
-    e = graph.edges.where("src <> dst")
-    edges = written(e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "cc-edges")
+    if graph.half is not None:
+        edges = graph.half.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    else:
+        e = graph.edges.where("src <> dst")
+        edges = written(e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "cc-edges")
     maps = []
     while n := edges.count():
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,6 +48,24 @@ def component_labels(graph: Graph) -> DataFrame:
     return labels
 
 
+def _labels_of_spokes(graph: Graph, near: Spokes) -> DataFrame:
+    """``component_labels`` of a graph whose ``near`` edges hold both directions.
+
+    The least neighbour of each node and one more make up few edges that join nearly all of a component; then all edges
+    are asked once whether their ends' labels differ, and only those that do are contracted.
+    """
+    two = near.light.groupBy("src").agg(F.min("dst").alias("a"), F.min_by("dst", F.xxhash64("src", "dst")).alias("b"))
+    labels = component_labels(Graph.from_edges(two.select("src", F.explode(F.array("a", "b")).alias("dst")), graph.ids))
+    said = near.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a"))).where("src < dst").select("dst", "a").distinct()
+    apart = join_dealt(said, labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a <> b")
+    apart = written(apart.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "cc-apart")
+    if not apart.limit(1).count():
+        return labels
+    to = component_labels(Graph.from_edges(apart)).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    held = join_dealt(labels.groupBy("label").agg(F.count("*").alias("held")), to, "label")
+    return written(join_heavy(labels, held, "label", "held", labels.count(), "left").select("id", F.coalesce("to", "label").alias("label")), "cc-labels")
+
+
 def components(graph: Graph) -> DataFrame:
     """(id, component): components numbered by size, 0 the largest, ties by smallest id."""
     labels = component_labels(graph)
@@ -66,23 +88,45 @@ def bfs(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
     With ``restart`` the search goes on from the smallest node of every component not reached yet.
     """
     roots = graph.ids.where(F.col("id") == start)
+    edges = graph.edges.select("src", "dst") if graph.half is not None else written(graph.edges.select("src", "dst"), "bfs-edges")
+    near = Spokes.of(edges, edges.count())
     if restart:
-        labels = component_labels(graph)
+        labels = component_labels(graph) if graph.half is None else written(_labels_of_spokes(graph, near), "bfs-labels")
         taken = labels.join(roots, "id", "left_semi").select("label")
         roots = roots.unionAll(labels.where("id = label").join(taken, "label", "left_anti").select("id"))
-    edges = written(graph.edges.select("src", "dst"), "bfs-edges")
-    degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "bfs-degree")
-    n_edges = edges.count()
-    fronts = [written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "bfs")]
-    while True:
-        # Each front is a table of its own: what was seen is their union, and nothing is written twice.
-        seen = reduce(DataFrame.unionAll, fronts)
-        front = fronts[-1].select("id", "root").join(degree, "id").withColumnRenamed("id", "src")
-        step = join_heavy(edges, front, "src", "n", n_edges).groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("root"), F.min("src").alias("parent"))
-        front = written(step.join(seen.select("id"), "id", "left_anti").select("id", "root", F.lit(len(fronts)).alias("level"), "parent"), "bfs-front")
-        if not front.limit(1).count():
-            return seen
+    first = written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "bfs")
+
+    def step(front: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        found = _unseen(near.join(front.select(F.col("id").alias("src"))).select("dst", "src"), seen, "parent")
+        named = join_dealt(found, front.select(F.col("id").alias("parent"), "root"), "parent")
+        return written(named.select("id", "root", F.lit(level).alias("level"), "parent"), "bfs-front")
+
+    return reduce(DataFrame.unionAll, _fronts(graph, first, step, restart))
+
+
+def _fronts(graph: Graph, first: DataFrame, step: Callable, whole: bool) -> list[DataFrame]:
+    """Fronts, level by level, each a table of its own: ``step(front, seen, level)`` writes the next one, without ids ``seen``.
+
+    Where edges are known to go both ways a neighbour lies one level off at most, so that only the last two fronts are asked;
+    and a search that reaches the ``whole`` graph ends with its last node.
+    """
+    fronts, both = [first], graph.half is not None
+    left = graph.nodes.count() - first.count() if both and whole else None
+    while left is None or left > 0:
+        seen = reduce(DataFrame.unionAll, [f.select("id") for f in (fronts[-2:] if both else fronts)])
+        front = step(fronts[-1], seen, len(fronts))
+        n = front.count()
+        if not n:
+            break
         fronts.append(front)
+        left = left if left is None else left - n
+    return fronts
+
+
+def _unseen(said: DataFrame, seen: DataFrame, name: str) -> DataFrame:
+    """(id, name): the least that is ``said`` (id, a long) of each id that isn't ``seen``, by one sum: a join would move all edges."""
+    rows = said.toDF("id", name).withColumn("old", F.lit(False)).unionAll(seen.select("id", F.lit(None).cast("long"), F.lit(True)))
+    return rows.groupBy("id").agg(F.min(name).alias(name), F.bool_or("old").alias("old")).where("not old").drop("old")
 
 
 def first_reachers(graph: Graph, start: int | None = None) -> DataFrame:
@@ -91,14 +135,12 @@ def first_reachers(graph: Graph, start: int | None = None) -> DataFrame:
     Where every edge has its reverse these are the components. Else roots spread along edges: only nodes whose root got
     smaller in a round speak in the next one.
     """
+    if graph.half is not None:
+        return _first_of(component_labels(graph), start)
     e = written(graph.edges.where("src <> dst").select("src", "dst").distinct(), "reach-edges")
     one_way = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").limit(1).count()
     if not one_way:
-        labels = component_labels(Graph.from_edges(e, graph.ids))
-        if start is None:
-            return labels.withColumnRenamed("label", "root")
-        mine = labels.where(F.col("id") == start).select("label", F.lit(start).cast("long").alias("root"))
-        return labels.join(F.broadcast(mine), "label", "left").select("id", F.coalesce("root", "label").alias("root"))
+        return _first_of(component_labels(Graph.from_edges(e, graph.ids)), start)
     place = F.struct((F.col("id") != F.lit(start)).alias("later") if start is not None else F.lit(True).alias("later"), F.col("id").alias("id"))
     best = written(graph.ids.select("id", place.alias("best"), F.lit(True).alias("changed")), "reach")
     degree = written(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "reach-degree")
@@ -111,6 +153,14 @@ def first_reachers(graph: Graph, start: int | None = None) -> DataFrame:
     return best.select("id", F.col("best.id").alias("root"))
 
 
+def _first_of(labels: DataFrame, start: int | None) -> DataFrame:
+    """(id, root) of components (id, label): ``start`` or else the label."""
+    if start is None:
+        return labels.withColumnRenamed("label", "root")
+    mine = labels.where(F.col("id") == start).select("label", F.lit(start).cast("long").alias("root"))
+    return labels.join(F.broadcast(mine), "label", "left").select("id", F.coalesce("root", "label").alias("root"))
+
+
 def bfs_order(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
     """(id, visit, root, level, parent): the order in which a queue visits the nodes, from 0.
 
@@ -120,28 +170,34 @@ def bfs_order(graph: Graph, start: int = 0, restart: bool = True) -> DataFrame:
     ``start`` among the nodes the search begins at the smallest one; without ``restart`` only what ``start`` reaches is returned.
     Parallel edges and loops change nothing; edges whose ends are no nodes are ignored.
     """
-    edges = graph.edges.where("src <> dst").select("src", "dst").distinct()
-    if restart:
+    if both := graph.half is not None:
+        edges, total = graph.edges.select("src", "dst"), 2 * graph.half.count()
+        near = Spokes.of(edges, total)
+    else:
+        edges = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    if both and restart:
+        owner = _first_of(_labels_of_spokes(graph, near), start)
+        roots = written(owner.where("id = root").select("id"), "order-roots")
+    elif restart:
         owner = written(first_reachers(graph, start), "order-owner")
         edges = edges.join(owner.select(F.col("id").alias("src"), F.col("root").alias("ra")), "src").join(owner.select(F.col("id").alias("dst"), F.col("root").alias("rb")), "dst").where("ra = rb").select("src", "dst")
         roots = owner.where("id = root").select("id")
     else:
         edges = edges.join(graph.ids.select(F.col("id").alias("dst")), "dst", "left_semi")
         roots = graph.ids.where(F.col("id") == start)
-    edges = written(edges, "order-edges")
-    degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "order-degree")
-    n_edges = edges.count()
-    first = ranked(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "at", F.col("id") != start, "id")
-    fronts = [written(first, "order")]
-    while True:
-        seen = reduce(DataFrame.unionAll, fronts)
-        front = fronts[-1].select(F.col("id").alias("src"), "root", "at").join(degree.withColumnRenamed("id", "src"), "src")
-        found = join_heavy(edges, front, "src", "n", n_edges).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("at", "src", "root")).alias("by"))
-        fresh = found.join(seen.select("id"), "id", "left_anti").select("id", F.col("by.root").alias("root"), F.lit(len(fronts)).alias("level"), F.col("by.src").alias("parent"), F.col("by.at").alias("before"))
-        front = written(ranked(fresh, "at", "before", "id").select("id", "root", "level", "parent", "at"), "order")
-        if not front.limit(1).count():
-            break
-        fronts.append(front)
+    if not both:
+        edges = written(edges, "order-edges")
+        near = Spokes.of(edges, edges.count())
+    first = written(ranked(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")), "at", F.col("id") != start, "id"), "order")
+
+    def step(front: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        # A place names the parent, so that only (id, place) is sent along edges.
+        found = _unseen(near.join(front.select(F.col("id").alias("src"), "at")).select("dst", "at"), seen, "before")
+        named = join_dealt(found, front.select(F.col("at").alias("before"), F.col("id").alias("parent"), "root"), "before")
+        fresh = written(named.select("id", "root", F.lit(level).alias("level"), "parent", "before"), "order-found")
+        return written(ranked(fresh, "at", "before", "id").select("id", "root", "level", "parent", "at"), "order")
+
+    seen = reduce(DataFrame.unionAll, _fronts(graph, first, step, restart))
     return ranked(seen, "visit", F.col("root") != start, "root", "level", "at").select("id", "visit", "root", "level", "parent")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import bucketed, written
 
 
 def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner", parts: int = 500, small: int = 200_000) -> DataFrame:
@@ -30,6 +32,37 @@ def join_dealt(left: DataFrame, right: DataFrame, key: str | list[str], how: str
     return left.join(right.hint("merge"), key, how)
 
 
+@dataclass
+class Spokes:
+    """Edges (src, dst) written in buckets by src, so that a join on src moves only the other side; hubs' edges lie apart as they came."""
+
+    light: DataFrame
+    heavy: DataFrame | None
+    hubs: DataFrame | None
+
+    @classmethod
+    def of(cls, edges: DataFrame, total: int, parts: int = 500, small: int = 200_000, seen: int = 1_000_000) -> Spokes:
+        """``edges`` of ``total`` rows; a hub has about a ``parts``-th of them or more, by its count among some ``seen`` rows, which settles the layout only."""
+        edges = edges.select("src", "dst")
+        hubs = None
+        if total > small:
+            share = min(1.0, seen / total)
+            count = edges.sample(share, 7).groupBy("src").agg(F.count("*").alias("n")) if share < 1 else edges.groupBy("src").agg(F.count("*").alias("n"))
+            hubs = written(count.where(F.col("n") > max(1000.0, total / parts) * share).select("src"), "hubs")
+            hubs = hubs if hubs.limit(1).count() else None
+        if hubs is None:
+            return cls(bucketed(edges, "src", total, "spokes"), None, None)
+        of_hub = lambda how: edges.join(F.broadcast(hubs), "src", how)
+        return cls(bucketed(of_hub("left_anti"), "src", total, "spokes"), written(of_hub("left_semi"), "spokes-hubs"), hubs)
+
+    def join(self, rows: DataFrame) -> DataFrame:
+        """All edges that leave ``rows`` (src, ...), a row for each src."""
+        out = self.light.join(rows.hint("shuffle_hash"), "src")
+        if self.hubs is None:
+            return out
+        return out.unionByName(self.heavy.join(F.broadcast(rows.join(F.broadcast(self.hubs), "src", "left_semi")), "src"))
+
+
 def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with ``name``: each row's place from 0 in the order given.
 
