@@ -18,6 +18,10 @@ CLASSIFIERS = {
     "forest": lambda seed: RandomForestClassifier(numTrees=50, seed=seed),
     "svm": lambda seed: OneVsRest(classifier=LinearSVC(maxIter=50)),
 }
+#: Numbers in the blocks of rows that the classes fitted at once keep, by which up to ``AT_ONCE`` classes are; never under ``LEAST_AT_ONCE``.
+KEPT_NUMBERS, AT_ONCE, LEAST_AT_ONCE = 1_000_000_000, 10, 4
+#: Numbers of a partition at least: every pass over the rows is a job, whose tasks cost more than small partitions' sums.
+PART_NUMBERS = 2_000_000
 
 
 def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -93,7 +97,18 @@ def classified(train: DataFrame, test: DataFrame, method: str = "logistic", seed
         features = random_features(train, seed=seed)
         return classified(features(train), features(test), "svm", seed)
     vec = lambda d: d.select("id", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), F.col("y"))
-    return CLASSIFIERS[method](seed).fit(vec(train)).transform(vec(test)).select("id", "y", F.col("prediction").cast("int").alias("predicted"))
+    fitted = CLASSIFIERS[method](seed)
+    if isinstance(fitted, OneVsRest):
+        # A class's fit is a row of some 50 short jobs that leave most cores idle, and no class waits for another.
+        n, d = train.agg(F.count("*"), F.max(F.size("x"))).first()
+        fitted.setParallelism(classes_at_once(n * (d or 1)))
+        train = train.coalesce(max(1, -(-n * (d or 1) // PART_NUMBERS)))
+    return fitted.fit(vec(train)).transform(vec(test)).select("id", "y", F.col("prediction").cast("int").alias("predicted"))
+
+
+def classes_at_once(numbers: int) -> int:
+    """How many classes are fitted at once on rows of so many ``numbers``: each fit keeps a copy of its own."""
+    return max(LEAST_AT_ONCE, min(AT_ONCE, KEPT_NUMBERS // max(numbers, 1)))
 
 
 def cross_validated(rows: DataFrame, method: str = "logistic", folds: int = 5, seed: int = 0) -> DataFrame:
