@@ -5,7 +5,8 @@ FENNEL and spread are sequential by definition: each node's choice depends on al
 graph, keeps FENNEL's load limit in every round, and gives other, similar clusters.
 ``mode="exact"`` repeats the sequential result in one task over the edges in compressed form
 (for graphs of up to ``EXACT_EDGES`` edges).  Louvain and the multilevel partitioner
-work in rounds of joins and quotient graphs.
+work in rounds of joins and quotient graphs; what is left of Louvain's levels on a quotient
+graph of up to ``LOCAL_EDGES`` edges is one task's work.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..session import written
 from .joins import join_dealt, ranked
 
 EXACT_EDGES = 20_000_000
+#: A level's edges that are few enough for one task of Louvain: rounds of joins on so few rows only wait for their jobs.
+LOCAL_EDGES = 200_000
 
 
 def _csr(src, dst, n):
@@ -258,15 +261,76 @@ def balanced(partition: DataFrame, k: int, slack: float = 1.2) -> DataFrame:
     return moved.select("id", F.when((excess > 0) & (F.col("r") <= excess), to).otherwise(F.col("cluster")).alias("cluster"))
 
 
+def louvain_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float, levels: int, m2: float) -> np.ndarray:
+    """The community of each node 0..n-1: local moves node by node until none gains, then on the quotient graph.
+
+    Edges hold both directions and loops; ``m2`` is the sum of all their weights. Ties go to the node's own community, then to the lowest.
+    """
+    names = np.arange(n)
+    for _ in range(levels):
+        order = np.lexsort((dst, src))
+        src, dst, weight = src[order], dst[order], weight[order]
+        cut = np.searchsorted(src, np.arange(n + 1)).tolist()
+        near, w = dst.tolist(), weight.tolist()
+        degree = np.bincount(src, weights=weight, minlength=n).tolist()
+        total, cluster = degree.copy(), list(range(n))
+        any_move, moved = False, True
+        while moved:
+            moved = False
+            for v in range(n):
+                pull: dict[int, float] = {}
+                for e in range(cut[v], cut[v + 1]):
+                    if near[e] != v:
+                        c = cluster[near[e]]
+                        pull[c] = pull.get(c, 0.0) + w[e]
+                home, share = cluster[v], resolution * degree[v] / m2
+                total[home] -= degree[v]
+                to, most = home, pull.get(home, 0.0) - share * total[home] + 1e-12
+                for c, x in pull.items():
+                    gain = x - share * total[c]
+                    if c != home and (gain > most or (gain == most and to != home and c < to)):
+                        to, most = c, gain
+                total[to] += degree[v]
+                if to != home:
+                    cluster[v] = to
+                    moved = any_move = True
+        if not any_move:
+            break
+        part, of = np.unique(cluster, return_inverse=True)
+        names, n = of[names], len(part)
+        pairs, at = np.unique(of[src] * n + of[dst], return_inverse=True)
+        src, dst, weight = pairs // n, pairs % n, np.bincount(at, weights=weight)
+    return names
+
+
+def _louvain_left(edges: DataFrame, resolution: float, levels: int, m2: float) -> DataFrame:
+    """(id, cluster) of the ends of few ``edges``: all levels that are left, by one task; a community is named by its smallest id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst, weight = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        ids, at = np.unique(np.r_[src, dst], return_inverse=True)
+        found = louvain_kernel(at[: len(src)], at[len(src) :], weight, len(ids), resolution, levels, m2)
+        first = np.full(found.max(initial=-1) + 1, len(ids))
+        np.minimum.at(first, found, np.arange(len(ids)))
+        return pa.table({"id": ids, "cluster": ids[first[found]]})
+
+    return edges.select(F.lit(0).alias("g"), "src", "dst", F.col("weight").cast("double").alias("weight")).groupBy("g").applyInArrow(run, "id long, cluster long")
+
+
 def louvain(graph: Graph, resolution: float = 1.0, levels: int = 10, rounds: int = 12) -> DataFrame:
     """Modularity by local moves in rounds of joins, then on the quotient graph, until nothing moves.
 
     In a round half of the communities may give and the other half take, so no two nodes swap places.
+    From a quotient graph of up to ``LOCAL_EDGES`` edges on, the levels that are left are one task's work, node by node.
     """
     level_graph, names = graph, graph.ids.withColumn("cluster", F.col("id"))
     m2 = graph.edges.agg(F.sum("weight")).first()[0] or 1.0
-    for _ in range(levels):
+    for level in range(levels):
         edges = written(level_graph.edges, "louvain-e")
+        if edges.count() <= LOCAL_EDGES:
+            state = written(_louvain_left(edges, resolution, levels - level, m2), "louvain")
+            names = written(_renamed(names, state), "louvain-n")
+            break
         degree = written(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("deg")), "louvain-d")
         state = written(join_dealt(level_graph.ids, degree, "id", "left").select("id", F.col("id").alias("cluster"), "deg"), "louvain")
         any_move, idle = False, 0
@@ -291,12 +355,17 @@ def louvain(graph: Graph, resolution: float = 1.0, levels: int = 10, rounds: int
                 break
         if not any_move:
             break
-        names = written(join_dealt(names, state.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster").select("id", F.col("next").alias("cluster")), "louvain-n")
+        names = written(_renamed(names, state), "louvain-n")
         level_graph = Graph.from_edges(level_graph.quotient(state).select("src", "dst", "weight"))
     dense = ranked(names.select("cluster").distinct(), "n", "cluster")
     return join_dealt(names, dense, "cluster").select("id", F.col("n").alias("cluster"))
 
 
+def _renamed(names: DataFrame, state: DataFrame) -> DataFrame:
+    """``names`` (id, cluster) after the clusters' moves in ``state``; clusters without edges aren't in it and stay."""
+    return join_dealt(names, state.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster"))
+
+
 def louvain_resolutions(graph: Graph, resolutions: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)) -> DataFrame:
     """(resolution, id, cluster)."""
     out = None

@@ -329,3 +329,42 @@ def test_rounds_of_louvain_and_multilevel_broadcast_no_tables_of_nodes(spark, mo
     assert {name for name, _ in plans} >= {"louvain", "refine", "clustered"}
     for name, plan in plans:
         assert "BroadcastHashJoin" not in plan or name == "refine" and plan.count("BroadcastHashJoin") == 1, (name, plan)  # the room of each cluster
+
+
+def _modularity(g, cluster):
+    e = [tuple(r) for r in g.edges.select("src", "dst", "weight").collect()]
+    m2, degree = sum(w for *_, w in e), {}
+    for a, _, w in e:
+        degree[cluster[a]] = degree.get(cluster[a], 0.0) + w
+    return sum(w for a, b, w in e if cluster[a] == cluster[b]) / m2 - sum(d * d for d in degree.values()) / m2**2
+
+
+@pytest.mark.parametrize("local, rounds, short", [(0, 2, 1.0), (400, 6, 0.05), (200_000, 12, 1e-9)])
+def test_louvain_finds_planted_groups_and_keeps_isolated_nodes(spark, monkeypatch, local, rounds, short):
+    """By rounds of joins, by a task from the second level on, and by a task at once, whose jobs are few."""
+    monkeypatch.setattr(clustering, "LOCAL_EDGES", local)
+    rng = np.random.default_rng(3)
+    pairs = sorted({(a, b) for a, b in rng.integers(0, 90, (4000, 2)).tolist() if a < b and (a // 15 == b // 15 or rng.random() < 0.02)})
+    g = Graph.from_edges(spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "src long, dst long"), spark.range(95))
+    spark.sparkContext.setJobGroup(f"louvain-{local}", "")
+    found = {r.id: r.cluster for r in clustering.louvain(g, levels=10 if local else 2, rounds=rounds).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found) == list(range(95)) and len({found[k] for k in range(90, 95)}) == 5
+    assert _modularity(g, found) >= _modularity(g, {k: k // 15 for k in range(95)}) - short
+    if local == 200_000:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain-200000")) <= 40
+
+
+def test_louvain_kernel_never_lowers_modularity():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 60, (2, 150))
+    src, dst = np.r_[a, b], np.r_[b, a]
+    w = np.tile(rng.random(150), 2)
+
+    def q(c):
+        strength = np.bincount(c[src], weights=w)
+        return w[c[src] == c[dst]].sum() / w.sum() - (strength**2).sum() / w.sum() ** 2
+
+    values = [q(clustering.louvain_kernel(src, dst, w, 60, 1.0, k, w.sum())) for k in (0, 1, 2, 10)]
+    assert values == sorted(values) and values[1] > values[0]
+    assert clustering.louvain_kernel(src[:0], src[:0], w[:0], 3, 1.0, 10, 1.0).tolist() == [0, 1, 2]
