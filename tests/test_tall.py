@@ -93,6 +93,27 @@ def test_resistances_join_no_wide_row_to_each_edge(spark, monkeypatch):
     assert sparsify.resistances(graph.edges, epsilon=0.7, exact_up_to=0, tolerance=0.1).count() == graph.edges.count()
 
 
+def test_components_that_fit_a_task_are_solved_there(spark, monkeypatch):
+    """Components of their own, very small ones together, and the rest by blocks; all near the pseudoinverse."""
+    rng = np.random.default_rng(9)
+    pairs = [(100 * c + int(i), 100 * c + int(j)) for c, n in enumerate((14, 12, 3, 2, 2)) for i, j in zip(*np.nonzero(np.triu(rng.random((n, n)) < 0.9, 1)))]
+    pairs = sorted({*pairs, (200, 201), (201, 202), (300, 301), (400, 401)})
+    weight = rng.uniform(0.5, 2, len(pairs)).tolist()
+    half = spark.createDataFrame([(a, b, w) for (a, b), w in zip(pairs, weight)], "src long, dst long, weight double")
+    exact = {(r.src, r.dst): r.resistance for r in sparsify.resistances(half).collect()}
+    assert len(exact) == 2 * len(pairs)
+    by_blocks = []
+    blocks = sparsify._by_blocks
+    monkeypatch.setattr(sparsify, "_by_blocks", lambda half, *o: by_blocks.append(half.count()) or blocks(half, *o))
+    for nodes, edges, far, graph in ((1000, 2_000_000, [], Graph.mirrored(half)), (12, 4096, [sum(b < 100 for _, b in pairs)], half)):
+        by_blocks.clear()
+        monkeypatch.setattr(sparsify, "PART_NODES", nodes)
+        monkeypatch.setattr(sparsify, "PART_EDGES", edges)
+        got = {(r.src, r.dst): r.resistance for r in sparsify.resistances(graph, epsilon=0.5, exact_up_to=0, tolerance=1e-2).collect()}
+        assert set(got) == set(exact) and all(abs(got[e] / exact[e] - 1) < 0.5 for e in exact)
+        assert by_blocks == far
+
+
 def test_conjugate_gradients_solve(spark):
     graph, w = random_graph(spark, 8, 0.9, 4)
     lap, degree = tall.laplacian(graph.edges)
