@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .joins import ranked as numbered
 from .measures import scores
 from .nearest import Cells
@@ -34,9 +35,9 @@ def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFr
         t = n.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
         return rows.join(F.broadcast(n.join(F.broadcast(t)).select("y", (F.col("t") / (F.col("k") * F.col("n"))).alias("weight"))), "y")
     if method in ("smote_tomek", "smote_enn"):
-        return resampled(resampled(rows, "smote", k, seed), method.split("_")[1], k, seed)
+        return resampled(written(resampled(rows, "smote", k, seed), "smote"), method.split("_")[1], k, seed)
     if method in ("tomek", "enn"):
-        near = _neighbours(rows, 1 if method == "tomek" else 3, same=False)
+        near = written(_neighbours(rows, rows, 1 if method == "tomek" else 3, same=False), "near")
         if method == "tomek":  # both of a pair of nearest neighbours of different classes go
             pair = near.join(near.select(F.col("other").alias("id"), F.col("id").alias("other"), F.lit(True).alias("mutual")), ["id", "other"]).where("y <> other_y")
             bad = pair.select("id")
@@ -52,27 +53,27 @@ def resampled(rows: DataFrame, method: str, k: int = 5, seed: int = 0) -> DataFr
     whole = F.floor((F.col("most") - F.col("r")) / F.col("n")).cast("int")  # copies besides the row itself
     if method == "ros":
         return ranked.withColumn("c", F.explode(F.sequence(F.lit(0), whole))).select(*rows.columns)
-    near = _neighbours(rows, k, same=True)
+    grown = written(ranked.withColumn("c", F.explode(F.sequence(F.lit(0), whole))).where("c > 0").select("id", "c", "x", "y"), "grown")
+    asking = grown.where("c = 1").select("id", "x", "y")  # no other row's neighbours are asked for
     if method in ("borderline_smote", "adasyn"):
-        foreign = _neighbours(rows, k, same=False).groupBy("id").agg(F.avg((F.col("y") != F.col("other_y")).cast("double")).alias("foreign"))
-        hard = foreign.where("foreign >= 0.5" if method == "borderline_smote" else "foreign > 0").select("id")
-        near = near.join(hard, "id", "left_semi")
-    options = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "ox"))).alias("near"))
-    grown = ranked.withColumn("c", F.explode(F.sequence(F.lit(0), whole))).where("c > 0").join(options, "id")
-    pick = F.element_at("near", (F.pmod(F.xxhash64("id", "c", F.lit(seed)), F.size("near")) + 1).cast("int"))["ox"]
+        foreign = _neighbours(rows, asking, k, same=False).groupBy("id").agg(F.avg((F.col("y") != F.col("other_y")).cast("double")).alias("foreign"))
+        hard = written(foreign.where("foreign >= 0.5" if method == "borderline_smote" else "foreign > 0").select("id"), "hard")
+        grown, asking = grown.join(hard, "id", "left_semi"), asking.join(hard, "id", "left_semi")
+    near = written(_neighbours(rows, asking, k, same=True).select("id", "rank", "other"), "near")
+    options = near.groupBy("id").agg(F.count("*").alias("options"))
+    pick = (F.pmod(F.xxhash64("id", "c", F.lit(seed)), F.col("options").cast("int")) + 1).cast("int")
+    picked = grown.join(options, "id").withColumn("rank", pick).join(near, ["id", "rank"]).join(rows.select(F.col("id").alias("other"), F.col("x").alias("ox")), "other")
     u = F.pmod(F.xxhash64("id", "c", F.lit(seed + 1)), F.lit(1 << 20)) / (1 << 20)
-    new = grown.select("id", "c", F.zip_with("x", pick, lambda a, b: a + u * (b - a)).alias("x"), "y")
+    new = picked.select("id", "c", F.zip_with("x", "ox", lambda a, b: a + u * (b - a)).alias("x"), "y")
     first = min(rows.agg(F.min("id")).first()[0] or 0, 0)
     new = numbered(new, "place", "id", "c").select((F.lit(first - 1) - F.col("place")).alias("id"), "x", "y")
     return rows.select("id", "x", "y").unionByName(new)
 
 
-def _neighbours(rows: DataFrame, k: int, same: bool) -> DataFrame:
-    """(id, y, other, other_y, ox, rank): nearest rows, of the same class only if ``same``; searched by pivot cells."""
-    near = Cells(rows.select("id", "x", "y"), "y" if same else None).nearest(rows, k).select("id", "other", "rank")
-    mine = rows.select("id", "y")
-    others = rows.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("other_y"))
-    return near.join(mine, "id").join(others, "other").select("id", "y", "other", "other_y", "ox", "rank")
+def _neighbours(rows: DataFrame, asking: DataFrame, k: int, same: bool) -> DataFrame:
+    """(id, y, other, other_y, rank): of those ``asking`` the nearest ``rows``, of the same class only if ``same``; searched by pivot cells."""
+    near = Cells(rows.select("id", "x", "y"), "y" if same else None).nearest(asking, k).select("id", "other", "rank")
+    return near.join(rows.select("id", "y"), "id").join(rows.select(F.col("id").alias("other"), F.col("y").alias("other_y")), "other").select("id", "y", "other", "other_y", "rank")
 
 
 def random_features(train: DataFrame, width: int = 512, gamma: float | None = None, seed: int = 0):

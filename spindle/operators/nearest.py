@@ -1,14 +1,17 @@
 """Exact nearest neighbours and range searches by pivot cells.
 
-Points go to the cell of their nearest pivot; a cell's rows are dealt to blocks of bounded size.  A query asks its own
-cell first, then with the distance found every other cell that can hold something nearer: by the triangle inequality
-one with d(query, pivot) - radius <= bound and (d(query, pivot) - d(query, own pivot)) / 2 <= bound.  In a task a block's
-points come first and stay, the queries stream past them, so that a cell of very many queries takes no memory.
+Points go to the cell of their nearest pivot; near cells share a block as long as it fits a task, and a larger cell's rows are dealt
+to several.  A query asks its own block first, then with the distance found every other block with a cell that can hold something
+nearer: by the triangle inequality one with d(query, pivot) - radius <= bound and (d(query, pivot) - d(query, own pivot)) / 2 <= bound.
+So a query is sent once to each block it asks, of which there are as many as the points fill, however many cells the bounds leave.
+In a task a block's points come first and stay, the queries stream past them, so that a block of very many queries takes no memory;
+where blocks are few, the queries of each are dealt to several tasks, each of which holds it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,12 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Rows of a block, and pivots at most.
-BLOCK_ROWS, MOST_PIVOTS = 4096, 1024
+#: Rows and numbers of a block, and pivots at most.
+BLOCK_ROWS, BLOCK_NUMBERS, MOST_PIVOTS = 65_536, 4_194_304, 1024
+#: Tasks of a search, if a point's blocks are fewer; and the points that are worth a task.
+TASKS, TASK_ROWS = 24, 1024
+#: Pairs of rows whose differences are held at once.
+PAIRS = 131_072
 
 
 def _matrix(column) -> np.ndarray:
@@ -27,10 +34,64 @@ def _matrix(column) -> np.ndarray:
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(pivots)))
-    for k in range(0, len(x), 64):
-        out[k : k + 64] = np.sqrt(((x[k : k + 64, None, :] - pivots[None]) ** 2).sum(2))
-    return out
+    """Distances from products, right within ``_slack``."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
+
+
+def _slack(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """What rounding may add up to in three distances of each row of ``x`` to ``pivots``."""
+    return 8e-8 * (x.shape[1] + 8) ** 0.5 * (np.sqrt((x**2).sum(1)) + np.sqrt((pivots**2).sum(1).max(initial=0)))
+
+
+def _shared(pivots: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """The cells of each block: halved by rows along the line between two far pivots until no more than ``most`` rows or one cell are left."""
+    todo, done = [np.arange(len(rows))], []
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1 or rows[cells].sum() <= most:
+            done.append(cells)
+            continue
+        x = pivots[cells]
+        one = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+        other = x[((x - one) ** 2).sum(1).argmax()]
+        cells = cells[np.argsort(x @ (other - one), kind="stable")]
+        upto = rows[cells].cumsum()
+        cut = 1 + min(int(np.searchsorted(upto, upto[-1] / 2)), len(cells) - 2)
+        todo += [cells[cut:], cells[:cut]]
+    return done
+
+
+@dataclass
+class Part:
+    """The cells of a part's points, block by block: their pivots and radii, where the blocks' cells start, and how many blocks their rows fill."""
+
+    cells: np.ndarray
+    radius: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    blocks: np.ndarray
+
+    @classmethod
+    def of(cls, cells: np.ndarray, rows: np.ndarray, radius: np.ndarray, pivots: np.ndarray, most: int, number: int) -> Part:
+        shared = _shared(pivots[cells], rows, most)
+        order, blocks = np.concatenate(shared), np.array([-(-int(rows[c].sum()) // most) for c in shared])
+        return cls(cells[order], radius[order], np.r_[0, np.cumsum([len(c) for c in shared])[:-1]], number + np.r_[0, np.cumsum(blocks)[:-1]], blocks)
+
+    def asked(self, d: np.ndarray, bound: np.ndarray | None, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block) of the blocks asked by queries at distances ``d`` of all pivots: their own without ``bound``, else the others that it reaches."""
+        here = d[:, self.cells]
+        own = np.searchsorted(self.starts, here.argmin(1), "right") - 1
+        if bound is None:
+            rows, shared = np.arange(len(d)), own
+        else:
+            reach = (bound + slack)[:, None]
+            hit = (here - self.radius <= reach) & ((here - d.min(1)[:, None]) / 2 <= reach)
+            hit = np.logical_or.reduceat(hit, self.starts, axis=1)
+            hit[np.arange(len(d)), own] = False
+            rows, shared = np.nonzero(hit)
+        times = self.blocks[shared]
+        within = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+        return np.repeat(rows, times), np.repeat(self.first[shared], times) + within
 
 
 def _clean(rows: DataFrame, part: str | None) -> DataFrame:
@@ -41,7 +102,7 @@ def _clean(rows: DataFrame, part: str | None) -> DataFrame:
 
 
 class Cells:
-    """The points of an index: (id, x, part) with their cell and block, and the cells' sizes and radii.
+    """The points of an index: (id, x, part) with their block, and the cells' radii.
 
     ``part`` names a column of few values; a query then only meets points with its own. Pivots are points drawn by hash,
     as many as the square root of their number and ``MOST_PIVOTS`` at most.  The driver holds pivots and a row for each (cell, part).
@@ -51,17 +112,25 @@ class Cells:
         points = _clean(points, part)
         n = points.count()
         self.pivots = np.array([r.x for r in points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(pivots or int(min(MOST_PIVOTS, max(1, n**0.5)))).collect()])
-        self.part, self.table, self.parts = part, None, {}
+        self.part, self.table, self.parts, self.blocks = part, None, {}, 0
         if n == 0:
             return
+        block_rows = max(1, min(block_rows, BLOCK_NUMBERS // self.pivots.shape[1]))
         table = written(self._with_cells(points), "cells")
-        stats = table.groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("own").alias("radius")).collect()
+        stats = table.groupBy("part", "cell").agg(F.count("*").alias("n"), F.max("own").alias("radius")).orderBy("part", "cell").collect()
         grouped: dict[str, list] = {}
         for r in stats:
-            grouped.setdefault(r.part, []).append((r.cell, -(-r.n // block_rows), r.radius))
-        self.parts = {p: (np.array([s[0] for s in rows]), np.array([s[1] for s in rows]), np.array([s[2] for s in rows])) for p, rows in grouped.items()}
-        sizes = table.sparkSession.createDataFrame([(r.part, r.cell, -(-r.n // block_rows)) for r in stats], "part string, cell int, blocks long")
-        self.table = table.join(F.broadcast(sizes), ["part", "cell"]).select("id", "x", "part", "cell", F.pmod(F.xxhash64("id", "x"), "blocks").cast("int").alias("block"))
+            grouped.setdefault(r.part, []).append((r.cell, r.n, r.radius))
+        rows = []
+        for name, cells in grouped.items():
+            cell, count, radius = (np.array(c) for c in zip(*cells))
+            p = self.parts[name] = Part.of(cell, count, radius, self.pivots, block_rows, self.blocks)
+            self.blocks += int(p.blocks.sum())
+            shared = np.searchsorted(p.starts, np.arange(len(p.cells)), "right") - 1
+            rows += [(name, int(c), int(p.first[k]), int(p.blocks[k])) for c, k in zip(p.cells, shared)]
+        at = table.sparkSession.createDataFrame(rows, "part string, cell int, first long, blocks long")
+        self.table = table.join(F.broadcast(at), ["part", "cell"]).select("id", "x", "part", (F.col("first") + F.pmod(F.xxhash64("id", "x"), "blocks")).cast("int").alias("block"))
+        self.shares = max(1, min(-(-TASKS // self.blocks), n // (TASK_ROWS * self.blocks)))
 
     def _with_cells(self, rows: DataFrame) -> DataFrame:
         pivots = self.pivots
@@ -78,67 +147,55 @@ class Cells:
         return rows.mapInArrow(put, f"{kind}, cell int, own double")
 
     def _asked(self, queries: DataFrame, first: bool) -> DataFrame:
-        """A row of (id, x, part, bound) for every block that it asks: of its own cell at first, of all others that the bound reaches else."""
+        """A row of (id, x, part, bound) for every block that it asks: its own at first, all others that the bound reaches else."""
         pivots, parts = self.pivots, self.parts
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    b = whole.slice(at, 256)
-                    d = _to_pivots(_matrix(b.column("x")), pivots)
-                    bound = b.column("bound").to_numpy(zero_copy_only=False)
-                    own, rows, cells, blocks = d.argmin(1), [], [], []
-                    for k, p in enumerate(b.column("part").to_pylist()):
-                        if p not in parts:
-                            continue
-                        cell, n, radius = parts[p]
-                        if first:
-                            hit = cell == own[k]
-                        else:
-                            slack = 1e-9 * (1 + d[k, cell])
-                            hit = (cell != own[k]) & (d[k, cell] - radius <= bound[k] + slack) & ((d[k, cell] - d[k, own[k]]) / 2 <= bound[k] + slack)
-                        for c, m in zip(cell[hit], n[hit]):
-                            rows += [k] * m
-                            cells += [c] * m
-                            blocks += range(m)
-                    if rows:
-                        taken = b.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(blocks, pa.int32())], [*taken.schema.names, "cell", "block"])
-
-        return queries.select("id", "x", "part", "bound").mapInArrow(put, "id long, x array<double>, part string, bound double, cell int, block int")
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    x, bound = _matrix(b.column("x")), b.column("bound").to_numpy(zero_copy_only=False)
+                    d, slack, part = _to_pivots(x, pivots), _slack(x, pivots), np.array(b.column("part").to_pylist(), object)
+                    for p in set(part.tolist()) & parts.keys():
+                        mine = np.flatnonzero(part == p)
+                        rows, blocks = parts[p].asked(d[mine], None if first else bound[mine], slack[mine])
+                        for k in range(0, len(rows), 4096):
+                            taken = b.take(pa.array(mine[rows[k : k + 4096]]))
+                            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(blocks[k : k + 4096].astype("i4"))], [*taken.schema.names, "block"])
+
+        return queries.select("id", "x", "part", "bound").mapInArrow(put, "id long, x array<double>, part string, bound double, block int")
 
     def _met(self, asked: DataFrame, k: int | None, itself: bool) -> DataFrame:
         """(id, other, d) of what the asked blocks hold within the bound, the ``k`` nearest of each block."""
-        points = self.table.select("id", "x", "part", F.lit(None).cast("double").alias("bound"), "cell", "block", F.lit(0).alias("kind"))
-        both = points.unionByName(asked.withColumn("kind", F.lit(1)))
-        both = both.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block", "kind")
+        shares = self.shares
+        key = (F.col("block") * shares + F.col("share")).cast("int").alias("key")
+        points = self.table.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        points = points.select(key, F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("bound"))
+        asked = asked.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares))).select(key, F.lit(1).alias("kind"), "id", "x", "bound")
+        both = points.unionAll(asked).repartitionById(min(self.blocks * shares, 10_000), F.col("key")).sortWithinPartitions("key", "kind")
 
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, ids, held, kept, norms = None, None, None, [], None
+            key, kept, block = None, [], None
             for b in batches:
-                keys = list(zip(b.column("part").to_pylist(), b.column("cell").to_pylist(), b.column("block").to_pylist()))
-                kinds = b.column("kind").to_numpy()
-                start = 0
-                while start < b.num_rows:
-                    end = start
-                    while end < b.num_rows and keys[end] == keys[start] and kinds[end] == kinds[start]:
-                        end += 1
+                if not b.num_rows:
+                    continue
+                keys, kinds = b.column("key").to_numpy(), b.column("kind").to_numpy()
+                cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
                     if keys[start] != key:
-                        key, kept, held = keys[start], [], None
+                        key, kept, block = keys[start], [], None
                     run = b.slice(start, end - start)
-                    start = end
-                    if run.column("kind")[0].as_py() == 0:
+                    if kinds[start] == 0:
                         kept.append((run.column("id").to_numpy(), _matrix(run.column("x"))))
                         continue
-                    if held is None:
+                    if block is None:
                         if not kept:
                             continue
-                        ids, held = np.concatenate([a for a, _ in kept]), np.concatenate([x for _, x in kept])
-                        norms = (held**2).sum(1)
+                        block = Block(np.concatenate([a for a, _ in kept]), np.concatenate([x for _, x in kept]))
+                        kept = [(block.ids, block.x)]
                     for at in range(0, run.num_rows, 256):
                         piece = run.slice(at, 256)
-                        found = _near(piece.column("id").to_numpy(), _matrix(piece.column("x")), piece.column("bound").to_numpy(zero_copy_only=False), ids, held, norms, k, itself)
-                        if len(found[0]):
+                        for found in block.near(piece.column("id").to_numpy(), _matrix(piece.column("x")), piece.column("bound").to_numpy(zero_copy_only=False), k, itself):
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "other", "d"])
 
         return both.mapInArrow(put, "id long, other long, d double")
@@ -154,6 +211,8 @@ class Cells:
             return q.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
         q = written(q, "queries")
         found = written(self._best(self._met(self._asked(q.withColumn("bound", F.lit(float("inf"))), True), k, itself), k), "nearest-own")
+        if len(self.parts) == sum(len(p.first) for p in self.parts.values()):  # no block but the own one
+            return found.select("id", "other", "d", "rank")
         bounds = found.where(F.col("rank") == k).select("id", F.col("d").alias("bound"))
         q = q.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         more = self._met(self._asked(q, False), k, itself)
@@ -173,27 +232,57 @@ class Cells:
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _near(qid, q, bound, ids, held, norms, k, itself):
-    """Ids, partners and distances: products sift, differences decide."""
-    rough = norms[None] - 2 * q @ held.T + (q**2).sum(1)[:, None]
-    slack = 1e-10 * (1 + norms.max() + (q**2).sum(1))
-    who, whom, far = [], [], []
-    for r in range(len(q)):
-        line = rough[r]
-        limit = bound[r] * bound[r] if np.isfinite(bound[r]) else np.inf
-        may = np.flatnonzero(line <= limit * (1 + 1e-9) + slack[r])
-        if not itself:
-            may = may[ids[may] != qid[r]]
-        if k is not None and len(may) > k:
-            edge = np.partition(line[may], k - 1)[k - 1]
-            may = may[line[may] <= edge + 2 * slack[r]]
-        d = np.sqrt(((held[may] - q[r]) ** 2).sum(1))
-        keep = d <= bound[r]
-        may, d = may[keep], d[keep]
-        if k is not None and len(may) > k:
-            best = np.lexsort((ids[may], d))[:k]
-            may, d = may[best], d[best]
-        who.append(np.full(len(may), qid[r]))
-        whom.append(ids[may])
-        far.append(d)
-    return np.concatenate(who), np.concatenate(whom), np.concatenate(far)
+class Block:
+    """Points that stay in a task: products about their centre sift, in single precision where its range allows; differences decide."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.centre = ids, x, x.mean(0)
+        y = x - self.centre
+        norms = (y**2).sum(1)
+        self.top = float(norms.max()) ** 0.5
+        self.number = np.float32 if 1e-12 < self.top < 1e15 else np.float64
+        self.sift = np.ascontiguousarray(np.concatenate([-2 * y, norms[:, None]], axis=1).astype(self.number).T)
+
+    def near(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int | None, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, partners, distances) of what lies within the ``bound`` of each query, the ``k`` nearest of it, ties to the smaller id."""
+        y = q - self.centre
+        norms = (y**2).sum(1)
+        number = np.float64 if norms.max() > 1e30 else self.number
+        y = np.concatenate([y, np.ones((len(y), 1))], axis=1).astype(number)
+        rough = y @ self.sift.astype(number, copy=False)  # less the query's own square
+        slack = 4 * (q.shape[1] + 8) * np.finfo(self.number).eps * (np.sqrt(norms) + self.top) ** 2
+        limit = bound * bound * (1 + 1e-9) - norms + slack
+        least = None if k is None else k if itself else k + 1
+        if least is not None and rough.shape[1] > least:
+            open_ = np.flatnonzero(np.isinf(limit))
+            if len(open_):
+                limit[open_] = _least(rough[open_] if len(open_) < len(q) else rough, least) + 2 * slack[open_]
+        limit = np.nextafter(limit.astype(number), number(np.inf))[:, None]
+        who, may = np.divmod(np.flatnonzero((rough <= limit).ravel()), rough.shape[1])
+        upto = np.searchsorted(who, np.arange(len(q) + 1))
+        start = 0
+        while start < len(q):
+            end = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, "right")) - 1)
+            row, whom = who[upto[start] : upto[end]], may[upto[start] : upto[end]]
+            start = end
+            d = np.sqrt(((self.x[whom] - q[row]) ** 2).sum(1))
+            keep = d <= bound[row]
+            if not itself:
+                keep &= self.ids[whom] != qid[row]
+            row, whom, d = row[keep], self.ids[whom[keep]], d[keep]
+            if k is not None:
+                order = np.lexsort((whom, d, row))
+                row, whom, d = row[order], whom[order], d[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, whom, d = row[best], whom[best], d[best]
+            if len(row):
+                yield qid[row], whom, d
+
+
+def _least(rough: np.ndarray, k: int) -> np.ndarray:
+    """A number that ``k`` numbers of each row don't exceed, mostly the least such: of the minima of many runs."""
+    m, n = rough.shape
+    runs = max(256, 8 * k)
+    if n >= 4 * runs:
+        rough = rough[:, : n // runs * runs].reshape(m, runs, -1).min(axis=2)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1].astype(float)

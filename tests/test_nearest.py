@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators import learning
+from spindle.operators import learning, nearest
 from spindle.operators.nearest import Cells
 
 
@@ -85,3 +85,39 @@ def test_made_rows_lie_between_neighbours(spark, method):
             gaps = [np.linalg.norm(v - x[a]) + np.linalg.norm(v - x[b]) - np.linalg.norm(x[a] - x[b]) for a in near if y[a] == r.y for b in near[a]]
             assert min(gaps) < 1e-9
     assert len({r.id for r in out}) == len(out) and (method != "smote" or sum(r.y for r in out) == 60)
+
+
+def test_a_query_is_sent_once_to_a_block_of_many_cells(spark):
+    """Without structure the bounds leave nearly every cell; what is sent follows the blocks that the points fill."""
+    x = np.random.default_rng(7).normal(size=(600, 32))
+    rows = table(spark, x)
+    cells = Cells(rows, None, 200, 24)
+    assert 3 <= cells.blocks <= 8
+    asked = rows.withColumns({"part": F.lit(""), "bound": F.lit(100.0)})
+    assert cells._asked(asked, True).count() == 600 and cells._asked(asked, False).count() == 600 * (cells.blocks - 1)
+    assert found(cells.nearest(rows, 5)) == brute(x, 5)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e20, 1e-20])
+def test_blocks_hold_few_pairs_at_once_and_keep_ties(monkeypatch, scale):
+    monkeypatch.setattr(nearest, "PAIRS", 50)
+    draw = np.random.default_rng(8)
+    x = np.concatenate([draw.normal(size=(3000, 3)), np.ones((40, 3)), draw.normal(size=(40, 3)) * 1e-6 + 9]) * scale
+    ids = draw.permutation(len(x))
+    q = np.r_[0, 5, np.arange(2990, len(x))]
+    for k, itself, bound in ((4, False, np.inf), (1, True, np.inf), (3, False, 0.5 * scale), (None, True, 0.3 * scale)):
+        got = [np.concatenate(c) for c in zip(*nearest.Block(ids, x).near(ids[q], x[q], np.full(len(q), bound), k, itself))]
+        for a in q:
+            d = np.sqrt(((x - x[a]) ** 2).sum(1))
+            order = [b for b in np.lexsort((ids, d)) if d[b] <= bound and (itself or b != a)][:k]
+            mine = got[0] == ids[a]
+            assert dict(zip(got[1][mine].tolist(), got[2][mine].tolist())) == {int(ids[b]): d[b] for b in order}
+
+
+def test_only_rows_that_grow_ask_for_neighbours(spark, monkeypatch):
+    asked = []
+    neighbours = learning._neighbours
+    monkeypatch.setattr(learning, "_neighbours", lambda rows, asking, *o, **n: asked.append(asking.count()) or neighbours(rows, asking, *o, **n))
+    x = np.random.default_rng(9).normal(size=(50, 2))
+    assert learning.resampled(table(spark, x, np.arange(50) < 22), "smote").count() == 56
+    assert asked == [6]
