@@ -101,8 +101,7 @@ ids AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS id FROM (SELECT DISTINCT
 SELECT a.id AS src, b.id AS dst, weight FROM pairs JOIN ids a ON pairs.s = a.s JOIN ids b ON pairs.d = b.s""")
 def numpy_graph(spark, d):
     """Parts that share orders, over all lines, relabelled, saved as a folder of npy files and loaded again."""
-    g = copart(spark, d, 0.0)
-    g = g.subgraph(g.ids)
+    g = copart(spark, d, 0.0, dense=True)
     path = folder(spark, "npy-graph")
     npf.save_graph(g, path)
     return npf.load_graph(spark, path, 1 << 20).edges

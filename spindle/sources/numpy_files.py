@@ -13,6 +13,7 @@ import math
 import struct
 import zipfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,7 +124,7 @@ class NpyReader(DataSourceReader):
         self.path, self.array = options["path"], options.get("array")
         self.axis, self.part_bytes = int(options.get("axis", 0)), int(options.get("partbytes", PART_BYTES))
         self.names = [f.name for f in schema.fields]
-        self.lines = _lines(options, layout(self.path, self.array))
+        self.lines, self.beside = _lines(options, layout(self.path, self.array)), list(_beside(options).values())
 
     def partitions(self) -> list[Rows]:
         a = layout(self.path, self.array)
@@ -141,7 +142,9 @@ class NpyReader(DataSourceReader):
         step = max(1, BATCH_BYTES // max(1, a.item * max(1, width)))
         if a.start is None and not side_by_side:
             raise ValueError("a deflated array can only be read along its lines; save it plainly (np.savez) or transposed")
-        with _opened(self.path) as f:
+        with ExitStack() as files:
+            f = files.enter_context(_opened(self.path))
+            beside = [(files.enter_context(_opened(p)), layout(p)) for p in self.beside]
             source, member, archive = f, None, None
             if a.start is None:
                 archive = zipfile.ZipFile(f)
@@ -166,6 +169,9 @@ class NpyReader(DataSourceReader):
                     columns.append(_values(block[:, 0], as_))
                 else:
                     columns.append(pa.ListArray.from_arrays(np.arange(m + 1, dtype="i4") * width, _values(block.reshape(-1), as_)))
+                for file, b in beside:
+                    file.seek(b.start + first * b.item)
+                    columns.append(_values(np.frombuffer(_exactly(file, m * b.item), b.dtype), _types(b.dtype)[1]))
                 yield pa.RecordBatch.from_arrays(columns, self.names)
             if archive is not None:
                 member.close()
@@ -200,8 +206,13 @@ def _lines(options: dict, a: Layout) -> list[int] | None:
     return [int(x) for x in options["lines"].split(",")]
 
 
+def _beside(options: dict) -> dict[str, str]:
+    """The npy files of one axis that are read row by row beside the array (``beside``: a JSON object of column names and paths)."""
+    return json.loads(options.get("beside", "{}"))
+
+
 class NpySource(DataSource):
-    """Options: path, array (an npz member's name), axis, lines and names (of columns of their own; other lines aren't read), partBytes."""
+    """Options: path, array (an npz member's name), axis, lines and names (of columns of their own; other lines aren't read), partBytes, beside."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,24 +220,32 @@ class NpySource(DataSource):
 
     def schema(self) -> T.StructType:
         a = layout(self.options["path"], self.options.get("array"))
-        _, width = _rows_width(a, int(self.options.get("axis", 0)))
+        n, width = _rows_width(a, int(self.options.get("axis", 0)))
         kind, _ = _types(a.dtype)
+        beside = []
+        for name, path in _beside(self.options).items():
+            b = layout(path)
+            if b.shape != (n,):
+                raise ValueError(f"{path} has the shape {b.shape} and not {(n,)}")
+            beside.append(T.StructField(name, _types(b.dtype)[0]))
         lines = _lines(self.options, a)
         fields = [T.StructField("row", T.LongType())]
         if lines is not None:
             if any(not 0 <= x < width for x in lines):
                 raise ValueError(f"lines {lines} of {width}")
             names = self.options["names"].split(",") if "names" in self.options else [f"c{x}" for x in lines]
-            return T.StructType(fields + [T.StructField(x, kind) for x in names])
-        return T.StructType([*fields, T.StructField("value", kind if len(a.shape) == 1 else T.ArrayType(kind))])
+            return T.StructType(fields + [T.StructField(x, kind) for x in names] + beside)
+        return T.StructType([*fields, T.StructField("value", kind if len(a.shape) == 1 else T.ArrayType(kind)), *beside])
 
     def reader(self, schema: T.StructType) -> NpyReader:
         return NpyReader(self.options, schema)
 
 
-def read_npy(spark: SparkSession, path: str, array: str | None = None, axis: int = 0, columns: dict[str, int] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+def read_npy(spark: SparkSession, path: str, array: str | None = None, axis: int = 0, columns: dict[str, int] | None = None, part_bytes: int = PART_BYTES, beside: dict[str, str] | None = None) -> DataFrame:
     """(row, value) of an array: a number a row of one axis, an array a row of more; or (row, ...) with the lines that ``columns`` names.
 
+    ``beside`` names columns from npy files of one axis and as many rows, which are read by the same ranges, so that no join puts them together.
+
     Null never occurs; an empty array is an empty table. Arrays without an axis, of objects or complex numbers raise an error.
     """
     spark.dataSource.register(NpySource)
@@ -235,6 +254,8 @@ def read_npy(spark: SparkSession, path: str, array: str | None = None, axis: int
         made = made.option("array", array)
     if columns:
         made = made.option("lines", ",".join(map(str, columns.values()))).option("names", ",".join(columns))
+    if beside:
+        made = made.option("beside", json.dumps(beside))
     return made.load(path)
 
 
@@ -349,9 +370,8 @@ def _exists(path: str) -> bool:
 
 def load_graph(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> Graph:
     """A graph folder's edges and nodes; nodes carry ``x`` and ``y`` if the folder has them. Without ``info.json`` the largest id tells the number of nodes."""
-    edges = read_npy(spark, f"{path}/edge_index.npy", axis=1, columns={"src": 0, "dst": 1}, part_bytes=part_bytes)
-    if _exists(f"{path}/edge_attr.npy"):
-        edges = edges.join(read_npy(spark, f"{path}/edge_attr.npy", part_bytes=part_bytes).withColumnRenamed("value", "weight"), "row")
+    weight = {"weight": f"{path}/edge_attr.npy"} if _exists(f"{path}/edge_attr.npy") else None
+    edges = read_npy(spark, f"{path}/edge_index.npy", axis=1, columns={"src": 0, "dst": 1}, part_bytes=part_bytes, beside=weight)
     info = {}
     if _exists(f"{path}/info.json"):
         with _opened(f"{path}/info.json") as f:

@@ -95,6 +95,33 @@ def test_graph_folder(spark, tmp_path):
     assert plain.nodes.count() == 4 and sorted(map(tuple, plain.edges.collect())) == [(0, 0, 1.0), (3, 1, 1.0)]
 
 
+def test_files_are_read_side_by_side_without_a_join(spark, tmp_path):
+    np.save(tmp_path / "edge_index.npy", np.arange(6000).reshape(2, 3000))
+    np.save(tmp_path / "edge_attr.npy", np.arange(3000) / 2)
+    g = npf.load_graph(spark, str(tmp_path), part_bytes=5000)
+    assert "Join" not in g.edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, g.edges.collect())) == [(k, k + 3000, k / 2) for k in range(3000)]
+    np.save(tmp_path / "edge_attr.npy", np.arange(2999) / 2)
+    with pytest.raises(Exception, match="2999"):
+        npf.load_graph(spark, str(tmp_path)).edges.collect()
+
+
+def test_mirrored_graphs_are_undirected_without_a_sum(spark):
+    half = spark.createDataFrame([(1, 2, 1.0), (1, 3, 2.0)], "src long, dst long, weight double")
+    found = Graph.mirrored(half).is_undirected()
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString() and found.first()[0] is True
+    assert Graph.mirrored(half.withColumn("weight", F.when(F.col("dst") == 2, 1.0))).is_undirected().first()[0] is False
+
+
+def test_dense_parts_are_the_subgraph_of_all(spark):
+    from spindle.plans.fixtures import copart
+
+    plain, dense = copart(spark, "/root/testdata/sf0.001"), copart(spark, "/root/testdata/sf0.001", dense=True)
+    want = plain.subgraph(plain.ids)
+    assert sorted(map(tuple, dense.edges.collect())) == sorted(map(tuple, want.edges.collect()))
+    assert sorted((r.id, r.orig_id) for r in dense.nodes.collect()) == sorted((r.id, r.orig_id) for r in want.nodes.collect())
+
+
 def test_ranked_rows_are_written_where_they_lie(spark, tmp_path):
     """In runs that files and batches cut anywhere: the same bytes as sorted rows, without a sort or a count of distinct numbers."""
     rows = ranked(spark.range(0, 30000, 1, 7).select((F.col("id") * 7919 % 30011).alias("v")), "row", "v")
